@@ -4,19 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from tidemark.llm.byte_bpe import bpe_digest
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import quality_rules
 from tidemark.llm.secret_scan import find_secrets, secret_digest
+from tidemark.llm.toxicity import toxicity_scores
+from tidemark.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rank_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quality_rules(_table(spark, sf_dir, "documents"))
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return q.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed.alias("base_failed"),
+        (~base_failed & F.col("passed")).alias("kept"),
+        F.array_join("failed", ",").alias("failed_rules"),
+    )
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -25,7 +56,15 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), max_epochs=2.0)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(_table(spark, sf_dir, "documents"), rank_path())
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
+    "op8_byte_bpe": op8_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
