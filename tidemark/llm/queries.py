@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_digest
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secret_scan import find_secrets, secret_digest
@@ -56,6 +57,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), max_epochs=2.0)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), rank_path())
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
