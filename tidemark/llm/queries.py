@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_digest
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import quality_rules
@@ -65,12 +66,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), rank_path())
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
