@@ -11,6 +11,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.ppm import lm_scores
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secret_scan import find_secrets, secret_digest
 from tidemark.llm.toxicity import toxicity_scores
@@ -70,6 +71,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_warc": op3_warc,
@@ -77,6 +82,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_ppm": op10_ppm,
     "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
