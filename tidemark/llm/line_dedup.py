@@ -174,8 +174,10 @@ def line_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Documents with ``text`` cleaned; those that lost every line with a word are dropped, their text is elsewhere."""
+    """Documents with ``text`` cleaned and ``n_chars``, if there, counted anew; those that lost every line with a word are
+    dropped, their text is elsewhere."""
     c = clean_lines(docs)
     left = F.length(F.translate(F.coalesce("clean", F.lit("")), " \t\n\u000b\f\r", "")) > 0
-    fields = [F.col("clean").alias(n) if n == "text" else F.col(f"row.`{n}`").alias(n) for n in docs.columns]
+    own = {"text": F.col("clean"), "n_chars": F.when(F.size("removed") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None)}
+    fields = [own[n].alias(n) if n in own else F.col(f"row.`{n}`").alias(n) for n in docs.columns]
     return c.where((F.size("removed") == 0) | left).select(*fields)
