@@ -24,6 +24,7 @@ from tidemark.session import materialize, ship_package
 BITS = 20
 #: Most labelled rows that are learnt from.
 MAX_ROWS = 20_000
+SEED = 11
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -109,7 +110,7 @@ class Ftrl:
         self.nb += g * g
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 5, seed: int = 11) -> DataFrame:
+def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 5, seed: int = SEED) -> DataFrame:
     """(slot, weight) rows, the bias under slot -1. At most 2**bits + 1 rows.
 
     Rows whose label is null are left out; null text is empty. Only whether the label is 1 counts.
@@ -197,7 +198,10 @@ def fold(doc_id: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Weights learnt from labelled documents outside fold 0. One label per id: the largest if labels repeat one."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
-    pairs = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    # the sample is taken from the narrow table, so the side that is broadcast has at most max_rows rows and no text moves
+    # but the sample's
+    some = materialize(known.orderBy(F.xxhash64(F.lit(SEED), F.col("label_id")), "label_id").limit(max_rows), "sample")
+    pairs = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
     return materialize(train(pairs, "doc_id", "text", "toxic", max_rows), "ftrl")
 
 
