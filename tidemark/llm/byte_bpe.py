@@ -21,8 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import ship_package
 
@@ -41,7 +44,7 @@ WHITE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 BLOCK = 512
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 
 
 def class_table() -> np.ndarray:
@@ -134,8 +137,28 @@ def piece_starts(classes: np.ndarray, to: np.ndarray, new: np.ndarray) -> np.nda
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the pair of least rank merges first, the leftmost of equals, until no pair has a rank."""
-    if piece in ranks:
-        return [ranks[piece]]
+    if (whole := ranks.get(piece)) is not None:
+        return [whole]
+    return [ranks[p] for p in (_merge_short(piece, ranks) if len(piece) <= 64 else _merge_long(piece, ranks))]
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    get, none = ranks.get, 1 << 31
+    part = [piece[i : i + 1] for i in range(len(piece))]
+    pair = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pair and (least := min(pair)) < none:
+        i = pair.index(least)
+        part[i] += part.pop(i + 1)
+        pair.pop(i)
+        if i < len(pair):
+            pair[i] = get(part[i] + part[i + 1], none)
+        if i:
+            pair[i - 1] = get(part[i - 1] + part[i], none)
+    return part
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same with a heap and a linked list, in n log n steps."""
     n = len(piece)
     part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -155,7 +178,7 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 heapq.heappush(heap, (r, i, len(part[i]) + len(part[k])))
         if (h := before[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
             heapq.heappush(heap, (r, h, len(part[h]) + len(part[i])))
-    return [ranks[p] for p in part if p is not None]
+    return [p for p in part if p is not None]
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -226,39 +249,46 @@ def codec_for(rank_file: bytes) -> Codec:
     return _CODECS[key]
 
 
-def _slices(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
-    lo = 0
-    while lo < len(texts):
-        hi, n = lo, 0
-        while hi < len(texts) and (hi == lo or n + len(texts[hi]) < size):
-            n += len(texts[hi])
-            hi += 1
-        yield texts[lo:hi]
-        lo = hi
-
-
 def rank_bytes(path: str) -> bytes:
     """The rank file as the driver sees it; workers get its bytes (under 1 MB), not its path."""
     with open(path, "rb") as f:
         return f.read()
 
 
-def encode_texts(df: DataFrame, rank_path: str, text_col: str = "text") -> DataFrame:
-    """The input's rows as a struct ``row`` and ``ids``: little-endian unsigned 32-bit integers. Null text is empty."""
+def encode_texts(df: DataFrame, rank_path: str, text_col: str = "text", carry: list[str] | None = None, decode: bool = False) -> DataFrame:
+    """``carry`` columns (all by default) as a struct ``row``, and ``ids``: little-endian unsigned 32-bit integers.
+
+    With ``decode``, also ``decoded``, the bytes of the ids, and ``round_trip``, whether they are the text's. Null text
+    is empty. A batch is worked on in slices of about a million characters, each handed over before the next is met.
+    """
     spark = df.sparkSession
     ship_package(spark)
     file = spark.sparkContext.broadcast(rank_bytes(rank_path))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in (carry or df.columns)]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    fields = [rows.schema["row"], T.StructField("ids", T.BinaryType())]
+    if decode:
+        fields += [T.StructField("decoded", T.BinaryType()), T.StructField("round_trip", T.BooleanType())]
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(file.value)
-        for s in batches:
-            out: list[bytes] = []
-            for part in _slices(s.tolist()):
-                out += codec.encode(part)
-            yield pd.Series(out, dtype=object)
-
-    return df.select(F.struct("*").alias("row"), encode(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+        for batch in batches:
+            lo, sizes = 0, pa.compute.binary_length(batch.column(1)).to_pylist()
+            while lo < batch.num_rows:
+                hi, n = lo, 0
+                while hi < batch.num_rows and (hi == lo or n + sizes[hi] < 1_000_000):
+                    n += sizes[hi]
+                    hi += 1
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(1).to_pylist()
+                ids = codec.encode(texts)
+                columns = [part.column(0), pa.array(ids, pa.binary())]
+                if decode:
+                    back = [codec.decode(x) for x in ids]
+                    columns += [pa.array(back, pa.binary()), pa.array([x == t.encode("utf-8", "surrogatepass") for x, t in zip(back, texts)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "decoded", "round_trip"][: len(columns)])
+                lo = hi
+
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def decode_ids(df: DataFrame, rank_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -282,7 +312,7 @@ def bpe_digest(docs: DataFrame, rank_path: str) -> DataFrame:
     Empty and null texts have no tokens and the digests of nothing. Repeated rows give repeated results; other columns
     are ignored; an empty table gives no rows.
     """
-    both = decode_ids(encode_texts(docs.select("doc_id", "text"), rank_path), rank_path)
+    both = encode_texts(docs, rank_path, carry=["doc_id"], decode=True)
     return both.select(
         F.col("row.doc_id").alias("doc_id"),
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
