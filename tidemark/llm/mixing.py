@@ -53,8 +53,8 @@ def solve_exponent(sizes: DataFrame, max_epochs: float | None = None, target_ent
             ok = F.log("z") - F.col("zl") / F.col("z") < F.lit(float(target_entropy))
         return [r.ok for r in g.select("k", ok.alias("ok")).orderBy("k").collect()]  # one row a midpoint: 64
 
-    # invariant: the predicate is false at lo and true at hi (or hi is the end of the grid)
-    lo, hi = -1, STEPS
+    # invariant: the predicate is false at lo (or lo is below the grid) and true at hi (or hi is beyond it)
+    lo, hi = -1, STEPS + (target_entropy is not None)
     while hi - lo > 1:
         points = sorted({lo + max(1, (hi - lo) * i // FAN) for i in range(1, FAN)} - {lo, hi})
         found = holds(points)
@@ -62,9 +62,7 @@ def solve_exponent(sizes: DataFrame, max_epochs: float | None = None, target_ent
             break
         at = next((i for i, x in enumerate(found) if x), len(points))
         lo, hi = (points[at - 1] if at else lo), (points[at] if at < len(points) else hi)
-    if target_entropy is not None:
-        hi = max(lo, 0)
-    return hi / STEPS
+    return (hi if target_entropy is None else max(lo, 0)) / STEPS
 
 
 def quotas(sizes: DataFrame, exponent: float, budget_tokens: int | None = None) -> DataFrame:

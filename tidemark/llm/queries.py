@@ -12,7 +12,7 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ppm import lm_scores
-from tidemark.llm.quality import quality_rules
+from tidemark.llm.quality import RULES, STOP_WORDS, Rule, quality_rules
 from tidemark.llm.secret_scan import find_secrets, secret_digest
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.warc import warc_round_trip
@@ -88,7 +88,48 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
 }
 
+#: Fixed by the contracts, as DuckDB spells them.
+_WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_WORDED = r"list_filter(string_split({t}, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+
+
+def _rule_sql(r: Rule) -> str:
+    tests = [f"{r.stat} >= {r.low!r}::DOUBLE"] * (r.low is not None) + [f"{r.stat} <= {r.high!r}::DOUBLE"] * (r.high is not None)
+    return f"CASE WHEN NOT ({' AND '.join(tests)}) THEN '{r.name}' END"
+
+
+def _hash_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
+
+
 ORACLES = {
+    "op1_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT doc_id, t, {_WORDS.format(t='t')} AS w, {_WORDED.format(t='t')} AS l FROM d),
+        tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM p, unnest(range(1, len(w) - 1)) AS u(i)),
+        twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        cover AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) AS v(o) GROUP BY 1),
+        s AS (SELECT p.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '!')) AS n_marks, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, list_filter(w, lambda x: list_contains([{_STOPS}], lower(x))) AS st,
+                len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:[-*•‣]|\d+[.)])\s'))) AS n_bullets, len(list_filter(l, lambda x: x LIKE '%...' OR x LIKE '%…')) AS n_ellipsis
+              FROM p LEFT JOIN cover USING (doc_id)),
+        r AS (SELECT *, len(list_distinct(list_transform(st, lambda x: lower(x)))) AS stop_words, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,
+                CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word, CASE WHEN n_words > 0 THEN n_marks / n_words ELSE 0 END AS marks_per_word,
+                CASE WHEN n_words > 0 THEN len(st) / n_words ELSE 0 END AS stop_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+                CASE WHEN n_lines > 0 THEN n_bullets / n_lines ELSE 0 END AS bullet_line_ratio, CASE WHEN n_lines > 0 THEN n_ellipsis / n_lines ELSE 0 END AS ellipsis_line_ratio,
+                CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_word_ratio FROM s),
+        f AS (SELECT *, concat_ws(',', {', '.join(_rule_sql(x) for x in RULES)}) AS failed_rules, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+               base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
+    """,
+    "op3_warc": """
+        WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to, true AS digest_ok FROM g
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -97,4 +138,43 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op6_source_mix": rf"""
+        WITH t AS (SELECT doc_id, source, len({_WORDS.format(t="coalesce(text, '')")})::BIGINT AS n_tokens FROM documents),
+        s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY 1),
+        sh AS (SELECT *, tokens / (SELECT sum(tokens) FROM s)::BIGINT AS share FROM s),
+        a AS (SELECT min(k) / 1048576.0::DOUBLE AS a FROM range(0, 1048577) AS u(k), (SELECT max(share) / min(share) AS q FROM sh WHERE share > 0) WHERE pow(q, 1 - k / 1048576.0::DOUBLE) <= 2.0),
+        q AS (SELECT source, tokens, pow(share, a) / sum(pow(share, a)) OVER () AS weight, CASE WHEN tokens > 0 THEN floor(pow(max(share) OVER () / share, 1 - a) * tokens)::BIGINT ELSE 0 END AS quota FROM sh, a),
+        p AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole, greatest(1, ceil(tokens / 1048576))::BIGINT AS n_blocks FROM q),
+        d AS (SELECT t.doc_id, t.source, n_tokens, weight, whole, quota - whole * tokens AS rest, {_hash_sql("'7'", "'block'", "coalesce(doc_id::VARCHAR, 'null')")} % n_blocks AS block FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source),
+        b AS (SELECT source, block, sum(n_tokens) AS n FROM d GROUP BY 1, 2),
+        e AS (SELECT source, block, n, sum(n) OVER (PARTITION BY source ORDER BY {_hash_sql("'7'", "coalesce(source, 'null')", "block::VARCHAR")}, block) AS ends FROM b),
+        x AS (SELECT d.*, ends, ends - n AS starts FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.block = e.block),
+        y AS (SELECT *, starts + sum(n_tokens) OVER (PARTITION BY source, block ORDER BY {_hash_sql("'7'", "'doc'", "coalesce(doc_id::VARCHAR, 'null')")}, doc_id) AS upto FROM x)
+        SELECT doc_id, source, n_tokens, weight, block, (whole + CASE WHEN ends <= rest AND rest > 0 THEN 1 WHEN starts < rest AND ends > rest AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM y
+    """,
+    "op7_line_dedup": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        s AS (SELECT doc_id, i - 1 AS line_no, u.x, len({_WORDS.format(t='u.x')}) AS words FROM d, unnest(string_split(t, chr(10))) WITH ORDINALITY AS u(x, i) WHERE regexp_matches(u.x, '[^\x20\x09-\x0D]')),
+        n AS (SELECT *, row_number() OVER w AS at, sum(words) OVER w AS upto FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+        ahead AS (SELECT a.doc_id, a.at AS f, min(b.at) AS l FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.at >= a.at AND b.upto - a.upto + a.words >= 50 GROUP BY 1, 2),
+        back AS (SELECT b.doc_id, max(a.at) AS f, b.at AS l FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.at >= a.at AND b.upto - a.upto + a.words >= 50 GROUP BY 1, 3),
+        run AS (SELECT * FROM ahead UNION SELECT * FROM back),
+        keyed AS (SELECT r.doc_id, r.f, r.l, string_agg(n.x, chr(10) ORDER BY n.at) AS k FROM run r JOIN n ON n.doc_id = r.doc_id AND n.at BETWEEN r.f AND r.l GROUP BY 1, 2, 3),
+        later AS (SELECT doc_id, f, l FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, f) > 1),
+        gone AS (SELECT DISTINCT n.doc_id, n.line_no FROM later JOIN n ON n.doc_id = later.doc_id AND n.at BETWEEN f AND l),
+        g AS (SELECT doc_id, count(*) AS c, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS r, list(line_no) AS ls FROM gone GROUP BY 1)
+        SELECT d.doc_id, len({_WORDED.format(t='t')})::BIGINT AS n_lines, coalesce(c, 0) AS n_removed, coalesce(r, '') AS removed,
+               sha256(CASE WHEN c IS NULL THEN t ELSE array_to_string(list_filter(string_split(t, chr(10)), lambda x, i: NOT list_contains(ls, i - 1)), chr(10)) END) AS text_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
+    "op9_jaccard_join": rf"""
+        WITH RECURSIVE p AS (SELECT doc_id, {_WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        c(node, root) AS (SELECT doc_id, doc_id FROM p UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node)
+        SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM c LEFT JOIN n ON n.doc_id = node GROUP BY 1
+    """,
 }
