@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import WORD_CLASS
 from tidemark.session import materialize, ship_package
 
 MIN_WORDS = 50
@@ -39,9 +39,9 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, at, line_no, digest, words): lines that have a word; ``at`` counts only those."""
-    lines = F.filter(F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("x"))), lambda s: F.length(F.translate(s["x"], " \t\n\u000b\f\r", "")) > 0)
+    lines = F.filter(F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("x"))), lambda s: s["x"].rlike(WORD_CLASS))
     rows = _keyed(df, id_col, text_col).select(*KEY, F.posexplode(lines).alias("at", "s"))
-    return rows.select(*KEY, "at", F.col("s.line_no").alias("line_no"), F.unhex(F.md5("s.x")).alias("digest"), F.size(words_of(F.col("s.x"))).alias("words"))
+    return rows.select(*KEY, "at", F.col("s.line_no").alias("line_no"), F.unhex(F.md5("s.x")).alias("digest"), F.regexp_count("s.x", F.lit(WORD_CLASS + "+")).alias("words"))
 
 
 def _named(values: DataFrame, cols: list[str], name: str) -> DataFrame:
@@ -155,7 +155,8 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     gone = materialize(later_copies(df, id_col, text_col, min_words), "later").select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), "removed")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce(F.col("t"), F.lit(""))))
-    both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
+    # one plan at every size: texts meet the decisions by a shuffle of both, hashed on the side of the decisions
+    both = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
     kept = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     return both.select("row", F.when(F.col("removed").isNull(), F.col("t")).otherwise(kept).alias("clean"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
@@ -163,7 +164,7 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, removed (numbers, joined by commas), text_sha256 of what is left."""
     c = clean_lines(docs.select("doc_id", "text"))
-    worded = F.filter(F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\n\u000b\f\r", "")) > 0)
+    worded = F.filter(F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n"), lambda x: x.rlike(WORD_CLASS))
     return c.select(
         F.col("row.doc_id").alias("doc_id"),
         F.size(worded).cast("long").alias("n_lines"),
@@ -177,7 +178,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """Documents with ``text`` cleaned and ``n_chars``, if there, counted anew; those that lost every line with a word are
     dropped, their text is elsewhere."""
     c = clean_lines(docs)
-    left = F.length(F.translate(F.coalesce("clean", F.lit("")), " \t\n\u000b\f\r", "")) > 0
+    left = F.coalesce("clean", F.lit("")).rlike(WORD_CLASS)
     own = {"text": F.col("clean"), "n_chars": F.when(F.size("removed") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None)}
     fields = [own[n].alias(n) if n in own else F.col(f"row.`{n}`").alias(n) for n in docs.columns]
     return c.where((F.size("removed") == 0) | left).select(*fields)
