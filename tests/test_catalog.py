@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import connect, difference
-from tidemark.plans import catalog
+from tidemark.plans import geometry_catalog as catalog
 
 
 @pytest.fixture(scope="module")

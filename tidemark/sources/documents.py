@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import timestamp_ms
 
-CLIP = T.StructType.fromDDL("name string, title string, source struct<type:string,path:string,frames:array<int>,crop_rows:array<int>,fix_borders:boolean>, size array<int>, fps int, camera struct<fovy:double,f:double,static:boolean,motion:string>, multiview string, note string, objects map<string,struct<role:string,template:string,prompts:array<struct<frame:int,pos:array<array<int>>,neg:array<array<int>>>>>>")
+CLIP = ("name string, title string, source struct<type:string,path:string,frames:array<int>,crop_rows:array<int>,fix_borders:boolean>, size array<int>, fps int, camera struct<fovy:double,f:double,static:boolean,motion:string>, multiview string, note string, objects map<string,struct<role:string,template:string,prompts:array<struct<frame:int,pos:array<array<int>>,neg:array<array<int>>>>>>")
 
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -18,7 +18,7 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
 
 def json_values(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc): whole documents as variant values, for schemas that differ from file to file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("doc"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("doc"))
 
 
 def clip_objects(clips: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def obj_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A file is one row of text, so that lines keep their order; a mesh file is small against a task's memory.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))
     parts = lines.select("i", F.split(F.trim("line"), r"\s+").alias("p"))
     w = Window.partitionBy(F.col("p")[0]).orderBy("i")
     parts = parts.where(F.col("p")[0].isin("v", "f")).withColumn("n", F.row_number().over(w) - 1)

@@ -53,8 +53,8 @@ def quantized(df: DataFrame, columns: Names, low: float, high: float) -> DataFra
 def base64_series(df: DataFrame, by: Names, order: Names, q: str) -> DataFrame:
     """A series of 16-bit numbers as Base64 of its little-endian bytes."""
     two = lambda x: F.concat(F.lpad(F.hex(x.cast("int").bitwiseAND(F.lit(255))), 2, "0"), F.lpad(F.hex(F.shiftrightunsigned(x.cast("int").bitwiseAND(F.lit(65535)), 8)), 2, "0"))
-    s = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, q))).alias("s"))
-    return s.select(*by, F.base64(F.unhex(F.array_join(F.transform("s", lambda e: two(e[q])), ""))).alias("data"))
+    s = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, q))).alias("__s"))
+    return s.select(*by, F.base64(F.unhex(F.array_join(F.transform("__s", lambda e: two(e[q])), ""))).alias("data"))
 
 
 def text_table(df: DataFrame, columns: Names, digits: int = 3) -> DataFrame:
