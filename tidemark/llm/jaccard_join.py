@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.text_hash import shingle_sets, slices, word_bytes
+from tidemark.llm.text_hash import byte_slices, shingle_sets, word_bytes
 from tidemark.session import materialize, ship_package, task_count
 
 K = 5
@@ -35,7 +35,7 @@ PERCENT = 80
 #: Most classes that one task joins with each other.
 CELL = 4000
 #: Shingles that a task gathers before it hands them over, packed.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 
 _PACKED = pa.schema([("p", pa.int32()), ("chunk", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _PACKED_SQL = "p int, chunk string, a binary, b binary, c binary, d binary"
@@ -86,11 +86,10 @@ def _pack_documents(parts: int, k: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts):
+            for lo, hi, texts in byte_slices(batch.column(1)):
                 if len(ids) + hi - lo > 60_000:
                     yield flush()
-                h, t = shingle_sets(texts[lo:hi], k, table)
+                h, t = shingle_sets(texts, k, table)
                 n = np.bincount(t, minlength=hi - lo)
                 d = set_digests(h, t, hi - lo)
                 base, stand = len(ids), np.zeros(hi - lo, bool)
@@ -191,9 +190,8 @@ def _class_shingles(parts: int, k: int):
 
         for batch in batches:
             node, n, d1, d2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            texts = [(t or "").encode() for t in batch.column(4).to_pylist()]
-            for lo, hi in slices(texts):
-                h, t = shingle_sets(texts[lo:hi], k, table)
+            for lo, hi, texts in byte_slices(batch.column(4)):
+                h, t = shingle_sets(texts, k, table)
                 d = set_digests(h, t, hi - lo)
                 right = (np.bincount(t, minlength=hi - lo) == n[lo:hi]) & (d[:, 0] == d1[lo:hi]) & (d[:, 1] == d2[lo:hi])
                 keep = right[t]
@@ -369,7 +367,8 @@ def link_classes(classes: DataFrame, df: DataFrame, id_col: str, text_col: str,
     """(node, root) of the classes that link to others; ``classes`` has node, n, d1, d2 and rep, an id whose text has the set."""
     spark = df.sparkSession
     parts = task_count(spark)
-    texts = classes.join(df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")), "rep").select("node", "n", "d1", "d2", "t")
+    # one plan at every size: texts and the classes' representatives meet by a shuffle, hashed on the side of the latter
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(classes.hint("shuffle_hash"), "rep").select("node", "n", "d1", "d2", "t")
     packed = texts.mapInArrow(_class_shingles(parts, k), _PACKED_SQL)
     by_node = packed.groupBy("p").applyInArrow(_frequencies(parts), _PACKED_SQL)
     sets = materialize(by_node.groupBy("p").applyInArrow(_order_sets(percent), _SETS_SQL), "ordered")
@@ -411,4 +410,4 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their component, all columns as they were; null ids stay."""
     ids = materialize(jaccard_components(docs).where("component_id <> doc_id"), "dropped").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")

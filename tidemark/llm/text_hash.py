@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
 _MIX_A = np.uint64(0xFF51AFD7ED558CCD)
@@ -81,13 +84,30 @@ def shingle_sets(texts: list[bytes], k: int, table: np.ndarray) -> tuple[np.ndar
     return h[new], t[new]
 
 
-def slices(texts: list, size: int = 4_000_000, most: int = 60_000) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about ``size`` bytes; one long text is a run of its own."""
+SLICE = 1_500_000
+
+
+def slices(sizes: Sequence[int], size: int = SLICE, most: int = 60_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``size`` bytes together; one long text is a run of its own."""
     lo = 0
-    while lo < len(texts):
+    while lo < len(sizes):
         hi, n = lo, 0
-        while hi < len(texts) and hi - lo < most and (hi == lo or n + len(texts[hi]) <= size):
-            n += len(texts[hi])
+        while hi < len(sizes) and hi - lo < most and (hi == lo or n + sizes[hi] <= size):
+            n += sizes[hi]
             hi += 1
         yield lo, hi
         lo = hi
+
+
+def byte_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, UTF-8 texts) over a string column, null as empty: only one slice is ever outside Arrow's memory."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for lo, hi in slices(sizes, size):
+        yield lo, hi, [t or b"" for t in column.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+
+
+def series_slices(texts: pd.Series, size: int = SLICE) -> Iterator[list[bytes]]:
+    """The same over a pandas series of strings."""
+    sizes = [len(t) for t in texts]
+    for lo, hi in slices(sizes, size):
+        yield [t.encode() for t in texts.iloc[lo:hi]]

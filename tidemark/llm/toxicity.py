@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.text_hash import series_slices
 from tidemark.session import materialize, ship_package
 
 BITS = 20
@@ -144,7 +145,7 @@ def score(df: DataFrame, weights: DataFrame, text_col: str = "text", bits: int =
     spark = df.sparkSession
     ship_package(spark)
     got = weights.toPandas()  # bounded by 2**bits + 1 rows, and far fewer after L1
-    bias = float(got.loc[got["slot"] == -1, "weight"].iloc[0])
+    bias = float(got.loc[got["slot"] == -1, "weight"].sum())  # nothing was learnt from: no row, bias 0
     live = got[got["slot"] >= 0]
     shared = spark.sparkContext.broadcast((live["slot"].to_numpy(), live["weight"].to_numpy()))
     rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -155,15 +156,7 @@ def score(df: DataFrame, weights: DataFrame, text_col: str = "text", bits: int =
         slots, values = shared.value
         w[slots] = values
         for s in batches:
-            texts, out = [t.encode() for t in s], []
-            lo = 0
-            while lo < len(texts):  # slices of a few MB keep the arrays small whatever the texts' lengths
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 4_000_000):
-                    size += len(texts[hi])
-                    hi += 1
-                out.append(_score_slice(texts[lo:hi], w, bias, bits))
-                lo = hi
+            out = [_score_slice(texts, w, bias, bits) for texts in series_slices(s)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return rows.select("row", scores("t").alias("score"))
