@@ -32,7 +32,7 @@ PLAIN = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]
 SCALE = 1_000_000
 
 
-def _c_log_c(n: int) -> int:
+def c_log_c(n: int) -> int:
     return round(SCALE * n * math.log2(n)) if n > 1 else 0
 
 
@@ -57,7 +57,7 @@ def _placed(text: Column, pattern: str, found: Column) -> Column:
 
 def _hot_span(value: Column, limit: Column) -> Column:
     """(first, last) window starts whose S is within the limit, by incremental counts; null where there is none."""
-    table = F.array(*[F.lit(_c_log_c(n)) for n in range(WINDOW + 1)])
+    table = F.array(*[F.lit(c_log_c(n)) for n in range(WINDOW + 1)])
     codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
     zero = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
