@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ WHITE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 BLOCK = 512
-CACHE_SIZE = 200_000
+#: Pieces that a worker remembers; at most one slice's new pieces more.
+CACHE_SIZE = 250_000
 
 
 def class_table() -> np.ndarray:
@@ -135,50 +137,59 @@ def piece_starts(classes: np.ndarray, to: np.ndarray, new: np.ndarray) -> np.nda
     return np.flatnonzero(starts.T.ravel()[:n])
 
 
-def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the pair of least rank merges first, the leftmost of equals, until no pair has a rank."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    return [ranks[p] for p in (_merge_short(piece, ranks) if len(piece) <= 64 else _merge_long(piece, ranks))]
+SHIFT = 20
 
 
-def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    get, none = ranks.get, 1 << 31
-    part = [piece[i : i + 1] for i in range(len(piece))]
-    pair = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-    while pair and (least := min(pair)) < none:
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of what two tokens make together, by their ranks packed as one number."""
+    out = {}
+    for piece, r in ranks.items():
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                out[a << SHIFT | b] = r
+    return out
+
+
+def merge_ids(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """Tokens of one piece from those of its bytes: the pair of least rank merges first, the leftmost of equals."""
+    return _merge_short(ids, pairs) if len(ids) <= 64 else _merge_long(ids, pairs)
+
+
+def _merge_short(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    get, none = pairs.get, 1 << 40
+    pair = [get(a << SHIFT | b, none) for a, b in zip(ids, ids[1:])]
+    while pair and (least := min(pair)) != none:
         i = pair.index(least)
-        part[i] += part.pop(i + 1)
-        pair.pop(i)
+        ids[i] = least
+        del ids[i + 1], pair[i]
         if i < len(pair):
-            pair[i] = get(part[i] + part[i + 1], none)
+            pair[i] = get(least << SHIFT | ids[i + 1], none)
         if i:
-            pair[i - 1] = get(part[i - 1] + part[i], none)
-    return part
+            pair[i - 1] = get(ids[i - 1] << SHIFT | least, none)
+    return ids
 
 
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+def _merge_long(ids: list[int], pairs: dict[int, int]) -> list[int]:
     """The same with a heap and a linked list, in n log n steps."""
-    n = len(piece)
-    part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+    n, get = len(ids), pairs.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << SHIFT | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, size = heapq.heappop(heap)
+        r, i, a, b = heapq.heappop(heap)
         j = after[i]
-        if part[i] is None or j >= n or len(part[i]) + len(part[j]) != size:
+        if ids[i] != a or j >= n or ids[j] != b:
             continue  # one side has merged otherwise since
-        part[i] += part[j]
-        part[j] = None
+        ids[i], ids[j] = r, -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (r := ranks.get(part[i] + part[k])) is not None:
-                heapq.heappush(heap, (r, i, len(part[i]) + len(part[k])))
-        if (h := before[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
-            heapq.heappush(heap, (r, h, len(part[h]) + len(part[i])))
-    return [p for p in part if p is not None]
+            if (q := get(r << SHIFT | ids[k])) is not None:
+                heapq.heappush(heap, (q, i, r, ids[k]))
+        if (h := before[i]) >= 0 and (q := get(ids[h] << SHIFT | r)) is not None:
+            heapq.heappush(heap, (q, h, ids[h], r))
+    return [x for x in ids if x >= 0]
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -192,6 +203,8 @@ class Codec:
         self.ranks = load_ranks(rank_file)
         self.table = class_table()
         self.to, self.new = automaton()
+        self.pairs = pair_ranks(self.ranks)
+        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         self.cache: dict[bytes, bytes] = {}
         size = max(self.ranks.values()) + 1
         self.bytes_of = [b""] * size
@@ -217,18 +230,21 @@ class Codec:
         edges = at.tolist()
         edges.append(len(raw))
         slices = [raw[a:b] for a, b in zip(edges, edges[1:])]
-        cache, get = self.cache, self.cache.get
-        out = list(map(get, slices))
+        out = list(map(self.cache.get, slices))
         if None in out:
-            for piece in {s for s, o in zip(slices, out) if o is None}:
-                if len(cache) >= CACHE_SIZE:
-                    cache.clear()
-                cache[piece] = np.array(merge_ranks(piece, self.ranks), "<u4").tobytes()
-            missed = {s: cache.get(s) or np.array(merge_ranks(s, self.ranks), "<u4").tobytes() for s, o in zip(slices, out) if o is None}
-            out = [o if o is not None else missed[s] for s, o in zip(slices, out)]
+            if len(self.cache) > CACHE_SIZE:
+                self.cache.clear()
+            missed = {s: self._merge(s) for s in {s for s, o in zip(slices, out) if o is None}}
+            self.cache.update(missed)
+            out = [missed[s] if o is None else o for s, o in zip(slices, out)]
         cuts = stop.tolist()
         return [b"".join(out[a:b]) for a, b in zip([0] + [c + 1 for c in cuts[:-1]], cuts)]
 
+    def _merge(self, piece: bytes) -> bytes:
+        if (whole := self.ranks.get(piece)) is not None:
+            return array("I", (whole,)).tobytes()
+        return array("I", merge_ids([self.byte_ids[b] for b in piece], self.pairs)).tobytes()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
