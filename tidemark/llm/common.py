@@ -11,17 +11,8 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
-    """Array of the maximal runs of characters other than space and U+0009..U+000D; null text has none.
-
-    One-character ``split`` takes the JVM's path without a regular expression.
-    """
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\u000b\f\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
-
-
-def ascii_lower(text: Column) -> Column:
-    """A-Z only; other letters stay as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Array of the maximal runs of characters other than space and U+0009..U+000D; null text has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
 def collapse_space(text: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, words_of
+from tidemark.llm.common import SPACE_CLASS, WORD_CLASS, words_of
 
 #: Fixed by the contract.
 SYMBOLS = "#*$%&|<>"
@@ -43,7 +43,7 @@ RULES = (
     Rule("shouting", "marks_per_word", None, 0.1),
     Rule("stop_words", "stop_words", 2, None),
     Rule("stop_ratio", "stop_ratio", 0.02, None),
-    Rule("duplicate_lines", "dup_line_ratio", None, 0.3),
+    Rule("duplicate_lines", "dup_line_ratio", None, 0.7),
     Rule("bullets", "bullet_line_ratio", None, 0.9),
     Rule("ellipsis", "ellipsis_line_ratio", None, 0.3),
     Rule("repetition", "repeat_word_ratio", None, 0.5),
@@ -63,20 +63,19 @@ def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id and every statistic a rule can name. Null text has no words, lines or characters."""
     t = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     a = t.select("doc_id", "t", words_of(F.col("t")).alias("w"), F.split("t", "\n").alias("all_lines"))
-    lines = F.filter("all_lines", lambda x: F.length(F.translate(x, " \t\n\u000b\f\r", "")) > 0)
+    lines = F.filter("all_lines", lambda x: x.rlike(WORD_CLASS))
     three = lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))
     h = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), three)
-    chars = lambda keep: F.length("t") - F.length(F.translate("t", keep, ""))
+    chars = lambda which: F.regexp_count("t", F.lit(which)).cast("long")
     b = a.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        (F.length("t") - chars(" \t\n\u000b\f\r")).cast("long").alias("word_chars"),
-        chars(SYMBOLS).cast("long").alias("n_symbols"),
-        chars("!").cast("long").alias("n_marks"),
+        (F.length("t") - chars(SPACE_CLASS)).alias("word_chars"),
+        chars(f"[{SYMBOLS}]").alias("n_symbols"),
+        chars("!").alias("n_marks"),
         lines.alias("l"),
         h.alias("h"),
-        F.size(F.array_intersect(F.transform("w", lambda x: F.lower(x)), F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("stop_words"),
-        F.size(F.filter("w", lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
+        F.filter("w", lambda x: F.lower(x).isin(*STOP_WORDS)).alias("stops"),
     )
     c = b.select(
         "*",
@@ -85,7 +84,9 @@ def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_lines = F.size("l")
     per = lambda n, d: F.when(d > 0, n / d).otherwise(F.lit(0.0))
     d = c.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_marks", "stop_words", "n_stop",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_marks",
+        F.size(F.array_distinct(F.transform("stops", lambda x: F.lower(x)))).cast("long").alias("stop_words"),
+        F.size("stops").cast("long").alias("n_stop"),
         (n_lines - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         n_lines.cast("long").alias("n_lines"),
         F.when(F.col("o").isNull(), F.lit(0)).otherwise(_repeat_words(F.col("h"), F.col("o"))).cast("long").alias("n_repeat_words"),
