@@ -86,7 +86,7 @@ def feature_slots(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray
 class Ftrl:
     """FTRL-proximal state for 2**bits coordinates and a bias that is not penalised."""
 
-    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.zb = self.nb = 0.0
