@@ -84,6 +84,7 @@ def test_toxicity_learns_from_its_fold_only(toxic_docs):
 def test_toxicity_without_labels(spark):
     got = toxicity_scores(frame(spark, ROWS), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(got) == len(ROWS) and {r.score for r in got} == {0.5}
+    assert toxicity_scores(frame(spark, ROWS).limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
 
 
 # ---- language model
@@ -184,6 +185,13 @@ def test_bpe_long_merge_is_the_same(codec):
         assert B._merge_short(list(ids), codec.pairs) == B._merge_long(list(ids), codec.pairs)
 
 
+def test_bpe_very_long_piece(codec, reference):
+    for t in ("ab" * 2_000, "é" * 1_500, "=" * 3_000):
+        assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == reference.encode_ordinary(t)
+    t = "ab" * 200_000  # beyond what the library merges in reasonable time
+    assert codec.decode(codec.encode([t])[0]) == t.encode()
+
+
 def test_bpe_offsets(codec):
     t = "Hé it's 12  x"
     raw = t.encode()

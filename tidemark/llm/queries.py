@@ -13,7 +13,7 @@ from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ppm import lm_scores
 from tidemark.llm.quality import RULES, STOP_WORDS, Rule, quality_rules
-from tidemark.llm.secret_scan import ACCESS, ALLOW, ASSIGN, CANDIDATE, HEX, MIN_BITS, PLAIN, WINDOW, c_log_c, entropy_limit, find_secrets, secret_digest
+from tidemark.llm.secret_scan import ACCESS, ALLOW, ASSIGN, CANDIDATE, HEX, MIN_BITS, MIXED, WINDOW, c_log_c, entropy_limit, find_secrets, secret_digest
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.warc import warc_round_trip
 
@@ -117,7 +117,7 @@ ORACLES = {
                      CASE o WHEN 0 THEN regexp_split_to_array(t, {_quoted(ASSIGN)}) WHEN 1 THEN regexp_split_to_array(t, {_quoted(ACCESS)}) WHEN 2 THEN regexp_split_to_array(t, {_quoted(HEX)}) ELSE regexp_split_to_array(t, {_quoted(CANDIDATE)}) END AS g FROM k),
         p AS (SELECT doc_id, k, o, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM f, unnest(range(1, len(m) + 1)) AS u(i)),
         base AS (SELECT doc_id, k, o, s, s + length(v) AS e FROM p WHERE o < 3 AND (o > 0 OR length(regexp_extract(v, {_quoted(ASSIGN)}, 1)) >= 8)),
-        c AS (SELECT doc_id, s, v, regexp_full_match(v, '[0-9A-Fa-f]+') AS h FROM p WHERE o = 3 AND NOT regexp_matches(v, {_quoted(PLAIN)}) AND NOT ({' OR '.join(f"contains(lower(v), {_quoted(a)})" for a in ALLOW)})),
+        c AS (SELECT doc_id, s, v, regexp_full_match(v, '[0-9A-Fa-f]+') AS h FROM p WHERE o = 3 AND regexp_matches(v, {_quoted(MIXED)}) AND NOT ({' OR '.join(f"contains(lower(v), {_quoted(a)})" for a in ALLOW)})),
         w AS (SELECT doc_id, s, h, j, string_split(substr(v, j + 1, {WINDOW}), '') AS ch FROM c, unnest(range(0, length(v) - {WINDOW - 1})) AS u(j)),
         x AS (SELECT doc_id, s, h, j FROM w WHERE list_sum(list_transform(list_distinct(ch), lambda q: ([{_SUMS}])[len(list_filter(ch, lambda y: y = q)) + 1])) <= CASE WHEN h THEN {entropy_limit(MIN_BITS["entropy_hex"])} ELSE {entropy_limit(MIN_BITS["entropy_base64"])} END),
         every AS (SELECT * FROM base UNION ALL SELECT doc_id, CASE WHEN h THEN 'entropy_hex' ELSE 'entropy_base64' END, CASE WHEN h THEN 3 ELSE 4 END, s + min(j), s + max(j) + {WINDOW} FROM x GROUP BY doc_id, s, h),

@@ -28,7 +28,9 @@ ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 MIN_BITS = {"entropy_hex": 3.0, "entropy_base64": 3.9}
 #: Placeholders and counting sequences; compared in lower case.
 ALLOW = ("example", "xxxx", "0000", "1234567890", "0123456789", "abcdefgh", "placeholder", "your-", "your_", "changeme", "-----", "=====", "_____")
-PLAIN = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*$"
+#: What plain words, numbers and names joined by signs do not have: a change of class inside a segment. A search without
+#: repeated groups, so long candidates cost no stack.
+MIXED = r"[a-z][A-Z0-9]|[A-Z]{2}[a-z]|[A-Z][0-9]|[0-9][A-Za-z]"
 SCALE = 1_000_000
 
 
@@ -43,14 +45,14 @@ def entropy_limit(bits: float) -> int:
 
 def _placed(text: Column, pattern: str, found: Column) -> Column:
     """(start, end, value) of each match in code points: lengths of the pieces between matches and of the matches add up."""
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    # the pieces are part of the state, so that they are made once and not at every step
+    first = F.struct(F.lit(0).alias("at"), F.split(text, pattern, -1).alias("gaps"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
     def step(acc: Column, k: Column) -> Column:
-        s = acc["at"] + F.length(F.element_at(gaps, k))
+        s = acc["at"] + F.length(F.element_at(acc["gaps"], k))
         v = F.element_at(found, k)
         e = s + F.length(v)
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), v.alias("v"))).alias("out"))
+        return F.struct(e.alias("at"), acc["gaps"].alias("gaps"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), v.alias("v"))).alias("out"))
 
     return F.aggregate(F.sequence(F.lit(1), F.size(found)), first, step, lambda a: a["out"])
 
@@ -59,39 +61,37 @@ def _hot_span(value: Column, limit: Column) -> Column:
     """(first, last) window starts whose S is within the limit, by incremental counts; null where there is none."""
     table = F.array(*[F.lit(c_log_c(n)) for n in range(WINDOW + 1)])
     codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
+    # what comes into the window and what leaves it (0: nothing yet), side by side
+    moves = F.zip_with(codes, F.slice(F.concat(F.array_repeat(F.lit(0), WINDOW), codes), 1, F.length(value)), lambda a, b: F.struct(a.alias("came"), b.alias("left")))
     zero = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
         F.lit(0).cast("long").alias("sum"),
+        F.lit(-WINDOW).alias("at"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
 
-    def count_at(counts: Column, code: Column) -> Column:
-        return F.element_at(counts, code)
-
     def weight(n: Column) -> Column:
         return F.element_at(table, n + 1)
 
-    def step(acc: Column, i: Column) -> Column:
-        came = F.element_at(codes, i)
-        left = F.when(i > WINDOW, F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        counts = F.transform(acc["counts"], lambda n, k: n + F.when(k + 1 == came, 1).otherwise(0) - F.when(k + 1 == left, 1).otherwise(0))
+    def slide(acc: Column, e: Column) -> Column:
+        counts = F.transform(acc["counts"], lambda n, k: F.when(k + 1 == e["came"], n + 1).otherwise(n) - F.when(k + 1 == e["left"], 1).otherwise(0))
         # what left is taken off first, then what came is put on; the same character changes nothing
-        n_left = count_at(acc["counts"], F.greatest(left, F.lit(1)))
-        n_came = count_at(acc["counts"], came)
-        off = F.when((left > 0) & (left != came), weight(n_left - 1) - weight(n_left)).otherwise(F.lit(0))
-        on = F.when(left != came, weight(n_came + 1) - weight(n_came)).otherwise(F.lit(0))
-        total = (acc["sum"] + off + on).cast("long")
-        hot = (i >= WINDOW) & (total <= limit)
-        at = i - WINDOW
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(hot, F.coalesce(acc["first"], at)).otherwise(acc["first"]).alias("first"),
-            F.when(hot, at).otherwise(acc["last"]).alias("last"),
-        )
+        n_left = F.element_at(acc["counts"], F.greatest(e["left"], F.lit(1)))
+        n_came = F.element_at(acc["counts"], e["came"])
+        off = F.when(e["left"] > 0, weight(n_left - 1) - weight(n_left)).otherwise(F.lit(0))
+        total = F.when(e["left"] == e["came"], acc["sum"]).otherwise(acc["sum"] + off + weight(n_came + 1) - weight(n_came))
+        return F.struct(counts.alias("counts"), total.cast("long").alias("sum"), (acc["at"] + 1).alias("at"), acc["first"].alias("first"), acc["last"].alias("last"))
+
+    def step(acc: Column, e: Column) -> Column:
+        # folded over one slide, so that what it gives is worked out once
+        return F.aggregate(F.array(slide(acc, e)), zero, lambda _, s: mark(s))
+
+    def mark(s: Column) -> Column:
+        hot = (s["at"] >= 0) & (s["sum"] <= limit)
+        return F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), s["at"].alias("at"), F.when(hot, F.coalesce(s["first"], s["at"])).otherwise(s["first"]).alias("first"), F.when(hot, s["at"]).otherwise(s["last"]).alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    return F.aggregate(moves, zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +118,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     strong = F.filter("assign", lambda x: F.length(F.regexp_extract(x["v"], ASSIGN, 1)) >= 8)
     low = lambda x: F.lower(x["v"])
     allowed = lambda x: F.array(*[F.contains(low(x), F.lit(a)) for a in ALLOW])
-    doubtful = F.filter("cand", lambda x: ~x["v"].rlike(PLAIN) & ~F.array_contains(allowed(x), True))
+    doubtful = F.filter("cand", lambda x: x["v"].rlike(MIXED) & ~F.array_contains(allowed(x), True))
     is_hex = lambda x: x["v"].rlike("^[0-9A-Fa-f]+$")
     staged = placed.select("doc_id", strong.alias("assign"), "access", "hex", doubtful.alias("cand"))
 
