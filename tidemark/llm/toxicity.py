@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text_hash import series_slices
 from tidemark.session import materialize, ship_package
 
-BITS = 20
+BITS = 22
 #: Most labelled rows that are learnt from.
 MAX_ROWS = 20_000
 SEED = 11
@@ -86,7 +86,7 @@ def feature_slots(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray
 class Ftrl:
     """FTRL-proximal state for 2**bits coordinates and a bias that is not penalised."""
 
-    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0):
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.zb = self.nb = 0.0
@@ -152,7 +152,7 @@ def score(df: DataFrame, weights: DataFrame, text_col: str = "text", bits: int =
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = np.zeros(1 << bits)
+        w = np.zeros(1 << bits, np.float32)
         slots, values = shared.value
         w[slots] = values
         for s in batches:
@@ -165,7 +165,7 @@ def score(df: DataFrame, weights: DataFrame, text_col: str = "text", bits: int =
 def _score_slice(texts: list[bytes], w: np.ndarray, bias: float, bits: int) -> np.ndarray:
     """A slot counts once per text, so only slots with weight are sorted for distinctness: they are few."""
     h, of = hash_words(texts)
-    total = np.full(len(texts), bias)
+    total = np.full(len(texts), bias, np.float64)
     found = []
     shift = np.uint64(64 - bits)
     for gap, salt in ((0, None), (1, np.uint64(0xA24BAED4963EE407)), (2, np.uint64(0x9FB21C651E98DF25))):
