@@ -59,3 +59,39 @@ def test_cables_gaps_tools(spark):
     px = spark.createDataFrame([(0, k, u, v) for k in (0, 1, 3) for u in range(0, 41) for v in range(28, 32)], "g int, k int, u int, v int")
     t = C.instrument_track(px, ["g"], "k", 200, 100, 5).orderBy("k").collect()
     assert [x.visible for x in t] == [True, True, False, True, False] and all(x.tu == pytest.approx(38) and abs(x.du) == pytest.approx(1) for x in t)
+
+
+def test_depth_and_offsets(spark):
+    px = spark.createDataFrame([(0, u, v, 3.0) for u in range(5) for v in range(3)], "k int, u int, v int, disp double")
+    affine = spark.createDataFrame([(0, 1.0, 1.0)], "k int, a double, b double")
+    grid = spark.createDataFrame([(0, gu, gv, float(gu)) for gu in range(3) for gv in range(2)], "k int, gu int, gv int, c double")
+    import math
+
+    assert {(r.u, r.v): r.z for r in C.corrected_depth(px, affine, grid, 5, 3, 3, 2).collect()} == {(u, v): pytest.approx(math.exp(u / 2) / 4) for u in range(5) for v in range(3)}
+    bed = spark.createDataFrame([("a", 0, 10.0, 0.0, 2.0, None, None, None), ("b", 0, 10.0, 0.0, 2.0, 0.5, 0.0, 0.1)], "clip string, k int, du double, dv double, z double, x double, y double, z3 double")
+    assert {r.clip: (r.dx, r.dz) for r in C.bed_shift(bed, 100.0).collect()} == {"a": (0.2, 0.0), "b": (0.5, 0.1)}
+    off = spark.createDataFrame([(g, k, 2.0 if g else None, 1.0) for g in (0, 1) for k in range(9)], "g int, k int, s double, o double")
+    assert {(r.g, round(r.offset, 9)) for r in C.depth_offsets(off, ["g"], "k", "s", "o").collect()} == {(0, 0.0), (1, 1.0)}
+
+
+def test_paths_and_windows(spark):
+    mask = spark.createDataFrame([(0, u, 5) for u in (11, 12, 13, 15)], "g int, u int, v int")
+    ends = spark.createDataFrame([(0, 10.0, 5.0, 1.0, 0.0)], "g int, eu double, ev double, du double, dv double")
+    assert [r.u for r in C.extend_path(ends, mask, ["g"]).orderBy("i").collect()] == [11, 12, 13]
+    depth = spark.createDataFrame([(u, v, float(10 * u + v)) for u in range(5) for v in range(5)], "u int, v int, z double")
+    at = spark.createDataFrame([(0, 2.2, 3.4), (1, 90.0, 0.0)], "key int, pu double, pv double")
+    assert {r.key: r.z for r in C.window_min(at, depth, "key").collect()} == {0: 12.0, 1: None}
+    gaps = spark.createDataFrame([(0, i, float(i)) for i in range(8)] + [(1, 0, 1.0)], "g int, i int, gap double")
+    assert {r.g: r.gap for r in C.second_half_gap(gaps, ["g"], "i", "gap").collect()} == {0: 5.5, 1: None}
+    assert C.free_space(spark.createDataFrame([(1.0, None), (1.0, 3.0)], "l double, r double"), "l", "r").orderBy("bound").collect()[1].bound == 3.0
+    a, b = spark.createDataFrame([("x", 1), ("y", 2)], "condition string, s int"), spark.createDataFrame([("x", 9)], "condition string, t int")
+    assert C.compare_conditions(a, b).count() == 1
+
+
+def test_orientation_and_frames(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0)], "v long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 1, 2), (1, 0, 2, 1)], "f long, a long, b long, c long")
+    assert {(r.b, r.c) for r in C.oriented_faces(f, v, (0.0, 0.0, 5.0)).collect()} == {(1, 2)} and {(r.b, r.c) for r in C.oriented_faces(f, v, (0.0, 0.0, -5.0)).collect()} == {(2, 1)}
+    n = spark.createDataFrame([(0, i, *p) for i, p in enumerate([(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (2.0, 0.0, 0.0), (2.0, 0.0, 1.0), (2.0, 0.0, 2.0)])], "g int, node int, x double, y double, z double")
+    s = C.view_frame(n, ["g"], (0.0, 0.0, 1.0)).orderBy("node").collect()
+    assert all((r.sx, r.sy, r.sz) == (pytest.approx(0), pytest.approx(-1), pytest.approx(0)) for r in s)

@@ -158,3 +158,90 @@ def instrument_track(px: DataFrame, by: Names, k: str, width: int, height: int,
     for c in ("tu", "tv", "du", "dv"):
         t = W.fill_smooth(t, by, [k], c, smooth, f"__{c}").drop(c).withColumnRenamed(f"__{c}", c)
     return t.select(*keys, "tu", "tv", "du", "dv", "visible")
+
+
+def corrected_depth(px: DataFrame, affine: DataFrame, grid: DataFrame, width: int, height: int, gw: int, gh: int) -> DataFrame:
+    """Depth 1 / max(a d + b, 1) by frame times exp of a coarse correction grid (k, gu, gv, c), read bilinearly: k, u, v, z."""
+    x, y = F.col("u") * F.lit((gw - 1) / max(width - 1, 1)), F.col("v") * F.lit((gh - 1) / max(height - 1, 1))
+    corner = lambda dx, dy: F.struct(F.least(F.floor(x) + dx, F.lit(gw - 1)).alias("gu"), F.least(F.floor(y) + dy, F.lit(gh - 1)).alias("gv"), ((x - F.floor(x) if dx else 1 - (x - F.floor(x))) * (y - F.floor(y) if dy else 1 - (y - F.floor(y)))).alias("w"))
+    c = px.select("k", "u", "v", "disp", F.explode(F.array(*[corner(dx, dy) for dx in (0, 1) for dy in (0, 1)])).alias("c")).select("k", "u", "v", "disp", "c.*")
+    g = c.join(grid.select("k", F.col("gu").cast("long").alias("gu"), F.col("gv").cast("long").alias("gv"), F.col("c").alias("corr")), ["k", "gu", "gv"])
+    e = g.groupBy("k", "u", "v", "disp").agg(F.sum(F.col("w") * F.col("corr")).alias("e")).join(F.broadcast(affine), "k")
+    return e.select("k", "u", "v", (F.exp("e") / F.greatest(F.col("a") * F.col("disp") + F.col("b"), F.lit(1.0))).alias("z"))
+
+
+def bed_shift(cols: DataFrame, focal: float) -> DataFrame:
+    """Displacement by frame: the stored 3D one where there is any, else the image shift (du, dv) at the bed's depth z."""
+    any3 = F.max(F.abs(F.coalesce("x", F.lit(0.0))) + F.abs(F.coalesce("y", F.lit(0.0))) + F.abs(F.coalesce("z3", F.lit(0.0)))).over(Window.partitionBy("clip"))
+    flat = lambda d: F.col(d) * F.col("z") / F.lit(focal)
+    c = cols.withColumn("__any", any3 > 0)
+    return c.select("clip", "k", F.when(F.col("__any"), F.col("x")).otherwise(flat("du")).alias("dx"), F.when(F.col("__any"), F.col("y")).otherwise(flat("dv")).alias("dy"), F.when(F.col("__any"), F.col("z3")).otherwise(F.lit(0.0)).alias("dz"))
+
+
+def depth_offsets(df: DataFrame, by: Names, k: str, seen: str, own: str, sigma: float = 3.0) -> DataFrame:
+    """Seen less own depth by frame, gaps filled (all missing: zeros), smoothed over time when more than seven frames."""
+    d = df.withColumn("__o", F.col(seen) - F.col(own))
+    d = W.gaussian_smooth(W.fill_gaps(d, by, [k], "__o", "__f"), by, [k], "__f", sigma, "__g", edge="nearest")
+    many = F.count(F.lit(1)).over(Window.partitionBy(*by)) > 7
+    return d.select(*by, k, F.when(many, F.col("__g")).otherwise(F.col("__f")).alias("offset"))
+
+
+def extend_path(ends: DataFrame, px: DataFrame, by: Names, steps: int = 40) -> DataFrame:
+    """Steps of one pixel from an end (eu, ev) along (du, dv) while they stay in a mask: by, i, u, v; stops at the first miss."""
+    s = ends.select(*by, "eu", "ev", "du", "dv", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("i"))
+    s = s.withColumn("u", F.bround(F.col("eu") + F.col("i") * F.col("du")).cast("int")).withColumn("v", F.bround(F.col("ev") + F.col("i") * F.col("dv")).cast("int"))
+    m = px.select(*by, F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v")).distinct().withColumn("__in", F.lit(True))
+    s = W.still_alive(s.join(m, [*by, "u", "v"], "left"), by, ["i"], F.col("__in"), "__ok")
+    return s.where("__ok").select(*by, "i", "u", "v")
+
+
+def window_min(at: DataFrame, depth: DataFrame, key: str, radius: int = 1) -> DataFrame:
+    """Least depth in the window around the nearest pixel of each place (pu, pv): key, z."""
+    r = range(-radius, radius + 1)
+    off = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in r for y in r])).alias("o")
+    a = at.select(key, "pu", "pv", off).select(key, (F.bround("pu").cast("int") + F.col("o.x")).alias("u"), (F.bround("pv").cast("int") + F.col("o.y")).alias("v"))
+    m = a.join(depth.select(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "z"), ["u", "v"]).groupBy(key).agg(F.min("z").alias("z"))
+    return at.select(key).join(m, key, "left")
+
+
+def free_space(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """Bound on a tool's depth: the farther of the tissue depths on both sides, or the one that is known."""
+    return rows.withColumn("bound", F.greatest(left, right))
+
+
+def second_half_gap(df: DataFrame, by: Names, order: str, gap: str, least: int = 3) -> DataFrame:
+    """Median gap over the second half of each key's samples; null unless more than ``least``."""
+    w, part = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    h = df.withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(part)).where(F.col("__i") > F.floor(F.col("__n") / 2))
+    return h.groupBy(*by).agg(F.when(F.count(gap) > least, F.percentile(gap, 0.5)).alias("gap"))
+
+
+def compare_conditions(scores: DataFrame, runs: DataFrame, key: str = "condition") -> DataFrame:
+    """Scores beside run facts, only for conditions that have both."""
+    return scores.join(runs, key)
+
+
+def oriented_faces(faces: DataFrame, vertices: DataFrame, viewpoint: tuple[float, float, float]) -> DataFrame:
+    """Faces with corners in an order whose normal points to the viewpoint."""
+    from tidemark.operators.mesh import with_corners
+
+    t = with_corners(faces, vertices)
+    n = G.cross(G.sub(F.col("pb"), F.col("pa")), G.sub(F.col("pc"), F.col("pa")))
+    away = G.dot(n, G.sub(G.vec(*viewpoint), F.col("pa"))) < 0
+    return t.select("f", "a", F.when(away, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(away, F.col("b")).otherwise(F.col("c")).alias("c"))
+
+
+def view_frame(nodes: DataFrame, by: Names, view: tuple[float, float, float], least: float = 0.35) -> DataFrame:
+    """Side direction of a polyline at every node: tangent x view where they part by enough, else that of the nearest node
+    where they do (the earlier of two), made normal to the tangent again: by, node, sx, sy, sz. One node row each."""
+    w = Window.partitionBy(*by).orderBy("node")
+    at = lambda f: F.struct(*[F.coalesce(f(c).over(w), F.col(c)).alias(c) for c in "xyz"])
+    n = nodes.withColumn("__t", G.unit(G.sub(at(F.lead), at(F.lag)))).withColumn("__c", G.cross(F.col("__t"), G.vec(*view)))
+    n = n.withColumn("__i", F.row_number().over(w)).withColumn("__ok", F.when(G.norm(F.col("__c")) >= least, F.struct(F.col("__i").alias("i"), G.unit(F.col("__c")).alias("c"))))
+    a = F.last("__ok", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    b = F.first("__ok", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    n = n.withColumn("__a", a).withColumn("__b", b)
+    pick = F.when(F.col("__b").isNull() | (F.col("__i") - F.col("__a.i") <= F.col("__b.i") - F.col("__i")), F.col("__a")).otherwise(F.col("__b"))
+    n = n.withColumn("__s", pick["c"])
+    s = G.unit(G.sub(F.col("__s"), G.scale(F.col("__t"), G.dot(F.col("__s"), F.col("__t")))))
+    return n.select(*by, "node", s["x"].alias("sx"), s["y"].alias("sy"), s["z"].alias("sz"))
