@@ -180,9 +180,16 @@ def orient_tet(vol: Column, a: Column, b: Column, c: Column, d: Column) -> Colum
     return F.when(vol < 0, F.array(a, c, b, d)).otherwise(F.array(a, b, c, d))
 
 
-def array_distance2(a: Column, b: Column) -> Column:
-    """Squared distance of two number arrays, summed in order in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+def array_distance2(a: Column, b: Column, dims: int | None = None) -> Column:
+    """Squared distance of two number arrays, summed in order in double precision.
+
+    With a known number of dimensions the sum is written out, so that it stays inside generated code; arrays of another
+    length then give null.
+    """
+    if dims is None:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    terms = [(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(dims)]
+    return F.when((F.size(a) == dims) & (F.size(b) == dims), sum((t * t for t in terms[1:]), terms[0] * terms[0]))
 
 
 def lattice_weights(x: Column, y: Column, z: Column, low: float, high: float, n: int) -> Column:

@@ -78,20 +78,20 @@ def interpolate_frames(at: DataFrame, grid: DataFrame, t: str, fps: float, k: st
     return out.select(*at.columns, *[(F.col(f"__a_{v}") + (F.col(f"__b_{v}") - F.col(f"__a_{v}")) * F.col("__w")).alias(v) for v in values])
 
 
-def block_neighbours(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, k: int, skip_same: bool = True, blocks: int = 8) -> DataFrame:
+def block_neighbours(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, k: int, skip_same: bool = True, blocks: int = 8, dims: int | None = None) -> DataFrame:
     """The k nearest points of each query in any number of dimensions: (q_id, p_id, d2, rank), ties by p_id.
 
     Points are dealt to ``blocks``; each block is met by the stated queries and keeps k for each, so what leaves a block
-    is bounded by k rows a query; the blocks' answers are merged by a second top k.
+    is bounded by k rows a query; the blocks' answers are merged by a second top k. Give ``dims`` where it is fixed.
     """
     from tidemark.functions.geometry import array_distance2
 
-    q = queries.select(F.col(q_id).alias("__q"), F.col(vec).alias("__qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    p = points.select(F.col(p_id).alias("__p"), F.col(vec).alias("__pv"), F.pmod(F.hash(p_id), F.lit(blocks)).alias("__b"))
+    q = queries.select(F.col(q_id).alias("__q"), F.transform(vec, lambda x: x.cast("double")).alias("__qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    p = points.select(F.col(p_id).alias("__p"), F.transform(vec, lambda x: x.cast("double")).alias("__pv"), F.pmod(F.hash(p_id), F.lit(blocks)).alias("__b"))
     pairs = q.join(p, "__b")
     if skip_same:
         pairs = pairs.where("__q <> __p")
-    scored = pairs.select("__b", "__q", "__p", array_distance2(F.col("__qv"), F.col("__pv")).alias("d2"))
+    scored = pairs.select("__b", "__q", "__p", array_distance2(F.col("__qv"), F.col("__pv"), dims).alias("d2"))
     inner = Window.partitionBy("__b", "__q").orderBy("d2", "__p")
     best = scored.withColumn("__r", F.row_number().over(inner)).where(F.col("__r") <= k)
     outer = Window.partitionBy("__q").orderBy("d2", "__p")

@@ -309,7 +309,7 @@ _KNN = f"WITH d AS (SELECT a.vec_id, b.vec_id AS near, round({_D2}, 6) AS d2 FRO
 
 def _neighbours(spark, sf, k):
     e = table(spark, sf, "embeddings")
-    return J.block_neighbours(e.where("vec_id % 5 = 0"), e, "vec_id", "vec_id", "embedding", k)
+    return J.block_neighbours(e.where("vec_id % 5 = 0"), e, "vec_id", "vec_id", "embedding", k, dims=64)
 
 
 @query(_KNN + " SELECT vec_id, near AS near_vec_id, d2 FROM r WHERE rank = 1")
