@@ -78,7 +78,7 @@ def test_stretch_and_fold(spark):
     assert M.fold(frames, f).first()[0] == pytest.approx(angle / 2)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.tuples(*[st.floats(-1.5, 1.5)] * 3), st.floats(50, 900), st.tuples(*[st.floats(-1, 1)] * 3))
 def test_projection_is_undone(spark, r, focal, pos):
     p = np.array([0.3, -0.2, 5.0])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import windows as W
 
 BY, ORDER = ["s"], ["k"]
-FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+FEW = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def series(spark, *values):
