@@ -69,7 +69,18 @@ def summarize_all(spark, sf):
 """)
 def set_iou_pairs(spark, sf):
     s = table(spark, sf, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("s"))
-    p = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).join(F.broadcast(s), "s").distinct()
+    return _iou_pairs(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).join(F.broadcast(s), "s"))
+
+
+@query()
+def set_iou_pairs_all(spark, sf):
+    """As set_iou_pairs, over the suppliers of every nation."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"))
+    return _iou_pairs(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).join(s, "s"))
+
+
+def _iou_pairs(p):
+    p = p.distinct()
     n = p.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     i = p.withColumnRenamed("s", "s1").join(p.withColumnRenamed("s", "s2"), "p").where("s1 < s2").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("c"))
     pairs = n.select(F.col("s").alias("s1"), F.col("c").alias("c1")).join(n.select(F.col("s").alias("s2"), F.col("c").alias("c2")), F.col("s1") < F.col("s2"))
@@ -307,9 +318,9 @@ _D2 = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embe
 _KNN = f"WITH d AS (SELECT a.vec_id, b.vec_id AS near, round({_D2}, 6) AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, near) AS rank FROM d)"
 
 
-def _neighbours(spark, sf, k):
+def _neighbours(spark, sf, k, asked="vec_id % 5 = 0"):
     e = table(spark, sf, "embeddings")
-    return J.block_neighbours(e.where("vec_id % 5 = 0"), e, "vec_id", "vec_id", "embedding", k, dims=64)
+    return J.block_neighbours(e.where(asked), e, "vec_id", "vec_id", "embedding", k, dims=64)
 
 
 @query(_KNN + " SELECT vec_id, near AS near_vec_id, d2 FROM r WHERE rank = 1")
@@ -328,6 +339,25 @@ def ratio_test(spark, sf):
     return J.ratio_test(_neighbours(spark, sf, 2), "vec_id", "near_vec_id", 0.97).select("vec_id", "near_vec_id")
 
 
+@query()
+def nn_embeddings_all(spark, sf):
+    """As nn_embeddings, asked for every vector."""
+    return _neighbours(spark, sf, 1, "true").select("vec_id", "near_vec_id", F.round("d2", 6).alias("d2"))
+
+
+@query()
+def idw_knn4_all(spark, sf):
+    """As idw_knn4, asked for every vector."""
+    n = _neighbours(spark, sf, 4, "true")
+    return J.inverse_distance(n, table(spark, sf, "embeddings"), "vec_id", "near_vec_id", "vec_id", "label", "label").select("vec_id", F.round("label", 5).alias("label"))
+
+
+@query()
+def ratio_test_all(spark, sf):
+    """As ratio_test, asked for every vector."""
+    return J.ratio_test(_neighbours(spark, sf, 2, "true"), "vec_id", "near_vec_id", 0.97).select("vec_id", "near_vec_id")
+
+
 @query("""
     WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
     d AS (SELECT a.vec_id, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id)
@@ -406,6 +436,13 @@ def components(spark, sf):
     return S.min_label_components(e)
 
 
+@query()
+def components_all(spark, sf):
+    """As components, over every order."""
+    e = table(spark, sf, "orders").select((F.col("o_custkey") % 97).alias("a"), (F.col("o_orderkey") % 89 + 1000).alias("b"))
+    return S.min_label_components(e)
+
+
 @query("""
     WITH d AS (SELECT l_suppkey AS c, CASE WHEN year(l_shipdate) <= 1997 THEN 'select' ELSE 'test' END AS part, l_quantity AS s FROM lineitem),
     m AS (SELECT c, avg(CASE WHEN part = 'select' THEN s END) AS s, avg(CASE WHEN part = 'test' THEN s END) AS t FROM d GROUP BY 1),

@@ -100,14 +100,31 @@ def within_reach(spark, sf):
     return J.within_reach(p.where("vec_id % 7 = 0"), p.withColumnRenamed("vec_id", "other"), "vec_id", "other", "xyz", 0.05, 0.2, 3)
 
 
+@query()
+def within_reach_all(spark, sf):
+    """As within_reach, for every point."""
+    p = points(spark, sf)
+    return J.within_reach(p, p.withColumnRenamed("vec_id", "other"), "vec_id", "other", "xyz", 0.05, 0.2, 3)
+
+
 @query(f"""WITH p AS ({_P}), t AS (SELECT a.vec_id AS t, a.x ax, a.y ay, b.x bx, b.y AS byy, c.x cx, c.y cy FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 JOIN p c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 10 = 0),
     w AS (SELECT p.vec_id, t, (bx - ax) * (cy - ay) - (cx - ax) * (byy - ay) AS det, (x - ax) * (cy - ay) - (cx - ax) * (y - ay) AS d1, (bx - ax) * (y - ay) - (x - ax) * (byy - ay) AS d2 FROM p, t),
     h AS (SELECT vec_id, t, d1 / det AS w1, d2 / det AS w2 FROM w WHERE det <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY t) AS r FROM h WHERE 1 - w1 - w2 >= 0 AND w1 >= 0 AND w2 >= 0)
     SELECT vec_id, t, round(1 - w1 - w2, 9) AS w0, round(w1, 9) AS w1, round(w2, 9) AS w2 FROM k WHERE r = 1""")
 def point_in_triangle(spark, sf):
+    return _in_triangles(spark, sf, "t % 10 = 0")
+
+
+@query()
+def point_in_triangle_all(spark, sf):
+    """As point_in_triangle, with every triangle."""
+    return _in_triangles(spark, sf, "true")
+
+
+def _in_triangles(spark, sf, kept):
     p = points(spark, sf)
     c = lambda k, n: p.select((F.col("vec_id") - k).alias("t"), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
-    tri = c(0, "a").where("t % 10 = 0").join(c(1, "b"), "t").join(c(2, "c"), "t")
+    tri = c(0, "a").where(kept).join(c(1, "b"), "t").join(c(2, "c"), "t")
     return J.in_triangles(p, tri, "vec_id", "t", 0.1).select("vec_id", "t", *[F.round(w, 9).alias(w) for w in ("w0", "w1", "w2")])
 
 
@@ -122,7 +139,17 @@ def image(spark, sf):
     c AS (SELECT key, least(floor(x) + dx, 24)::BIGINT AS u, least(floor(y) + dy, 9)::BIGINT AS v, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dx, dy))
     SELECT key, round(sum(w * z), 6) AS z FROM c JOIN img USING (u, v) GROUP BY 1""")
 def bilinear_lookup(spark, sf):
-    q = table(spark, sf, "orders").where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") % 30 - 2).alias("x"), ((F.col("o_custkey") % 120) / 10.0 - 1).alias("y"))
+    return _bilinear(spark, sf, "o_orderkey % 10 = 1")
+
+
+@query()
+def bilinear_lookup_all(spark, sf):
+    """As bilinear_lookup, for every order."""
+    return _bilinear(spark, sf, "true")
+
+
+def _bilinear(spark, sf, kept):
+    q = table(spark, sf, "orders").where(kept).select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") % 30 - 2).alias("x"), ((F.col("o_custkey") % 120) / 10.0 - 1).alias("y"))
     return J.lookup_bilinear(q, image(spark, sf), "key", "x", "y", 25, 10, "z").select("key", F.round("z", 6).alias("z"))
 
 
@@ -143,6 +170,13 @@ def pixel_components(spark, sf):
     return S.components_by_size(S.pixel_components(px, 60), 0.05)
 
 
+@query()
+def pixel_components_all(spark, sf):
+    """As pixel_components, over every line item."""
+    px = table(spark, sf, "lineitem").select((F.col("l_partkey") % 60).alias("u"), (F.col("l_suppkey") % 40).alias("v"))
+    return S.components_by_size(S.pixel_components(px, 60), 0.05)
+
+
 @query("""
     WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n, value FROM events),
     w AS (SELECT k, exp(-0.5::DOUBLE * (k / 2.0::DOUBLE) ** 2) AS w FROM range(-8, 9) t(k)),
