@@ -129,3 +129,13 @@ def test_bilinear_lookup_of_every_order(spark, sf, con):
                     w = (x % 1 if dx else 1 - x % 1) * (y % 1 if dy else 1 - y % 1)
                     want[key] = want.get(key, 0.0) + w * float(img[c])
     assert dict(run(spark, sf, "bilinear_lookup_all")) == pytest.approx(want, abs=1e-5)
+
+
+def test_series_are_followed_to_their_end(spark, sf, con):
+    follow, clock, last = {}, {}, {}
+    for user, event, value, s in con.execute("SELECT user_id, event_id, value, second(ts)::DOUBLE FROM events ORDER BY user_id, ts, event_id").fetchall():
+        y, c = last.get(user, (value, s))
+        y, c = y + min(max(value - y, -5), 5), s + max(math.ceil(c - 0.5 - s), 0)
+        follow[event], clock[event], last[user] = y, c, (y, c)
+    assert dict(run(spark, sf, "slew_follow_all")) == pytest.approx(follow)
+    assert dict(run(spark, sf, "clock_repair_all")) == pytest.approx(clock)

@@ -236,6 +236,12 @@ def slew_follow(spark, sf):
     return W.slew_follow(e, ["user_id"], ["ts", "event_id"], "value", 5.0, "y").select("event_id", "y")
 
 
+@query()
+def slew_follow_all(spark, sf):
+    """As slew_follow, over whole series."""
+    return W.slew_follow(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 5.0, "y").select("event_id", "y")
+
+
 @query("""
     WITH RECURSIVE x AS (SELECT user_id, event_id, second(ts)::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     f AS (SELECT user_id, event_id, i, s AS y FROM x WHERE i = 1
@@ -247,6 +253,13 @@ def clock_repair(spark, sf):
     return W.monotonic_clock(e, ["user_id"], ["ts", "event_id"], "s", "y").select("event_id", "y")
 
 
+@query()
+def clock_repair_all(spark, sf):
+    """As clock_repair, over whole series."""
+    e = table(spark, sf, "events").withColumn("s", F.second("ts").cast("double"))
+    return W.monotonic_clock(e, ["user_id"], ["ts", "event_id"], "s", "y").select("event_id", "y")
+
+
 @query("""
     WITH x AS (SELECT event_id, user_id, ts, value FROM events)
     SELECT event_id, list_sort([coalesce(lag(value) OVER u, value), value, coalesce(lead(value) OVER u, value)])[2] AS med FROM x WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)
