@@ -7,11 +7,10 @@
 3. Among the classes left, shingles get their document frequency; the global order is by frequency, then hash. The
    prefix rule holds for any global order: two sets that link share a shingle of their prefixes (the first
    n - ceil(0.8 n) + 1). Classes that share one are joined to a star on it, and stars to candidate components.
-4. Each candidate component is joined exactly: its ordered sets are the paths of a prefix tree. A set walks the tree,
-   keeping its overlap with the path; texts below a node share that part of the work, and a subtree is left as soon as
-   overlap and remaining lengths cannot reach the needed overlap; sets that are linked already are passed. A component
-   of more than ``CELL`` classes is cut into cells and every pair of cells is joined by itself, so no task grows with
-   the size of a component and no pair is lost.
+4. Each candidate component is joined exactly, every pair of different sets included: its ordered sets are the paths of
+   a prefix tree, and texts below a node share that part of the work. A component of more than ``CELL`` classes is cut
+   into cells and every pair of cells is joined by itself, so no task grows with the size of a component and no pair is
+   lost. All links are counted, by class size; only a spanning forest of them leaves a task.
 5. Links give the final components.
 
 Lengths: overlap o of sets of a and b shingles links them if 100 o >= 80 (a + b - o).
@@ -254,97 +253,68 @@ def _order_sets(percent: int):
     return order_all
 
 
-class Forest:
-    """Union-find over small integers."""
+def trie_links(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT, sides: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """All links among ``sets``, sorted arrays of token numbers in the global order, as (one set, others); no pair comes twice.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def trie_join(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets``: sorted arrays of token numbers in the global order.
-
-    ``sizes`` counts all tokens, those that no other set has included. The sets in dictionary order are the leaves of the
-    prefix tree; neighbours' common prefixes are its inner nodes. A set walks the leaves; what it has counted for the
-    path down to the branch is kept, only the rest of the next path is counted.
+    ``sizes`` counts all tokens, those that no other set has included; with ``sides``, pairs of one side are left out. The
+    sets in dictionary order are the leaves of the prefix tree. A node of the tree is its token and the range of leaves
+    below it; a set adds one to the leaves below every node that has one of its tokens, so texts below a node share that
+    part of the work, and the sums at the leaves are the overlaps.
     """
     order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
     paths = [sets[i] for i in order]
-    size = np.array([sizes[i] for i in order])
-    width = int(max((int(p[-1]) for p in paths if len(p)), default=-1)) + 1
-    common = [0] * len(paths)
-    for i in range(1, len(paths)):
-        a, b = paths[i - 1], paths[i]
-        m = min(len(a), len(b))
-        diff = np.flatnonzero(a[:m] != b[:m])
-        common[i] = int(diff[0]) if len(diff) else m
-    deepest = max((len(p) for p in paths), default=0)
-    forest, links = Forest(len(paths)), []
-    inside = np.zeros(width, bool)
-    upto = np.zeros(width + 1, np.int64)
-    for s in range(len(paths)):
-        mine = paths[s]
-        inside[:] = False
-        inside[mine] = True
-        np.cumsum(inside, out=upto[1:])  # how much of s lies before a token: what remains of s is a lookup
-        overlap = np.zeros(deepest + 1, np.int64)  # by depth of the path under way
-        dead = -1  # depth at which the path under way was given up; deeper branches of it are given up too
-        for r in range(s):
-            at = common[r] if r else 0
-            if r == 0:
-                dead = -1
-            if dead >= 0 and at >= dead:
-                continue
-            dead = -1
-            path = paths[r]
-            need = int(needed_overlap(int(size[s]), int(size[r]), percent))
-            if min(size[s], size[r]) < need or forest.root(s) == forest.root(r):
-                # the path is not counted; what was kept is valid to `at` only
-                stop = at
-            else:
-                hits = inside[path[at:]]
-                overlap[at + 1 : len(path) + 1] = overlap[at] + np.cumsum(hits)
-                if overlap[len(path)] >= need:
-                    forest.join(s, r)
-                    links.append((order[s], order[r]))
-                stop = len(path)
-            # later leaves share `common` with this one; what was counted stays valid up to `stop`
-            if r + 1 < s and common[r + 1] > stop:
-                path_stop = common[r + 1]
-                overlap[stop + 1 : path_stop + 1] = overlap[stop] + np.cumsum(inside[path[stop:path_stop]])
-            if r + 1 < s:
-                # bound of the subtree below the branch: the least need is that of the smallest set that can link to s
-                deep = common[r + 1]
-                if deep:
-                    rest = len(mine) - int(upto[int(path[deep - 1]) + 1])
-                    least = -(-percent * int(size[s]) // 100)
-                    if int(overlap[deep]) + rest < least:
-                        dead = deep
-    return links
-
-
-_JOIN_SQL = "u long, v long"
+    m, size = len(paths), np.array([sizes[i] for i in order], np.int64)
+    side = None if sides is None else np.asarray(sides)[order]
+    open_nodes = np.zeros(max((len(p) for p in paths), default=0), np.int64)  # by depth of the path under way
+    ends, tokens, lows, made = np.full(sum(map(len, paths)), m, np.int64), [], [], 0
+    for i, path in enumerate(paths):
+        at = 0
+        if i:
+            last = paths[i - 1]
+            k = min(len(last), len(path))
+            diff = np.flatnonzero(last[:k] != path[:k])
+            at = int(diff[0]) if len(diff) else k
+            ends[open_nodes[at : len(last)]] = i
+        fresh = len(path) - at
+        open_nodes[at : len(path)] = np.arange(made, made + fresh)
+        tokens.append(path[at:])
+        lows.append(np.full(fresh, i, np.int64))
+        made += fresh
+    if not made:
+        return
+    token, low, end = np.concatenate(tokens), np.concatenate(lows), ends[:made]
+    by_token = np.argsort(token, kind="stable")
+    low, end = low[by_token], end[by_token]
+    start = np.append(0, np.cumsum(np.bincount(token)))
+    back = np.array(order)
+    for s in range(1, m):
+        lo, n = start[paths[s]], start[paths[s] + 1] - start[paths[s]]
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        overlap = np.cumsum(np.bincount(low[at], minlength=m + 1) - np.bincount(end[at], minlength=m + 1))[:s]
+        hit = overlap >= np.maximum(needed_overlap(size[s], size[:s], percent), 1)
+        if side is not None:
+            hit &= side[:s] != side[s]
+        if hit.any():
+            yield order[s], back[:s][hit]
+
+
+def trie_join(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The pairs of ``trie_links``."""
+    return [(s, r) for s, rs in trie_links(sets, sizes, percent, sides) for r in rs.tolist()]
+
+
+_JOIN_SQL = "u long, v long, links long"
 
 
 def _join_cells(percent: int):
-    """Rows of one bucket: several whole components, or two cells of a large one."""
+    """Rows of one bucket: several whole components, or two cells of a large one. Every link is found; what goes out is
+    a spanning forest of them (u, v) and for each class the documents of the classes it links to (u, links)."""
 
     def join(table: pa.Table) -> pa.Table:
-        comp, node, n = (table.column(c).to_numpy() for c in ("comp", "node", "n"))
+        comp, node, n, docs, mine = (table.column(c).to_numpy() for c in ("comp", "node", "n", "docs", "mine"))
+        apart = table.column("apart").to_numpy(zero_copy_only=False)
         tokens, freq = table.column("tokens").to_pylist(), table.column("freq").to_pylist()
-        us, vs = [], []
+        us, vs, links = [], [], np.zeros(len(node), np.int64)
         order = np.argsort(comp, kind="stable")
         cuts = np.append(np.flatnonzero(np.concatenate(([True], np.diff(comp[order]) != 0))), len(order))
         for a, b in zip(cuts, cuts[1:]):
@@ -355,16 +325,31 @@ def _join_cells(percent: int):
             rank = np.empty(len(every), np.int64)
             rank[np.lexsort((every, fs[where]))] = np.arange(len(every))
             numbers = np.split(rank[back], np.cumsum([len(h) for h in hs])[:-1])
-            for x, y in trie_join(numbers, n[pick].tolist(), percent):
-                us.append(int(node[pick[x]]))
-                vs.append(int(node[pick[y]]))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+            label = np.arange(len(pick))
+            for x, ys in trie_links(numbers, n[pick].tolist(), percent, mine[pick] if apart[pick[0]] else None):
+                links[pick[x]] += docs[pick[ys]].sum()
+                links[pick[ys]] += docs[pick[x]]
+                for tree, y in zip(*(a.tolist() for a in np.unique(label[ys], return_index=True))):
+                    if tree != label[x]:
+                        label[label == tree] = label[x]
+                        us.append(int(node[pick[x]]))
+                        vs.append(int(node[pick[ys[y]]]))
+        some = np.flatnonzero(links)
+        gone = pa.nulls(len(us), pa.int64()), pa.nulls(len(some), pa.int64())
+        return pa.table({
+            "u": pa.concat_arrays([pa.array(us, pa.int64()), pa.array(node[some], pa.int64())]),
+            "v": pa.concat_arrays([pa.array(vs, pa.int64()), gone[1]]),
+            "links": pa.concat_arrays([gone[0], pa.array(links[some])]),
+        })
 
     return join
 
 
-def link_classes(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int = K, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """(node, root) of the classes that link to others; ``classes`` has node, n, d1, d2 and rep, an id whose text has the set."""
+def link_classes(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int = K, percent: int = PERCENT, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the classes that link to others, and (node, links): the documents of all classes a class links to.
+
+    ``classes`` has node, n, d1, d2, docs (its number of documents) and rep, an id whose text has the set.
+    """
     spark = df.sparkSession
     parts = task_count(spark)
     # one plan at every size: texts and the classes' representatives meet by a shuffle, hashed on the side of the latter
@@ -377,18 +362,22 @@ def link_classes(classes: DataFrame, df: DataFrame, id_col: str, text_col: str,
     comps = materialize(connected_components(prefix.join(centre, "token").select(F.col("node").alias("u"), "v")), "candidates")
     sized = comps.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     cells = F.ceil(F.col("members") / F.lit(cell)).cast("int")
-    placed = comps.join(sized, "root").select("node", F.col("root").alias("comp"), cells.alias("cells"))
+    placed = comps.join(sized, "root").join(classes.select("node", "docs"), "node").select("node", F.col("root").alias("comp"), "docs", cells.alias("cells"))
     mine = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     # a large component's node goes to every pair of cells that holds its own
     pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
-    spread = placed.select("node", "comp", "cells", F.explode(pairs).alias("ij"))
+    # a cell's own pairs are taken where it meets itself, so no link counts twice
+    spread = placed.select("node", "comp", "docs", "cells", mine.alias("mine"), F.explode(pairs).alias("ij")).withColumn("apart", F.col("ij.i") != F.col("ij.j"))
     bucket = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("comp"), F.lit(4 * parts))).otherwise(F.xxhash64("comp", "ij"))
-    joined = spread.withColumn("bucket", bucket).join(sets.drop("prefix"), "node").select("bucket", "comp", "node", "n", "tokens", "freq")
-    return connected_components(materialize(joined.groupBy("bucket").applyInArrow(_join_cells(percent), _JOIN_SQL), "links"))
+    joined = spread.withColumn("bucket", bucket).join(sets.drop("prefix"), "node").select("bucket", "comp", "node", "docs", "mine", "apart", "n", "tokens", "freq")
+    found = materialize(joined.groupBy("bucket").applyInArrow(_join_cells(percent), _JOIN_SQL), "links")
+    counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    return connected_components(found.where("v is not null").select("u", "v")), counts
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per input row: the smallest id reachable by links, its own included.
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per input row: the smallest id reachable by links, its own included, and
+    the number of other rows whose texts link to its own, copies among them.
 
     Null and empty texts, and texts without words, have no shingles and are their own component. Rows that repeat an id
     are rows of one document: each row has the component its own text gives it. A null id is never the smallest; it is
@@ -396,15 +385,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an empty table gives no rows.
     """
     docs = document_sets(df, id_col, text_col, k, percent)
-    classes = docs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("near").alias("near"))
+    classes = docs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("near").alias("near"), F.count(F.lit(1)).alias("docs"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    near = classes.where("near").select("node", "n", "d1", "d2", "rep")
-    found = materialize(link_classes(near, df, id_col, text_col, k, percent, cell), "components")
+    near = classes.where("near").select("node", "n", "d1", "d2", "docs", "rep")
+    found, counts = link_classes(near, df, id_col, text_col, k, percent, cell)
+    found = materialize(found, "components")
     named = classes.join(found, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = classes.join(found, "node").join(named, "root").select("n", "d1", "d2", "component_id")
-    own = classes.select("n", "d1", "d2", F.col("rep"))
+    moved = classes.join(found, "node").join(named, "root").join(counts, "node").select("n", "d1", "d2", "component_id", "links")
+    own = classes.select("n", "d1", "d2", "rep", "docs")
     out = docs.join(own, ["n", "d1", "d2"], "left").join(moved, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("component_id"))
+    component = F.coalesce("component_id", F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("component_id")
+    n_links = (F.coalesce(F.col("docs") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, n_links)
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of ``jaccard_links``."""
+    return jaccard_links(df, id_col, text_col, k, percent, cell).drop("n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_digest
 from tidemark.llm.exact_dedup import exact_dedup
-from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.jaccard_join import jaccard_components, jaccard_links
 from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ppm import lm_scores
@@ -71,6 +71,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(_table(spark, sf_dir, "documents"))
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
+    "op9_jaccard_links": op9_jaccard_links,
     "op10_ppm": op10_ppm,
     "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
