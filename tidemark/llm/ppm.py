@@ -1,11 +1,13 @@
 """Language-model scores: prediction by partial matching over bytes, beside add-half word frequencies.
 
-PPM: training texts fill a trie of byte contexts of order 2, 1 and 0 (a text begins with two start marks, so its first
-bytes have contexts too). A byte not seen in a context escapes to the next shorter one; the escape's share is estimated
-by the number of different bytes seen there (distinct / (count + distinct)), and bytes that a longer context has already
-offered are excluded from shorter ones; what no order has seen shares the last escape evenly. A text's score is the sum
-of log10 probabilities, its code length with the sign turned. The model is pretrained, so all texts are scored alike
-and in parallel. A trie of order 2 has at most 257 * 257 * 256 leaves, which bounds its broadcast whatever the corpus.
+PPM: training texts fill contexts of bytes of order 5 (``ORDER``) and all shorter ones (a text begins with start marks, so
+its first bytes have contexts too). A byte not seen in a context escapes to the next shorter one; the escape's share is
+estimated by the number of different bytes seen there (distinct / (count + distinct)), and bytes that a longer context
+has already offered are excluded from shorter ones; what no order has seen shares the last escape evenly. A text's score
+is the sum of log10 probabilities, its code length with the sign turned. The model is pretrained, so all texts are
+scored alike and in parallel. Each chunk of documents sends its distinct grams (a byte with its context), packed by hash
+of the two symbols before, to where all chunks' counts are added; what comes back is a probability for each gram. The
+tables grow with the corpus and no task holds them all; only the counts of bytes by the one before are broadcast.
 
 Words: each task numbers the distinct words of a chunk of documents and sends, packed by hash partition, their 64-bit
 hashes and training counts; partitions add up the counts of all chunks and answer every chunk in its own order; chunks
@@ -19,15 +21,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_hash import byte_slices, series_slices, word_bytes, word_hashes
+from tidemark.llm.text_hash import byte_slices, word_bytes, word_hashes
 from tidemark.session import materialize, ship_package, task_count
 
+#: Symbols before a byte that op10 conditions on.
+ORDER = 5
 CHUNK_WORDS = 1_500_000
+CHUNK_BYTES = 3_000_000
+#: Partitions of grams for one of words.
+GRAM_PARTS = 4
 START = 256
 WIDTH = 257
 
@@ -49,92 +55,154 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def context_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the two symbols before and the byte itself, for every byte of every text; bytes of each text)."""
+def gram_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every byte of every text with the ``order`` symbols before it, bytes of each text).
+
+    The symbol just before is the key's most significant, the byte itself its least: the grams of one context of any
+    order are a range of the sorted keys.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    b = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32)
-    one = np.empty_like(b)
-    two = np.empty_like(b)
-    one[1:], two[2:] = b[:-1], b[:-2]
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    one[first] = START
-    two[first] = START
-    second = first[sizes[sizes > 0] > 1] + 1
-    two[second] = START
-    return (two * WIDTH + one) * 256 + b, sizes
-
-
-class _Codes:
-    """Sparse sums of context codes; memory follows the number of different codes."""
-
-    def __init__(self):
-        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, codes: np.ndarray) -> None:
-        seen = np.flatnonzero(np.bincount(codes & 0xFF, minlength=256))
-        ctx = codes >> 8
-        used = np.zeros(WIDTH * WIDTH, bool)
-        used[ctx] = True
-        ctxs = np.flatnonzero(used)  # dense counting over the contexts and bytes that occur
-        of_ctx, of_byte = np.zeros(WIDTH * WIDTH, np.int64), np.zeros(256, np.int64)
-        of_ctx[ctxs], of_byte[seen] = np.arange(len(ctxs)), np.arange(len(seen))
-        dense = np.bincount(of_ctx[ctx] * len(seen) + of_byte[codes & 0xFF], minlength=len(ctxs) * len(seen))
-        at = np.flatnonzero(dense)
-        self._merge((ctxs[at // len(seen)] << 8) | seen[at % len(seen)], dense[at])
-
-    def _merge(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        both, n = np.concatenate((self.codes, codes)), np.concatenate((self.counts, counts))
-        self.codes, back = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(back, weights=n, minlength=len(self.codes)).astype(np.int64)
-
-
-def _gather(parts: int):
-    """(doc_id, key, train, text) -> packed rows: words to count, documents to score, context codes to add."""
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.arange(len(b), dtype=np.int32)
+    at -= np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    keys = np.zeros(len(b), np.int64)
+    for j in range(order, 0, -1):
+        before = np.full(len(b), START, np.int16)
+        before[j:] = np.where(at[j:] >= j, b[:-j].astype(np.int16), np.int16(START))
+        more = before.astype(np.int64)
+        more <<= 8 + 9 * (order - j)
+        keys |= more
+    keys |= b
+    return keys, sizes
+
+
+def _gram_part(keys: np.ndarray, order: int, parts: int) -> np.ndarray:
+    """Grams meet where the two symbols before the byte say, so all their contexts of order 2 or more are in one place."""
+    pair = (keys >> (8 + 9 * (order - 2))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((pair >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences, deflated."""
+    return zlib.compress(np.ascontiguousarray(np.diff(keys, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unsteps(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel())
+
+
+def gram_logs(keys: np.ndarray, counts: np.ndarray, order: int, c1: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's byte after its context: ``keys`` sorted and distinct, ``counts`` from training.
+
+    All grams of a pair of symbols are among ``keys``; c1 has the counts of bytes by the symbol before. What a longer
+    context has seen a shorter one has seen too, so the bytes excluded at an order are those seen at the next longer one.
+    """
+    byte, c0 = keys & 0xFF, c1.sum(0)
+    out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+    seen, longer = np.zeros(len(keys), np.int64), None  # distinct bytes of the longer context, by gram; its (context, byte) seen
+    for k in range(order, -1, -1):
+        if k >= 2:
+            ctx = keys >> (8 + 9 * (order - k))
+            flat = (ctx << 8) | byte
+            names, back = np.unique(flat, return_inverse=True)
+            count = np.bincount(back, weights=counts, minlength=len(names))
+            of = names >> 8
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            at = np.searchsorted(of[first], ctx)  # each gram's context among the distinct ones
+            n, q, c = np.add.reduceat(count, first)[at], np.add.reduceat((count > 0).astype(np.int64), first)[at], count[back]
+        else:
+            ctx = (keys >> (8 + 9 * (order - 1))) if k else np.zeros(len(keys), np.int64)
+            table = c1 if k else c0[None]
+            n, q, c = table.sum(1)[ctx], (table > 0).sum(1)[ctx], table[ctx, byte]
+        if longer is not None:  # counts here of what the longer context has seen
+            which, syms, where = longer
+            if k >= 2:
+                up = (which >> 9 << 8) | syms
+                here = count[np.searchsorted(names, up)]
+            else:
+                here = c1[which >> 9, syms] if k else c0[syms]
+            total = np.append(0.0, np.cumsum(here))
+            n = n - (total[where[1]] - total[where[0]])
+        fresh = q - seen  # bytes seen here that no longer context offers
+        more = q < 256
+        whole = np.where(n > 0, n + np.where(more, fresh, 0), 1.0)
+        hit = open_ & (c > 0)
+        out[hit] += np.log10(c[hit] / whole[hit])
+        miss = open_ & (c == 0) & (n > 0)
+        out[miss] += np.log10(fresh[miss] / whole[miss])
+        open_ &= c == 0
+        seen = q
+        if k >= 2:
+            some = count > 0
+            which, syms = of[some], names[some] & 0xFF
+            longer = which, syms, (np.searchsorted(which, ctx), np.searchsorted(which, ctx, "right"))
+        elif k == 1:
+            which, syms = np.nonzero(c1)
+            longer = which, syms, (np.searchsorted(which, ctx), np.searchsorted(which, ctx, "right"))
+    out[open_] -= np.log10(256 - seen[open_])
+    return out
+
+
+def _gather(parts: int, order: int):
+    """(doc_id, train, text) -> packed rows: words and grams to count and look up, documents to score, bytes by the one before."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, table, codes = TaskContext.get().partitionId(), word_bytes(), _Codes()
-        seq, held, ids, keys, sizes, trains = 0, [], [], [], [], []
+        task, table, pairs = TaskContext.get().partitionId(), word_bytes(), np.zeros(WIDTH * 256, np.int64)
+        seq, held, ids, sizes, trains, kept, n_bytes = 0, [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, held, ids, keys, sizes, trains
+            nonlocal seq, held, ids, sizes, trains, kept, n_bytes, pairs
             chunk = f"{task}-{seq}"
             h = np.concatenate(held)
             n, train = np.concatenate(sizes), np.array(trains, bool)
             words, back = np.unique(h, return_inverse=True)
             counts = np.bincount(back[np.repeat(train, n)], minlength=len(words))
             part = (words % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")  # the chunk's own numbering: by partition, then hash
+            by_part = np.argsort(part, kind="stable")  # the chunk's own numbering: by partition, then hash
             place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [("words", p, chunk, words[order[a:b]].tobytes(), _planes(counts[order[a:b]]), None, 0, 0) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            who = np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array(keys, "<i8").tobytes()
+            place[by_part] = np.arange(len(words))
+            cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
+            rows = [("words", p, chunk, words[by_part[a:b]].tobytes(), _planes(counts[by_part[a:b]]), None, 0, 0) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            who = np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + train.astype(np.uint8).tobytes()
             rows.append(("docs", -1, chunk, who, _planes(n), _planes(place[back]), len(words), int(train.sum())))
-            seq, held, ids, keys, sizes, trains = seq + 1, [], [], [], [], []
+            grams, lengths = gram_keys(kept, order)
+            learnt = np.repeat(train, lengths)
+            if order > 0 and len(grams):
+                for lo in range(0, len(grams), 1_000_000):
+                    g = grams[lo : lo + 1_000_000][learnt[lo : lo + 1_000_000]]
+                    pairs += np.bincount((g >> (8 + 9 * (order - 1))) * 256 + (g & 0xFF), minlength=WIDTH * 256)
+            grams <<= 1
+            grams |= learnt
+            grams.sort()
+            first = np.flatnonzero(np.concatenate(([True], grams[1:] >> 1 != grams[:-1] >> 1))) if len(grams) else np.zeros(0, np.int64)
+            counts = np.add.reduceat(grams & 1, first) if len(grams) else first
+            grams = grams[first] >> 1
+            part = _gram_part(grams, order, GRAM_PARTS * parts)
+            by_part = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[by_part], np.arange(GRAM_PARTS * parts + 1))
+            rows += [("grams", p, chunk, _steps(grams[by_part[a:b]]), _planes(counts[by_part[a:b]]), None, 0, 0) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            rows.append(("texts", -1, chunk, zlib.compress(b"".join(kept), 1), _planes(lengths), None, 0, 0))
+            seq, held, ids, sizes, trains, kept, n_bytes = seq + 1, [], [], [], [], [], 0
             return pa.RecordBatch.from_arrays(_rows(rows), schema=_PACKED)
 
         for batch in batches:
-            names, marks, train = (batch.column(i).to_pylist() for i in range(3))
-            for lo, hi, texts in byte_slices(batch.column(3)):
+            names, train = (batch.column(i).to_pylist() for i in range(2))
+            for lo, hi, texts in byte_slices(batch.column(2)):
                 h, of = word_hashes(texts, table)
                 held.append(h)
                 ids += names[lo:hi]
-                keys += marks[lo:hi]
                 trains += train[lo:hi]
                 sizes.append(np.bincount(of, minlength=hi - lo))
-                mine = [t for t, x in zip(texts, train[lo:hi]) if x and t]
-                if mine:
-                    codes.add(context_codes(mine)[0])
-                if sum(map(len, held)) > CHUNK_WORDS:
+                kept += [bytes(t) for t in texts]
+                n_bytes += sum(map(len, texts))
+                if sum(map(len, held)) > CHUNK_WORDS or n_bytes > CHUNK_BYTES:
                     yield flush()
         if ids:
             yield flush()
-        part = codes.codes % parts
-        rows = [("codes", p, None, codes.codes[part == p].tobytes(), codes.counts[part == p].tobytes(), None, 0, 0) for p in np.unique(part).tolist()]
-        if rows:
-            yield pa.RecordBatch.from_arrays(_rows(rows), schema=_PACKED)
+        yield pa.RecordBatch.from_arrays(_rows([("pairs", -2, None, zlib.compress(pairs.tobytes(), 1), None, None, 0, 0)]), schema=_PACKED)
 
     return gather
 
@@ -153,18 +221,32 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(_rows(rows), schema=_PACKED)
 
 
-def _add_codes(table: pa.Table) -> pa.Table:
-    codes = _Codes()
-    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-        codes._merge(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
-    return pa.Table.from_arrays(_rows([("trie", table.column("p")[0].as_py(), None, codes.codes.tobytes(), codes.counts.tobytes(), None, 0, 0)]), schema=_PACKED)
+def _add_pairs(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("a").to_pylist())
+    return pa.Table.from_arrays(_rows([("pairs", -2, None, total.tobytes(), None, None, 0, 0)]), schema=_PACKED)
+
+
+def _answer_grams(order: int, model):
+    """Per partition of grams: training counts over all chunks make their probabilities, given back to each chunk in its order."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        ks = [_unsteps(x) for x in table.column("a").to_pylist()]
+        keys, back = np.unique(np.concatenate(ks), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate([_unplanes(x) for x in table.column("b").to_pylist()]), minlength=len(keys))
+        logs, p, rows, lo = gram_logs(keys, total, order, model.value).astype("<f4"), table.column("p")[0].as_py(), [], 0
+        for chunk, k in zip(table.column("chunk").to_pylist(), ks):
+            rows.append(("logs", p, chunk, _planes(logs[back[lo : lo + len(k)]].view("<u4")), None, None, 0, 0))
+            lo += len(k)
+        return pa.Table.from_arrays(_rows(rows), schema=_PACKED)
+
+    return answer
 
 
-_BASE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64())])
+_BASE = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score_words(n_train: int, n_distinct: int, n_ends: int):
-    """Per chunk: documents' scores from the counts of the chunk's words. n_ends: training documents, so ends seen."""
+def _score_chunk(n_train: int, n_distinct: int, n_ends: int, order: int, parts: int):
+    """Per chunk: documents' scores from the counts of the chunk's words and the probabilities of its grams. n_ends: training documents, so ends seen."""
     scale = n_train + 0.5 * (n_distinct + 1)
 
     def score(table: pa.Table) -> pa.Table:
@@ -175,81 +257,34 @@ def _score_words(n_train: int, n_distinct: int, n_ends: int):
         n, place = _unplanes(own["b"]).astype(np.int64), _unplanes(own["c"])
         k = len(n)
         there = np.frombuffer(own["a"][:k], np.uint8)
-        ids, keys = np.frombuffer(own["a"][k:], "<i8").reshape(2, k)
+        ids, train = np.frombuffer(own["a"][k : 9 * k], "<i8"), np.frombuffer(own["a"][9 * k :], np.uint8).astype(bool)
         logs = np.log10((c + 0.5) / scale)
         ends = np.append(0, np.cumsum(n))
         of = np.repeat(np.arange(k), n)
         base = np.bincount(of, weights=logs[place], minlength=k) + np.log10((n_ends + 0.5) / scale)
         known = np.bincount(of, weights=c[place] > 0, minlength=k).astype(np.int64) + (n_ends > 0)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=there == 0), pa.array(keys), pa.array(np.diff(ends) + 1), pa.array(known), pa.array(base)], schema=_BASE)
+        own = next(r for r in rows if r["kind"] == "texts")
+        raw, ends_of = zlib.decompress(own["a"]), np.append(0, np.cumsum(_unplanes(own["b"]).astype(np.int64)))
+        keys, lengths = gram_keys([raw[a:b] for a, b in zip(ends_of, ends_of[1:])], order)
+        del raw
+        by_key = np.argsort(keys)  # sorted in place of np.unique, whose inverse takes twice the memory
+        keys = keys[by_key]
+        new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        grams, back = keys[new], np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del keys, new
+        found = [_unplanes(r["a"]).view("<f4") for r in sorted((r for r in rows if r["kind"] == "logs"), key=lambda r: r["p"])]
+        logs = np.zeros(len(grams), np.float32)
+        if found:
+            logs[np.argsort(_gram_part(grams, order, parts), kind="stable")] = np.concatenate(found)
+        at = np.empty(len(back), np.float32)
+        at[by_key] = logs[back]
+        score = np.bincount(np.repeat(np.arange(k), lengths), weights=at, minlength=k)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=there == 0), pa.array(train), pa.array(np.diff(ends) + 1), pa.array(known), pa.array(base), pa.array(score)], schema=_BASE)
 
     return score
 
 
-def code_table(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each two-symbol context, log10 probability of each byte by row) of a PPM model of order 2."""
-    ctx, byte = codes >> 8, codes & 0xFF
-    seen = np.unique(ctx)
-    c0 = np.bincount(byte, weights=counts, minlength=256)
-    c1 = np.bincount((ctx % WIDTH) * 256 + byte, weights=counts, minlength=WIDTH * 256).reshape(WIDTH, 256)
-
-    def fall(levels: list[np.ndarray]) -> np.ndarray:
-        """Log probabilities of rows whose contexts are ``levels``, longest first, with exclusion."""
-        rows = levels[0].shape[0]
-        out, left = np.zeros((rows, 256)), np.ones((rows, 256), bool)  # left: not offered by a longer context
-        carry = np.zeros((rows, 1))
-        for c in levels:
-            c = np.where(left, c, 0.0)
-            n, q = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            more = left.sum(1, keepdims=True) > q  # something is left to escape to
-            total = np.where(n > 0, n + np.where(more, q, 0), 1.0)
-            hit = c > 0
-            with np.errstate(divide="ignore"):
-                out = np.where(hit, carry + np.log10(np.where(hit, c, 1.0) / total), out)
-                carry = carry + np.where(n > 0, np.log10(np.where(more, q, total) / total, where=total > 0, out=np.zeros_like(total)), 0.0)
-            left &= ~hit
-        rest = left.sum(1, keepdims=True)
-        return np.where(left, carry - np.log10(np.maximum(rest, 1)), out)
-
-    row_of = np.empty(WIDTH * WIDTH, np.int64)
-    row_of[:] = len(seen) + np.arange(WIDTH * WIDTH) % WIDTH  # unseen pair: the row of its last symbol
-    row_of[seen] = np.arange(len(seen))
-    table = np.empty((len(seen) + WIDTH, 256), np.float32)
-    start = np.searchsorted(ctx, seen)
-    for lo in range(0, len(seen), 2048):
-        hi = min(lo + 2048, len(seen))
-        a, b = start[lo], start[hi] if hi < len(seen) else len(ctx)
-        c2 = np.zeros((hi - lo, 256))
-        c2[np.searchsorted(seen[lo:hi], ctx[a:b]), byte[a:b]] = counts[a:b]
-        table[lo:hi] = fall([c2, c1[seen[lo:hi] % WIDTH], np.broadcast_to(c0, c2.shape)])
-    table[len(seen) :] = fall([c1, np.broadcast_to(c0, c1.shape)])
-    return row_of, table
-
-
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _table_for(name: str, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One table per worker process and model."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = code_table(*model)
-    return _TABLES[name]
-
-
-def score_bytes(texts: list[bytes], row_of: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sum of log10 probabilities of each text's bytes; 0 for an empty text."""
-    codes, sizes = context_codes(texts)
-    logs = table.ravel()[row_of[codes >> 8] * 256 + (codes & 0xFF)]
-    return np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=logs, minlength=len(texts))
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("key"), train.alias("train"), t.alias("t"))
-
-
-def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row; learns from rows where ``train``.
 
     Null text is empty: one end token, score 0. Rows that repeat id and text get the same result each; null ids are
@@ -259,35 +294,23 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     ship_package(spark)
     parts = task_count(spark)
-    docs = _keyed(df, id_col, text_col, train)
-    packed = materialize(docs.mapInArrow(_gather(parts), _PACKED_SQL), "words")
+    docs = df.select(F.col(id_col).cast("long"), train, F.coalesce(F.col(text_col), F.lit("")))
+    packed = materialize(docs.mapInArrow(_gather(parts, order), _PACKED_SQL), "words")
     answers = materialize(packed.where("kind = 'words'").groupBy("p").applyInArrow(_answer, _PACKED_SQL), "answers")
     total = answers.where("kind = 'total'").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
     ends = packed.where("kind = 'docs'").agg(F.sum("m")).first()[0] or 0
     n_train, n_distinct = (total.n or 0) + ends, (total.m or 0) + (ends > 0)
-    chunks = packed.where("kind = 'docs'").unionByName(answers.where("kind = 'counts'"))
-    base = chunks.groupBy("chunk").applyInArrow(_score_words(n_train, n_distinct, ends), "doc_id long, key long, n_tokens long, n_known long, base_score double")
-    trie = packed.where("kind = 'codes'").groupBy("p").applyInArrow(_add_codes, _PACKED_SQL).select("a", "b").collect()  # at most 2**24 leaves
-    codes = np.concatenate([np.frombuffer(r.a, np.int64) for r in trie] or [np.zeros(0, np.int64)])
-    counts = np.concatenate([np.frombuffer(r.b, np.int64) for r in trie] or [np.zeros(0, np.int64)])
-    order = np.argsort(codes)
-    name = f"{spark.sparkContext.applicationId}-{zlib.crc32(codes[order].tobytes())}-{zlib.crc32(counts[order].tobytes())}"
-    model = spark.sparkContext.broadcast((codes[order], counts[order]))
-
-    @F.pandas_udf("double")
-    def ppm(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        row_of, table = _table_for(name, model.value)
-        for s in batches:
-            yield pd.Series(np.concatenate([score_bytes(texts, row_of, table) for texts in series_slices(s)] or [np.zeros(0)]))
-
-    scored = docs.select("doc_id", "key", "train", ppm("t").alias("score"))
-    base = base.groupBy(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key")).agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base_score")])
-    both = scored.join(base, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")))
-    return both.select("doc_id", "train", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    pairs = packed.where("kind = 'pairs'").groupBy("p").applyInArrow(_add_pairs, _PACKED_SQL).first()
+    c1 = np.frombuffer(pairs.a, np.int64) if pairs else np.zeros(WIDTH * 256, np.int64)
+    model = spark.sparkContext.broadcast(c1.reshape(WIDTH, 256))
+    logs = packed.where("kind = 'grams'").groupBy("p").applyInArrow(_answer_grams(order, model), _PACKED_SQL)
+    chunks = packed.where("kind in ('docs', 'texts')").unionByName(answers.where("kind = 'counts'")).unionByName(logs)
+    out = chunks.groupBy("chunk").applyInArrow(_score_chunk(n_train, n_distinct, ends, order, GRAM_PARTS * parts), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """The query's columns: rows whose crc32 of the id as text leaves 1 modulo 5 are held out of learning."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
-    s = score_texts(docs.select("doc_id", "text"), ~held)
+    s = score_texts(docs.select("doc_id", "text"), ~held, order=ORDER)
     return s.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
