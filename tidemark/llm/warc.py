@@ -42,20 +42,24 @@ def payload_table(df: DataFrame, id_col: str = "page_id", body_col: str = "html"
 
 
 def decide_revisits(payloads: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the records whose payload an earlier page has. A null page_id is always a response."""
+    """(page_id, digest, refers_to) of the records whose payload an earlier page has. A null page_id is always a response;
+    rows that repeat an id are decided each by its own payload."""
     big = payloads.where((F.col("payload_bytes") >= MIN_SHARED) & F.col("page_id").isNotNull())
     groups = big.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("last_id > first_id").select("digest", "first_id")
     # adaptive execution splits a hot digest on the side of the pages; groups has one row a digest
-    return big.select("page_id", "digest").join(groups, "digest").where("page_id > first_id").groupBy("page_id").agg(F.min("first_id").alias("refers_to"))
+    return big.select("page_id", "digest").join(groups, "digest").where("page_id > first_id").groupBy("page_id", "digest").agg(F.min("first_id").alias("refers_to"))
 
 
 def chunk_records(df: DataFrame, revisits: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url") -> DataFrame:
     """The chunked record table: rows of a record follow each other in one partition; a revisit has one empty chunk."""
-    r = revisits.select(F.col("page_id").alias("r_id"), "refers_to")
+    by_digest = "digest" in revisits.columns  # decisions without one hold for every row of a page_id
+    r = revisits.select(F.col("page_id").alias("r_id"), "refers_to", *[F.lower(F.hex("digest")).alias("r_digest")] * by_digest)
+    same = [F.col("page_id") == F.col("r_id"), *([F.col("payload_digest") == F.col("r_digest")] if by_digest else [])]
     body = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
-    rows = df.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("body")).join(r, F.col("page_id") == F.col("r_id"), "left")
+    rows = df.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("body"), F.sha2(body, 256).alias("payload_digest"))
+    rows = rows.join(r, same, "left")
     size = F.octet_length("body")
-    rows = rows.select("page_id", "url", "refers_to", "body", size.cast("long").alias("payload_bytes"), F.sha2("body", 256).alias("payload_digest"))
+    rows = rows.select("page_id", "url", "refers_to", "body", size.cast("long").alias("payload_bytes"), "payload_digest")
     last = F.when(F.col("refers_to").isNotNull(), F.lit(0)).otherwise(F.floor(F.greatest(F.col("payload_bytes") - 1, F.lit(0)) / CHUNK)).cast("int")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
     data = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).otherwise(F.substring("body", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK)))
