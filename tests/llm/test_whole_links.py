@@ -54,3 +54,12 @@ def test_trie_join_finds_every_pair():
         want = {(a, b) for a in range(len(sets)) for b in range(a) if sizes[a] and sizes[b] and len(np.intersect1d(sets[a], sets[b])) >= needed_overlap(sizes[a], sizes[b])}
         assert {(max(p), min(p)) for p in trie_join(sets, sizes)} == want
         assert {(max(p), min(p)) for p in trie_join(sets, sizes, sides=side)} == {(a, b) for a, b in want if side[a] != side[b]}
+
+
+def test_texts_without_an_id_link(spark):
+    a = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(a + [f"x{k}" for k in range(26)])), (None, " ".join(a + [f"x{k}" for k in range(10)])), (2, " ".join(a)), (None, "alone and without a name")]
+    got = collections.Counter((r.doc_id, r.n_links, r.component_id) for r in jaccard_links(frame(spark, rows)).collect())
+    links = collections.Counter((i, n) for i, _, n in plain_links(rows).elements())
+    assert collections.Counter((i, n) for i, n, _ in got.elements()) == links
+    assert got == {(1, 1, 1): 1, (None, 2, 1): 1, (2, 1, 1): 1, (None, 0, None): 1}

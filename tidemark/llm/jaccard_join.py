@@ -65,12 +65,12 @@ def _pack_documents(parts: int, k: int):
 
         task, table = TaskContext.get().partitionId(), word_bytes()
         seq, held, count = 0, [], 0
-        ids, sizes, digests, reps, seen = [], [], [], [], {}
+        ids, keys, sizes, digests, reps, seen = [], [], [], [], [], {}
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, held, count, ids, sizes, digests, reps, seen
+            nonlocal seq, held, count, ids, keys, sizes, digests, reps, seen
             chunk = f"{task}-{seq}"
-            rows = [(parts + (task * 131 + seq) % parts, chunk, np.array([x is not None for x in ids], np.uint8).tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), np.concatenate(digests).astype("<i8").tobytes(), np.array(reps, "<u2").tobytes())]
+            rows = [(parts + (task * 131 + seq) % parts, chunk, np.array([x is not None for x in ids], np.uint8).tobytes() + np.array(keys, "<i8").tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), np.concatenate(digests).astype("<i8").tobytes(), np.array(reps, "<u2").tobytes())]
             part = np.concatenate([x for x, _, _ in held]) if held else np.zeros(0, np.uint16)
             order = np.argsort(part, kind="stable")
             fp, doc = (np.concatenate([x[i] for x in held])[order] if held else np.zeros(0) for i in (1, 2))
@@ -80,11 +80,11 @@ def _pack_documents(parts: int, k: int):
                 if hi > lo:
                     rows.append((p, chunk, fp[lo:hi].astype("<u4").tobytes(), doc[lo:hi].astype("<u2").tobytes(), None, None))
             seq, held, count = seq + 1, [], 0
-            ids, sizes, digests, reps, seen = [], [], [], [], {}
+            ids, keys, sizes, digests, reps, seen = [], [], [], [], [], {}
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for lo, hi, texts in byte_slices(batch.column(1)):
                 if len(ids) + hi - lo > 60_000:
                     yield flush()
@@ -99,6 +99,7 @@ def _pack_documents(parts: int, k: int):
                         stand[i] = True
                     reps.append(seen[key])
                 ids += names[lo:hi]
+                keys += marks[lo:hi]
                 sizes.append(n)
                 digests.append(d)
                 own = stand[t]
@@ -142,7 +143,7 @@ def _count_shared(parts: int):
 
 def _unpack_documents(percent: int):
     """Per chunk: document rows with their share of shared shingles decided."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("near", pa.bool_())])
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("near", pa.bool_())])
 
     def unpack(table: pa.Table) -> pa.Table:
         own = next(r for r in table.to_pylist() if r["p"] >= 0)
@@ -157,18 +158,23 @@ def _unpack_documents(percent: int):
                 shared[np.frombuffer(a, "<u2")] += np.frombuffer(b, "<u4").astype(np.int64)
         shared = shared[rep]
         near = (n > 0) & (100 * shared >= percent * n)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=there == 0), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(near)], schema=out)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=there == 0), pa.array(ids), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(near)], schema=out)
 
     return unpack
 
 
+def _key(id_col: str, text_col: str):
+    """What finds a row's text again: its id, or a hash of the text where the id is null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+
+
 def document_sets(df: DataFrame, id_col: str, text_col: str, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, d1, d2, near) per row: size and digest of its set; near: enough shingles are shared to link at all."""
+    """(doc_id, key, n, d1, d2, near) per row: its id, or a hash of its text where that is null; size and digest of its set; near: enough shingles are shared to link at all."""
     ship_package(df.sparkSession)
     parts = task_count(df.sparkSession)
-    packed = df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack_documents(parts, k), _PACKED_SQL)
+    packed = df.select(F.col(id_col).cast("long"), F.col(text_col), _key(id_col, text_col)).mapInArrow(_pack_documents(parts, k), _PACKED_SQL)
     counted = packed.groupBy("p").applyInArrow(_count_shared(parts), _PACKED_SQL)
-    return materialize(counted.groupBy("chunk").applyInArrow(_unpack_documents(percent), "doc_id long, n long, d1 long, d2 long, near boolean"), "sets")
+    return materialize(counted.groupBy("chunk").applyInArrow(_unpack_documents(percent), "doc_id long, key long, n long, d1 long, d2 long, near boolean"), "sets")
 
 
 def _class_shingles(parts: int, k: int):
@@ -348,12 +354,12 @@ def _join_cells(percent: int):
 def link_classes(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int = K, percent: int = PERCENT, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the classes that link to others, and (node, links): the documents of all classes a class links to.
 
-    ``classes`` has node, n, d1, d2, docs (its number of documents) and rep, an id whose text has the set.
+    ``classes`` has node, n, d1, d2, docs (its number of documents), rep and key: an id whose text has the set, and the key of such a row.
     """
     spark = df.sparkSession
     parts = task_count(spark)
     # one plan at every size: texts and the classes' representatives meet by a shuffle, hashed on the side of the latter
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(classes.hint("shuffle_hash"), "rep").select("node", "n", "d1", "d2", "t")
+    texts = df.select(F.col(id_col).isNull().alias("nameless"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("t")).join(classes.withColumn("nameless", F.col("rep").isNull()).hint("shuffle_hash"), ["nameless", "key"]).select("node", "n", "d1", "d2", "t")
     packed = texts.mapInArrow(_class_shingles(parts, k), _PACKED_SQL)
     by_node = packed.groupBy("p").applyInArrow(_frequencies(parts), _PACKED_SQL)
     sets = materialize(by_node.groupBy("p").applyInArrow(_order_sets(percent), _SETS_SQL), "ordered")
@@ -385,9 +391,9 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty table gives no rows.
     """
     docs = document_sets(df, id_col, text_col, k, percent)
-    classes = docs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("near").alias("near"), F.count(F.lit(1)).alias("docs"))
+    classes = docs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.max("near").alias("near"), F.count(F.lit(1)).alias("docs"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    near = classes.where("near").select("node", "n", "d1", "d2", "docs", "rep")
+    near = classes.where("near").select("node", "n", "d1", "d2", "docs", "rep", "key")
     found, counts = link_classes(near, df, id_col, text_col, k, percent, cell)
     found = materialize(found, "components")
     named = classes.join(found, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
