@@ -151,24 +151,43 @@ def boundary_agreement(a: DataFrame, b: DataFrame, by: Names, tol: int) -> DataF
     return out.select(*by, F.when((zero("na") == 0) | (zero("nb") == 0), 0.0).otherwise(2 * p * r / F.greatest(p + r, F.lit(1e-9))).alias("f"))
 
 
-def min_label_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
-    """(node, root): root is the least node joined to it. Alternating stars; minima combine before the shuffle."""
-    now = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "cc")
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Links neighbours of a node to the least of them: larger neighbours to it (large), or smaller ones and itself (small)."""
+    if large:
+        near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = near.groupBy("u").agg(F.min("v").alias("m"))
+        out = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
+
+
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, root): root is the least node of the component; nodes without an edge are not listed.
+
+    ``edges`` has long columns u and v; loops and repeats do no harm. Minima are combined before the shuffle and hot
+    nodes' rows are split by adaptive joins. The number of rounds follows the logarithm of the longest path; a labelling
+    that has not settled after ``rounds`` is an error.
+    """
+    now = materialize(edges.where("u <> v").select("u", "v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "cc")
+        now = materialize(_star(_star(now, True), False), "stars")
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen.n, seen.h):
             break
         mark = (seen.n, seen.h)
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     links = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out = links.unionByName(links.select(F.col("root").alias("node"), "root").distinct())
+    return links.unionByName(links.select(F.col("root").alias("node"), "root").distinct())
+
+
+def min_label_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, root) by ``connected_components`` of edges (a, b); with ``nodes``, those without an edge are their own root."""
+    out = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     if nodes is None:
         return out
     return nodes.select("node").distinct().join(out, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -31,10 +31,12 @@ def get_session(app: str = "tidemark", master: str = "local[8]", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, one of our own (local mode)."""
+    """The folder named in ``spark.checkpoint.dir``; in local mode, where that is unset, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -71,6 +73,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def task_count(spark: SparkSession, least: int = 1) -> int:
-    """Shuffle width of the session; sizes the numbers of packed partitions, so it follows the cluster's setting."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Bytes of input, as stored, for one packed partition.
+PART_BYTES = 16 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the tables and files that ``df`` reads, by the planner's statistics; 0 where it knows none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def task_count(spark: SparkSession, *inputs: DataFrame) -> int:
+    """Number of packed partitions: the session's shuffle width, or more where the inputs' bytes ask for it."""
+    by_bytes = -(-sum(map(stored_bytes, inputs)) // PART_BYTES)
+    return max(1, by_bytes, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
