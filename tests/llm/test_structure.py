@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.rows import awkward, frame, lower, words
 from tidemark.llm import warc as Q
-from tidemark.llm.jaccard_join import jaccard_components, keep_one, needed_overlap, trie_join
+from tidemark.llm.jaccard_join import jaccard_links, keep_one, needed_overlap, trie_join
 from tidemark.llm.line_dedup import clean_lines, drop_repeated_lines, line_digest, shortest_runs
 from tidemark.session import fresh_path
 
@@ -171,17 +171,47 @@ def plain_components(rows):
 
 @pytest.mark.parametrize("cell", [4000, 7])
 def test_jaccard_components(spark, cell):
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, ROWS), cell=cell).collect())
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_links(frame(spark, ROWS), cell=cell).collect())
     assert got == plain_components(ROWS)
 
 
-def test_jaccard_empty_and_keep_one(spark):
+def plain_kept(rows):
+    """Rows of the document that each component keeps: least id (null last), of its texts any one; as sets of candidates."""
+    sets = []
+    for _, t in rows:
+        w = words(lower(t or ""))
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)]))
+    left, out = set(range(len(rows))), []
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            a = todo.pop()
+            group.add(a)
+            near = {b for b in left if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+            left -= near
+            todo += near
+        least = min((rows[k][0] is None, rows[k][0] or 0) for k in group)
+        out.append([rows[k] for k in group if (rows[k][0] is None, rows[k][0] or 0) == least])
+    return out
+
+
+def test_keep_one_by_row(spark):
     df = frame(spark, ROWS)
-    assert jaccard_components(df.limit(0)).count() == 0
-    comps = {r.doc_id: r.component_id for r in jaccard_components(df).collect()}
+    assert jaccard_links(df.limit(0)).count() == 0 and keep_one(df.limit(0)).count() == 0
     left = keep_one(df)
     assert left.columns == df.columns
-    assert {r.doc_id for r in left.collect()} == {i for i, c in comps.items() if i is None or c == i}
+    got, count = collections.Counter((r.doc_id, r.text) for r in left.collect()), collections.Counter(ROWS)
+    for group in plain_kept(ROWS):
+        assert any(got == count[row] for row, got in got.items() if row in group)
+    assert len(got) == len({min(map(repr, g)) for g in plain_kept(ROWS)})
+
+
+def test_keep_one_keeps_texts_that_are_nowhere_else(spark):
+    a = [f"w{k}" for k in range(100)]
+    near, far = " ".join(a + ["more"]), " ".join(f"z{k}" for k in range(30))
+    rows = [(1, " ".join(a)), (2, near), (2, far), (None, near), (None, "only here and without a name"), (3, far + " end")]
+    left = collections.Counter((r.doc_id, r.text) for r in keep_one(frame(spark, rows)).collect())
+    assert left == collections.Counter([rows[0], rows[2], rows[4]])
 
 
 def test_trie_join_finds_every_component():
@@ -231,6 +261,7 @@ def test_pipeline(spark, sf):
         assert docs.columns == names, name
     out = P.run(spark, sf)
     assert out.count() > 0 and out.where("not round_trip").count() == 0
-    comps = plain_components([(r.doc_id, r.text) for r in P.STAGES[1][1](spark, P.STAGES[0][1](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), sf).collect()])
+    before = P.STAGES[1][1](spark, P.STAGES[0][1](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), sf)
+    comps = plain_components([(r.doc_id, r.text) for r in before.collect()])
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {i for i, _, c in comps if c == i}
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2

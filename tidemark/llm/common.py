@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 #: Fixed by the contracts: the characters that part words.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -19,3 +21,19 @@ def collapse_space(text: Column) -> Column:
     """Each run of white space becomes one space; null counts as empty. Matches only where something changes."""
     t = F.coalesce(text, F.lit(""))
     return F.regexp_replace(t, rf"[\x09-\x0D]{SPACE_CLASS}*|\x20{SPACE_CLASS}+", " ")
+
+
+#: Most rows that ``join_hot`` broadcasts.
+HOT = 1024
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row a key and its number of rows in column ``weight``.
+
+    The ``HOT`` heaviest keys' facts are broadcast, so their rows never enter a shuffle; all other keys, each with fewer
+    than one in ``HOT`` of the rows, meet by an ordinary join. Keys are not null.
+    """
+    top = materialize(facts.where(F.col(weight) > 1).orderBy(F.desc(weight), *keys).limit(HOT), "hot")
+    heavy = rows.join(F.broadcast(top), keys)
+    light = rows.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(facts, keys)
+    return heavy.unionByName(light)

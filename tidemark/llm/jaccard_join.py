@@ -8,10 +8,13 @@
    prefix rule holds for any global order: two sets that link share a shingle of their prefixes (the first
    n - ceil(0.8 n) + 1). Classes that share one are joined to a star on it, and stars to candidate components.
 4. Each candidate component is joined exactly, every pair of different sets included: its ordered sets are the paths of
-   a prefix tree, and texts below a node share that part of the work. A component of more than ``CELL`` classes is cut
-   into cells and every pair of cells is joined by itself, so no task grows with the size of a component and no pair is
-   lost. All links are counted, by class size; only a spanning forest of them leaves a task.
-5. Links give the final components.
+   a prefix tree whose nodes hold stretches of tokens. All sets walk down the tree together, level by level; sets below a
+   node share the overlap found so far, and a subtree is left as soon as that overlap and the least of the two remaining
+   lengths cannot reach what its smallest set needs. Components are cut into cells of ``CELL`` classes and every pair of
+   cells is joined by itself, so no task grows with the size of a component and no pair is lost. All links are counted,
+   by class size; only a spanning forest of them leaves a task.
+5. Links give the final components. Rows meet their class's facts by a shuffle, except those of the ``HOT`` largest
+   classes, which are broadcast.
 
 Lengths: overlap o of sets of a and b shingles links them if 100 o >= 80 (a + b - o).
 """
@@ -25,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import connected_components
+from tidemark.llm.common import join_hot
+from tidemark.operators.sets import connected_components
 from tidemark.llm.text_hash import byte_slices, shingle_sets, word_bytes
 from tidemark.session import materialize, ship_package, task_count
 
 K = 5
 PERCENT = 80
-#: Most classes that one task joins with each other.
-CELL = 4000
+#: Classes of a cell; a task joins two cells at most.
+CELL = 500
+#: Pairs of (set, node) whose tokens are looked at in one step of a walk, by tokens.
+STEP = 4_000_000
 #: Shingles that a task gathers before it hands them over, packed.
 FLUSH = 2_000_000
 
@@ -70,8 +76,8 @@ def _pack_documents(parts: int, k: int):
         def flush() -> pa.RecordBatch:
             nonlocal seq, held, count, ids, keys, sizes, digests, reps, seen
             chunk = f"{task}-{seq}"
-            rows = [(parts + (task * 131 + seq) % parts, chunk, np.array([x is not None for x in ids], np.uint8).tobytes() + np.array(keys, "<i8").tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), np.concatenate(digests).astype("<i8").tobytes(), np.array(reps, "<u2").tobytes())]
-            part = np.concatenate([x for x, _, _ in held]) if held else np.zeros(0, np.uint16)
+            rows = [(parts + (task * 131 + seq) % parts, chunk, np.array([x is not None for x in ids], np.uint8).tobytes() + np.array([x or 0 for x in ids] + keys, "<i8").tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), np.concatenate(digests).astype("<i8").tobytes(), np.array(reps, "<u2").tobytes())]
+            part = np.concatenate([x for x, _, _ in held]) if held else np.zeros(0, np.uint32)
             order = np.argsort(part, kind="stable")
             fp, doc = (np.concatenate([x[i] for x in held])[order] if held else np.zeros(0) for i in (1, 2))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -104,7 +110,7 @@ def _pack_documents(parts: int, k: int):
                 digests.append(d)
                 own = stand[t]
                 h, t = h[own], t[own] + base
-                held.append(((h % np.uint64(parts)).astype(np.uint16), (h // np.uint64(parts)).astype(np.uint32), t.astype(np.uint16)))
+                held.append(((h % np.uint64(parts)).astype(np.uint32), (h // np.uint64(parts)).astype(np.uint32), t.astype(np.uint16)))
                 count += len(h)
                 if count > FLUSH:
                     yield flush()
@@ -149,7 +155,7 @@ def _unpack_documents(percent: int):
         own = next(r for r in table.to_pylist() if r["p"] >= 0)
         n = np.frombuffer(own["b"], "<u4").astype(np.int64)
         there = np.frombuffer(own["a"][: len(n)], np.uint8)
-        ids = np.frombuffer(own["a"][len(n) :], "<i8")
+        ids, keys = np.frombuffer(own["a"][len(n) :], "<i8").reshape(2, -1)
         d = np.frombuffer(own["c"], "<i8").reshape(-1, 2)
         rep = np.frombuffer(own["d"], "<u2")
         shared = np.zeros(len(n), np.int64)
@@ -158,21 +164,16 @@ def _unpack_documents(percent: int):
                 shared[np.frombuffer(a, "<u2")] += np.frombuffer(b, "<u4").astype(np.int64)
         shared = shared[rep]
         near = (n > 0) & (100 * shared >= percent * n)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=there == 0), pa.array(ids), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(near)], schema=out)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=there == 0), pa.array(keys), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(near)], schema=out)
 
     return unpack
 
 
-def _key(id_col: str, text_col: str):
-    """What finds a row's text again: its id, or a hash of the text where the id is null."""
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-
-
 def document_sets(df: DataFrame, id_col: str, text_col: str, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, key, n, d1, d2, near) per row: its id, or a hash of its text where that is null; size and digest of its set; near: enough shingles are shared to link at all."""
+    """(doc_id, key, n, d1, d2, near) per row: key is a hash of its text; size and digest of its set; near: enough shingles are shared to link at all."""
     ship_package(df.sparkSession)
-    parts = task_count(df.sparkSession)
-    packed = df.select(F.col(id_col).cast("long"), F.col(text_col), _key(id_col, text_col)).mapInArrow(_pack_documents(parts, k), _PACKED_SQL)
+    parts = task_count(df.sparkSession, df)
+    packed = df.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(_pack_documents(parts, k), _PACKED_SQL)
     counted = packed.groupBy("p").applyInArrow(_count_shared(parts), _PACKED_SQL)
     return materialize(counted.groupBy("chunk").applyInArrow(_unpack_documents(percent), "doc_id long, key long, n long, d1 long, d2 long, near boolean"), "sets")
 
@@ -259,49 +260,122 @@ def _order_sets(percent: int):
     return order_all
 
 
+class PrefixTree:
+    """Sorted token arrays in dictionary order as the paths of a tree; a node holds a stretch of tokens without a fork.
+
+    Arrays by node, parents before children: ``up`` (parent), ``low`` (its first leaf), ``least`` (size of the smallest set
+    below), ``rest`` (most tokens of a path below), ``first`` and ``length`` (its tokens in ``tokens``). ``kids`` and
+    ``ends`` list a node's children and the leaves whose paths end there, as (start, count, items). Node 0 is the root.
+    """
+
+    def __init__(self, paths: list[np.ndarray], size: np.ndarray):
+        m = len(paths)
+        depth, low, end, up, stack, at = [0], [0], [m], [-1], [0], np.zeros(m, np.int64)
+
+        def node(d: int, lo: int) -> int:
+            depth.append(d), low.append(lo), end.append(m), up.append(0)
+            return len(depth) - 1
+
+        for i, path in enumerate(paths):
+            common = 0
+            if i:
+                last = paths[i - 1]
+                k = min(len(last), len(path))
+                off = np.flatnonzero(last[:k] != path[:k])
+                common = int(off[0]) if len(off) else k
+            while depth[stack[-1]] > common:
+                done = stack.pop()
+                end[done] = i
+                if depth[stack[-1]] < common:  # the paths part inside the stretch: a node for what they share
+                    stack.append(node(common, low[done]))
+                up[done] = stack[-1]
+            if len(path) > common:
+                stack.append(node(len(path), i))
+            at[i] = stack[-1]
+        for child, parent in zip(stack[1:], stack):
+            up[child] = parent
+        order = np.lexsort((depth, low))  # parents first
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        depth, low, end = (np.array(x, np.int64)[order] for x in (depth, low, end))
+        up, at = np.where(order == 0, 0, place[np.array(up)[order]]), place[at]
+        self.low, self.up = low, up
+        below = np.array([len(p) for p in paths], np.int64)
+        self.least = np.array([size[a:b].min() for a, b in zip(low, end)], np.int64)
+        self.rest = np.array([below[a:b].max() for a, b in zip(low, end)], np.int64) - depth
+        self.length = depth - depth[up]
+        self.first = np.cumsum(self.length) - self.length
+        self.tokens = np.concatenate([paths[a][d - n : d] for a, d, n in zip(low, depth, self.length)])
+        self.kids = self._lists(up[1:], np.arange(1, len(up)), len(up))
+        self.ends = self._lists(at, np.arange(m), len(up))
+
+    @staticmethod
+    def _lists(of: np.ndarray, items: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = np.bincount(of, minlength=n)
+        return np.cumsum(count) - count, count, items[np.argsort(of, kind="stable")]
+
+
+def _spread(lists: tuple[np.ndarray, np.ndarray, np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``nodes``, item) for every item of the lists of ``nodes``."""
+    start, count, items = lists
+    n = count[nodes]
+    pick = np.repeat(start[nodes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return np.repeat(np.arange(len(nodes)), n), items[pick]
+
+
 def trie_links(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT, sides: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """All links among ``sets``, sorted arrays of token numbers in the global order, as (one set, others); no pair comes twice.
 
-    ``sizes`` counts all tokens, those that no other set has included; with ``sides``, pairs of one side are left out. The
-    sets in dictionary order are the leaves of the prefix tree. A node of the tree is its token and the range of leaves
-    below it; a set adds one to the leaves below every node that has one of its tokens, so texts below a node share that
-    part of the work, and the sums at the leaves are the overlaps.
+    ``sizes`` counts all tokens, those that no other set has included; with ``sides``, pairs of one side are left out. Each
+    set walks down the tree of those before it in dictionary order.
     """
     order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-    paths = [sets[i] for i in order]
+    paths, back = [sets[i] for i in order], np.array(order, np.int64)
     m, size = len(paths), np.array([sizes[i] for i in order], np.int64)
-    side = None if sides is None else np.asarray(sides)[order]
-    open_nodes = np.zeros(max((len(p) for p in paths), default=0), np.int64)  # by depth of the path under way
-    ends, tokens, lows, made = np.full(sum(map(len, paths)), m, np.int64), [], [], 0
-    for i, path in enumerate(paths):
-        at = 0
-        if i:
-            last = paths[i - 1]
-            k = min(len(last), len(path))
-            diff = np.flatnonzero(last[:k] != path[:k])
-            at = int(diff[0]) if len(diff) else k
-            ends[open_nodes[at : len(last)]] = i
-        fresh = len(path) - at
-        open_nodes[at : len(path)] = np.arange(made, made + fresh)
-        tokens.append(path[at:])
-        lows.append(np.full(fresh, i, np.int64))
-        made += fresh
-    if not made:
+    wide = 1 + max((int(p[-1]) for p in paths if len(p)), default=-1)
+    if m < 2 or not wide:
         return
-    token, low, end = np.concatenate(tokens), np.concatenate(lows), ends[:made]
-    by_token = np.argsort(token, kind="stable")
-    low, end = low[by_token], end[by_token]
-    start = np.append(0, np.cumsum(np.bincount(token)))
-    back = np.array(order)
-    for s in range(1, m):
-        lo, n = start[paths[s]], start[paths[s] + 1] - start[paths[s]]
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        overlap = np.cumsum(np.bincount(low[at], minlength=m + 1) - np.bincount(end[at], minlength=m + 1))[:s]
-        hit = overlap >= np.maximum(needed_overlap(size[s], size[:s], percent), 1)
-        if side is not None:
-            hit &= side[:s] != side[s]
-        if hit.any():
-            yield order[s], back[:s][hit]
+    tree, side = PrefixTree(paths, size), None if sides is None else np.asarray(sides)[order]
+    many = np.array([len(p) for p in paths], np.int64)
+    block = int(np.clip(16_000_000 // wide, 1, 256))
+    for lo in range(1, m, block):
+        hi = min(m, lo + block)
+        has = np.zeros((hi - lo, wide), bool)
+        for q in range(lo, hi):
+            has[q - lo, paths[q]] = True
+        keys = np.concatenate([paths[q] + (q - lo) * wide for q in range(lo, hi)])
+        start = np.cumsum(many[lo:hi]) - many[lo:hi]
+        q = np.repeat(np.arange(lo, hi), tree.kids[1][0])
+        node = np.tile(tree.kids[2][: tree.kids[1][0]], hi - lo)
+        overlap, found = np.zeros(len(q), np.int64), []
+        while True:
+            keep = tree.low[node] < q
+            q, node, overlap = q[keep], node[keep], overlap[keep]
+            if not len(q):
+                break
+            n = tree.length[node]
+            cuts = np.append(np.flatnonzero(np.diff(np.cumsum(n) // STEP, prepend=-1)), len(q))
+            for a, b in zip(cuts, cuts[1:]):
+                token = tree.tokens[np.repeat(tree.first[node[a:b]] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b]) + np.arange(int(n[a:b].sum()))]
+                overlap[a:b] += np.add.reduceat(has[np.repeat(q[a:b] - lo, n[a:b]), token], np.cumsum(n[a:b]) - n[a:b], dtype=np.int64)
+            passed = np.searchsorted(keys, (q - lo) * wide + tree.tokens[tree.first[node] + n - 1], "right") - start[q - lo]
+            reach = overlap + np.minimum(many[q] - passed, tree.rest[node])
+            keep = reach >= np.maximum(needed_overlap(size[q], tree.least[node], percent), 1)
+            q, node, overlap = q[keep], node[keep], overlap[keep]
+            at, leaf = _spread(tree.ends, node)
+            hit = (leaf < q[at]) & (overlap[at] >= np.maximum(needed_overlap(size[q[at]], size[leaf], percent), 1))
+            if side is not None:
+                hit &= side[leaf] != side[q[at]]
+            found.append((q[at][hit], leaf[hit]))
+            at, node = _spread(tree.kids, node)
+            q, overlap = q[at], overlap[at]
+        if found:
+            one, other = (np.concatenate(x) for x in zip(*found))
+            by = np.argsort(one, kind="stable")
+            one, other = one[by], other[by]
+            edges = np.append(np.flatnonzero(np.diff(one, prepend=-1)), len(one))
+            for a, b in zip(edges, edges[1:]):
+                yield order[one[a]], back[other[a:b]]
 
 
 def trie_join(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -354,21 +428,23 @@ def _join_cells(percent: int):
 def link_classes(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int = K, percent: int = PERCENT, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the classes that link to others, and (node, links): the documents of all classes a class links to.
 
-    ``classes`` has node, n, d1, d2, docs (its number of documents), rep and key: an id whose text has the set, and the key of such a row.
+    ``classes`` has node, n, d1, d2, docs (its number of documents), rep and key: id and text key of a row that has the set.
     """
     spark = df.sparkSession
-    parts = task_count(spark)
+    parts = task_count(spark, df)
     # one plan at every size: texts and the classes' representatives meet by a shuffle, hashed on the side of the latter
-    texts = df.select(F.col(id_col).isNull().alias("nameless"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("t")).join(classes.withColumn("nameless", F.col("rep").isNull()).hint("shuffle_hash"), ["nameless", "key"]).select("node", "n", "d1", "d2", "t")
+    texts = df.select(F.col(id_col).cast("long").alias("t_id"), F.xxhash64(text_col).alias("t_key"), F.col(text_col).alias("t"))
+    texts = texts.join(classes.hint("shuffle_hash"), F.col("t_id").eqNullSafe(F.col("rep")) & (F.col("t_key") == F.col("key"))).select("node", "n", "d1", "d2", "t")
     packed = texts.mapInArrow(_class_shingles(parts, k), _PACKED_SQL)
     by_node = packed.groupBy("p").applyInArrow(_frequencies(parts), _PACKED_SQL)
     sets = materialize(by_node.groupBy("p").applyInArrow(_order_sets(percent), _SETS_SQL), "ordered")
     prefix = materialize(sets.select("node", F.explode("prefix").alias("token")), "prefix")
-    centre = prefix.groupBy("token").agg(F.min("node").alias("v"))
-    comps = materialize(connected_components(prefix.join(centre, "token").select(F.col("node").alias("u"), "v")), "candidates")
+    centre = prefix.groupBy("token").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("nodes"))
+    stars = join_hot(prefix, centre, ["token"], "nodes").select(F.col("node").alias("u"), "v")
+    comps = materialize(connected_components(stars), "candidates")
     sized = comps.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     cells = F.ceil(F.col("members") / F.lit(cell)).cast("int")
-    placed = comps.join(sized, "root").join(classes.select("node", "docs"), "node").select("node", F.col("root").alias("comp"), "docs", cells.alias("cells"))
+    placed = join_hot(comps, sized, ["root"], "members").join(classes.select("node", "docs"), "node").select("node", F.col("root").alias("comp"), "docs", cells.alias("cells"))
     mine = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     # a large component's node goes to every pair of cells that holds its own
     pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
@@ -381,36 +457,48 @@ def link_classes(classes: DataFrame, df: DataFrame, id_col: str, text_col: str,
     return connected_components(found.where("v is not null").select("u", "v")), counts
 
 
-def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) per input row: the smallest id reachable by links, its own included, and
-    the number of other rows whose texts link to its own, copies among them.
+def _decided(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, cell: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, n_links, kept) per input row; key is a hash of its text.
 
-    Null and empty texts, and texts without words, have no shingles and are their own component. Rows that repeat an id
-    are rows of one document: each row has the component its own text gives it. A null id is never the smallest; it is
-    null where the component has no other, and its text still counts for others in its class. Other columns are ignored;
-    an empty table gives no rows.
+    Of a component one document is kept: that of the smallest id (null last), then of the smallest text key.
     """
     docs = document_sets(df, id_col, text_col, k, percent)
-    classes = docs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.max("near").alias("near"), F.count(F.lit(1)).alias("docs"))
+    spot = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    classes = docs.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(spot).alias("first"), F.max("near").alias("near"), F.count(F.lit(1)).alias("docs"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    near = classes.where("near").select("node", "n", "d1", "d2", "docs", "rep", "key")
+    near = classes.where("near").select("node", "n", "d1", "d2", "docs", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"))
     found, counts = link_classes(near, df, id_col, text_col, k, percent, cell)
     found = materialize(found, "components")
-    named = classes.join(found, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = classes.join(found, "node").join(named, "root").join(counts, "node").select("n", "d1", "d2", "component_id", "links")
-    own = classes.select("n", "d1", "d2", "rep", "docs")
-    out = docs.join(own, ["n", "d1", "d2"], "left").join(moved, ["n", "d1", "d2"], "left")
-    component = F.coalesce("component_id", F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("component_id")
-    n_links = (F.coalesce(F.col("docs") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component, n_links)
+    members = found.join(classes.select("node", "first"), "node")
+    keepers = members.groupBy("root").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("members"))
+    moved = join_hot(members, keepers, ["root"], "members").select("node", "keeper").join(counts, "node")
+    facts = classes.join(moved, "node", "left").select("n", "d1", "d2", "docs", F.coalesce("keeper", "first").alias("keeper"), F.coalesce("links", F.lit(0)).alias("links"))
+    worded = join_hot(docs.where("n > 0").drop("near"), materialize(facts, "facts"), ["n", "d1", "d2"], "docs")
+    is_keeper = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key"))
+    worded = worded.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("keeper.doc_id").alias("component_id"), (F.col("docs") - 1 + F.col("links")).cast("long").alias("n_links"), is_keeper.alias("kept"))
+    blank = docs.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return worded.unionByName(blank)
+
+
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per input row: the smallest id reachable by links, its own included, and
+    the number of other rows whose texts link to its own, copies among them.
 
+    Ids are whole numbers. Null and empty texts, and texts without words, have no shingles and are their own component.
+    Rows that repeat an id are rows of one document: each row has the component its own text gives it. A null id is never
+    the smallest; it is null where the component has no other, and its text links others like any text. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    return _decided(df, id_col, text_col, k, percent, cell).select("doc_id", "n_shingles", "component_id", "n_links")
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of ``jaccard_links``."""
-    return jaccard_links(df, id_col, text_col, k, percent, cell).drop("n_links")
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, all columns as they were.
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component, all columns as they were; null ids stay."""
-    ids = materialize(jaccard_components(docs).where("component_id <> doc_id"), "dropped").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    It is the one with the smallest id (null last) and, of several texts under that id, the smallest text key. Rows that
+    repeat both id and text are one document and stay or go together; a row whose id occurs elsewhere with another text
+    is decided by its own text. Texts without words stay. An empty table gives no rows.
+    """
+    gone = materialize(_decided(docs, id_col, text_col, K, PERCENT, CELL).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "dropped")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_key"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_digest
 from tidemark.llm.exact_dedup import exact_dedup
-from tidemark.llm.jaccard_join import jaccard_components, jaccard_links
+from tidemark.llm.jaccard_join import jaccard_links
 from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ppm import lm_scores
@@ -68,10 +68,6 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
-
-
-def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(_table(spark, sf_dir, "documents"))
 
 
@@ -86,7 +82,6 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
-    "op9_jaccard_links": op9_jaccard_links,
     "op10_ppm": op10_ppm,
     "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
@@ -199,7 +194,9 @@ ORACLES = {
         o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-        c(node, root) AS (SELECT doc_id, doc_id FROM p UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node)
-        SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM c LEFT JOIN n ON n.doc_id = node GROUP BY 1
+        c(node, root) AS (SELECT doc_id, doc_id FROM p UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+        k AS (SELECT a, count(*) AS links FROM e GROUP BY 1)
+        SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, coalesce(any_value(k.links), 0) AS n_links
+        FROM c LEFT JOIN n ON n.doc_id = node LEFT JOIN k ON k.a = node GROUP BY 1
     """,
 }
