@@ -1,12 +1,17 @@
-"""Queries without SQL that run over whole tables, beside plain loops over the same rows."""
+"""Operators over whole tables, beside plain loops over the same rows."""
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connect
+from tidemark.operators import aggregates as A
+from tidemark.operators import experiments as X
+from tidemark.operators import joins as J
+from tidemark.operators import windows as W
 from tidemark.plans import geometry_catalog as catalog
 
 
@@ -19,22 +24,6 @@ def run(spark, sf, name):
     return [tuple(r) for r in catalog.QUERIES[name](spark, sf).collect()]
 
 
-def labels(edges, nodes=()):
-    """node -> least node joined to it."""
-    up = {n: n for n in nodes}
-
-    def root(x):
-        up.setdefault(x, x)
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in edges:
-        a, b = root(a), root(b)
-        up[max(a, b)] = min(a, b)
-    return {n: root(n) for n in up}
-
-
 @pytest.fixture(scope="module")
 def vectors(con):
     rows = con.execute("SELECT vec_id, embedding, label FROM embeddings ORDER BY vec_id").fetchall()
@@ -54,15 +43,15 @@ def nearest(vectors):
 def test_neighbours_of_every_vector(spark, sf, vectors, nearest):
     ids, _, label = vectors
     at, d2 = nearest
-    got = {i: (j, d) for i, j, d in run(spark, sf, "nn_embeddings_all")}
+    got = {i: (j, d) for i, j, d in run(spark, sf, "nn_embeddings")}
     assert set(got) == set(ids.tolist())
     assert all(got[i][0] == ids[a[0]] and got[i][1] == pytest.approx(d[0], abs=2e-6) for i, a, d in zip(ids.tolist(), at, d2))
     w = 1 / (np.sqrt(d2) + 1e-4)
     want = (w * label[at]).sum(1) / w.sum(1)
-    mean = dict(run(spark, sf, "idw_knn4_all"))
+    mean = dict(run(spark, sf, "idw_knn4"))
     assert set(mean) == set(ids.tolist()) and all(mean[i] == pytest.approx(v, abs=2e-5) for i, v in zip(ids.tolist(), want))
     clear = np.sqrt(d2[:, 0]) < 0.97 * np.sqrt(d2[:, 1])
-    assert set(run(spark, sf, "ratio_test_all")) == set(zip(ids[clear].tolist(), ids[at[clear, 0]].tolist()))
+    assert set(run(spark, sf, "ratio_test")) == set(zip(ids[clear].tolist(), ids[at[clear, 0]].tolist()))
 
 
 def test_set_iou_of_every_pair(spark, sf, con):
@@ -70,51 +59,24 @@ def test_set_iou_of_every_pair(spark, sf, con):
     for s, p in con.execute("SELECT l_suppkey, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey").fetchall():
         sets[s].add(p)
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
-    got = {(a, b): v for a, b, v in run(spark, sf, "set_iou_pairs_all")}
+    got = {(a, b): v for a, b, v in run(spark, sf, "set_iou_pairs")}
     assert got == pytest.approx(want)
 
 
-def test_components_of_every_order(spark, sf, con):
-    edges = con.execute("SELECT DISTINCT o_custkey % 97, o_orderkey % 89 + 1000 FROM orders").fetchall()
-    assert dict(run(spark, sf, "components_all")) == labels(edges)
-
-
-def test_pixel_components_of_every_line(spark, sf, con):
-    px = set(con.execute("SELECT DISTINCT l_partkey % 60, l_suppkey % 40 FROM lineitem").fetchall())
-    near = [(v * 60 + u, y * 60 + x) for u, v in px for x in (u - 1, u, u + 1) for y in (v - 1, v, v + 1) if (x, y) in px]
-    root = labels(near)
-    area = Counter(root.values())
-    want = {(u, v, root[v * 60 + u]) for u, v in px if area[root[v * 60 + u]] >= 0.05 * max(area.values())}
-    got = catalog.QUERIES["pixel_components_all"](spark, sf).select("u", "v", "label").collect()
-    assert set(map(tuple, got)) == want
-
-
-def test_reach_of_every_point(spark, sf, vectors):
-    ids, x, _ = vectors
-    p = x[:, :3]
-    want = {}
-    for i, v in zip(ids.tolist(), p):
-        d = np.sqrt(((p - v) ** 2).sum(1))
-        if d.min() <= 0.05 and (d < 0.2).sum() >= 3:
-            want[i] = (int((d < 0.2).sum()), float(d.min()))
-    got = {i: (n, d) for i, n, d in run(spark, sf, "within_reach_all")}
-    assert set(got) == set(want) and all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in got)
-
-
 def test_points_in_every_triangle(spark, sf, vectors):
     ids, x, _ = vectors
-    at = {i: v[:2] for i, v in zip(ids.tolist(), x)}
+    at = {i: v[:3] for i, v in zip(ids.tolist(), x)}
     want = {}
-    for t in sorted(at):
+    for t in at:
         if t + 1 in at and t + 2 in at:
-            (ax, ay), (bx, by), (cx, cy) = at[t], at[t + 1], at[t + 2]
+            (ax, ay, az), (bx, by, bz), (cx, cy, cz) = at[t], at[t + 1], at[t + 2]
             det = (bx - ax) * (cy - ay) - (cx - ax) * (by - ay)
             if det:
                 w1 = ((x[:, 0] - ax) * (cy - ay) - (cx - ax) * (x[:, 1] - ay)) / det
                 w2 = ((bx - ax) * (x[:, 1] - ay) - (x[:, 0] - ax) * (by - ay)) / det
-                for i in ids[(1 - w1 - w2 >= 0) & (w1 >= 0) & (w2 >= 0)].tolist():
-                    want.setdefault(i, t)
-    assert {r[0]: r[1] for r in run(spark, sf, "point_in_triangle_all")} == want
+                for i in ids[(1 - w1 - w2 >= -1e-6) & (w1 >= -1e-6) & (w2 >= -1e-6)].tolist():
+                    want[i] = min(want.get(i, (np.inf, 0)), ((az + bz + cz) / 3, t))
+    assert {r[0]: r[1] for r in run(spark, sf, "point_in_triangle")} == {i: t for i, (_, t) in want.items()}
 
 
 def test_bilinear_lookup_of_every_order(spark, sf, con):
@@ -128,7 +90,7 @@ def test_bilinear_lookup_of_every_order(spark, sf, con):
                 if c in img:
                     w = (x % 1 if dx else 1 - x % 1) * (y % 1 if dy else 1 - y % 1)
                     want[key] = want.get(key, 0.0) + w * float(img[c])
-    assert dict(run(spark, sf, "bilinear_lookup_all")) == pytest.approx(want, abs=1e-5)
+    assert dict(run(spark, sf, "bilinear_lookup")) == pytest.approx(want, abs=1e-5)
 
 
 def test_series_are_followed_to_their_end(spark, sf, con):
@@ -137,5 +99,76 @@ def test_series_are_followed_to_their_end(spark, sf, con):
         y, c = last.get(user, (value, s))
         y, c = y + min(max(value - y, -5), 5), s + max(math.ceil(c - 0.5 - s), 0)
         follow[event], clock[event], last[user] = y, c, (y, c)
-    assert dict(run(spark, sf, "slew_follow_all")) == pytest.approx(follow)
-    assert dict(run(spark, sf, "clock_repair_all")) == pytest.approx(clock)
+    assert dict(run(spark, sf, "slew_follow")) == pytest.approx(follow)
+    assert dict(run(spark, sf, "clock_repair")) == pytest.approx(clock)
+
+
+def test_neighbours_in_small_blocks(spark):
+    """Hot points (one third alike), several blocks and slots a pivot, fewer points than asked for, ties by id."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(r.normal(size=(1, 5)), 60, 0), r.normal(size=(120, 5)), r.integers(0, 2, (30, 5)).astype(float)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None)], "id long, vec array<double>")
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    for k, pivots, block in ((3, 8, 7), (70, 3, 50), (1, 64, 20_000)):
+        got = J.neighbours(df, df, "id", "id", "vec", k, pivots=pivots, block=block).collect()
+        want = {(i, int(j), n + 1) for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), d2[i]))[:k])}
+        assert {(r.id, r.near_id, r.rank) for r in got} == want and len(got) == len(want)
+    few = J.neighbours(df.where("id < 3"), df.where("id < 4"), "id", "id", "vec", 10).collect()
+    assert len(few) == 9 and J.neighbours(df.limit(0), df, "id", "id", "vec", 2).count() == 0 and J.neighbours(df, df.limit(0), "id", "id", "vec", 2).count() == 0
+
+
+def test_radius_join_splits_full_cells(spark):
+    r = np.random.default_rng(6)
+    p = np.concatenate([np.repeat(r.normal(size=(1, 2)), 50, 0), r.normal(size=(80, 2))])
+    df = spark.createDataFrame([(i, *v.tolist()) for i, v in enumerate(p)], "id long, x double, y double")
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    got = {(a.id, a.near_id) for a in J.radius_join(df, df, "id", "id", "xy", 0.3, block=9).collect()}
+    assert got == set(zip(*map(list, (x.tolist() for x in np.nonzero(d < 0.3)))))
+    far = {a.id: a.near_id for a in J.nearest_point(df.where("id >= 60"), df.where("id < 60"), "id", "id", "xy", 0.05).collect()}
+    assert far == {i: int(d[i, :60].argmin()) for i in range(60, len(p))}
+
+
+@pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
+def test_quantiles_are_exact(spark, monkeypatch, by):
+    monkeypatch.setattr(A, "ACCURACY", 50)  # wide brackets and many ties
+    r = np.random.default_rng(7)
+    rows = [(int(r.integers(3)) if k % 9 else None, "ab"[k % 2], float(v) if k % 13 else (None if k % 2 else float("nan"))) for k, v in enumerate(np.round(r.normal(size=4000), 2))]
+    df = spark.createDataFrame(rows + [(7, "a", None), (8, "a", 5.0)], "g int, h string, x double")
+    wanted = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {tuple(x[c] for c in by): [x[n] for n in wanted] for x in A.quantiles(df, by, F.col("x"), wanted).collect()}
+    groups = defaultdict(list)
+    for g, h, v in rows + [(7, "a", None), (8, "a", 5.0)]:
+        key = tuple({"g": g, "h": h}[c] for c in by)
+        groups[key] += [v] if v is not None and not math.isnan(v) else []
+    assert got.keys() == groups.keys()
+    for key, values in groups.items():
+        assert got[key] == (pytest.approx(np.quantile(values, list(wanted.values())).tolist()) if values else [None] * 5)
+
+
+def test_leaderboard_over_everything(spark):
+    df = spark.createDataFrame([(i, float(i * 7 % 13)) for i in range(200)] + [(900, None)], "i long, s double").repartition(7)
+    got = [r.i for r in X.leaderboard(df, "s", ["i"]).orderBy("rank").collect()]
+    assert got == sorted(range(200), key=lambda i: (-(i * 7 % 13), i)) + [900]
+
+
+@pytest.mark.parametrize("edge,n", [("reflect", 1), ("reflect", 5), ("reflect", 40), ("nearest", 30)])
+def test_gaussian_at_the_ends(spark, edge, n):
+    x = np.random.default_rng(n).normal(size=n)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "g string, i int, x double")
+    got = [r.y for r in W.gaussian_smooth(df, ["g"], ["i"], "x", 2.0, "y", edge).orderBy("i").collect()]
+    w = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    want = np.convolve(np.pad(x, 8, mode="symmetric" if edge == "reflect" else "edge"), w / w.sum(), "valid")
+    assert got == pytest.approx(want.tolist())
+
+
+def test_scan_keeps_a_value_over_nulls(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None), ("a", 2, 9.0), ("b", 0, None), ("b", 1, 4.0), (None, 0, 2.0)], "g string, i int, x double")
+    got = {(r.g, r.i): r.y for r in W.slew_follow(df, ["g"], ["i"], "x", 3.0, "y").collect()}
+    assert got == {("a", 0): 1.0, ("a", 1): 1.0, ("a", 2): 4.0, ("b", 0): None, ("b", 1): 4.0, (None, 0): 2.0}
+
+
+def test_greedy_select(spark):
+    rows = [("a", c) for c in range(5)] + [("b", c) for c in range(3, 9)] + [("c", c) for c in range(8, 11)] + [("d", c) for c in range(8, 11)] + [(None, 99)]
+    got = [tuple(r) for r in X.greedy_select(spark.createDataFrame(rows, "i string, c long"), "i", "c", 9).orderBy("round").collect()]
+    assert got == [(1, "b", 6), (2, "a", 3), (3, "c", 2)]

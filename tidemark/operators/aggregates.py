@@ -1,17 +1,84 @@
-"""Aggregates of the metric layer. Percentiles are exact; sums combine before the shuffle where Spark can."""
+"""Aggregates of the metric layer. Percentiles are exact; sums combine before the shuffle where Spark can.
+
+Groups that are cells, frames or objects take Spark's ``percentile``: their size is that of the thing measured. Where a group
+may be a large part of the table (all rows, a band, a region) ``quantiles`` finds the same numbers without bringing a
+group's values into one task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite
+from tidemark.session import materialize
 
 Names = Sequence[str]
 
 
+#: Accuracy of the sketch that brackets a quantile: a bracket holds about 8 / ACCURACY of a group's rows.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, by: Names, x: Column, wanted: dict[str, float]) -> DataFrame:
+    """by and one column for each wanted quantile of x, exact, by straight lines between ranks; null for groups without x.
+
+    One pass sketches every group (``percentile_approx``: a few thousand numbers, combined before the shuffle) and gives a
+    bracket for each quantile. A second pass counts what lies below the brackets and the distinct values inside; only
+    these few are ordered. With no ``by`` there is one row.
+    """
+    by, names = list(by), list(wanted)
+    rows = df.select(*by, finite(x).alias("__x"))
+    share = 4.0 / ACCURACY
+    ends = [min(max(q + d, 0.0), 1.0) for q in wanted.values() for d in (-share, share)]
+    sketch = rows.groupBy(*by).agg(F.count("__x").alias("__n"), F.min("__x").alias("__min"), F.max("__x").alias("__max"), F.percentile_approx("__x", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("__e"))
+    few = F.col("__n") < ACCURACY  # brackets of a few ranks need no sketch: all of a small group
+    asked = [
+        F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("__n") - 1)).alias("pos"), F.when(few, F.col("__min")).otherwise(F.get("__e", F.lit(2 * i))).alias("lo"), F.when(few, F.col("__max")).otherwise(F.get("__e", F.lit(2 * i + 1))).alias("hi"))
+        for i, q in enumerate(wanted.values())
+    ]
+    sketch = sketch.select(*by, "__n", F.array(*asked).alias("__q"))
+    keys = F.lit(True)
+    for c in by:
+        keys = keys & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    brackets = sketch.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__q")
+    met = rows.where("__x is not null").join(brackets, keys) if by else rows.where("__x is not null").crossJoin(F.broadcast(brackets))
+    # what lies under a bracket is one number for each; what lies inside keeps its values
+    place = F.explode(F.filter("__q", lambda e: F.col("__x") <= e["hi"])).alias("__b")
+    inside = met.select(*by, "__x", place).select(*by, F.col("__b.i").alias("__i"), F.when(F.col("__x") >= F.col("__b.lo"), F.col("__x")).alias("__v"))
+    counts = inside.groupBy(*by, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*by, "__i").orderBy(F.col("__v").asc_nulls_first())
+    counts = counts.withColumn("__upto", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__v is not null")
+    asked_for = sketch.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.explode("__q").alias("__b")).select(*[f"__k_{c}" for c in by], F.col("__b.i").alias("__k"), F.col("__b.pos").alias("__pos"))
+    ranked = counts.join(asked_for, keys & (F.col("__i") == F.col("__k")))
+    first, last = F.col("__upto") - F.col("__c"), F.col("__upto") - 1  # ranks that a value takes, from 0
+    at = lambda rank: F.max(F.when((first <= rank) & (rank <= last), F.col("__v")))
+    low, high = at(F.floor("__pos")), at(F.ceil("__pos"))
+    value = ranked.groupBy(*by, "__i").agg(low.alias("__a"), high.alias("__z"), F.max("__pos").alias("__pos"))
+    checked = F.when(F.col("__a").isNull() | F.col("__z").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    value = value.withColumn("__value", checked.otherwise(F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__pos") - F.floor("__pos"))))
+    wide = value.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__value"))).alias(n) for i, n in enumerate(names)])
+    every = sketch.select(*[F.col(c).alias(f"__k_{c}") for c in by])
+    if not by:
+        return wide
+    return every.join(wide, keys, "left").select(*[F.col(f"__k_{c}").alias(c) for c in by], *names)
+
+
+def with_quantiles(df: DataFrame, by: Names, x: Column, wanted: dict[str, float], *others: Column) -> DataFrame:
+    """by, ``others`` aggregated, and ``quantiles``."""
+    by = list(by)
+    rest = df.groupBy(*by).agg(*others)
+    q = quantiles(df, by, x, wanted)
+    if not by:
+        return rest.crossJoin(F.broadcast(q))
+    keys = F.lit(True)
+    for c in by:
+        keys = keys & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return rest.join(q.select(*[F.col(c).alias(f"__r_{c}") for c in by], *wanted), keys, "left").drop(*[f"__r_{c}" for c in by])
+
+
 def summary_columns(x: Column, prefix: str = "") -> list[Column]:
     """n, mean, median, p10, min, max of finite values; all but n are null where there is none."""
     v = finite(x)
@@ -26,15 +93,18 @@ def summary_columns(x: Column, prefix: str = "") -> list[Column]:
 
 
 def summarize(df: DataFrame, by: Names, x: str) -> DataFrame:
-    return df.groupBy(*by).agg(*summary_columns(F.col(x)))
+    """by, n, mean, median, p10, min, max of finite values, for groups of any size."""
+    v = finite(F.col(x))
+    s = with_quantiles(df, by, F.col(x), {"median": 0.5, "p10": 0.1}, F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return s.select(*by, "n", "mean", "median", "p10", "min", "max")
 
 
 def band_summary(df: DataFrame, bands: DataFrame, by: DataFrame | None, keys: Names, k: str, x: str) -> DataFrame:
     """Summary by band [lo, hi) of ``k`` and keys; bands (and keys of ``by``) without rows stay with n = 0.
 
-    ``bands`` (band, lo, hi) is a dimension of a few rows.
+    ``bands`` (band, lo, hi) is a dimension of a few rows, and the only side that is broadcast.
     """
-    frame = bands if by is None else bands.crossJoin(F.broadcast(by))
+    frame = bands if by is None else by.crossJoin(F.broadcast(bands))
     hit = df.join(F.broadcast(bands), (F.col(k) >= F.col("lo")) & (F.col(k) < F.col("hi")))
     got = summarize(hit, ["band", *keys], x)
     return frame.select("band", *keys).join(got, ["band", *keys], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
@@ -64,7 +134,7 @@ def guarded_median(df: DataFrame, by: Names, x: Column, more_than: int, out: str
 def pooled_and_grouped(df: DataFrame, group: str, x: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(one pooled median over all rows, medians of groups with at least ``least`` rows). Pooled is not a median of medians."""
     v = finite(F.col(x))
-    pooled = df.agg(F.percentile(v, 0.5).alias("median"), F.count(v).alias("n"))
+    pooled = with_quantiles(df, [], F.col(x), {"median": 0.5}, F.count(v).alias("n")).select("median", "n")
     by = df.groupBy(group).agg(F.percentile(v, 0.5).alias("median"), F.count(v).alias("n")).where(F.col("n") >= least)
     return pooled, by
 
@@ -121,14 +191,30 @@ def first_n_percentile(df: DataFrame, by: Names, order: Names, n: int, x: str, p
     return first_n(df, by, order, n).groupBy(*by).agg(F.percentile(F.col(x), pct).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-def trimmed_line(df: DataFrame, by: Names, x: str, y: str, keep: float = 2.0) -> DataFrame:
-    """Least squares y = a x + b, once more without rows whose residual exceeds ``keep`` times the median residual."""
-    x_, y_ = F.col(x).cast("double"), F.col(y).cast("double")
-    one = df.groupBy(*by).agg(F.regr_slope(y_, x_).alias("__a"), F.regr_intercept(y_, x_).alias("__b"))
-    off = df.join(one, list(by)).withColumn("__e", F.abs(y_ - F.col("__a") * x_ - F.col("__b")))
-    med = off.groupBy(*by).agg(F.percentile("__e", 0.5).alias("__m"))
-    kept = off.join(med, list(by)).where(F.col("__e") <= keep * F.col("__m"))
-    return kept.groupBy(*by).agg(F.regr_slope(y_, x_).alias("slope"), F.regr_intercept(y_, x_).alias("intercept"), F.count(F.lit(1)).alias("n"))
+def weighted_line(df: DataFrame, by: Names, x: Column, y: Column, w: Column) -> DataFrame:
+    """Weighted least squares y = a x + b: by, a, b, from five sums that combine before the shuffle. x is taken from its
+    weighted mean first, so large offsets cost no digits."""
+    rows = df.select(*by, x.cast("double").alias("__x"), y.cast("double").alias("__y"), w.cast("double").alias("__w")).where("__x is not null and __y is not null and __w > 0")
+    mean = rows.groupBy(*by).agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__mx"), (F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias("__my"))
+    off = rows.join(mean, list(by)) if by else rows.crossJoin(F.broadcast(mean))
+    dx, dy = F.col("__x") - F.col("__mx"), F.col("__y") - F.col("__my")
+    g = off.groupBy(*by).agg(F.sum(F.col("__w") * dx * dy).alias("__xy"), F.sum(F.col("__w") * dx * dx).alias("__xx"), F.first("__mx").alias("__mx"), F.first("__my").alias("__my"))
+    a = F.when(F.col("__xx") > 0, F.col("__xy") / F.col("__xx"))
+    return g.select(*by, a.alias("a"), (F.col("__my") - a * F.col("__mx")).alias("b"))
+
+
+def trimmed_line(df: DataFrame, by: Names, x: str, y: str, keep: float = 3.0, weight: str | None = None) -> DataFrame:
+    """Weighted least squares y = a x + b, once more without rows whose residual is not under ``keep`` times the median
+    residual: by, slope, intercept, n (rows of the second fit). Weights are 1 by default; the median does not weigh."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    one = weighted_line(df, by, F.col(x), F.col(y), w)
+    e = F.abs(F.col("a") * F.col(x).cast("double") + F.col("b") - F.col(y).cast("double"))
+    off = (df.join(one, list(by)) if by else df.crossJoin(F.broadcast(one))).withColumn("__e", e)
+    med = quantiles(off, by, F.col("__e"), {"__m": 0.5})
+    kept = (off.join(med, list(by)) if by else off.crossJoin(F.broadcast(med))).where(F.col("__e") < keep * F.col("__m") + 1e-9).drop("a", "b")
+    n = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    two = weighted_line(kept, by, F.col(x), F.col(y), w).select(*by, F.col("a").alias("slope"), F.col("b").alias("intercept"))
+    return two.join(n, list(by)) if by else two.crossJoin(F.broadcast(n))
 
 
 def ratio_scale(df: DataFrame, by: Names, num: str, den: str) -> DataFrame:
@@ -139,9 +225,12 @@ def ratio_scale(df: DataFrame, by: Names, num: str, den: str) -> DataFrame:
 
 
 def class_medians(df: DataFrame, x: str, classes: dict[str, Column]) -> DataFrame:
-    """Medians of overlapping classes in one pass: a conditional percentile each."""
+    """Medians of overlapping classes, and their sizes: each row counts once for every class it is in."""
     v = finite(F.col(x))
-    return df.agg(*[F.percentile(F.when(c, v), 0.5).alias(name) for name, c in classes.items()], *[F.count(F.when(c, v)).alias(f"n_{name}") for name, c in classes.items()])
+    of = F.explode(F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in classes.items()]), lambda c: c.isNotNull()))
+    long = with_quantiles(df.select(of.alias("__class"), v.alias("__v")), ["__class"], F.col("__v"), {"__m": 0.5}, F.count("__v").alias("__n"))
+    pick = lambda name, c: F.max(F.when(F.col("__class") == name, F.col(c)))
+    return long.agg(*[pick(name, "__m").alias(name) for name in classes], *[F.coalesce(pick(name, "__n"), F.lit(0)).cast("long").alias(f"n_{name}") for name in classes])
 
 
 def rate_by(df: DataFrame, group: str, ok: Column) -> DataFrame:
@@ -150,14 +239,16 @@ def rate_by(df: DataFrame, group: str, ok: Column) -> DataFrame:
 
 
 def median_by(df: DataFrame, group: str, x: str) -> DataFrame:
-    """Median by group and over all, by grouping sets."""
-    return df.select(F.col(group).alias("g"), F.col(x).alias("v")).rollup("g").agg(F.percentile("v", 0.5).alias("median"), F.count("v").alias("n"), F.grouping("g").cast("int").alias("total")).withColumnRenamed("g", group)
+    """Median by group and over all (group null, ``total`` 1)."""
+    both = df.select(F.explode(F.array(F.struct(F.col(group).alias("g"), F.lit(0).alias("total")), F.struct(F.lit(None).cast(df.schema[group].dataType).alias("g"), F.lit(1).alias("total")))).alias("s"), F.col(x).cast("double").alias("v"))
+    both = both.select(F.col("s.g").alias(group), F.col("s.total").alias("total"), "v")
+    return with_quantiles(both, [group, "total"], F.col("v"), {"median": 0.5}, F.count("v").alias("n")).select(group, "median", "n", "total")
 
 
 def mean_or_median(long: DataFrame, by: Names, metric: str, value: str, median_if: str = "depth|max") -> DataFrame:
     """Per metric the median where its name matches, else the mean."""
     v = finite(F.col(value))
-    g = long.groupBy(*by, metric).agg(F.avg(v).alias("__a"), F.percentile(v, 0.5).alias("__m"), F.count(v).alias("n"))
+    g = with_quantiles(long, [*by, metric], F.col(value), {"__m": 0.5}, F.avg(v).alias("__a"), F.count(v).alias("n"))
     return g.select(*by, metric, F.when(F.col(metric).rlike(median_if), F.col("__m")).otherwise(F.col("__a")).alias("value"), "n")
 
 
@@ -167,24 +258,29 @@ def band_extremes(df: DataFrame, band: str, x: str) -> DataFrame:
     return df.select(F.col(band).alias("g"), v.alias("v")).rollup("g").agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.count("v").alias("n"), F.grouping("g").cast("int").alias("total")).withColumnRenamed("g", band)
 
 
-def alternating_calibration(df: DataFrame, frame: str, x: str, y: str, rounds: int = 10, least: int = 3) -> DataFrame:
-    """y = a x + b_frame: per-frame median offsets and one trimmed slope, in turn. (frame, a, b, n); frames with fewer
-    than ``least`` rows get no offset. Each round is two small aggregates."""
-    rows = df.select(F.col(frame).alias("f"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    a = rows.agg(F.regr_slope("y", "x")).first()[0] or 0.0
+def alternating_calibration(df: DataFrame, frame: str, x: str, y: str, rounds: int = 10, least: int = 3, a: float = 3.0, b: float = 5.0, keep: float = 3.0) -> DataFrame:
+    """y = a x + b_frame: per-frame median offsets and one slope, in turn, from the given start: (frame, a, b, n).
+
+    Frames with fewer than ``least`` rows keep the offset ``b`` while the slope is found and are left out of the result.
+    The slope is that of rows whose residual is under ``keep`` times the median residual. A round is two small aggregates
+    and one exact median over all rows; only the slope comes to the driver.
+    """
+    rows = materialize(df.select(F.col(frame).alias("f"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null"), "calibration")
+
+    def offsets(a: float) -> DataFrame:
+        return rows.groupBy("f").agg(F.percentile(F.col("y") - F.lit(a) * F.col("x"), 0.5).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
     for _ in range(rounds):
-        b = rows.groupBy("f").agg(F.percentile(F.col("y") - F.lit(a) * F.col("x"), 0.5).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        off = rows.join(b, "f").withColumn("e", F.abs(F.col("y") - F.lit(a) * F.col("x") - F.col("b")))
-        cut = off.agg(F.percentile("e", 0.9)).first()[0]
-        z = off.where(F.col("e") <= cut).agg(F.sum(F.col("x") * (F.col("y") - F.col("b"))).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx")).first()
+        off = rows.join(offsets(a), "f", "left").withColumn("r", F.col("y") - F.coalesce("b", F.lit(b))).withColumn("e", F.abs(F.col("r") - F.lit(a) * F.col("x")))
+        cut = quantiles(off, [], F.col("e"), {"m": 0.5}).first().m
+        z = off.where(F.col("e") < keep * (cut or 0.0) + 1e-6).agg(F.sum(F.col("x") * F.col("r")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx")).first()
         a = z.xy / z.xx if z.xx else a
-    b = rows.groupBy("f").agg(F.percentile(F.col("y") - F.lit(a) * F.col("x"), 0.5).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return b.select(F.col("f").alias(frame), F.lit(a).alias("a"), "b", "n")
+    return offsets(a).select(F.col("f").alias(frame), F.lit(a).alias("a"), "b", "n")
 
 
 def percent_errors(df: DataFrame, x: str) -> DataFrame:
     v = finite(F.col(x))
-    return df.agg(F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.9).alias("p90"), F.count(v).alias("n"))
+    return with_quantiles(df, [], F.col(x), {"median": 0.5, "p90": 0.9}, F.count(v).alias("n")).select("median", "p90", "n")
 
 
 def scatter(df: DataFrame, index: str, x: str) -> DataFrame:

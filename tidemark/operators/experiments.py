@@ -7,16 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import finite
+from tidemark.operators.aggregates import quantiles
+from tidemark.session import materialize
 
 Names = Sequence[str]
 
 
 def leaderboard(df: DataFrame, score: str, order: Names, by: Names = (), digits: int | None = None) -> DataFrame:
-    """Adds ``rank``: scores from high to low, equals in the given order; with ``digits`` scores are rounded first."""
+    """Adds ``rank``: scores from high to low, equals in the given order; with ``digits`` scores are rounded first.
+
+    Without ``by`` the table is sorted by range; a row's rank is its place in its range and the rows of those before.
+    """
     s = F.bround(score, digits) if digits is not None else F.col(score)
-    w = Window.partitionBy(*by).orderBy(s.desc_nulls_last(), *order) if by else Window.partitionBy(F.lit(0)).orderBy(s.desc_nulls_last(), *order)
-    return df.withColumn("rank", F.row_number().over(w))
+    if by:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(s.desc_nulls_last(), *order)))
+    placed = materialize(df.orderBy(s.desc_nulls_last(), *order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    # the identifier's upper bits number the range, its lower 33 the row in it
+    ranges = placed.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    ranges = ranges.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    ranked = placed.withColumn("__range", F.shiftright("__at", 33)).join(F.broadcast(ranges), "__range")
+    return ranked.withColumn("rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*df.columns, "rank")
 
 
 def first_best(df: DataFrame, by: Names, cost: Column, order: Names, take: Names) -> DataFrame:
@@ -35,18 +46,21 @@ def hold_out(df: DataFrame, config: str, part: str, select_on: str, test_on: str
     return best.select(F.col("a.c").alias("chosen"), (-F.col("a.k")).alias("select_score"), F.col("a.t").alias("test_score"), F.col("b.c").alias("best"), (-F.col("b.k")).alias("best_score"), (-F.col("b.k") - F.col("a.t")).alias("regret"))
 
 
-def greedy_select(df: DataFrame, item: str, covers: str, rounds: int) -> list[tuple]:
-    """Items chosen one at a time by how many uncovered things they cover; of equals the least. [(item, gain)].
+def greedy_select(df: DataFrame, item: str, covers: str, rounds: int) -> DataFrame:
+    """Items chosen one at a time by how many uncovered things they cover; of equals the least: (round, item, gain).
 
-    One aggregate and one anti join a round; only the winner comes to the driver.
+    A round is one aggregate, whose winner is one row, and one join against what it covers; what is left is written, so
+    the plan does not grow. Ends early when nothing is left to cover.
     """
-    left, chosen = df.select(F.col(item).alias("i"), F.col(covers).alias("c")).distinct(), []
-    for _ in range(rounds):
-        best = left.groupBy("i").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), "i")).alias("b")).select("b.*").first()
-        if best.k is None:
-            break
-        chosen.append((best.i, -best.k))
-        left = left.join(left.where(F.col("i") == F.lit(best.i)).select("c"), "c", "left_anti").select("i", "c")
+    left = materialize(df.select(F.col(item).alias("i"), F.col(covers).alias("c")).where("i is not null and c is not null").distinct(), "uncovered")
+    chosen = None
+    for k in range(rounds):
+        best = left.groupBy("i").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), "i")).alias("b")).where("b is not null")
+        best = materialize(best.select(F.lit(k + 1).alias("round"), F.col("b.i").alias(item), (-F.col("b.k")).alias("gain")), "winner")
+        chosen = best if chosen is None else chosen.unionByName(best)
+        if k + 1 < rounds:
+            taken = left.join(F.broadcast(best.select(F.col(item).alias("i"))), "i", "left_semi").select("c")
+            left = materialize(left.join(taken, "c", "left_anti").select("i", "c"), "uncovered")
     return chosen
 
 
@@ -108,13 +122,12 @@ def best_frame(df: DataFrame, k: str, distance: str) -> DataFrame:
 
 def rest_candidates(df: DataFrame, candidate: str, ratio: Column) -> DataFrame:
     """1st and 99th percentile of a length ratio by candidate."""
-    v = finite(ratio)
-    return df.groupBy(candidate).agg(F.percentile(v, 0.01).alias("p1"), F.percentile(v, 0.99).alias("p99"))
+    return quantiles(df, [candidate], ratio, {"p1": 0.01, "p99": 0.99})
 
 
 def trim_tails(df: DataFrame, by: Names, x: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows between two percentiles of their key."""
-    cut = df.groupBy(*by).agg(F.percentile(x, low).alias("__lo"), F.percentile(x, high).alias("__hi"))
+    cut = quantiles(df, by, F.col(x), {"__lo": low, "__hi": high})
     return df.join(cut, list(by)).where((F.col(x) >= F.col("__lo")) & (F.col(x) <= F.col("__hi"))).drop("__lo", "__hi") if by else df.crossJoin(F.broadcast(cut)).where((F.col(x) >= F.col("__lo")) & (F.col(x) <= F.col("__hi"))).drop("__lo", "__hi")
 
 

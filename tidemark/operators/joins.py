@@ -8,13 +8,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
+from tidemark.session import materialize, ship_package
 
 Names = Sequence[str]
 
+#: Most rows that ``join_hot`` and ``radius_join`` broadcast.
+HOT = 1024
+#: Points that a block of the neighbour search or a grid cell of a radius join holds; larger ones are split.
+BLOCK = 20_000
+#: Pivots of the neighbour search: so many rows come to the driver.
+PIVOTS = 64
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: Names, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row a key and its number of rows in column ``weight``.
+
+    The ``HOT`` heaviest keys' facts are broadcast, so their rows never enter a shuffle; all other keys, each with fewer
+    than one in ``HOT`` of the rows, meet by an ordinary join. Keys are not null.
+    """
+    keys = list(keys)
+    top = materialize(facts.where(F.col(weight) > 1).orderBy(F.desc(weight), *keys).limit(HOT), "hot")
+    heavy = rows.join(F.broadcast(top), keys)
+    light = rows.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(facts, keys)
+    return heavy.unionByName(light)
+
 
 def _struct(cols: Names) -> Column:
     return F.struct(*[F.col(c) for c in cols])
@@ -78,24 +101,116 @@ def interpolate_frames(at: DataFrame, grid: DataFrame, t: str, fps: float, k: st
     return out.select(*at.columns, *[(F.col(f"__a_{v}") + (F.col(f"__b_{v}") - F.col(f"__a_{v}")) * F.col("__w")).alias(v) for v in values])
 
 
-def block_neighbours(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, k: int, skip_same: bool = True, blocks: int = 8, dims: int | None = None) -> DataFrame:
-    """The k nearest points of each query in any number of dimensions: (q_id, p_id, d2, rank), ties by p_id.
-
-    Points are dealt to ``blocks``; each block is met by the stated queries and keeps k for each, so what leaves a block
-    is bounded by k rows a query; the blocks' answers are merged by a second top k. Give ``dims`` where it is fixed.
+def _distances2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a from all rows of b by one matrix product; good to about 1e-13 of the lengths."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T), 0.0)
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1) if len(a) else np.zeros((0, 1))
+
+
+def _best_of_block(k: int, skip_same: bool):
+    """Queries and points of one block -> the k nearest points of every query, by exact distances, ties by id."""
+    out = pa.schema([("q", pa.int64()), ("qv", pa.list_(pa.float64())), ("p", pa.int64()), ("d2", pa.float64())])
+
+    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        q, p = left.column("q").to_numpy(), right.column("p").to_numpy()
+        if not len(q) or not len(p):
+            return out.empty_table()
+        by = np.argsort(p, kind="stable")
+        p, pv, qv = p[by], _vectors(right.column("pv"))[by], _vectors(left.column("qv"))
+        qs, ps, ds = [], [], []
+        for lo in range(0, len(q), 256):
+            part = qv[lo : lo + 256]
+            d = _distances2(part, pv)
+            if skip_same:
+                d[q[lo : lo + 256, None] == p[None]] = np.inf
+            n = min(k, len(p))
+            limit = np.partition(d, n - 1, axis=1)[:, n - 1]
+            slack = 1e-9 * (1.0 + (part * part).sum(1) + (pv * pv).sum(1).max())
+            i, j = np.nonzero((d <= (limit + slack)[:, None]) & np.isfinite(d))
+            exact = ((part[i] - pv[j]) ** 2).sum(1)
+            order = np.lexsort((j, exact, i))  # points are in order of id
+            i, j, exact = i[order], j[order], exact[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = rank < k
+            qs.append(lo + i[keep]), ps.append(p[j[keep]]), ds.append(exact[keep])
+        at = np.concatenate(qs)
+        return pa.table({"q": q[at], "qv": left.column("qv").combine_chunks().take(pa.array(at)), "p": np.concatenate(ps), "d2": np.concatenate(ds)}).cast(out)
+
+    return best
+
+
+def neighbours(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, k: int, skip_same: bool = True, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """The k nearest points of each query in any number of dimensions, exact: (q_id, near_<p_id>, d2, rank), ties by p_id.
+
+    Points are dealt to the nearest of at most ``pivots`` pivots (a sample by hash, the only vectors that come to the
+    driver), and a pivot's points to blocks of about ``block``. A query first meets the blocks of its own pivot, which
+    bounds its k-th distance; of the other pivots it meets only those whose ball may hold something nearer. A block
+    answers all its queries by matrix products and gives k rows a query. Ids are whole numbers; null vectors are left out.
     """
-    from tidemark.functions.geometry import array_distance2
-
-    q = queries.select(F.col(q_id).alias("__q"), F.transform(vec, lambda x: x.cast("double")).alias("__qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    p = points.select(F.col(p_id).alias("__p"), F.transform(vec, lambda x: x.cast("double")).alias("__pv"), F.pmod(F.hash(p_id), F.lit(blocks)).alias("__b"))
-    pairs = q.join(p, "__b")
-    if skip_same:
-        pairs = pairs.where("__q <> __p")
-    scored = pairs.select("__b", "__q", "__p", array_distance2(F.col("__qv"), F.col("__pv"), dims).alias("d2"))
-    inner = Window.partitionBy("__b", "__q").orderBy("d2", "__p")
-    best = scored.withColumn("__r", F.row_number().over(inner)).where(F.col("__r") <= k)
-    outer = Window.partitionBy("__q").orderBy("d2", "__p")
-    return best.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k).select(F.col("__q").alias(q_id), F.col("__p").alias(f"near_{p_id}"), "d2", "rank")
+    spark = points.sparkSession
+    ship_package(spark)
+    as_double = lambda df, i, n: df.where(F.col(vec).isNotNull()).select(F.col(i).cast("long").alias(n), F.transform(vec, lambda x: x.cast("double")).alias(n + "v"))
+    q, p = as_double(queries, q_id, "q"), as_double(points, p_id, "p")
+    chosen = [r.pv for r in p.orderBy(F.xxhash64("p"), "p").limit(pivots).collect()]  # at most ``pivots`` vectors
+    if not chosen:
+        return spark.createDataFrame([], f"{q_id} long, near_{p_id} long, d2 double, rank int")
+    centres = spark.sparkContext.broadcast(np.array(chosen))
+
+    def dealt(batches):
+        for b in batches:
+            v = _vectors(b.column(1))
+            d = np.sqrt(_distances2(v, centres.value))
+            at = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at], pa.float64())], ["p", "pv", "c", "r"])
+
+    placed = materialize(p.mapInArrow(dealt, "p long, pv array<double>, c int, r double"), "placed")
+    balls = {r.c: (r.r, r.n) for r in placed.groupBy("c").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+    parts = {c: -(-n // block) for c, (_, n) in balls.items()}
+    n_parts = F.element_at(F.create_map(*[x for c, n in parts.items() for x in (F.lit(c), F.lit(n))]), F.col("c"))
+    p_blocks = placed.select("p", "pv", "c", F.pmod(F.xxhash64("p"), n_parts).cast("int").alias("s"))
+    slots = max(1, -(-queries.count() // block))
+    radius, slack = {c: r for c, (r, _) in balls.items()}, 1e-6
+
+    def to_blocks(first: bool):
+        """Queries (with the k-th distance so far, where known) -> one row for every block they must meet."""
+        live = sorted(parts)
+
+        def send(batches):
+            for b in batches:
+                v = _vectors(b.column(1))
+                d = np.sqrt(_distances2(v, centres.value))
+                own = d[:, live].argmin(1)
+                if first:
+                    meet = np.zeros((len(v), len(live)), bool)
+                    meet[np.arange(len(v)), own] = True
+                else:
+                    reach = b.column(2).to_numpy(zero_copy_only=False)[:, None]
+                    meet = ~(d[:, live] - np.array([radius[c] for c in live]) > reach + slack)  # no bound yet (NaN): all
+                    meet[np.arange(len(v)), own] = False
+                i, c = np.nonzero(meet)
+                times = np.array([parts[x] for x in live])[c]
+                i, c = np.repeat(i, times), np.repeat(c, times)
+                s = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(np.array(live)[c], pa.int32()), pa.array(s, pa.int32())], ["q", "qv", "c", "s"])
+
+        return send
+
+    def ask(rows: DataFrame, first: bool) -> DataFrame:
+        sent = rows.mapInArrow(to_blocks(first), "q long, qv array<double>, c int, s int").withColumn("t", F.pmod(F.xxhash64("q"), F.lit(slots)).cast("int"))
+        spread = p_blocks.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))) if slots > 1 else p_blocks.withColumn("t", F.lit(0))
+        return sent.groupBy("c", "s", "t").cogroup(spread.groupBy("c", "s", "t")).applyInArrow(_best_of_block(k, skip_same), "q long, qv array<double>, p long, d2 double")
+
+    near = materialize(ask(q, True), "near")
+    order = Window.partitionBy("q").orderBy("d2", "p")
+    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q", F.sqrt("d2").alias("reach"))
+    more = ask(q.join(kth, "q", "left").select("q", "qv", F.coalesce("reach", F.lit(float("nan"))).alias("reach")), False)
+    every = near.select("q", "p", "d2").unionByName(more.select("q", "p", "d2")).distinct()
+    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(F.col("q").alias(q_id), F.col("p").alias(f"near_{p_id}"), "d2", "rank")
 
 
 def inverse_distance(neighbours: DataFrame, values: DataFrame, q_id: str, near_id: str, p_id: str, value: str, out: str, soft: float = 1e-4) -> DataFrame:
@@ -119,47 +234,71 @@ def _cells(df: DataFrame, coords: Names, size: float, around: bool) -> DataFrame
     return df
 
 
-def radius_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, coords: Names, radius: float, strict: bool = True) -> DataFrame:
-    """Pairs (l_id, r_id, d) nearer than ``radius``: right points meet the grid cells around each left point."""
+def radius_join(left: DataFrame, right: DataFrame, l_id: str, r_id: str, coords: Names, radius: float, strict: bool = True, block: int = BLOCK) -> DataFrame:
+    """Pairs (l_id, r_id, d) nearer than ``radius``: right points meet the grid cells around each left point.
+
+    Cells of more than ``block`` right points (the ``HOT`` fullest of them) are dealt to several tasks, each of which
+    meets the cell's left points.
+    """
+    cells = [f"__c_{c}" for c in coords]
     a = _cells(left.select(F.col(l_id).alias("__l"), *[F.col(c).alias(f"l_{c}") for c in coords], *coords), coords, radius, True).drop(*coords)
     b = _cells(right.select(F.col(r_id).alias("__r"), *coords), coords, radius, False)
-    pairs = a.join(b, [f"__c_{c}" for c in coords])
+    full = b.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block).orderBy(F.desc("__n"), *cells).limit(HOT)
+    full = F.broadcast(full.select(*cells, F.ceil(F.col("__n") / block).cast("int").alias("__parts")))
+    b = b.join(full, cells, "left").withColumn("__s", F.pmod(F.xxhash64("__r"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    a = a.join(full, cells, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    pairs = a.join(b, [*cells, "__s"])
     d = F.sqrt(sum(((F.col(f"l_{c}") - F.col(c)) ** 2 for c in coords[1:]), (F.col(f"l_{coords[0]}") - F.col(coords[0])) ** 2))
     pairs = pairs.select(F.col("__l").alias(l_id), F.col("__r").alias(r_id if r_id != l_id else f"near_{r_id}"), d.alias("d"))
     return pairs.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 
-def nearest_point(left: DataFrame, right: DataFrame, l_id: str, r_id: str, coords: Names, radius: float) -> DataFrame:
-    """Nearest right point within ``radius`` of each left point, ties by id; left points without one keep nulls."""
+def nearest_point(left: DataFrame, right: DataFrame, l_id: str, r_id: str, coords: Names, radius: float, exact: bool = True) -> DataFrame:
+    """Nearest right point of each left point, ties by id: (l_id, r_id, d).
+
+    Most are found in the grid cells within ``radius``; with ``exact`` the rest are asked of all points by ``neighbours``,
+    else they keep nulls. Ids are whole numbers.
+    """
     near = radius_join(left, right, l_id, r_id, coords, radius, strict=False)
     name = r_id if r_id != l_id else f"near_{r_id}"
     best = near.groupBy(l_id).agg(F.min(F.struct("d", name)).alias("__b")).select(l_id, F.col(f"__b.{name}").alias(name), F.col("__b.d").alias("d"))
+    if exact:
+        vec = lambda df, i: df.select(i, F.array(*[F.col(c).cast("double") for c in coords]).alias("__vec"))
+        best = materialize(best, "within")
+        far = neighbours(vec(left.join(best.select(l_id), l_id, "left_anti"), l_id), vec(right, r_id), l_id, r_id, "__vec", 1, skip_same=False)
+        best = best.unionByName(far.select(l_id, F.col(f"near_{r_id}").alias(name), F.sqrt("d2").alias("d")))
     return left.select(l_id).join(best, l_id, "left")
 
 
+def reached(near: DataFrame, l_id: str, first: float, then: float, least: int) -> DataFrame:
+    """Of pairs (l_id, d): the ids whose nearest is within ``first`` and that have ``least`` nearer than ``then``: (l_id, n, nearest)."""
+    g = near.groupBy(l_id).agg(F.sum((F.col("d") < then).cast("long")).alias("n"), F.min("d").alias("nearest"))
+    return g.where((F.col("nearest") <= first) & (F.col("n") >= least))
+
+
 def within_reach(left: DataFrame, right: DataFrame, l_id: str, r_id: str, coords: Names, first: float, then: float, least: int) -> DataFrame:
     """Left points whose nearest right point is within ``first`` and that have ``least`` of them nearer than ``then``:
     (l_id, n, nearest)."""
-    near = radius_join(left, right, l_id, r_id, coords, max(first, then), strict=False)
-    g = near.groupBy(l_id).agg(F.sum((F.col("d") < then).cast("long")).alias("n"), F.min("d").alias("nearest"))
-    return g.where((F.col("nearest") <= first) & (F.col("n") >= least))
+    return reached(radius_join(left, right, l_id, r_id, coords, max(first, then), strict=False), l_id, first, then, least)
 
 
-def in_triangles(points: DataFrame, triangles: DataFrame, p_id: str, t_id: str, cell: float, tolerance: float = 0.0) -> DataFrame:
-    """First triangle (by id) that holds each point, with barycentric weights: (p_id, t_id, w0, w1, w2).
+def in_triangles(points: DataFrame, triangles: DataFrame, p_id: str, t_id: str, cell: float, tolerance: float = 0.0, depth: str | None = None) -> DataFrame:
+    """The triangle that holds each point, with barycentric weights: (p_id, t_id, w0, w1, w2).
 
-    points: p_id, x, y. triangles: t_id, ax, ay, bx, by, cx, cy. Triangles meet points in the grid cells of their boxes.
+    Of several the front-most counts, that is the least ``depth`` (a column of the triangles), then the least id; without
+    ``depth`` the least id. points: p_id, x, y. triangles: t_id, ax, ay, bx, by, cx, cy. Triangles meet points in the grid
+    cells of their boxes.
     """
     from tidemark.functions.geometry import barycentric2
 
     span = lambda a: F.explode(F.sequence(F.floor(F.least(*[F.col(f"{p}{a}") for p in "abc"]) / cell), F.floor(F.greatest(*[F.col(f"{p}{a}") for p in "abc"]) / cell)))
-    t = triangles.withColumn("__cx", span("x")).withColumn("__cy", span("y"))
+    t = triangles.withColumn("__cx", span("x")).withColumn("__cy", span("y")).withColumn("__z", F.col(depth) if depth else F.lit(0.0))
     p = points.withColumn("__cx", F.floor(F.col("x") / cell)).withColumn("__cy", F.floor(F.col("y") / cell))
     w = barycentric2(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by", "cx", "cy")])
     hit = p.join(t, ["__cx", "__cy"]).withColumn("__w", w)
     low = F.lit(-tolerance)
     hit = hit.where((F.col("__w.w0") >= low) & (F.col("__w.w1") >= low) & (F.col("__w.w2") >= low))
-    return hit.groupBy(p_id).agg(F.min(F.struct(t_id, "__w")).alias("__b")).select(p_id, F.col(f"__b.{t_id}").alias(t_id), "__b.__w.w0", "__b.__w.w1", "__b.__w.w2")
+    return hit.groupBy(p_id).agg(F.min(F.struct("__z", t_id, "__w")).alias("__b")).select(p_id, F.col(f"__b.{t_id}").alias(t_id), "__b.__w.w0", "__b.__w.w1", "__b.__w.w2")
 
 
 def lookup_clamped(rows: DataFrame, image: DataFrame, u: str, v: str, width: int, height: int, value: str) -> DataFrame:

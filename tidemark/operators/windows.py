@@ -7,12 +7,15 @@ and adds columns. Series are window partitions: one shuffle by the series' key,
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import clip, finite
+from tidemark.session import ship_package
 
 Names = Sequence[str]
 
@@ -116,30 +119,39 @@ def _series(df: DataFrame, by: Names, order: Names, x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("__s"))
 
 
-def slew_follow(df: DataFrame, by: Names, order: Names, x: str, limit: float, out: str) -> DataFrame:
-    """y follows x by at most ``limit`` a row, starting at x. Gives by, order, x and ``out``; a series is folded in one array."""
-    s = _series(df, by, order, x)
+def scan(df: DataFrame, by: Names, order: Names, x: str, out: str, step: Callable[[float, float], float]) -> DataFrame:
+    """by, order, x and ``out``: y = x in a series' first row, then y = step(last y, x). Rows whose x is null keep the last y.
 
-    def step(acc: Column, e: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.array_append(acc, last + clip(e["__x"] - last, -limit, limit))
+    A recurrence that no window function expresses: series are sorted within partitions and streamed, one number of state,
+    so time is linear in the rows and memory does not grow with a series.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select(*by, *order, F.col(x).cast("double").alias(x)).repartition(*by).sortWithinPartitions(*by, *order)
+    n = len(by)
 
-    y = F.aggregate(F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))), F.array(F.col("__s")[0]["__x"].cast("double")), step)
-    both = F.arrays_zip(F.col("__s").alias("e"), y.alias("y"))
-    return s.select(*by, F.explode(both).alias("__z")).select(*by, *[F.col(f"__z.e.{o}").alias(o) for o in order], F.col("__z.e.__x").alias(x), F.col("__z.y").alias(out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, y = None, None
+        for batch in batches:
+            keys, values, ys = list(zip(*[batch.column(i).to_pylist() for i in range(n)])), batch.column(batch.num_columns - 1).to_pylist(), []
+            for k, v in zip(keys, values):
+                if k != key:
+                    key, y = k, v
+                elif v is not None:
+                    y = v if y is None else step(y, v)
+                ys.append(y)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ys, pa.float64())], [*batch.schema.names, out])
 
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
 
-def monotonic_clock(df: DataFrame, by: Names, order: Names, x: str, out: str, slack: float = 0.5) -> DataFrame:
-    """Whole seconds are added to a reading until it is not below the last one less ``slack``."""
-    s = _series(df, by, order, x)
 
-    def step(acc: Column, e: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.array_append(acc, e["__x"] + F.greatest(F.ceil(last - F.lit(slack) - e["__x"]), F.lit(0)))
+def slew_follow(df: DataFrame, by: Names, order: Names, x: str, limit: float, out: str) -> DataFrame:
+    """y follows x by at most ``limit`` a row, starting at x. Gives by, order, x and ``out``."""
+    return scan(df, by, order, x, out, lambda y, v: y + min(max(v - y, -limit), limit))
+
 
-    y = F.aggregate(F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))), F.array(F.col("__s")[0]["__x"].cast("double")), step)
-    both = F.arrays_zip(F.col("__s").alias("e"), y.alias("y"))
-    return s.select(*by, F.explode(both).alias("__z")).select(*by, *[F.col(f"__z.e.{o}").alias(o) for o in order], F.col("__z.e.__x").alias(x), F.col("__z.y").alias(out))
+def monotonic_clock(df: DataFrame, by: Names, order: Names, x: str, out: str, slack: float = 0.5) -> DataFrame:
+    """Whole seconds are added to a reading until it is not below the last one less ``slack``."""
+    return scan(df, by, order, x, out, lambda y, v: v + max(math.ceil(y - slack - v), 0))
 
 
 def resample_path(df: DataFrame, by: Names, order: Names, coords: Names, n: int) -> DataFrame:
@@ -179,25 +191,34 @@ def trim_still(df: DataFrame, by: Names, order: Names, coords: Names, far: float
 
 
 def gaussian_smooth(df: DataFrame, by: Names, order: Names, x: str, sigma: float, out: str, edge: str = "reflect") -> DataFrame:
-    """Gaussian weights to four sigma. Beyond the ends: ``reflect`` (end value repeated, then mirrored) or ``nearest``."""
+    """Gaussian weights to four sigma. Beyond the ends: ``reflect`` (end value repeated, then mirrored) or ``nearest``.
+
+    Neighbours come by lag and lead; only the first and last values that mirroring can reach are kept beside each row.
+    """
     r = int(4.0 * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
     total = sum(weights)
-    w = _w(by, order)
-    df = df.withColumn("__all", F.collect_list(F.col(x).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("__i", F.row_number().over(w) - 1)
-    n = F.size("__all")
-
-    def at(k: int) -> Column:
-        i = F.col("__i") + k
-        if edge == "nearest":
-            j = F.least(F.greatest(i, F.lit(0)), n - 1)
-        else:
+    w, part = _w(by, order), Window.partitionBy(*by)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = F.col(x).cast("double")
+    df = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(part).cast("int"))
+    if edge == "nearest":
+        df = df.withColumn("__first", F.first(v).over(whole)).withColumn("__last", F.last(v).over(whole))
+        at = lambda k: F.when(F.col("__i") + k < 0, F.col("__first")).when(F.col("__i") + k >= F.col("__n"), F.col("__last")).otherwise(F.lag(v, -k).over(w))
+    else:
+        near = lambda ok: F.collect_list(F.when(ok, F.struct(v.alias("v")))).over(whole)
+        df = df.withColumn("__head", near(F.col("__i") < r)).withColumn("__tail", near(F.col("__i") >= F.col("__n") - r))
+        n = F.col("__n")
+
+        def at(k: int) -> Column:
+            i = F.col("__i") + k
             m = F.pmod(i, 2 * n)
             j = F.when(m < n, m).otherwise(2 * n - 1 - m)
-        return F.get("__all", j)
+            far = F.when(j < r, F.get("__head", j)["v"]).otherwise(F.get("__tail", j - (n - F.size("__tail")))["v"])
+            return F.when((i < 0) | (i >= n), far).otherwise(F.lag(v, -k).over(w))
 
     y = sum((at(k) * F.lit(weights[k + r] / total) for k in range(-r + 1, r + 1)), at(-r) * F.lit(weights[0] / total))
-    return df.withColumn(out, y).drop("__all", "__i")
+    return df.withColumn(out, y).drop("__i", "__n", "__first", "__last", "__head", "__tail")
 
 
 def median_filter(df: DataFrame, by: Names, order: Names, x: str, width: int, out: str) -> DataFrame:

@@ -61,20 +61,13 @@ def summarize_all(spark, sf):
 
 
 @query("""
-    WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = 3),
+    WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
     n AS (SELECT s, count(*) AS c FROM p GROUP BY 1),
     i AS (SELECT a.s AS s1, b.s AS s2, count(*) AS c FROM p a JOIN p b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2)
     SELECT x.s AS s1, y.s AS s2, coalesce(i.c, 0) / greatest(x.c + y.c - coalesce(i.c, 0), 1) AS iou
     FROM n x JOIN n y ON x.s < y.s LEFT JOIN i ON i.s1 = x.s AND i.s2 = y.s
 """)
 def set_iou_pairs(spark, sf):
-    s = table(spark, sf, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("s"))
-    return _iou_pairs(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).join(F.broadcast(s), "s"))
-
-
-@query()
-def set_iou_pairs_all(spark, sf):
-    """As set_iou_pairs, over the suppliers of every nation."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s"))
     return _iou_pairs(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).join(s, "s"))
 
@@ -124,7 +117,8 @@ def motion_seeds_change(spark, sf):
     e = table(spark, sf, "events")
     pick = lambda t: F.when(F.col("event_type") == t, F.col("value"))
     g = e.groupBy("user_id").agg(F.percentile(pick("click"), 0.5).alias("sim"), F.percentile(pick("view"), 0.5).alias("st"), F.count(pick("click")).alias("n_click")).where("n_click >= 5")
-    return A.change_percent(g, g.where("st >= 15").select("user_id"), "user_id", "sim", "st").select("value", "baseline", "n", "change")
+    far = A.moving_groups(e.withColumn("st", pick("view")).join(g.select("user_id"), "user_id", "left_semi"), "user_id", "st", 15.0)
+    return A.change_percent(g, far, "user_id", "sim", "st").select("value", "baseline", "n", "change")
 
 
 @query("SELECT l_returnflag, 1 - avg(abs(l_discount - l_tax)) / greatest(avg(l_discount + l_tax), 1e-9) AS explained FROM lineitem GROUP BY 1")
@@ -228,34 +222,20 @@ def withdraw(spark, sf):
 @query("""
     WITH RECURSIVE x AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     f AS (SELECT user_id, event_id, i, value AS y FROM x WHERE i = 1
-          UNION ALL SELECT x.user_id, x.event_id, x.i, f.y + least(greatest(x.value - f.y, -5), 5) FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1 WHERE x.i <= 50)
+          UNION ALL SELECT x.user_id, x.event_id, x.i, f.y + least(greatest(x.value - f.y, -5), 5) FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1)
     SELECT event_id, y FROM f
 """)
 def slew_follow(spark, sf):
-    e = W.first_n(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], 50)
-    return W.slew_follow(e, ["user_id"], ["ts", "event_id"], "value", 5.0, "y").select("event_id", "y")
-
-
-@query()
-def slew_follow_all(spark, sf):
-    """As slew_follow, over whole series."""
     return W.slew_follow(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 5.0, "y").select("event_id", "y")
 
 
 @query("""
     WITH RECURSIVE x AS (SELECT user_id, event_id, second(ts)::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     f AS (SELECT user_id, event_id, i, s AS y FROM x WHERE i = 1
-          UNION ALL SELECT x.user_id, x.event_id, x.i, x.s + greatest(ceil(f.y - 0.5 - x.s), 0) FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1 WHERE x.i <= 40)
+          UNION ALL SELECT x.user_id, x.event_id, x.i, x.s + greatest(ceil(f.y - 0.5 - x.s), 0) FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1)
     SELECT event_id, y FROM f
 """)
 def clock_repair(spark, sf):
-    e = W.first_n(table(spark, sf, "events").withColumn("s", F.second("ts").cast("double")), ["user_id"], ["ts", "event_id"], 40)
-    return W.monotonic_clock(e, ["user_id"], ["ts", "event_id"], "s", "y").select("event_id", "y")
-
-
-@query()
-def clock_repair_all(spark, sf):
-    """As clock_repair, over whole series."""
     e = table(spark, sf, "events").withColumn("s", F.second("ts").cast("double"))
     return W.monotonic_clock(e, ["user_id"], ["ts", "event_id"], "s", "y").select("event_id", "y")
 
@@ -308,13 +288,17 @@ def two_level_mean(spark, sf):
 
 
 @query("""
-    WITH a AS (SELECT l_returnflag AS g, regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem GROUP BY 1),
-    e AS (SELECT g, l_quantity AS x, l_extendedprice AS y, abs(l_extendedprice - a * l_quantity - b) AS e FROM lineitem JOIN a ON g = l_returnflag),
-    m AS (SELECT g, quantile_cont(e, 0.5) AS m FROM e GROUP BY 1)
-    SELECT e.g AS l_returnflag, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 2) AS intercept, count(*) AS n FROM e JOIN m USING (g) WHERE e <= 2.0 * m GROUP BY 1
+    WITH v AS (SELECT l_returnflag AS g, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y, (1 + l_linenumber)::DOUBLE AS w FROM lineitem),
+    m AS (SELECT g, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM v GROUP BY 1),
+    l AS (SELECT g, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) ** 2) AS a, any_value(mx) AS mx, any_value(my) AS my FROM v JOIN m USING (g) GROUP BY 1),
+    e AS (SELECT v.*, abs(a * x + my - a * mx - y) AS e FROM v JOIN l USING (g)), c AS (SELECT g, quantile_cont(e, 0.5) AS m FROM e GROUP BY 1),
+    k AS (SELECT e.* FROM e JOIN c USING (g) WHERE e < 3.0::DOUBLE * m + 1e-9),
+    m2 AS (SELECT g, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM k GROUP BY 1),
+    l2 AS (SELECT g, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) ** 2) AS a, any_value(mx) AS mx, any_value(my) AS my, count(*) AS n FROM k JOIN m2 USING (g) GROUP BY 1)
+    SELECT g AS l_returnflag, round(a, 4) AS slope, round(my - a * mx, 2) AS intercept, n FROM l2
 """)
 def trimmed_affine(spark, sf):
-    r = A.trimmed_line(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    r = A.trimmed_line(table(spark, sf, "lineitem").withColumn("w", 1 + F.col("l_linenumber")), ["l_returnflag"], "l_quantity", "l_extendedprice", weight="w")
     return r.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "n")
 
 
@@ -328,15 +312,15 @@ def ratio_scale(spark, sf):
 
 
 _D2 = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)))"
-_KNN = f"WITH d AS (SELECT a.vec_id, b.vec_id AS near, round({_D2}, 6) AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, near) AS rank FROM d)"
+_KNN = f"WITH d AS (SELECT a.vec_id, b.vec_id AS near, {_D2} AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, near) AS rank FROM d)"
 
 
-def _neighbours(spark, sf, k, asked="vec_id % 5 = 0"):
+def _neighbours(spark, sf, k):
     e = table(spark, sf, "embeddings")
-    return J.block_neighbours(e.where(asked), e, "vec_id", "vec_id", "embedding", k, dims=64)
+    return J.neighbours(e, e, "vec_id", "vec_id", "embedding", k)
 
 
-@query(_KNN + " SELECT vec_id, near AS near_vec_id, d2 FROM r WHERE rank = 1")
+@query(_KNN + " SELECT vec_id, near AS near_vec_id, round(d2, 6) AS d2 FROM r WHERE rank = 1")
 def nn_embeddings(spark, sf):
     return _neighbours(spark, sf, 1).select("vec_id", "near_vec_id", F.round("d2", 6).alias("d2"))
 
@@ -352,25 +336,6 @@ def ratio_test(spark, sf):
     return J.ratio_test(_neighbours(spark, sf, 2), "vec_id", "near_vec_id", 0.97).select("vec_id", "near_vec_id")
 
 
-@query()
-def nn_embeddings_all(spark, sf):
-    """As nn_embeddings, asked for every vector."""
-    return _neighbours(spark, sf, 1, "true").select("vec_id", "near_vec_id", F.round("d2", 6).alias("d2"))
-
-
-@query()
-def idw_knn4_all(spark, sf):
-    """As idw_knn4, asked for every vector."""
-    n = _neighbours(spark, sf, 4, "true")
-    return J.inverse_distance(n, table(spark, sf, "embeddings"), "vec_id", "near_vec_id", "vec_id", "label", "label").select("vec_id", F.round("label", 5).alias("label"))
-
-
-@query()
-def ratio_test_all(spark, sf):
-    """As ratio_test, asked for every vector."""
-    return J.ratio_test(_neighbours(spark, sf, 2, "true"), "vec_id", "near_vec_id", 0.97).select("vec_id", "near_vec_id")
-
-
 @query("""
     WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
     d AS (SELECT a.vec_id, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id)
@@ -440,20 +405,27 @@ def dilate_pixels(spark, sf):
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS a, o_orderkey % 89 + 1000 AS b FROM orders WHERE o_orderkey % 40 = 1),
+    WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_nationkey * 1000000 + floor(c_acctbal)::BIGINT + 100000000 AS b FROM customer),
     eb AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM eb UNION SELECT eb.b, r.root FROM r JOIN eb ON eb.a = r.node)
     SELECT node, min(root) AS root FROM r GROUP BY 1
 """)
 def components(spark, sf):
-    e = table(spark, sf, "orders").where("o_orderkey % 40 = 1").select((F.col("o_custkey") % 97).alias("a"), (F.col("o_orderkey") % 89 + 1000).alias("b"))
+    """Customers joined by nation and whole balance: most stand alone with their balance, some share one."""
+    e = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("a"), (F.col("c_nationkey") * 1000000 + F.floor("c_acctbal") + 100000000).cast("long").alias("b"))
     return S.min_label_components(e)
 
 
-@query()
-def components_all(spark, sf):
-    """As components, over every order."""
-    e = table(spark, sf, "orders").select((F.col("o_custkey") % 97).alias("a"), (F.col("o_orderkey") % 89 + 1000).alias("b"))
-    return S.min_label_components(e)
+@query("""
+    WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.vec_id <> b.vec_id AND sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) < 0.05),
+    r(node, root) AS (SELECT vec_id, vec_id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+    SELECT node AS vec_id, min(root) AS root FROM r GROUP BY 1
+""")
+def point_clusters(spark, sf):
+    """Points joined by chains of neighbours nearer than 0.05."""
+    e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    near = J.radius_join(e, e, "vec_id", "vec_id", "xyz", 0.05).where("vec_id <> near_vec_id")
+    return S.min_label_components(near.select(F.col("vec_id").alias("a"), F.col("near_vec_id").alias("b")), e.select(F.col("vec_id").alias("node"))).select(F.col("node").alias("vec_id"), "root")
 
 
 @query("""
@@ -602,7 +574,14 @@ def upsert_newest(spark, sf):
     return X.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query()
+_BRANDS = "WITH j AS (SELECT DISTINCT p_brand AS i, l_orderkey AS c FROM lineitem JOIN part ON p_partkey = l_partkey)"
+for _k in range(1, 4):
+    _old = f"w{_k - 1}" if _k > 1 else ""
+    _left = f"SELECT * FROM l{_k - 1} WHERE c NOT IN (SELECT c FROM l{_k - 1} WHERE i = (SELECT i FROM {_old}))" if _k > 1 else "SELECT * FROM j"
+    _BRANDS += f", l{_k} AS MATERIALIZED ({_left}), w{_k} AS MATERIALIZED (SELECT {_k} AS round, i, count(*) AS gain FROM l{_k} GROUP BY i ORDER BY gain DESC, i LIMIT 1)"
+
+
+@query(_BRANDS + " SELECT round, i AS p_brand, gain FROM w1 UNION ALL SELECT round, i, gain FROM w2 UNION ALL SELECT round, i, gain FROM w3")
 def greedy_select(spark, sf):
     j = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_orderkey")
-    return spark.createDataFrame(X.greedy_select(j, "p_brand", "l_orderkey", 3), "p_brand string, gain long")
+    return X.greedy_select(j, "p_brand", "l_orderkey", 3)

@@ -66,10 +66,15 @@ def vertex_normals(spark, sf):
     return M.vertex_normals(*strip(spark, sf)).select("v", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")])
 
 
-@query(f"WITH p AS ({_P}), e AS (SELECT {_DIST3} AS d FROM p a JOIN p b ON b.vec_id IN (a.vec_id + 1, a.vec_id + 2)) SELECT max(d / greatest(d, 1e-12)) AS max, quantile_cont(d / greatest(d, 1e-12), 0.95) AS p95, 0 AS k FROM e")
-def stretch_at_rest(spark, sf):
+@query(f"""WITH p AS ({_P}), k AS (SELECT unnest([0, 1, 2, 3]) AS k), m AS (SELECT k, vec_id, x * (1 + k / 4.0::DOUBLE) AS x, y + k * z / 10.0::DOUBLE AS y, z FROM p, k),
+    r AS (SELECT a.vec_id AS i, b.vec_id AS j, {_DIST3} AS d FROM p a JOIN p b ON b.vec_id IN (a.vec_id + 1, a.vec_id + 2)),
+    s AS (SELECT a.k, {_DIST3} / greatest(r.d, 1e-12) AS s FROM r JOIN m a ON a.vec_id = r.i JOIN m b ON b.vec_id = r.j AND b.k = a.k)
+    SELECT k::INT AS k, round(max(s), 9) AS max, round(quantile_cont(s, 0.95), 9) AS p95 FROM s GROUP BY 1""")
+def stretch(spark, sf):
+    """Edges of a strip over their rest lengths, in four frames that pull and shear it."""
     v, f = strip(spark, sf)
-    return M.stretch(v, v.withColumn("k", F.lit(0)), S.edge_use(f).select("a", "b")).select("k", "max", "p95")
+    frames = v.select("v", "x", "y", "z", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).select("k", "v", (F.col("x") * (1 + F.col("k") / 4.0)).alias("x"), (F.col("y") + F.col("k") * F.col("z") / 10.0).alias("y"), "z")
+    return M.stretch(v, frames, S.edge_use(f).select("a", "b")).select("k", F.round("max", 9).alias("max"), F.round("p95", 9).alias("p95"))
 
 
 @query(f"WITH p AS ({_P}), q AS (SELECT vec_id, x, y, z + 3 AS z FROM p) SELECT vec_id, 320 + 500 * x / z AS u, 240 + 500 * y / z AS v, z AS depth, 320 + 500 * x / z >= 0 AND 320 + 500 * x / z < 330 AND 240 + 500 * y / z >= 0 AND 240 + 500 * y / z < 480 AS inside, least(320 + 500 * x / z, 640 - 1 - (320 + 500 * x / z), 240 + 500 * y / z, 480 - 1 - (240 + 500 * y / z)) AS border FROM q")
@@ -88,44 +93,32 @@ def polygon_and_visibility(spark, sf):
     return p.select("vec_id", G.in_polygon(F.col("x"), F.col("y"), arr(ring[0]), arr(ring[1])).alias("inside"), ((F.col("label") % 2 == 0) & (F.col("vec_id") % 3 == 0)).alias("keep"))
 
 
-@query(f"WITH p AS ({_P}), a AS (SELECT * FROM p WHERE vec_id % 2 = 0), b AS (SELECT * FROM p WHERE vec_id % 2 = 1), d AS (SELECT a.vec_id, b.vec_id AS near, {_DIST3} AS d FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS r FROM d WHERE d <= 0.15) SELECT a.vec_id, near AS other, d FROM a LEFT JOIN r ON r.vec_id = a.vec_id AND r.r = 1")
+@query(f"WITH p AS ({_P}), a AS (SELECT * FROM p WHERE vec_id % 2 = 0), b AS (SELECT * FROM p WHERE vec_id % 2 = 1), d AS (SELECT a.vec_id, b.vec_id AS near, {_DIST3} AS d FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS r FROM d) SELECT a.vec_id, near AS other, d FROM a LEFT JOIN r ON r.vec_id = a.vec_id AND r.r = 1")
 def nearest_point(spark, sf):
     p = points(spark, sf)
     return J.nearest_point(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "other"), "vec_id", "other", "xyz", 0.15)
 
 
-@query(f"WITH p AS ({_P}), a AS (SELECT * FROM p WHERE vec_id % 7 = 0), d AS (SELECT a.vec_id, {_DIST3} AS d FROM a, p b) SELECT vec_id, count(*) FILTER (d < 0.2) AS n, min(d) AS nearest FROM d GROUP BY 1 HAVING min(d) <= 0.05 AND count(*) FILTER (d < 0.2) >= 3")
+@query(f"WITH p AS ({_P}), d AS (SELECT a.vec_id, {_DIST3} AS d FROM p a, p b WHERE a.label <> b.label) SELECT vec_id, count(*) FILTER (d < 0.2) AS n, min(d) AS nearest FROM d GROUP BY 1 HAVING min(d) <= 0.1 AND count(*) FILTER (d < 0.2) >= 3")
 def within_reach(spark, sf):
+    """Points of every label within reach of points of the other labels."""
     p = points(spark, sf)
-    return J.within_reach(p.where("vec_id % 7 = 0"), p.withColumnRenamed("vec_id", "other"), "vec_id", "other", "xyz", 0.05, 0.2, 3)
+    near = J.radius_join(p, p.withColumnRenamed("vec_id", "other"), "vec_id", "other", "xyz", 0.2, strict=False)
+    labels = p.select("vec_id", "label")
+    near = near.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("other"), F.col("label").alias("their")), "other").where("label <> their")
+    return J.reached(near, "vec_id", 0.1, 0.2, 3)
 
 
-@query()
-def within_reach_all(spark, sf):
-    """As within_reach, for every point."""
-    p = points(spark, sf)
-    return J.within_reach(p, p.withColumnRenamed("vec_id", "other"), "vec_id", "other", "xyz", 0.05, 0.2, 3)
-
-
-@query(f"""WITH p AS ({_P}), t AS (SELECT a.vec_id AS t, a.x ax, a.y ay, b.x bx, b.y AS byy, c.x cx, c.y cy FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 JOIN p c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 10 = 0),
-    w AS (SELECT p.vec_id, t, (bx - ax) * (cy - ay) - (cx - ax) * (byy - ay) AS det, (x - ax) * (cy - ay) - (cx - ax) * (y - ay) AS d1, (bx - ax) * (y - ay) - (x - ax) * (byy - ay) AS d2 FROM p, t),
-    h AS (SELECT vec_id, t, d1 / det AS w1, d2 / det AS w2 FROM w WHERE det <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY t) AS r FROM h WHERE 1 - w1 - w2 >= 0 AND w1 >= 0 AND w2 >= 0)
+@query(f"""WITH p AS ({_P}), t AS (SELECT a.vec_id AS t, a.x ax, a.y ay, b.x bx, b.y AS byy, c.x cx, c.y cy, (a.z + b.z + c.z) / 3 AS depth FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 JOIN p c ON c.vec_id = a.vec_id + 2),
+    w AS (SELECT p.vec_id, t, depth, (bx - ax) * (cy - ay) - (cx - ax) * (byy - ay) AS det, (x - ax) * (cy - ay) - (cx - ax) * (y - ay) AS d1, (bx - ax) * (y - ay) - (x - ax) * (byy - ay) AS d2 FROM p, t),
+    h AS (SELECT vec_id, t, depth, d1 / det AS w1, d2 / det AS w2 FROM w WHERE det <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY depth, t) AS r FROM h WHERE 1 - w1 - w2 >= -0.000001 AND w1 >= -0.000001 AND w2 >= -0.000001)
     SELECT vec_id, t, round(1 - w1 - w2, 9) AS w0, round(w1, 9) AS w1, round(w2, 9) AS w2 FROM k WHERE r = 1""")
 def point_in_triangle(spark, sf):
-    return _in_triangles(spark, sf, "t % 10 = 0")
-
-
-@query()
-def point_in_triangle_all(spark, sf):
-    """As point_in_triangle, with every triangle."""
-    return _in_triangles(spark, sf, "true")
-
-
-def _in_triangles(spark, sf, kept):
+    """Every point in the front-most of all triangles of the strip."""
     p = points(spark, sf)
-    c = lambda k, n: p.select((F.col("vec_id") - k).alias("t"), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
-    tri = c(0, "a").where(kept).join(c(1, "b"), "t").join(c(2, "c"), "t")
-    return J.in_triangles(p, tri, "vec_id", "t", 0.1).select("vec_id", "t", *[F.round(w, 9).alias(w) for w in ("w0", "w1", "w2")])
+    c = lambda k, n: p.select((F.col("vec_id") - k).alias("t"), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"), F.col("z").alias(n + "z"))
+    tri = c(0, "a").join(c(1, "b"), "t").join(c(2, "c"), "t").withColumn("depth", (F.col("az") + F.col("bz") + F.col("cz")) / 3)
+    return J.in_triangles(p, tri, "vec_id", "t", 0.1, 1e-6, "depth").select("vec_id", "t", *[F.round(w, 9).alias(w) for w in ("w0", "w1", "w2")])
 
 
 _IMG = "WITH img AS (SELECT u, v, avg(s_acctbal) AS z FROM (SELECT s_nationkey::BIGINT AS u, s_suppkey % 10 AS v, s_acctbal FROM supplier) GROUP BY 1, 2)"
@@ -135,21 +128,11 @@ def image(spark, sf):
     return table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("u"), (F.col("s_suppkey") % 10).alias("v")).agg(F.avg("s_acctbal").alias("z"))
 
 
-@query(_IMG + """, q AS (SELECT o_orderkey AS key, least(greatest((o_totalprice % 30) - 2, 0), 24) AS x, least(greatest((o_custkey % 120) / 10.0::DOUBLE - 1, 0), 9) AS y FROM orders WHERE o_orderkey % 10 = 1),
+@query(_IMG + """, q AS (SELECT o_orderkey AS key, least(greatest((o_totalprice % 30) - 2, 0), 24) AS x, least(greatest((o_custkey % 120) / 10.0::DOUBLE - 1, 0), 9) AS y FROM orders),
     c AS (SELECT key, least(floor(x) + dx, 24)::BIGINT AS u, least(floor(y) + dy, 9)::BIGINT AS v, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dx, dy))
     SELECT key, round(sum(w * z), 6) AS z FROM c JOIN img USING (u, v) GROUP BY 1""")
 def bilinear_lookup(spark, sf):
-    return _bilinear(spark, sf, "o_orderkey % 10 = 1")
-
-
-@query()
-def bilinear_lookup_all(spark, sf):
-    """As bilinear_lookup, for every order."""
-    return _bilinear(spark, sf, "true")
-
-
-def _bilinear(spark, sf, kept):
-    q = table(spark, sf, "orders").where(kept).select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") % 30 - 2).alias("x"), ((F.col("o_custkey") % 120) / 10.0 - 1).alias("y"))
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") % 30 - 2).alias("x"), ((F.col("o_custkey") % 120) / 10.0 - 1).alias("y"))
     return J.lookup_bilinear(q, image(spark, sf), "key", "x", "y", 25, 10, "z").select("key", F.round("z", 6).alias("z"))
 
 
@@ -160,21 +143,15 @@ def clamped_lookup(spark, sf):
 
 
 @query("""
-    WITH RECURSIVE px AS (SELECT DISTINCT l_partkey % 60 AS u, l_suppkey % 40 AS v FROM lineitem WHERE l_orderkey % 50 = 1), id AS (SELECT u, v, v * 60 + u AS n FROM px),
+    WITH RECURSIVE px AS (SELECT DISTINCT c_custkey % 120 AS u, floor((c_acctbal + 1000) / 110)::BIGINT AS v FROM customer), id AS (SELECT u, v, v * 120 + u AS n FROM px),
     e AS (SELECT a.n AS a, b.n AS b FROM id a JOIN id b ON abs(a.u - b.u) <= 1 AND abs(a.v - b.v) <= 1), r(n, root) AS (SELECT n, n FROM id UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.n),
     l AS (SELECT u, v, min(root) AS label FROM r JOIN id USING (n) GROUP BY 1, 2), s AS (SELECT label, count(*) AS area FROM l GROUP BY 1)
     SELECT u, v, label FROM l WHERE label IN (SELECT label FROM s WHERE area >= 0.05 * (SELECT max(area) FROM s))
 """)
 def pixel_components(spark, sf):
-    px = table(spark, sf, "lineitem").where("l_orderkey % 50 = 1").select((F.col("l_partkey") % 60).alias("u"), (F.col("l_suppkey") % 40).alias("v"))
-    return S.components_by_size(S.pixel_components(px, 60), 0.05)
-
-
-@query()
-def pixel_components_all(spark, sf):
-    """As pixel_components, over every line item."""
-    px = table(spark, sf, "lineitem").select((F.col("l_partkey") % 60).alias("u"), (F.col("l_suppkey") % 40).alias("v"))
-    return S.components_by_size(S.pixel_components(px, 60), 0.05)
+    """Customers as pixels (number, balance): components of at least 5 % of the largest."""
+    px = table(spark, sf, "customer").select((F.col("c_custkey") % 120).alias("u"), F.floor((F.col("c_acctbal") + 1000) / 110).alias("v"))
+    return S.components_by_size(S.pixel_components(px, 120), 0.05)
 
 
 @query("""
@@ -329,9 +306,8 @@ def inverse_kinematics(spark, sf):
 
 
 @query("""
-    WITH s AS (SELECT DISTINCT s_nationkey AS x, s_suppkey % 10 AS y FROM supplier), q AS (SELECT a.x, a.y FROM s a JOIN s b ON b.x = a.x + 1 AND b.y = a.y JOIN s c ON c.x = a.x AND c.y = a.y + 1 JOIN s d ON d.x = a.x + 1 AND d.y = a.y + 1)
+    WITH s AS (SELECT DISTINCT c_custkey % 40 AS x, floor((c_acctbal + 1000) / 275)::BIGINT AS y FROM customer), q AS (SELECT a.x, a.y FROM s a JOIN s b ON b.x = a.x + 1 AND b.y = a.y JOIN s c ON c.x = a.x AND c.y = a.y + 1 JOIN s d ON d.x = a.x + 1 AND d.y = a.y + 1)
     SELECT x AS ax, y AS ay, x + 1 AS bx, CASE WHEN k = 0 THEN y ELSE y + 1 END AS "by", CASE WHEN k = 0 THEN x + 1 ELSE x END AS cx, y + 1 AS cy FROM q, (VALUES (0), (1)) t(k)
 """)
 def grid_mesh(spark, sf):
-    return S.grid_mesh(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("x"), (F.col("s_suppkey") % 10).alias("y")))
-
+    return S.grid_mesh(table(spark, sf, "customer").select((F.col("c_custkey") % 40).alias("x"), F.floor((F.col("c_acctbal") + 1000) / 275).alias("y")))
