@@ -1,10 +1,12 @@
 """Secret scans: three fixed rules and sliding-window entropy, as DataFrame expressions only.
 
-Method: candidate strings are maximal runs of the Base64 alphabet, 24 characters or more. Over each, a window of 24
-slides one character at a time; per-character counts change by one incoming and one outgoing character, and with them
-the sum of c * log2(c), which is all that Shannon entropy needs. Sums are whole numbers (millionths), so every engine
-gets the same. Hexadecimal runs and the rest have their own thresholds. Windows over the threshold merge to a span.
-The allow-list drops placeholders, counting sequences and plain words before any window is looked at.
+Method: candidate strings are maximal runs of letters, digits and + / _ = -, 24 characters or more. Allow-listed stretches
+(placeholders, counting sequences, rulers) are cut out of a candidate first, so only windows that touch one are
+suppressed, whatever else the candidate holds. Each remaining piece belongs to the narrowest character class that has all
+its characters. A window of 24 slides over it one character at a time: the counts of the character that leaves and the one
+that comes change by one, and with them the sum of c * log2(c), which is all that Shannon entropy needs. Sums are whole
+numbers (millionths), so every engine gets the same. Windows at or over the class's limit are hot; those that overlap or
+touch make one span, and cold text between two hot stretches is in none.
 """
 
 from __future__ import annotations
@@ -20,17 +22,21 @@ ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][E
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+#: Character classes, narrowest first: (kind, its characters, least entropy in bits of a hot window). At most log2 of the
+#: class's size, or of 24, is possible; random strings of a class lie 0.3 to 0.5 under that.
+CLASSES = (
+    ("entropy_hex", "0-9A-Fa-f", 3.0),
+    ("entropy_letters", "A-Za-z", 4.0),
+    ("entropy_alnum", "0-9A-Za-z", 3.9),
+    ("entropy_base64", "0-9A-Za-z+/=", 4.0),
+    ("entropy_urlsafe", "0-9A-Za-z_=-", 4.0),
+    ("entropy_mixed", "0-9A-Za-z+/_=-", 4.1),
+)
+KINDS = ("assign", "access", "hex", *(kind for kind, _, _ in CLASSES))
 
 WINDOW = 24
-ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
-#: Least entropy in bits of some window: hexadecimal runs (at most 4) and others (at most log2 24 = 4.58).
-MIN_BITS = {"entropy_hex": 3.0, "entropy_base64": 3.9}
-#: Placeholders and counting sequences; compared in lower case.
-ALLOW = ("example", "xxxx", "0000", "1234567890", "0123456789", "abcdefgh", "placeholder", "your-", "your_", "changeme", "-----", "=====", "_____")
-#: What plain words, numbers and names joined by signs do not have: a change of class inside a segment. A search without
-#: repeated groups, so long candidates cost no stack.
-MIXED = r"[a-z][A-Z0-9]|[A-Z]{2}[a-z]|[A-Z][0-9]|[0-9][A-Za-z]"
+#: Known to be no secrets, in either case: placeholders, counting sequences, rulers and pangrams.
+ALLOW = r"(?i:example|x{4,}|0{4,}|1234567890|0123456789|abcdefgh|placeholder|your[-_]|changeme|quickbrownfox|-{4,}|={5,}|_{4,})"
 SCALE = 1_000_000
 
 
@@ -57,90 +63,89 @@ def _placed(text: Column, pattern: str, found: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(found)), first, step, lambda a: a["out"])
 
 
-def _hot_span(value: Column, limit: Column) -> Column:
-    """(first, last) window starts whose S is within the limit, by incremental counts; null where there is none."""
-    table = F.array(*[F.lit(c_log_c(n)) for n in range(WINDOW + 1)])
-    codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
-    # what comes into the window and what leaves it (0: nothing yet), side by side
-    moves = F.zip_with(codes, F.slice(F.concat(F.array_repeat(F.lit(0), WINDOW), codes), 1, F.length(value)), lambda a, b: F.struct(a.alias("came"), b.alias("left")))
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
-        F.lit(0).cast("long").alias("sum"),
-        F.lit(-WINDOW).alias("at"),
-        F.lit(None).cast("int").alias("first"),
-        F.lit(None).cast("int").alias("last"),
-    )
+def _pieces(value: Column) -> Column:
+    """(start, text) of what is left between allow-listed stretches, pieces shorter than a window left out."""
+    found = F.regexp_extract_all(value, F.lit(ALLOW), F.lit(0))
+    first = F.struct(F.lit(0).alias("at"), F.split(value, ALLOW, -1).alias("gaps"), F.array().cast("array<struct<s:int,v:string>>").alias("out"))
 
-    def weight(n: Column) -> Column:
-        return F.element_at(table, n + 1)
+    def step(acc: Column, k: Column) -> Column:
+        v = F.element_at(acc["gaps"], k)
+        n = F.length(v) + F.when(k <= F.size(found), F.length(F.element_at(found, F.least(k, F.greatest(F.size(found), F.lit(1)))))).otherwise(F.lit(0))
+        return F.struct((acc["at"] + n).alias("at"), acc["gaps"].alias("gaps"), F.array_append(acc["out"], F.struct(acc["at"].alias("s"), v.alias("v"))).alias("out"))
+
+    cut = F.aggregate(F.sequence(F.lit(1), F.size(found) + 1), first, step, lambda a: a["out"])
+    whole = F.array(F.struct(F.lit(0).alias("s"), value.alias("v")))
+    return F.filter(F.when(value.rlike(ALLOW), cut).otherwise(whole), lambda x: F.length(x["v"]) >= WINDOW)
+
+
+def _hot_spans(value: Column, limit: Column) -> Column:
+    """(start, end) of the stretches that hot windows cover, by incremental counts over one piece."""
+    #: what the sum gains when a count goes from n to n + 1
+    gain = F.array(*[F.lit(c_log_c(n + 1) - c_log_c(n)) for n in range(WINDOW + 1)])
+    spans = "array<struct<s:int,e:int>>"
+    zero = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.array().cast(spans).alias("out"))
+
+    def gained(n: Column) -> Column:
+        return F.element_at(gain, n + 1)
 
-    def slide(acc: Column, e: Column) -> Column:
-        counts = F.transform(acc["counts"], lambda n, k: F.when(k + 1 == e["came"], n + 1).otherwise(n) - F.when(k + 1 == e["left"], 1).otherwise(0))
-        # what left is taken off first, then what came is put on; the same character changes nothing
-        n_left = F.element_at(acc["counts"], F.greatest(e["left"], F.lit(1)))
-        n_came = F.element_at(acc["counts"], e["came"])
-        off = F.when(e["left"] > 0, weight(n_left - 1) - weight(n_left)).otherwise(F.lit(0))
-        total = F.when(e["left"] == e["came"], acc["sum"]).otherwise(acc["sum"] + off + weight(n_came + 1) - weight(n_came))
-        return F.struct(counts.alias("counts"), total.cast("long").alias("sum"), (acc["at"] + 1).alias("at"), acc["first"].alias("first"), acc["last"].alias("last"))
+    def count(window: Column, ch: Column) -> Column:
+        return F.length(window) - F.length(F.replace(window, ch, F.lit("")))
 
-    def step(acc: Column, e: Column) -> Column:
-        # folded over one slide, so that what it gives is worked out once
-        return F.aggregate(F.array(slide(acc, e)), zero, lambda _, s: mark(s))
+    def slide(acc: Column, ch: Column) -> Column:
+        w = acc["w"]
+        gone = F.substring(w, 1, 1)
+        off = F.when(F.length(w) < WINDOW, F.lit(0)).otherwise(gained(count(w, gone) - 1))
+        rest = F.when(F.length(w) < WINDOW, w).otherwise(F.substring(w, 2, WINDOW))
+        return F.struct(F.concat(rest, ch).alias("w"), (acc["sum"] - off + gained(count(rest, ch))).cast("long").alias("sum"), (acc["at"] + 1).alias("at"), acc["s"].alias("s"), acc["e"].alias("e"), acc["out"].alias("out"))
 
-    def mark(s: Column) -> Column:
-        hot = (s["at"] >= 0) & (s["sum"] <= limit)
-        return F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), s["at"].alias("at"), F.when(hot, F.coalesce(s["first"], s["at"])).otherwise(s["first"]).alias("first"), F.when(hot, s["at"]).otherwise(s["last"]).alias("last"))
+    def mark(x: Column) -> Column:
+        hot = (x["at"] >= WINDOW) & (x["sum"] <= limit)
+        fresh = hot & (x["e"].isNull() | (x["at"] - WINDOW > x["e"]))
+        closed = F.when(fresh & x["e"].isNotNull(), F.array_append(x["out"], F.struct(x["s"].alias("s"), x["e"].alias("e")))).otherwise(x["out"])
+        return F.struct(x["w"].alias("w"), x["sum"].alias("sum"), x["at"].alias("at"), F.when(fresh, x["at"] - WINDOW).otherwise(x["s"]).alias("s"), F.when(hot, x["at"]).otherwise(x["e"]).alias("e"), closed.alias("out"))
 
-    return F.aggregate(moves, zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    # folded over one slide, so that what it gives is worked out once
+    step = lambda acc, ch: F.aggregate(F.array(slide(acc, ch)), zero, lambda _, x: mark(x))
+    last = lambda a: F.when(a["e"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(a["s"].alias("s"), a["e"].alias("e"))))
+    return F.aggregate(F.split(value, ""), zero, step, last)
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): an array of (start, order, end, kind) sorted by start, then kind as listed in ``KINDS``.
 
     Positions are code points, end exclusive. Null text is empty and has no spans. Overlapping spans of different kinds
-    all stay. Repeated rows give repeated results; other columns are ignored.
+    all stay. Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
     """
     t = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    hit = t.select(
-        "doc_id",
-        "t",
-        *[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(k) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))],
-    )
+    rules = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))
+    hit = t.select("doc_id", "t", *[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(k) for k, p in rules])
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    placed = hit.select(
-        "doc_id",
-        *[F.when(F.size(k) > 0, _placed(F.col("t"), p, F.col(k))).otherwise(none).alias(k) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))],
-    )
+    placed = hit.select("doc_id", *[F.when(F.size(k) > 0, _placed(F.col("t"), p, F.col(k))).otherwise(none).alias(k) for k, p in rules])
 
     def span(kind: str):
         return lambda x: F.struct(x["s"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), x["e"].alias("end"), F.lit(kind).alias("kind"))
 
-    strong = F.filter("assign", lambda x: F.length(F.regexp_extract(x["v"], ASSIGN, 1)) >= 8)
-    low = lambda x: F.lower(x["v"])
-    allowed = lambda x: F.array(*[F.contains(low(x), F.lit(a)) for a in ALLOW])
-    doubtful = F.filter("cand", lambda x: x["v"].rlike(MIXED) & ~F.array_contains(allowed(x), True))
-    is_hex = lambda x: x["v"].rlike("^[0-9A-Fa-f]+$")
-    staged = placed.select("doc_id", strong.alias("assign"), "access", "hex", doubtful.alias("cand"))
+    def pieces(x: Column) -> Column:
+        return F.transform(_pieces(x["v"]), lambda y: F.struct((x["s"] + y["s"]).alias("s"), y["v"].alias("v")))
+
+    def classed(x: Column) -> Column:
+        which = F.lit(len(CLASSES) - 1)
+        for k in range(len(CLASSES) - 2, -1, -1):
+            which = F.when(x["v"].rlike(f"^[{CLASSES[k][1]}]+$"), F.lit(k)).otherwise(which)
+        return F.struct(x["s"].alias("s"), x["v"].alias("v"), which.alias("k"))
+
+    limits = F.array(*[F.lit(entropy_limit(bits)) for _, _, bits in CLASSES])
+    kinds = F.array(*[F.lit(kind) for kind, _, _ in CLASSES])
 
     def scored(x: Column) -> Column:
-        limit = F.when(is_hex(x), F.lit(entropy_limit(MIN_BITS["entropy_hex"]))).otherwise(F.lit(entropy_limit(MIN_BITS["entropy_base64"])))
-        return F.struct(x["s"].alias("s"), is_hex(x).alias("h"), _hot_span(x["v"], limit).alias("w"))
-
-    def entropy_span(x: Column) -> Column:
-        return F.struct(
-            (x["s"] + x["w"]["first"]).alias("start"),
-            F.when(x["h"], KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64")).alias("order"),
-            (x["s"] + x["w"]["last"] + WINDOW).alias("end"),
-            F.when(x["h"], F.lit("entropy_hex")).otherwise(F.lit("entropy_base64")).alias("kind"),
-        )
-
-    staged = staged.select("doc_id", "assign", "access", "hex", F.transform("cand", scored).alias("cand"))
-    every = F.concat(
-        F.transform("assign", span("assign")),
-        F.transform("access", span("access")),
-        F.transform("hex", span("hex")),
-        F.transform(F.filter("cand", lambda x: x["w"]["first"].isNotNull()), entropy_span),
-    )
+        hot = _hot_spans(x["v"], F.element_at(limits, x["k"] + 1))
+        return F.transform(hot, lambda y: F.struct((x["s"] + y["s"]).alias("start"), (x["k"] + KINDS.index(CLASSES[0][0])).alias("order"), (x["s"] + y["e"]).alias("end"), F.element_at(kinds, x["k"] + 1).alias("kind")))
+
+    strong = F.filter("assign", lambda x: F.length(F.regexp_extract(x["v"], ASSIGN, 1)) >= 8)
+    staged = placed.select("doc_id", strong.alias("assign"), "access", "hex", F.flatten(F.transform("cand", pieces)).alias("cand"))
+    staged = staged.select("doc_id", "assign", "access", "hex", F.transform("cand", classed).alias("cand"))
+    staged = staged.select("doc_id", "assign", "access", "hex", F.flatten(F.transform("cand", scored)).alias("hot"))
+    every = F.concat(F.transform("assign", span("assign")), F.transform("access", span("access")), F.transform("hex", span("hex")), "hot")
     return staged.select("doc_id", F.sort_array(every).alias("spans"))
 
 
