@@ -5,7 +5,8 @@ The exponent is found by bisection on a grid of 2**-20 steps, 64 midpoints a rou
 table of sources settle it however many sources there are. The weights are realised by block permutations: each source
 is cut into hash blocks of about ``block_tokens`` tokens, blocks are put in a seeded order, whole blocks are taken until
 the source's token quota is met, and only the one block at the edge is looked at document by document. A quota above
-the source's size first gives every document whole copies.
+the source's size first gives every document whole copies. Running sums over a source's blocks are taken in two levels,
+over at most ``SPANS`` ranges of the order and inside each range, so no task holds all blocks of a source.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tidemark.session import materialize
 
 STEPS = 1 << 20
 FAN = 64
+#: Ranges of the seeded order that running sums are taken over first.
+SPANS = 4096
 
 
 def _unit_hash(*parts: Column) -> Column:
@@ -88,18 +91,30 @@ def quotas(sizes: DataFrame, exponent: float, budget_tokens: int | None = None)
     )
 
 
-def plan_mix(tokens: DataFrame, max_epochs: float | None = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, block_tokens: int = 1 << 20, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Decisions for a (doc_id, source, n_tokens) table: (source, block, copies) and, for edge blocks, (…, doc_id, extra)."""
+def plan_mix(tokens: DataFrame, max_epochs: float | None = 2.0, target_entropy: float | None = None, budget_tokens: int | None = None, budget_share: float | None = None, block_tokens: int = 1 << 20, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Decisions for a (doc_id, source, n_tokens) table: (source, block, copies) and, for edge blocks, (…, doc_id, extra).
+
+    The budget is a number of tokens or a share of the input's; without one every document is read at least once.
+    """
     sizes = materialize(source_sizes(tokens), "sources")
+    if budget_share is not None:
+        if budget_tokens is not None:
+            raise ValueError("give budget_tokens or budget_share, not both")
+        budget_tokens = int(budget_share * (sizes.agg(F.sum("tokens")).first()[0] or 0))
     exponent = solve_exponent(sizes, max_epochs, target_entropy)
     per = quotas(sizes, exponent, budget_tokens).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("long"))
     per = materialize(per, "quotas")
     s = per.select(F.col("source").alias("p_source"), "weight", "copies", "rest", "n_blocks")
     docs = tokens.join(s, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", block_of(F.col("doc_id"), F.col("n_blocks"), seed))
     blocks = docs.groupBy("source", "block", "n_blocks", "weight", "copies", "rest").agg(F.sum("n_tokens").alias("block_tokens"))
-    order = Window.partitionBy("source").orderBy(_unit_hash(F.lit(seed), F.col("source"), F.col("block")), "block")
-    ends = F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    blocks = blocks.withColumn("ends", ends).withColumn("starts", F.col("ends") - F.col("block_tokens"))
+    blocks = blocks.withColumn("o", _unit_hash(F.lit(seed), F.col("source"), F.col("block"))).withColumn("span", F.floor(F.col("o") * SPANS / 2.0**32))
+    blocks = materialize(blocks, "block-sums")
+    spans = blocks.groupBy(F.col("source").alias("s_source"), F.col("span").alias("s_span")).agg(F.sum("block_tokens").alias("span_tokens"))
+    by_source = Window.partitionBy("s_source").orderBy("s_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("s_source", "s_span", F.coalesce(F.sum("span_tokens").over(by_source), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "span").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.join(spans, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("span") == F.col("s_span")))
+    blocks = blocks.withColumn("ends", F.col("before") + F.sum("block_tokens").over(inside)).withColumn("starts", F.col("ends") - F.col("block_tokens"))
     blocks = materialize(
         blocks.select(
             "source", "block", "n_blocks", "weight", "starts", "rest",
