@@ -8,11 +8,15 @@ that occur at least twice take part, and a pair that occurs once leaves.
 A run counts from ``min_words`` words on. Suffixes that share their first m lines form one interval of the suffix array
 with a longest common prefix of at least m; two ranks of depth 2**j name it for every m from 2**j to 2**(j+1): that of
 the start and that of the last 2**j lines. For each line the shortest run of enough words that starts there, and the
-shortest that ends there, is looked up this way. A maximal repeated run is the union of the shortest runs inside it, so
-deleting every shortest run that has an earlier occurrence deletes exactly the later copies of maximal runs. Ranks are
-needed to the depth of the longest shortest run only: at most ``min_words`` lines, each having a word.
-
-All tables that are shuffled are narrow (ids and ranks); texts are met once, when lines are taken out.
+shortest that ends there, is looked up this way; ``run_intervals`` are these intervals, each with its first member. A
+maximal repeated run is the union of the shortest runs inside it, so deleting every shortest run that has an earlier
+occurrence deletes exactly the later copies of maximal runs, and ``repeated_runs`` joins shortest runs that are copied
+from one place to the longest ones. Ranks are needed to the depth of the longest shortest run only: at most
+``min_words`` lines, each having a word.
+
+All tables that are shuffled are narrow (ids and ranks); texts are met once, when lines are taken out. Lines, rank pairs
+and runs that occur very often are hot keys: the most frequent are broadcast (``join_hot``), and first members are
+combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD_CLASS
+from tidemark.operators.joins import join_hot
 from tidemark.session import materialize, ship_package
 
 MIN_WORDS = 50
@@ -45,15 +50,15 @@ def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _named(values: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Order-preserving numbers for the distinct values that occur at least twice."""
-    twice = values.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*cols)
+    """Order-preserving numbers for the distinct values that occur at least twice, and how often they do (n)."""
+    twice = values.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return materialize(twice.orderBy(*cols).withColumn(name, F.monotonically_increasing_id()), f"names-{name}")
 
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, text_key, ls): per document the lines that occur at least twice, as sorted (at, line_no, words, rank)."""
     ids = _named(lines, ["digest"], "line_id")
-    hit = lines.join(ids, "digest")
+    hit = join_hot(lines, ids, ["digest"], "n")
     one = F.struct("at", "line_no", "words", F.col("line_id").alias("rank"))
     return hit.groupBy(*KEY).agg(F.sort_array(F.collect_set(one)).alias("ls"))
 
@@ -63,7 +68,7 @@ def double_ranks(ranks: DataFrame, depth: int) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("at")
     on = F.first("rank").over(w.rangeBetween(depth, depth))
     pairs = materialize(ranks.select(*KEY, "at", F.col("rank").alias("a"), on.alias("b")).where("b is not null"), f"pairs-{depth}")
-    return materialize(pairs.join(_named(pairs, ["a", "b"], "rank"), ["a", "b"]).select(*KEY, "at", "rank"), f"ranks-{2 * depth}")
+    return materialize(join_hot(pairs, _named(pairs, ["a", "b"], "rank"), ["a", "b"], "n").select(*KEY, "at", "rank"), f"ranks-{2 * depth}")
 
 
 def shortest_runs(at: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -121,11 +126,8 @@ def _name_runs(min_words: int):
     return name
 
 
-def later_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, removed): per document the sorted numbers of lines that are later copies of repeated runs.
-
-    Earlier means smaller id (null first), then text key, then place. Ids must be whole numbers.
-    """
+def named_runs(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc_id, text_key, at, m, head, tail, lines): shortest runs of m lines from ``at`` on, by the interval they lie in."""
     ship_package(df.sparkSession)
     lines = materialize(line_table(df, id_col, text_col), "lines")
     rep = materialize(repeated_lines(lines), "repeated")
@@ -137,10 +139,43 @@ def later_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         now = double_ranks(now, depth)
         depth, j = 2 * depth, j + 1
         levels = levels.unionByName(now.withColumn("level", F.lit(j)), allowMissingColumns=True)
-    named = materialize(_per_document(levels).mapInPandas(_name_runs(min_words), "doc_id long, text_key long, at int, m int, head long, tail long, lines array<int>"), "runs")
-    spot = F.struct("doc_id", "text_key", "at")
-    first = named.groupBy("m", "head", "tail").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = named.join(first, ["m", "head", "tail"]).where(spot > F.col("first"))
+    return materialize(_per_document(levels).mapInPandas(_name_runs(min_words), "doc_id long, text_key long, at int, m int, head long, tail long, lines array<int>"), "runs")
+
+
+SPOT = ("doc_id", "text_key", "at")
+
+
+def run_intervals(runs: DataFrame) -> DataFrame:
+    """(m, head, tail, n, first): intervals of suffixes with a longest common prefix of at least m lines, two members or
+    more, and the first of them."""
+    return runs.groupBy("m", "head", "tail").agg(F.min(F.struct(*SPOT)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """The runs that have an earlier occurrence, with the ``first`` of their interval."""
+    return join_hot(runs, run_intervals(runs), ["m", "head", "tail"], "n").where(F.struct(*SPOT) > F.col("first"))
+
+
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, first_line, last_line, n_lines, of_doc): later copies, each the longest that is copied from one place.
+
+    ``of_doc`` is the document of the first occurrence; line numbers count from 0. Edge cases are those of ``clean_lines``.
+    """
+    later = _later(named_runs(df, id_col, text_col, min_words))
+    copy = later.select(*KEY, "at", (F.col("at") + F.col("m")).alias("upto"), F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_key"), (F.col("first.at") - F.col("at")).alias("shift"), "lines")
+    place = Window.partitionBy(*KEY, "of_doc", "of_key", "shift").orderBy("at")
+    reach = F.max("upto").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    copy = copy.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(place))
+    lines = copy.groupBy(*KEY, "of_doc", "of_key", "shift", "run").agg(F.min(F.element_at("lines", 1)).alias("first_line"), F.max(F.element_at("lines", -1)).alias("last_line"), (F.max("upto") - F.min("at")).alias("n_lines"))
+    return lines.select("doc_id", "first_line", "last_line", "n_lines", "of_doc")
+
+
+def later_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, removed): per document the sorted numbers of lines that are later copies of repeated runs.
+
+    Earlier means smaller id (null first), then text key, then place. Ids must be whole numbers.
+    """
+    later = _later(named_runs(df, id_col, text_col, min_words))
     # lines of one document's runs overlap; a set per document is bounded by its text
     return later.select(*KEY, F.explode("lines").alias("line")).groupBy(*KEY).agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
@@ -157,7 +192,9 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce(F.col("t"), F.lit(""))))
     # one plan at every size: texts meet the decisions by a shuffle of both, hashed on the side of the decisions
     both = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
-    kept = F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    both = both.withColumn("ls", F.when(F.col("removed").isNotNull(), F.split("t", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("removed"))  # a hash set, whatever the number of lines
+    kept = F.array_join(F.transform(stay, lambda i: F.get("ls", i)), "\n")
     return both.select("row", F.when(F.col("removed").isNull(), F.col("t")).otherwise(kept).alias("clean"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
