@@ -3,13 +3,16 @@
 Method: a frequent-items sketch (Misra-Gries counters, merged from partial sketches of every task) names the digests
 that may be frequent; their exact counts and smallest ids are verified by a map-side combined aggregate; the verified
 winners, at most ``counters`` rows, are broadcast so that their rows never enter a shuffle; all other digests take one
-ordinary shuffle. What the sketch misses has at most ``rows / counters`` members, so no group of the ordinary path is
-large. The texts are read once: digests go to a written table first.
+ordinary shuffle: sizes and smallest ids are combined before it, and each row meets its group's by a join. The sketch
+(``approx_top_k``) tracks 8 x ``counters`` items and, when it is full, takes the median count off all and drops what falls
+to zero; an item's count is off by at most about rows / (6 x ``counters``), so a digest that it misses is not frequent:
+the ordinary path's groups have that many rows at most, unless more digests than ``counters`` are as frequent. The texts
+are read once: digests go to a written table first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import collapse_space
@@ -54,9 +57,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     winners = materialize(frequent_digests(digests, counters), "frequent")
     heavy = digests.join(F.broadcast(winners), "digest")
     light = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    group = Window.partitionBy("digest")
-    light = light.select("digest", "doc_id", F.min("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
-    return heavy.select("digest", "doc_id", "keep_id", "group_size").unionByName(light).select(
+    groups = light.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    light = light.join(groups, "digest")
+    return heavy.select("digest", "doc_id", "keep_id", "group_size").unionByName(light.select("digest", "doc_id", "keep_id", "group_size")).select(
         "doc_id",
         "keep_id",
         "group_size",
