@@ -1,8 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection of text statistics. No user functions.
 
 The statistics a rule may name are built-in expressions over the words and lines of the text; ``compile_rules`` turns
-the table into one boolean per rule and a verdict. Repeated three-word windows are found on 64-bit hashes: distinct
-hashes as many as windows means none repeats (the usual case, one pass); otherwise a sort brings equal ones together.
+the table into one boolean per rule and a verdict. Repeated three-word windows: as many distinct 64-bit hashes as windows
+means that none repeats (the usual case, one pass); otherwise a sort by hash and words brings equal windows together.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ class Rule:
     high: float | None = None
 
 
+#: Thresholds in common use, but for the share of duplicate lines, which was raised from 0.3 to 0.7 by ``labels.quality``
+#: of the sample tables: license lines repeat in good documents there.
 RULES = (
     Rule("length", "n_words", 50, None),
     Rule("word_length", "mean_word_chars", 2.0, 14.0),
@@ -50,9 +52,10 @@ RULES = (
 )
 
 
-def _repeat_words(hashes: Column, ordered: Column) -> Column:
-    """Words covered by three-word windows whose hash occurs twice or more, from (hash, position) in order."""
-    twice = F.filter(ordered, lambda x, j: x["h"].eqNullSafe(F.get(ordered, j - 1)["h"]) | x["h"].eqNullSafe(F.get(ordered, j + 1)["h"]))
+def _repeat_words(ordered: Column) -> Column:
+    """Words covered by three-word windows that occur twice or more, from (hash, words, position) in order."""
+    same = lambda x, y: x["h"].eqNullSafe(y["h"]) & x["g"].eqNullSafe(y["g"])
+    twice = F.filter(ordered, lambda x, j: same(x, F.get(ordered, j - 1)) | same(x, F.get(ordered, j + 1)))
     places = F.sort_array(F.transform(twice, lambda x: x["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"))
@@ -75,11 +78,12 @@ def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         chars("!").alias("n_marks"),
         lines.alias("l"),
         h.alias("h"),
+        "w",
         F.filter("w", lambda x: F.lower(x).isin(*STOP_WORDS)).alias("stops"),
     )
     c = b.select(
         "*",
-        F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("o"),
+        F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("i"))))).alias("o"),
     )
     n_lines = F.size("l")
     per = lambda n, d: F.when(d > 0, n / d).otherwise(F.lit(0.0))
@@ -89,7 +93,7 @@ def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("stops").cast("long").alias("n_stop"),
         (n_lines - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("o").isNull(), F.lit(0)).otherwise(_repeat_words(F.col("h"), F.col("o"))).cast("long").alias("n_repeat_words"),
+        F.when(F.col("o").isNull(), F.lit(0)).otherwise(_repeat_words(F.col("o"))).cast("long").alias("n_repeat_words"),
         F.size(F.filter("l", lambda x: x.rlike(r"^\s*(?:[-*•‣]|\d+[.)])\s"))).alias("n_bullets"),
         F.size(F.filter("l", lambda x: F.endswith(x, F.lit("...")) | F.endswith(x, F.lit("…")))).alias("n_ellipsis"),
     )
