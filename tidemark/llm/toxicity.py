@@ -2,8 +2,9 @@
 
 Learning: each coordinate has its own rate alpha / (beta + sqrt(sum of squared gradients)); L1 keeps a coordinate at
 exactly zero until its evidence outweighs it, so what is left is a short list of (slot, weight). It is learnt on at most
-``max_rows`` labelled rows (documented bound; the rows with the smallest seeded hashes of their ids), streamed in that
-order through one task, ``epochs`` times. The weights have at most 2**bits entries, so their broadcast is bounded by
+``max_rows`` labelled rows and ``max_bytes`` of their texts (documented bounds; the rows with the smallest seeded hashes of
+their ids), streamed in that order through one task, ``epochs`` times. Settings are chosen by ``cross_validate`` inside the
+folds that are learnt from. The weights have at most 2**bits entries, so their broadcast is bounded by
 ``bits`` and not by the data. Scoring is one map over whole texts; nothing is shuffled.
 
 Features of a text: words (runs of a-z after lower-casing A-Z, digits, apostrophes and all non-ASCII bytes), pairs of
@@ -25,7 +26,11 @@ from tidemark.session import materialize, ship_package
 BITS = 22
 #: Most labelled rows that are learnt from.
 MAX_ROWS = 20_000
+#: Most bytes of text that are learnt from; features of a text take about as much.
+MAX_BYTES = 128_000_000
 SEED = 11
+L1 = 15.0
+EPOCHS = 5
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -86,7 +91,7 @@ def feature_slots(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray
 class Ftrl:
     """FTRL-proximal state for 2**bits coordinates and a bias that is not penalised."""
 
-    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.0):
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = L1, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.zb = self.nb = 0.0
@@ -111,10 +116,11 @@ class Ftrl:
         self.nb += g * g
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = 5, seed: int = SEED) -> DataFrame:
+def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = EPOCHS, seed: int = SEED, l1: float = L1, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(slot, weight) rows, the bias under slot -1. At most 2**bits + 1 rows.
 
-    Rows whose label is null are left out; null text is empty. Only whether the label is 1 counts.
+    Rows whose label is null are left out; null text is empty. Only whether the label is 1 counts. Learning stops short of
+    the text that would exceed ``max_bytes``; one that does by itself is left out.
     """
     ship_package(labelled.sparkSession)
     order = F.xxhash64(F.lit(seed), F.col(id_col))
@@ -122,8 +128,10 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_r
     rows = rows.orderBy("o", "i").limit(max_rows)  # the documented bound; a top-k by hash, no full sort
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen = Ftrl(bits), []
+        model, seen, used = Ftrl(bits, l1=l1), [], 0
         for pdf in batches:
+            upto = used + pdf["t"].str.len().cumsum()
+            pdf, used = pdf[upto <= max_bytes], int(upto.iloc[-1]) if len(upto) else used
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
                 of, slots = feature_slots([t.encode() for t in part["t"]], bits)
@@ -188,22 +196,55 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Weights learnt from labelled documents outside fold 0. One label per id: the largest if labels repeat one."""
-    known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
+def _labelled(labels: DataFrame, left_out: list[int]) -> DataFrame:
+    """(label_id, toxic) of the labels that are in none of the folds ``left_out``; the largest if labels repeat an id."""
+    ok = F.col("toxic").isNotNull() & ~fold(F.col("doc_id")).isin(*left_out)
+    return labels.where(ok).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, left_out: tuple[int, ...] = (0,), **settings) -> DataFrame:
+    """Weights learnt from labelled documents outside the folds ``left_out``. One label per id: the largest if labels repeat one."""
+    known = _labelled(labels, list(left_out))
     # the sample is taken from the narrow table, so the side that is broadcast has at most max_rows rows and no text moves
     # but the sample's
     some = materialize(known.orderBy(F.xxhash64(F.lit(SEED), F.col("label_id")), "label_id").limit(max_rows), "sample")
     pairs = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
-    return materialize(train(pairs, "doc_id", "text", "toxic", max_rows), "ftrl")
+    return materialize(train(pairs, "doc_id", "text", "toxic", max_rows, **settings), "ftrl")
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, grid: list[dict], folds: tuple[int, ...] = (1, 2, 3, 4)) -> list[dict]:
+    """Sum of log losses, misses and false alarms for each setting of ``grid``, over ``folds`` in turn; fold 0 is never looked at."""
+    out = []
+    for settings in grid:
+        total = {"loss": 0.0, "missed": 0, "false": 0, "rows": 0}
+        for k in folds:
+            weights = fit_toxicity(docs, labels, left_out=(0, k), **settings)
+            truth = _labelled(labels, [f for f in range(5) if f != k])
+            bits = settings.get("bits", BITS)
+            got = score(docs.select("doc_id", "text").join(truth, F.col("doc_id") == F.col("label_id")), weights, bits=bits).select("score", (F.col("row.toxic") == 1).alias("y"))
+            p = F.greatest(F.least("score", F.lit(1 - 1e-9)), F.lit(1e-9))
+            r = got.agg(F.sum(-F.log(F.when(F.col("y"), p).otherwise(1 - p))).alias("loss"), F.sum((F.col("y") & (F.col("score") < 0.5)).cast("int")).alias("missed"), F.sum((~F.col("y") & (F.col("score") >= 0.5)).cast("int")).alias("false"), F.count(F.lit(1)).alias("rows")).first()
+            for n in total:
+                total[n] += r[n] or 0
+        out.append({**settings, **total})
+    return out
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; labels are used for learning only."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; labels are used for learning only.
+
+    Null and empty texts score as the bias alone. Rows that repeat an id are scored each by its own text; if such rows are
+    labelled, each is learnt from. A null id is in the fold of the empty text and has no label. Without labels every
+    score is 0.5. Other columns are ignored; an empty table gives no rows.
+    """
     s = score(docs.select("doc_id", "text"), fit_toxicity(docs, labels, max_rows))
     return s.select(F.col("row.doc_id").alias("doc_id"), (fold(F.col("row.doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, all columns as they were."""
-    return score(docs, fit_toxicity(docs, labels, max_rows)).where("score < 0.5").select("row.*")
+    """The rows of ``docs`` that score under 0.5, all columns as they were. Without labels nothing is known to be toxic and
+    all stay; other edge cases are those of ``toxicity_scores``."""
+    weights = fit_toxicity(docs, labels, max_rows)
+    if weights.isEmpty():
+        return docs
+    return score(docs, weights).where("score < 0.5").select("row.*")
