@@ -39,6 +39,8 @@ N_CLASSES = 11
 S_NONE, S_LETTER, S_NUMBER, S_OTHER, S_JOIN, S_WHITE, S_ONE, S_TWO = range(8)
 N_STATES = 8
 
+#: Fixed by the vocabularies: the pattern that the automaton below implements.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed by Unicode's White_Space property.
 WHITE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Fixed by the pattern: what may follow an apostrophe as a contraction.
@@ -271,12 +273,15 @@ def rank_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(df: DataFrame, rank_path: str, text_col: str = "text", carry: list[str] | None = None, decode: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, rank_path: str, text_col: str = "text", carry: list[str] | None = None, decode: bool = False, pattern: str = PATTERN) -> DataFrame:
     """``carry`` columns (all by default) as a struct ``row``, and ``ids``: little-endian unsigned 32-bit integers.
 
     With ``decode``, also ``decoded``, the bytes of the ids, and ``round_trip``, whether they are the text's. Null text
-    is empty. A batch is worked on in slices of about a million characters, each handed over before the next is met.
+    is empty. Repeated rows give repeated results; an empty table gives no rows. A batch is worked on in slices of about
+    a million characters, each handed over before the next is met. Another ``pattern`` than ``PATTERN`` is an error.
     """
+    if pattern != PATTERN:
+        raise ValueError(f"pieces are those of {PATTERN!r} only")
     spark = df.sparkSession
     ship_package(spark)
     file = spark.sparkContext.broadcast(rank_bytes(rank_path))
@@ -322,13 +327,13 @@ def decode_ids(df: DataFrame, rank_path: str, ids_col: str = "ids", out_col: str
     return df.withColumn(out_col, decode(F.col(ids_col)))
 
 
-def bpe_digest(docs: DataFrame, rank_path: str) -> DataFrame:
+def bpe_digest(docs: DataFrame, rank_path: str, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per row; digests of the ids and of the bytes they decode to.
 
     Empty and null texts have no tokens and the digests of nothing. Repeated rows give repeated results; other columns
     are ignored; an empty table gives no rows.
     """
-    both = encode_texts(docs, rank_path, carry=["doc_id"], decode=True)
+    both = encode_texts(docs, rank_path, carry=["doc_id"], decode=True, pattern=pattern)
     return both.select(
         F.col("row.doc_id").alias("doc_id"),
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
