@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_hot
-from tidemark.operators.sets import connected_components
 from tidemark.llm.text_hash import byte_slices, shingle_sets, word_bytes
+from tidemark.operators.joins import join_hot
+from tidemark.operators.sets import connected_components
 from tidemark.session import materialize, ship_package, task_count
 
 K = 5
@@ -388,7 +388,8 @@ _JOIN_SQL = "u long, v long, links long"
 
 def _join_cells(percent: int):
     """Rows of one bucket: several whole components, or two cells of a large one. Every link is found; what goes out is
-    a spanning forest of them (u, v) and for each class the documents of the classes it links to (u, links)."""
+    who is joined by them, each node with the least of its tree (u, v), and for each class the documents of the classes
+    it links to (u, links)."""
 
     def join(table: pa.Table) -> pa.Table:
         comp, node, n, docs, mine = (table.column(c).to_numpy() for c in ("comp", "node", "n", "docs", "mine"))
@@ -409,11 +410,14 @@ def _join_cells(percent: int):
             for x, ys in trie_links(numbers, n[pick].tolist(), percent, mine[pick] if apart[pick[0]] else None):
                 links[pick[x]] += docs[pick[ys]].sum()
                 links[pick[ys]] += docs[pick[x]]
-                for tree, y in zip(*(a.tolist() for a in np.unique(label[ys], return_index=True))):
+                for tree in np.unique(label[ys]).tolist():
                     if tree != label[x]:
                         label[label == tree] = label[x]
-                        us.append(int(node[pick[x]]))
-                        vs.append(int(node[pick[ys[y]]]))
+            least = np.full(len(pick), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, node[pick])
+            below = node[pick] != least[label]
+            us += node[pick][below].tolist()
+            vs += least[label][below].tolist()
         some = np.flatnonzero(links)
         gone = pa.nulls(len(us), pa.int64()), pa.nulls(len(some), pa.int64())
         return pa.table({
