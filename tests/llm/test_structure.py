@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm.rows import awkward, frame, lower, words
 from tidemark.llm import warc as Q
 from tidemark.llm.jaccard_join import jaccard_links, keep_one, needed_overlap, trie_join
-from tidemark.llm.line_dedup import clean_lines, drop_repeated_lines, line_digest, shortest_runs
+from tidemark.llm.line_dedup import clean_lines, drop_repeated_lines, line_digest, repeated_runs, shortest_runs
 from tidemark.session import fresh_path
 
 ROWS = awkward()
@@ -80,6 +80,28 @@ def test_warc_chunks_carry_digests(spark):
 # ---- repeated lines
 
 
+def test_long_record_is_never_whole(spark):
+    """Chunks of a 20 MB payload: none is larger than CHUNK and each carries the digest so far."""
+    body = "0123456789abcdef" * 1_300_000
+    df = spark.createDataFrame([(1, "u", body), (2, "u", body)], "page_id long, url string, html string")
+    none = spark.createDataFrame([], "page_id long, refers_to long")
+    rows = Q.chunk_records(df.where("page_id = 1"), none).select("chunk_no", F.octet_length("data").alias("n"), "running_digest").collect()
+    so_far = hashlib.sha256()
+    for r in rows:
+        so_far.update(body[r.chunk_no * Q.CHUNK : (r.chunk_no + 1) * Q.CHUNK].encode())
+        assert r.n <= Q.CHUNK and r.running_digest == so_far.hexdigest()
+    got = {r.page_id: r for r in Q.warc_round_trip(df).collect()}
+    assert got[1].payload_bytes == len(body) and got[1].payload_digest == so_far.hexdigest() == got[2].payload_digest
+    assert (got[2].record_type, got[2].refers_to, got[1].digest_ok, got[2].digest_ok) == ("revisit", 1, True, True)
+
+
+def test_sizes_and_digests_are_counted(spark):
+    """A reader believes what it reads, not what the header says."""
+    raw = Q.record_header(7, "u", None, 5, "0" * 64) + b"hello\r\n\r\n"
+    (row,) = list(Q.read_archive(io.BytesIO(gzip.compress(raw))))
+    assert row[7] == 5 and row[8] == hashlib.sha256(b"hello").hexdigest() != row[9]
+
+
 def brute_lines(docs, least):
     seen, removed = set(), {}
     for i, t in docs:
@@ -117,6 +139,23 @@ def test_repeated_lines(spark, least):
         assert (g.clean or "") == (left if gone else (g.text or ""))
 
 
+def test_repeated_runs_are_maximal(spark):
+    p = [f"p{k} " * 10 for k in range(9)]
+    q = [f"q{k} " * 10 for k in range(7)]
+    rows = [(1, "\n".join(["head", *p, "tail"])), (2, "\n".join([*q, "x"])), (3, "\n".join(["y", *p[1:], "z", "", *q[:6]])), (4, "\n".join(p[:4])), (5, None)]
+    got = sorted(tuple(r) for r in repeated_runs(frame(spark, rows)).collect())
+    assert got == [(3, 1, 8, 8, 1), (3, 11, 16, 6, 2)]
+    assert repeated_runs(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_line_dedup_of_long_texts(spark):
+    """Many lines removed from one long document."""
+    text = "\n".join(f"line {i} of a long document with some more words in it" for i in range(20_000))
+    got = {r.doc_id: r for r in line_digest(frame(spark, [(1, text), (2, "own\n" + text + "\nend")])).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (0, 20_000)
+    assert got[2].text_sha256 == hashlib.sha256(b"own\nend").hexdigest()
+
+
 def test_shortest_runs_cover_maximal_runs():
     import numpy as np
 
@@ -214,6 +253,12 @@ def test_keep_one_keeps_texts_that_are_nowhere_else(spark):
     assert left == collections.Counter([rows[0], rows[2], rows[4]])
 
 
+def test_jaccard_of_long_texts(spark):
+    long = " ".join(f"w{k * k % 9973}x{k % 89}" for k in range(200_000))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_links(frame(spark, [(1, long), (2, long + " more"), (3, "some other text of seven words here")])).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_trie_join_finds_every_component():
     import numpy as np
 
@@ -265,3 +310,24 @@ def test_pipeline(spark, sf):
     comps = plain_components([(r.doc_id, r.text) for r in before.collect()])
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {i for i, _, c in comps if c == i}
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_pipeline_stages_on_awkward_rows(spark, sf):
+    """Nulls, repeated ids, blanks, clashing columns, an empty table: every stage gives a defined result."""
+    import corpus_pipeline as P
+
+    rows = [(i, t) for i, t in ROWS if len(t or "") < 1000] + [(None, "x y z " * 30), (None, "x y z " * 30)]
+    for docs in (frame(spark, rows), frame(spark, rows).limit(0)):
+        names, before = docs.columns, collections.Counter((r.doc_id, r.text) for r in docs.collect())
+        for name, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, sf)
+            after = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+            assert docs.columns == names
+            if name in ("toxicity", "near_duplicates"):
+                assert not after - before
+            if name == "source_mix":
+                assert set(after) == set(before)
+            before = after
+        out = P.byte_bpe(spark, docs, sf)
+        assert out.where("not round_trip").count() == 0 and out.count() == before.total()
+    assert P.byte_bpe(spark, frame(spark, rows).select("doc_id", "text"), sf).columns == ["doc_id", "n_tokens", "ids", "round_trip"]

@@ -15,7 +15,7 @@ from tests.llm.rows import SPACE, awkward, frame, words
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources, plan_mix, replicate, solve_exponent, source_sizes, token_table
 from tidemark.llm.quality import Rule, quality_rules, text_stats
-from tidemark.llm.secret_scan import ALPHABET, KINDS, MIN_BITS, WINDOW, find_secrets, secret_digest
+from tidemark.llm.secret_scan import ALLOW, CANDIDATE, CLASSES, KINDS, WINDOW, find_secrets, secret_digest
 
 ROWS = awkward()
 
@@ -43,18 +43,22 @@ def test_quality_rules_compile(spark):
 
 
 def window_spans(text: str) -> list[tuple]:
-    """Entropy spans by counting each window anew."""
-    from tidemark.llm.secret_scan import ALLOW, CANDIDATE, MIXED
-
+    """Entropy spans by counting each window anew: every window that no allow-listed stretch touches, marked character by character."""
     out = []
     for m in re.finditer(CANDIDATE, text):
-        v = m[0]
-        if not re.search(MIXED, v) or any(a in v.lower() for a in ALLOW):
-            continue
-        kind = "entropy_hex" if re.fullmatch("[0-9A-Fa-f]+", v) else "entropy_base64"
-        hot = [i for i in range(len(v) - WINDOW + 1) if -sum(c / WINDOW * math.log2(c / WINDOW) for c in collections.Counter(v[i : i + WINDOW]).values()) >= MIN_BITS[kind] - 1e-9]
-        if hot:
-            out.append((m.start() + hot[0], KINDS.index(kind), m.start() + hot[-1] + WINDOW, kind))
+        at = m.start()
+        for piece in re.split(f"({ALLOW})", m[0]):
+            kind, _, bits = next(c for c in CLASSES if re.fullmatch(f"[{c[1]}]*", piece))
+            hot = [i for i in range(len(piece) - WINDOW + 1) if -sum(c / WINDOW * math.log2(c / WINDOW) for c in collections.Counter(piece[i : i + WINDOW]).values()) >= bits - 1e-9]
+            if re.fullmatch(ALLOW, piece):
+                hot = []
+            covered = sorted({k for i in hot for k in range(i, i + WINDOW)})
+            for k, c in enumerate(covered):
+                if k == 0 or covered[k - 1] != c - 1:
+                    start = c
+                if k + 1 == len(covered) or covered[k + 1] != c + 1:
+                    out.append((at + start, KINDS.index(kind), at + c + 1, kind))
+            at += len(piece)
     return out
 
 
@@ -74,9 +78,24 @@ SECRETS = [
     "aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6x/zXcVbNmQ=" + " thequickbrownfoxjumpsoverthelazydog " + "a" * 60 + " 00000000000000000000000000000000",
     "q7T" * 30 + " Kd8#" + "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3A=" * 3,
     "", None, "pässword=unrelated12 tokens:abcdefgh token:é",
+    "aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6mN0000 -----aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6mN----- /example/aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6mN",
+    "aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6mN" + "x" * 60 + "bY4jM8rX3fS6uZ9vJ2pQ5tE8gH1iK7nO your_aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6mN",
+    "aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6mN" + "ab" * 40 + "bY4jM8rX3fS6uZ9vJ2pQ5tE8gH1iK7nO lqzvwkdxbnmhyfgtrcpsjuaoei QPWOEIRUTYLAKSJDHFGMZNXBCV",
+    "zX8/cV7+bN6mL5kJ4hG3fD2sA1qW0e== aZ3k_L9qW-2eR5tY8_uI1oP4-sD7f aZ3k_L9qW/2eR5+tY8uI1oP4sD7f 31415926535897932384626433832795 e/f+" + "q" * 24,
 ]
 
 
+def test_secrets_beside_allow_listed_text(spark):
+    """A key is found whatever it touches, two keys are two spans, and the cold text between is in none."""
+    key, other = "aZ3kL9qW2eR5tY8uI1oP4sD7fG0hJ6mN", "bY4jM8rX3fS6uZ9vJ2pQ5tE8gH1iK7nO"
+    texts = [key + "0000", "-----" + key + "-----", "/example/" + key, key + "x" * 60 + other, key + "ab" * 40 + other, "example-placeholder-changeme-example", "0123456789" * 6]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.order >= 3] for r in find_secrets(frame(spark, list(enumerate(texts)))).collect()}
+    assert [len(got[i]) for i in range(7)] == [1, 1, 1, 2, 2, 0, 0]
+    for i in range(5):
+        assert all(any(a <= texts[i].index(k) + 4 and b >= texts[i].index(k) + 28 for a, b in got[i]) for k in (key, other) if k in texts[i])
+    assert got[4][0][1] < 60 and got[4][1][0] > 90
+
+
 def test_secrets(spark):
     rows = list(enumerate(SECRETS)) + [r for r in ROWS if r[0] is not None][:40]
     got = {(r.doc_id, tuple((s.start, s.order, s.end, s.kind) for s in r.spans)) for r in find_secrets(frame(spark, rows)).collect()}
@@ -85,7 +104,6 @@ def test_secrets(spark):
     one = secret_digest(find_secrets(frame(spark, [(0, SECRETS[0])]))).first()
     spans = sorted(rule_spans(SECRETS[0]))
     assert one.n_assign == 3 and one.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
-    assert len(set(ALPHABET)) == len(ALPHABET)
 
 
 @pytest.mark.parametrize("counters", [1, 4, 1024])
@@ -143,6 +161,11 @@ def test_mixing_entropy_and_budget(spark):
         assert a == 1 or h(a + 2**-19) < target + 1e-6
     got = mix_sources(df, max_epochs=2.0, budget_tokens=1500, block_tokens=50).collect()
     assert sum(r.n_tokens * r.copies for r in got) <= 1500
+    share = 1500 / sum(r.n_tokens for r in got)
+    again = mix_sources(df, max_epochs=2.0, budget_share=share + 1e-9, block_tokens=50).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
+    with pytest.raises(ValueError):
+        mix_sources(df, budget_share=0.5, budget_tokens=10)
     with pytest.raises(ValueError):
         solve_exponent(sizes)
     blocks, _ = plan_mix(token_table(df.limit(0)))
@@ -161,3 +184,38 @@ def test_fold_is_crc32(spark):
 
     got = {r.doc_id: r.f for r in spark.range(50).select(F.col("id").alias("doc_id")).withColumn("f", fold(F.col("doc_id"))).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)}
+
+
+@pytest.mark.parametrize("spans", [1, 7])
+def test_mixing_takes_blocks_in_one_order(spark, monkeypatch, spans):
+    """Whole blocks up to the quota in the seeded order, however the running sums are split; then documents of the edge block."""
+    from tidemark.llm import mixing
+
+    monkeypatch.setattr(mixing, "SPANS", spans)
+    digest = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    rows = [(i, " ".join(["w"] * (3 + i % 5)), "en", "a" if i % 3 else "b", 0) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in mix_sources(df, max_epochs=1.5, budget_share=0.6, block_tokens=32).collect()}
+    assert len({(r.source, r.block) for r in got.values()}) > 100
+    for s in "ab":
+        mine = [r for r in got.values() if r.source == s]
+        tokens, quota = sum(r.n_tokens for r in mine), math.floor(mine[0].weight * math.floor(0.6 * sum(r.n_tokens for r in got.values())))
+        blocks = collections.defaultdict(list)
+        for r in mine:
+            assert r.block == digest(7, "block", r.doc_id) % math.ceil(tokens / 32)
+            blocks[r.block].append(r)
+        left, whole = quota % tokens, quota // tokens
+        for b in sorted(blocks, key=lambda b: (digest(7, s, b), b)):
+            for r in sorted(blocks[b], key=lambda r: (digest(7, "doc", r.doc_id), r.doc_id)):
+                left -= r.n_tokens
+                assert r.copies == whole + (left >= 0)
+
+
+def test_long_texts(spark):
+    """Texts of a million words: statistics, digests, word counts."""
+    long = "one two three four\n" * 300_000
+    df = spark.createDataFrame([(1, long, "s"), (2, long.replace("\n", " \t"), "s"), (3, None, None)], "doc_id long, text string, source string")
+    one = next(r for r in text_stats(df).collect() if r.doc_id == 1)
+    assert (one.n_words, one.n_repeat_words, one.n_dup_lines) == (1_200_000, 1_200_000, 299_999)
+    assert {r.doc_id: r.keep_id for r in exact_dedup(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: (r.n_tokens, r.copies) for r in mix_sources(df, max_epochs=2.0).collect()} == {1: (1_200_000, 1), 2: (1_200_000, 1), 3: (0, 1)}

@@ -13,11 +13,15 @@ from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ppm import lm_scores
 from tidemark.llm.quality import RULES, STOP_WORDS, Rule, quality_rules
-from tidemark.llm.secret_scan import ACCESS, ALLOW, ASSIGN, CANDIDATE, HEX, MIN_BITS, MIXED, WINDOW, c_log_c, entropy_limit, find_secrets, secret_digest
+from tidemark.llm.secret_scan import ACCESS, ALLOW, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, c_log_c, entropy_limit, find_secrets, secret_digest
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.warc import warc_round_trip
 
 
+#: The mix of op6: no source is read over 1.1 times as often as the largest, three quarters of all words in all, blocks of 4,096.
+MIX_EPOCHS, MIX_SHARE, MIX_BLOCK = 1.1, 0.75, 4096
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,7 +60,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents"), max_epochs=2.0)
+    return mix_sources(_table(spark, sf_dir, "documents"), max_epochs=MIX_EPOCHS, budget_share=MIX_SHARE, block_tokens=MIX_BLOCK)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digest(_table(spark, sf_dir, "documents"), rank_path())
+    import public_tokenizers
+
+    return bpe_digest(_table(spark, sf_dir, "documents"), rank_path(), public_tokenizers.PATTERN)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +123,14 @@ ORACLES = {
                      CASE o WHEN 0 THEN regexp_split_to_array(t, {_quoted(ASSIGN)}) WHEN 1 THEN regexp_split_to_array(t, {_quoted(ACCESS)}) WHEN 2 THEN regexp_split_to_array(t, {_quoted(HEX)}) ELSE regexp_split_to_array(t, {_quoted(CANDIDATE)}) END AS g FROM k),
         p AS (SELECT doc_id, k, o, m[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM f, unnest(range(1, len(m) + 1)) AS u(i)),
         base AS (SELECT doc_id, k, o, s, s + length(v) AS e FROM p WHERE o < 3 AND (o > 0 OR length(regexp_extract(v, {_quoted(ASSIGN)}, 1)) >= 8)),
-        c AS (SELECT doc_id, s, v, regexp_full_match(v, '[0-9A-Fa-f]+') AS h FROM p WHERE o = 3 AND regexp_matches(v, {_quoted(MIXED)}) AND NOT ({' OR '.join(f"contains(lower(v), {_quoted(a)})" for a in ALLOW)})),
-        w AS (SELECT doc_id, s, h, j, string_split(substr(v, j + 1, {WINDOW}), '') AS ch FROM c, unnest(range(0, length(v) - {WINDOW - 1})) AS u(j)),
-        x AS (SELECT doc_id, s, h, j FROM w WHERE list_sum(list_transform(list_distinct(ch), lambda q: ([{_SUMS}])[len(list_filter(ch, lambda y: y = q)) + 1])) <= CASE WHEN h THEN {entropy_limit(MIN_BITS["entropy_hex"])} ELSE {entropy_limit(MIN_BITS["entropy_base64"])} END),
-        every AS (SELECT * FROM base UNION ALL SELECT doc_id, CASE WHEN h THEN 'entropy_hex' ELSE 'entropy_base64' END, CASE WHEN h THEN 3 ELSE 4 END, s + min(j), s + max(j) + {WINDOW} FROM x GROUP BY doc_id, s, h),
+        q AS (SELECT doc_id, s, regexp_extract_all(v, {_quoted(ALLOW)}) AS m, regexp_split_to_array(v, {_quoted(ALLOW)}) AS g FROM p WHERE o = 3),
+        c AS (SELECT doc_id, (s + list_sum(list_transform(g[1:i], lambda x: length(x))) - length(g[i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, g[i] AS v FROM q, unnest(range(1, len(g) + 1)) AS u(i) WHERE length(g[i]) >= {WINDOW}),
+        h AS (SELECT doc_id, s, v, CASE {' '.join(f"WHEN regexp_full_match(v, '[{chars}]+') THEN {k}" for k, (_, chars, _) in enumerate(CLASSES))} END AS k FROM c),
+        w AS (SELECT doc_id, s, k, j, string_split(substr(v, j + 1, {WINDOW}), '') AS ch FROM h, unnest(range(0, length(v) - {WINDOW - 1})) AS u(j)),
+        x AS (SELECT doc_id, s, k, j FROM w WHERE list_sum(list_transform(list_distinct(ch), lambda q: ([{_SUMS}])[len(list_filter(ch, lambda y: y = q)) + 1])) <= ([{', '.join(str(entropy_limit(bits)) for _, _, bits in CLASSES)}])[k + 1]),
+        y AS (SELECT *, CASE WHEN j <= lag(j) OVER (PARTITION BY doc_id, s ORDER BY j) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM x),
+        z AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, s ORDER BY j) AS stretch FROM y),
+        every AS (SELECT * FROM base UNION ALL SELECT doc_id, ([{', '.join(_quoted(kind) for kind, _, _ in CLASSES)}])[k + 1], k + 3, s + min(j), s + max(j) + {WINDOW} FROM z GROUP BY doc_id, s, k, stretch),
         a AS (SELECT doc_id, count(*) FILTER (o = 0) AS na, count(*) FILTER (o = 1) AS nc, count(*) FILTER (o = 2) AS nh, string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3) AS b, string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, o, e) AS z FROM every GROUP BY 1)
         SELECT doc_id, coalesce(na, 0) AS n_assign, coalesce(nc, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(z, '') AS spans FROM d LEFT JOIN a USING (doc_id)
     """,
@@ -162,9 +172,10 @@ ORACLES = {
         WITH t AS (SELECT doc_id, source, len({_WORDS.format(t="coalesce(text, '')")})::BIGINT AS n_tokens FROM documents),
         s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY 1),
         sh AS (SELECT *, tokens / (SELECT sum(tokens) FROM s)::BIGINT AS share FROM s),
-        a AS (SELECT min(k) / 1048576.0::DOUBLE AS a FROM range(0, 1048577) AS u(k), (SELECT max(share) / min(share) AS q FROM sh WHERE share > 0) WHERE pow(q, 1 - k / 1048576.0::DOUBLE) <= 2.0),
-        q AS (SELECT source, tokens, pow(share, a) / sum(pow(share, a)) OVER () AS weight, CASE WHEN tokens > 0 THEN floor(pow(max(share) OVER () / share, 1 - a) * tokens)::BIGINT ELSE 0 END AS quota FROM sh, a),
-        p AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole, greatest(1, ceil(tokens / 1048576))::BIGINT AS n_blocks FROM q),
+        a AS (SELECT min(k) / 1048576.0::DOUBLE AS a FROM range(0, 1048577) AS u(k), (SELECT max(share) / min(share) AS q FROM sh WHERE share > 0) WHERE pow(q, 1 - k / 1048576.0::DOUBLE) <= {MIX_EPOCHS}::DOUBLE),
+        v AS (SELECT source, tokens, pow(share, a) / sum(pow(share, a)) OVER () AS weight, floor({MIX_SHARE}::DOUBLE * sum(tokens) OVER ())::DOUBLE AS budget FROM sh, a),
+        q AS (SELECT source, tokens, weight, CASE WHEN tokens > 0 THEN floor(weight * budget)::BIGINT ELSE 0 END AS quota FROM v),
+        p AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 0 END AS whole, greatest(1, ceil(tokens / {MIX_BLOCK}))::BIGINT AS n_blocks FROM q),
         d AS (SELECT t.doc_id, t.source, n_tokens, weight, whole, quota - whole * tokens AS rest, {_hash_sql("'7'", "'block'", "coalesce(doc_id::VARCHAR, 'null')")} % n_blocks AS block FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source),
         b AS (SELECT source, block, sum(n_tokens) AS n FROM d GROUP BY 1, 2),
         e AS (SELECT source, block, n, sum(n) OVER (PARTITION BY source ORDER BY {_hash_sql("'7'", "coalesce(source, 'null')", "block::VARCHAR")}, block) AS ends FROM b),
