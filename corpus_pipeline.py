@@ -19,24 +19,32 @@ MAX_EPOCHS = 2.0
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier learnt from the labels of four folds scores under 0.5; null and empty texts stay."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of line runs of 50 words; one that loses every line with a word goes. Null and
+    empty texts stay as they are."""
     return drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id (null last); texts without words stay."""
     return keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, and documents of small sources again as the temperature weights ask; a null source is one of its own."""
     return replicate(docs, max_epochs=MAX_EPOCHS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text's bytes."""
-    both = encode_texts(docs, rank_path(), carry=["doc_id", "lang", "source"], decode=True)
+    """doc_id, lang and source (where there), n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the
+    text's bytes; null and empty texts have no ids."""
+    import public_tokenizers
+
+    both = encode_texts(docs, rank_path(), carry=[c for c in ("doc_id", "lang", "source") if c in docs.columns], decode=True, pattern=public_tokenizers.PATTERN)
     return both.select("row.*", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
