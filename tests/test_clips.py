@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +12,36 @@ from tidemark.operators import clips as C
 def test_colours_and_textures(spark):
     px = spark.createDataFrame([("t", 0, 1.0, 2.0, 3.0), ("t", 0, 3.0, 2.0, 9.0), ("t", 5, 99.0, 99.0, 99.0), ("s", 5, 1.0, 1.0, 1.0)], "t string, k int, r double, g double, b double")
     assert {r.t: (r.r, r.g, r.b) for r in C.median_colour(px, ["t"], 10, (7, 8, 9)).collect()} == {"t": (2, 2, 6), "s": (7, 8, 9)}
-    tex = spark.createDataFrame([(c, k, (10.0 + c) * (1.5 if k == 2 else 1.0)) for c in range(8) for k in range(3)], "c int, k int, g double")
-    assert {r.c: r.value for r in C.fuse_texture(tex, ["c"], "k", "g", least=5).collect()} == {c: pytest.approx(10.0 + c) for c in range(8)}
+
+
+def plain_texture(cols, sharp, enough, blend):
+    """cols[k, cell] (NaN: not seen): gains against a first median, then medians of sharp and of all frames."""
+    cols = cols.copy()
+    first = np.nanmedian(cols, 0)
+    for k in range(len(cols)):
+        v = np.isfinite(cols[k])
+        if v.sum() > 5:
+            gain = np.clip(np.median(cols[k, v] + 1) / np.median(first[v] + 1), 0.6, 1.6)
+            cols[k, v] = np.floor(np.clip(cols[k, v] / gain, 0, 255))
+    with np.errstate(all="ignore"):
+        s, a, n = np.nanmedian(cols[sharp], 0), np.nanmedian(cols, 0), np.isfinite(cols[sharp]).sum(0)
+    if blend:
+        w = np.clip(n / enough, 0, 1)
+        return np.where(n > 0, w * np.nan_to_num(s) + (1 - w) * a, a)
+    return np.where(n >= enough, s, a)
+
+
+@pytest.mark.parametrize("blend", [False, True])
+def test_fused_texture(spark, blend):
+    r = np.random.default_rng(1)
+    cols = np.floor(r.uniform(40, 200, 12) * r.choice([0.5, 0.8, 1.0, 1.3, 2.5], 9)[:, None] + r.normal(0, 3, (9, 12))).clip(0, 255)
+    cols[r.random((9, 12)) < 0.3] = np.nan
+    cols[8, 4:] = np.nan  # too few pixels for a gain
+    sharp = np.array([k % 2 == 0 for k in range(9)])
+    rows = [(c, k, float(cols[k, c]), bool(sharp[k])) for k in range(9) for c in range(12) if np.isfinite(cols[k, c])]
+    got = C.fuse_texture(spark.createDataFrame(rows, "c int, k int, g double, s boolean"), ["c"], "k", "g", least=5, sharp="s", enough=3, blend=blend)
+    want = plain_texture(cols, sharp, 3, blend)
+    assert {x.c: x.value for x in got.collect()} == {c: pytest.approx(want[c]) for c in range(12)}
 
 
 def test_shifts_bands_profiles(spark):
@@ -56,9 +85,11 @@ def test_cables_gaps_tools(spark):
     assert held.explained == pytest.approx(0) and held.error == 1
     g = C.gap_summary(spark.createDataFrame([(0, 0, 1.0), (0, 0, 3.0), (0, 1, None), (0, 2, 5.0)], "g int, k int, d double"), ["g"], "d", "k").first()
     assert (g["median"], g["max"], g.frames) == (3.5, 5.0, 2)
-    px = spark.createDataFrame([(0, k, u, v) for k in (0, 1, 3) for u in range(0, 41) for v in range(28, 32)], "g int, k int, u int, v int")
+    px = spark.createDataFrame([(0, k, u, v) for k in (0, 1, 3) for u in range(0, 81) for v in range(28, 32)], "g int, k int, u int, v int")
     t = C.instrument_track(px, ["g"], "k", 200, 100, 5).orderBy("k").collect()
-    assert [x.visible for x in t] == [True, True, False, True, False] and all(x.tu == pytest.approx(38) and abs(x.du) == pytest.approx(1) for x in t)
+    assert [x.visible for x in t] == [True, True, False, True, False] and all(79 < x.tu <= 80 and 0 <= x.eu < 1 and x.du == pytest.approx(1) and x.depth is None for x in t)
+    near = C.instrument_track(px, ["g"], "k", 200, 100, 5, depth=px.withColumn("z", F.col("u") / 100)).collect()
+    assert all(0.68 < x.depth < 0.78 for x in near)
 
 
 def test_depth_and_offsets(spark):

@@ -78,7 +78,7 @@ def test_stretch_and_fold(spark):
     assert M.fold(frames, f).first()[0] == pytest.approx(angle / 2)
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.tuples(*[st.floats(-1.5, 1.5)] * 3), st.floats(50, 900), st.tuples(*[st.floats(-1, 1)] * 3))
 def test_projection_is_undone(spark, r, focal, pos):
     p = np.array([0.3, -0.2, 5.0])
@@ -197,7 +197,7 @@ def test_images_and_skeletons(spark):
     blobs = spark.createDataFrame([(0, k, float(10 * k), 0.0, 200.0) for k in range(5)] + [(0, 2, 0.0, 500.0, 900.0)], "g int, k int, u double, v double, area double")
     assert [r.u for r in K.follow_blob(blobs, ["g"], (0.0, 0.0)).orderBy("k").collect()] == [0, 10, 20, 30, 40]
     cells = spark.createDataFrame([(0, x, y, float(x) if x in (0, 4) else None) for x in range(5) for y in range(3)], "g int, x int, y int, z double")
-    assert all(r.z == pytest.approx(r.x, abs=1e-5) for r in K.harmonic_fill(cells, ["g"], 5000).collect())
+    assert all(r.z == pytest.approx(r.x, abs=1e-5) for r in K.harmonic_fill(cells, ["g"]).collect())
     nodes = spark.createDataFrame([(0, k, 0.0, 0.0, float(k)) for k in range(5)], "g int, node long, x double, y double, z double")
     assert len({(r.nx, r.ny, r.nz) for r in K.parallel_frames(nodes, ["g"]).collect()}) == 1
     tube = M.tube(nodes.withColumn("path", F.lit(0)).withColumn("r", F.lit(0.5)), "r", 6).collect()

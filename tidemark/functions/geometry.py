@@ -103,25 +103,62 @@ def faces_viewer(normal: Column, view: Column) -> Column:
     return dot(normal, view) < 0
 
 
+def visible(z: Column, depth: Column, cut: float = 0.006) -> Column:
+    """A drawn point is seen unless the measured depth is nearer by ``cut`` or more."""
+    return z < depth + F.lit(cut)
+
+
 def shaft_direction(yaw: Column, pitch: Column, heading: Column) -> Column:
-    """Unit direction of a straight shaft: down at zero, pitched in its own plane, turned about z by heading + yaw."""
+    """Unit direction of a straight shaft: along y at zero, pitched downwards, turned about z by heading + yaw."""
     a = heading + yaw
-    return vec(F.sin(pitch) * F.cos(a), F.sin(pitch) * F.sin(a), -F.cos(pitch))
+    return vec(-F.sin(a) * F.cos(pitch), F.cos(a) * F.cos(pitch), -F.sin(pitch))
 
 
-def shaft_tip(port: Column, yaw: Column, pitch: Column, insertion: Column, heading: Column) -> Column:
-    """Forward kinematics: the port plus the insertion along the shaft."""
-    return add(port, scale(shaft_direction(yaw, pitch, heading), insertion))
+def shaft_tip(port: Column, yaw: Column, pitch: Column, insertion: Column, heading: Column, offset: float = 0.0) -> Column:
+    """Forward kinematics: the port plus insertion and tool offset along the shaft."""
+    return add(port, scale(shaft_direction(yaw, pitch, heading), insertion + F.lit(offset)))
 
 
-def shaft_joints(port: Column, tip: Column, heading: Column, reach: float | None = None) -> Column:
+def shaft_joints(port: Column, tip: Column, heading: Column, reach: float | None = None, offset: float = 0.0) -> Column:
     """Inverse kinematics: (yaw, pitch, insertion); null beyond ``reach``."""
     d = sub(tip, port)
     length = norm(d)
-    out = F.struct((F.atan2(d["y"], d["x"]) - heading).alias("yaw"), F.acos(clip(-d["z"] / F.greatest(length, F.lit(1e-12)), -1.0, 1.0)).alias("pitch"), length.alias("insertion"))
+    x, y = d["x"] * F.cos(heading) + d["y"] * F.sin(heading), d["y"] * F.cos(heading) - d["x"] * F.sin(heading)
+    out = F.struct(F.atan2(-x, y).alias("yaw"), F.asin(clip(-d["z"] / F.greatest(length, F.lit(1e-12)), -1.0, 1.0)).alias("pitch"), (length - F.lit(offset)).alias("insertion"))
     return out if reach is None else F.when(length <= F.lit(reach), out)
 
 
+def checked_joints(joints: Column, bounds: dict[str, tuple[float, float]], slack: dict[str, float]) -> Column:
+    """Joints kept within bounds; an error where one is outside by more than its slack, as the tip cannot be reached then."""
+    far = F.lit(False)
+    for name, (lo, hi) in bounds.items():
+        far = far | (joints[name] < lo - slack.get(name, 0.0)) | (joints[name] > hi + slack.get(name, 0.0))
+    kept = F.struct(*[clip(joints[n], *bounds[n]).alias(n) if n in bounds else joints[n].alias(n) for n in ("yaw", "pitch", "insertion")])
+    return F.when(far, F.raise_error(F.lit("the tip is out of reach")).cast("struct<yaw:double,pitch:double,insertion:double>")).otherwise(kept)
+
+
+def heading(port: Column, target: Column) -> Column:
+    """Turn about z that points a shaft's zero direction at a (mean) target."""
+    d = sub(target, port)
+    return F.atan2(-d["x"], d["y"])
+
+
+def pose_position(pos: Column, fixed: Column) -> Column:
+    """Where the camera is: its own position, or the fixed one where a clip has none."""
+    return F.coalesce(pos, fixed)
+
+
+def canvas_uv(u: Column, v: Column, margin: int, width: int, height: int) -> Column:
+    """Texture place (0 to 1) of an image point in a canvas that reaches ``margin`` pixels beyond the image on every side."""
+    return F.struct(((u + margin) / F.lit(float(width + 2 * margin))).alias("u"), ((v + margin) / F.lit(float(height + 2 * margin))).alias("v"))
+
+
+def silhouette_thickness(distance: Column, half_width: Column, z: Column, focal: Column, low: float = 0.002, high: float = 0.03) -> Column:
+    """Thickness of a body seen in outline as if it were round: 2 sqrt(R^2 - (R - d)^2) pixels at depth z, limited."""
+    chord = 2.0 * F.sqrt(F.greatest(half_width * half_width - (half_width - distance) * (half_width - distance), F.lit(0.0)))
+    return clip(chord * z / focal, low, high)
+
+
 def triangle_area(a: Column, b: Column, c: Column) -> Column:
     return norm(cross(sub(b, a), sub(c, a))) / 2.0
 

@@ -46,6 +46,12 @@ def split_name(name: Column, sep: str = "+") -> tuple[Column, Column]:
     return (F.when(at > 0, F.substring(name, F.lit(1), at - 1)).otherwise(name), F.when(at > 0, F.substring(name, at + 1, F.length(name))).otherwise(F.lit("")))
 
 
+def variant_title(title: Column, variant: Column, titles: dict[str, str]) -> Column:
+    """Title of a clip with its variant's name behind a middle dot; the title alone without a variant."""
+    name = F.coalesce(*[F.when(variant == k, F.lit(v)) for k, v in titles.items()], variant)
+    return F.when((variant == "") | variant.isNull(), title).otherwise(F.concat(title, F.lit(" \u00b7 "), name))
+
+
 def parse_config(text: Column) -> Column:
     """``key=value,key=value`` to a map; text without ``=`` gives null values."""
     return F.str_to_map(text, F.lit(","), F.lit("="))

@@ -27,16 +27,24 @@ def median_colour(px: DataFrame, by: Names, step: int, default: tuple[float, flo
     return out.select(*by, *[F.coalesce(c, F.lit(float(d))).alias(c) for c, d in zip("rgb", default)])
 
 
-def fuse_texture(px: DataFrame, cell: Names, k: str, g: str, least: int = 500, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """Median texture by cell after each frame's gain is evened out: cell, value, n.
+def fuse_texture(px: DataFrame, cell: Names, k: str, g: str, least: int = 500, low: float = 0.6, high: float = 1.6, sharp: str | None = None, enough: int = 4, blend: bool = False) -> DataFrame:
+    """Median texture by cell after each frame's gain is evened out: cell, value, n, n_sharp.
 
-    A frame's gain is the median ratio of its pixels to the first median, limited; frames with fewer than ``least``
-    pixels keep gain 1.
+    A frame's gain is the median of its values + 1 over the median, on the same pixels, of the first fused values + 1,
+    limited; frames with ``least`` pixels or fewer keep gain 1. With ``sharp`` (a flag of the frame) the sharp frames'
+    median counts where ``enough`` of them see a cell; with ``blend`` it is mixed with that of all frames by its support.
     """
     first = px.groupBy(*cell).agg(F.percentile(g, 0.5).alias("__m"))
-    ratio = px.join(first, list(cell)).where(F.col("__m") > 0).groupBy(k).agg(F.when(F.count(F.lit(1)) > least, F.percentile(F.col(g) / F.col("__m"), 0.5)).alias("__g"))
-    even = px.join(ratio, k, "left").withColumn("__v", F.col(g) / clip(F.coalesce("__g", F.lit(1.0)), low, high))
-    return even.groupBy(*cell).agg(F.percentile("__v", 0.5).alias("value"), F.count(F.lit(1)).alias("n"))
+    gain = px.join(first, list(cell)).groupBy(k).agg(F.when(F.count(F.lit(1)) > least, clip(F.percentile(F.col(g) + 1, 0.5) / F.percentile(F.col("__m") + 1, 0.5), low, high)).alias("__g"))
+    even = px.join(gain, k, "left").withColumn("__v", F.when(F.col("__g").isNull(), F.col(g).cast("double")).otherwise(F.floor(clip(F.col(g) / F.col("__g"), 0.0, 255.0)).cast("double")))
+    ok = F.col(sharp) if sharp else F.lit(True)
+    t = even.groupBy(*cell).agg(F.percentile("__v", 0.5).alias("__a"), F.percentile(F.when(ok, F.col("__v")), 0.5).alias("__s"), F.count(F.lit(1)).alias("n"), F.sum(ok.cast("long")).alias("n_sharp"))
+    if blend:
+        w = clip(F.col("n_sharp") / F.lit(float(enough)), 0.0, 1.0)
+        value = F.when(F.col("n_sharp") > 0, w * F.col("__s") + (1 - w) * F.col("__a")).otherwise(F.col("__a"))
+    else:
+        value = F.when(F.col("n_sharp") >= enough, F.col("__s")).otherwise(F.col("__a")) if sharp else F.col("__a")
+    return t.select(*cell, value.alias("value"), "n", "n_sharp")
 
 
 def carried_shift(df: DataFrame, by: Names, k: str, step: str, least: int) -> DataFrame:
@@ -132,7 +140,8 @@ def gap_summary(df: DataFrame, by: Names, d: str, k: str) -> DataFrame:
 
 
 def closest_faces(df: DataFrame, by: Names) -> DataFrame:
-    """Exact distance of a point from a mesh: rows (px, py, pz, face, ax … cz) of one point; by, d, face."""
+    """Exact distance of a point from a mesh: rows (px, py, pz, face, ax … cz) of one point; by, d, face. For many points on one
+    mesh see ``kernels.mesh_distances``, which needs no row for every pair."""
     ship_package(df.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
@@ -146,18 +155,29 @@ def closest_faces(df: DataFrame, by: Names) -> DataFrame:
     return df.groupBy(*by).applyInPandas(near, ", ".join(f"{b} {kinds[b]}" for b in by) + ", d double, face long")
 
 
-def instrument_track(px: DataFrame, by: Names, k: str, width: int, height: int, n: int, smooth: int = 7) -> DataFrame:
-    """Tip, direction and visibility of an elongated object by frame 0..n-1, gaps filled and smoothed: by, k, tu, tv, du,
-    dv, visible."""
-    from tidemark.operators.measures import mask_axis
+def instrument_track(px: DataFrame, by: Names, k: str, width: int, height: int, n: int, smooth: int = 7, depth: DataFrame | None = None, smooth_depth: int = 9) -> DataFrame:
+    """Tip, direction, entry, depth and visibility of an elongated object by frame 0..n-1, gaps filled and smoothed: by, k, tu,
+    tv, du, dv, eu, ev, depth, visible.
+
+    ``depth``: (by, k, u, v, z); the object's depth is the median over the band near its end. Without it depth is null.
+    """
+    from tidemark.operators.measures import axis_band, mask_axis
 
     keys = [*by, k]
-    a = mask_axis(px, keys, width, height).select(*keys, (F.col("cu") + F.col("s95") * F.col("du")).alias("tu"), (F.col("cv") + F.col("s95") * F.col("dv")).alias("tv"), "du", "dv")
+    a = mask_axis(px, keys, width, height)
+    t = a.select(*keys, "tu", "tv", "du", "dv", "eu", "ev")
+    if depth is None:
+        t = t.withColumn("depth", F.lit(None).cast("double"))
+    else:
+        z = axis_band(px, a, keys).join(depth.select(*keys, "u", "v", "z"), [*keys, "u", "v"]).groupBy(*keys).agg(F.percentile("z", 0.5).alias("depth"))
+        t = t.join(z, keys, "left")
     frames = px.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(k)) if by else px.sparkSession.range(n).select(F.col("id").cast("int").alias(k))
-    t = frames.join(a, keys, "left").withColumn("visible", F.col("tu").isNotNull())
-    for c in ("tu", "tv", "du", "dv"):
+    t = frames.join(t, keys, "left").withColumn("visible", F.col("tu").isNotNull())
+    for c in ("tu", "tv", "du", "dv", "eu", "ev"):
         t = W.fill_smooth(t, by, [k], c, smooth, f"__{c}").drop(c).withColumnRenamed(f"__{c}", c)
-    return t.select(*keys, "tu", "tv", "du", "dv", "visible")
+    if depth is not None:
+        t = W.fill_smooth(t, by, [k], "depth", smooth_depth, "__z").drop("depth").withColumnRenamed("__z", "depth")
+    return t.select(*keys, "tu", "tv", "du", "dv", "eu", "ev", "depth", "visible")
 
 
 def corrected_depth(px: DataFrame, affine: DataFrame, grid: DataFrame, width: int, height: int, gw: int, gh: int) -> DataFrame:
@@ -166,7 +186,7 @@ def corrected_depth(px: DataFrame, affine: DataFrame, grid: DataFrame, width: in
     corner = lambda dx, dy: F.struct(F.least(F.floor(x) + dx, F.lit(gw - 1)).alias("gu"), F.least(F.floor(y) + dy, F.lit(gh - 1)).alias("gv"), ((x - F.floor(x) if dx else 1 - (x - F.floor(x))) * (y - F.floor(y) if dy else 1 - (y - F.floor(y)))).alias("w"))
     c = px.select("k", "u", "v", "disp", F.explode(F.array(*[corner(dx, dy) for dx in (0, 1) for dy in (0, 1)])).alias("c")).select("k", "u", "v", "disp", "c.*")
     g = c.join(grid.select("k", F.col("gu").cast("long").alias("gu"), F.col("gv").cast("long").alias("gv"), F.col("c").alias("corr")), ["k", "gu", "gv"])
-    e = g.groupBy("k", "u", "v", "disp").agg(F.sum(F.col("w") * F.col("corr")).alias("e")).join(F.broadcast(affine), "k")
+    e = g.groupBy("k", "u", "v", "disp").agg(F.sum(F.col("w") * F.col("corr")).alias("e")).join(affine, "k")
     return e.select("k", "u", "v", (F.exp("e") / F.greatest(F.col("a") * F.col("disp") + F.col("b"), F.lit(1.0))).alias("z"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry as G
 from tidemark.functions.scalars import clip
 from tidemark.operators import windows as W
+from tidemark.operators.aggregates import quantiles
+from tidemark.operators.joins import neighbours
 from tidemark.operators.sets import dilate, outline
 
 Names = Sequence[str]
@@ -21,39 +23,79 @@ Names = Sequence[str]
 # ---- pixel sets
 
 
-def mask_axis(px: DataFrame, by: Names, width: int, height: int) -> DataFrame:
-    """Main axis of a pixel set: by, cu, cv (centre), du, dv (unit direction), s5, s95 (extent along it), n.
-
-    The 2 x 2 covariance has a closed-form eigenvector. The direction points away from the nearer image border.
-    """
+def _along(px: DataFrame, by: Names) -> DataFrame:
+    """Pixels with their centre (cu, cv), main axis (du, dv), number n and place s along the axis; the 2 x 2 covariance has
+    a closed-form eigenvector."""
     c = px.groupBy(*by).agg(F.avg("u").alias("cu"), F.avg("v").alias("cv"), F.var_pop("u").alias("a"), F.var_pop("v").alias("c"), F.covar_pop("u", "v").alias("b"), F.count(F.lit(1)).alias("n"))
     half = F.atan2(2 * F.col("b"), F.col("a") - F.col("c")) / 2
     c = c.select(*by, "cu", "cv", "n", F.cos(half).alias("du"), F.sin(half).alias("dv"))
-    s = px.join(c, list(by)) if by else px.crossJoin(F.broadcast(c))
-    s = s.withColumn("s", (F.col("u") - F.col("cu")) * F.col("du") + (F.col("v") - F.col("cv")) * F.col("dv"))
-    e = s.groupBy(*by, "cu", "cv", "du", "dv", "n").agg(F.percentile("s", 0.05).alias("s5"), F.percentile("s", 0.95).alias("s95"))
-    at = lambda q: G.border_distance(F.col("cu") + F.col(q) * F.col("du"), F.col("cv") + F.col(q) * F.col("dv"), F.lit(width), F.lit(height))
-    sign = F.when(at("s5") <= at("s95"), 1.0).otherwise(-1.0)
-    return e.select(*by, "cu", "cv", (F.col("du") * sign).alias("du"), (F.col("dv") * sign).alias("dv"), F.when(sign > 0, F.col("s5")).otherwise(-F.col("s95")).alias("s5"), F.when(sign > 0, F.col("s95")).otherwise(-F.col("s5")).alias("s95"), "n")
+    s = px.select(*by, "u", "v").join(c, list(by)) if by else px.select("u", "v").crossJoin(F.broadcast(c))
+    return s.withColumn("s", (F.col("u") - F.col("cu")) * F.col("du") + (F.col("v") - F.col("cv")) * F.col("dv"))
 
 
-def width_samples(px: DataFrame, axis: DataFrame, by: Names, bins: int = 24, tolerance: float = 1.5) -> DataFrame:
-    """Widths across the axis at bin centres along it: by, bin, s, width, n. A pixel within the tolerance of a centre counts."""
-    s = px.join(axis, list(by))
-    s = s.withColumn("s", (F.col("u") - F.col("cu")) * F.col("du") + (F.col("v") - F.col("cv")) * F.col("dv")).withColumn("t", (F.col("v") - F.col("cv")) * F.col("du") - (F.col("u") - F.col("cu")) * F.col("dv"))
-    step = (F.col("s95") - F.col("s5")) / F.lit(float(bins))
-    centre = lambda i: F.col("s5") + (i + 0.5) * step
-    s = s.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).where(F.abs(F.col("s") - centre(F.col("bin"))) <= tolerance)
-    return s.groupBy(*by, "bin").agg(F.avg("s").alias("s"), (F.max("t") - F.min("t") + 1).alias("width"), F.count(F.lit(1)).alias("n"))
+def mask_axis(px: DataFrame, by: Names, width: int, height: int, least: int = 200) -> DataFrame:
+    """Main axis of a pixel set: by, cu, cv (centre), du, dv (unit direction, towards the tip), tu, tv (tip), eu, ev (entry),
+    s85, s97 (bounds of the band near the tip), n. Sets of fewer than ``least`` pixels have no row.
+
+    Both ends are means of the outermost 1.5 % of the pixels along the axis; the tip is the one further from the image's
+    border, as tools enter there.
+    """
+    s = _along(px, by).where(F.col("n") >= least)
+    cut = s.groupBy(*by).agg(F.percentile("s", F.array(*[F.lit(q) for q in (0.015, 0.985, 0.03, 0.15, 0.85, 0.97)])).alias("q"))
+    s = s.join(cut, list(by)) if by else s.crossJoin(F.broadcast(cut))
+    low, high = F.col("s") <= F.col("q")[0], F.col("s") >= F.col("q")[1]
+    mean = lambda c, x: F.avg(F.when(c, F.col(x)))
+    e = s.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("cu", "cv", "du", "dv", "n", "q")], mean(low, "u").alias("au"), mean(low, "v").alias("av"), mean(high, "u").alias("bu"), mean(high, "v").alias("bv"))
+    edge = lambda p: G.border_distance(F.col(f"{p}u"), F.col(f"{p}v"), F.lit(width), F.lit(height))
+    turn = edge("b") < edge("a")
+    pick = lambda p, q: F.when(turn, F.col(p)).otherwise(F.col(q))
+    sign = F.when(turn, -1.0).otherwise(1.0)
+    return e.select(
+        *by, "cu", "cv", (F.col("du") * sign).alias("du"), (F.col("dv") * sign).alias("dv"),
+        pick("au", "bu").alias("tu"), pick("av", "bv").alias("tv"), pick("bu", "au").alias("eu"), pick("bv", "av").alias("ev"),
+        F.when(turn, -F.col("q")[3]).otherwise(F.col("q")[4]).alias("s85"), F.when(turn, -F.col("q")[2]).otherwise(F.col("q")[5]).alias("s97"), "n",
+    )
+
+
+def axis_band(px: DataFrame, axis: DataFrame, by: Names) -> DataFrame:
+    """Pixels strictly between the 85th and 97th percentile along a ``mask_axis``: by, u, v."""
+    s = px.select(*by, "u", "v").join(axis, list(by)) if by else px.select("u", "v").crossJoin(F.broadcast(axis))
+    s = s.withColumn("s", (F.col("u") - F.col("cu")) * F.col("du") + (F.col("v") - F.col("cv")) * F.col("dv"))
+    return s.where((F.col("s") > F.col("s85")) & (F.col("s") < F.col("s97"))).select(*by, "u", "v")
+
 
+def width_samples(px: DataFrame, by: Names, width: int, height: int, focal: float | Column = 1.0, diameter: float = 1.0, keep: tuple[float, float] = (0.05, 0.70), bins: int = 24, tolerance: float = 1.5, least: int = 300, support: int = 4) -> DataFrame:
+    """Widths across a shaft at ``bins`` places along it, from the border it enters by towards its tip: by, bin, u, v, width, z.
 
-def width_ratio(samples: DataFrame, by: Names) -> DataFrame:
-    """Median width of the first third of the samples over that of the last third; null under three samples."""
+    Places are spread evenly over the ``keep`` part of the 1st to 99th percentile along the main axis. A pixel nearer than
+    the tolerance to a place counts; places with fewer than ``support`` pixels, outside the image, or of a width not
+    between 5 and 120 are left out, and sets of fewer than ``least`` pixels altogether. z = focal * diameter / width.
+    """
+    s = _along(px, by).where(F.col("n") >= least)
+    e = s.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("cu", "cv", "du", "dv")], F.percentile("s", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    end = lambda i: G.border_distance(F.col("cu") + F.col("q")[i] * F.col("du"), F.col("cv") + F.col("q")[i] * F.col("dv"), F.lit(width), F.lit(height))
+    turn = end(1) < end(0)
+    sign = F.when(turn, -1.0).otherwise(1.0)
+    e = e.select(*by, "cu", "cv", (F.col("du") * sign).alias("du"), (F.col("dv") * sign).alias("dv"), F.when(turn, -F.col("q")[1]).otherwise(F.col("q")[0]).alias("lo"), F.when(turn, -F.col("q")[0]).otherwise(F.col("q")[1]).alias("hi"))
+    s = s.select(*by, "u", "v").join(e, list(by)) if by else s.select("u", "v").crossJoin(F.broadcast(e))
+    s = s.withColumn("s", (F.col("u") - F.col("cu")) * F.col("du") + (F.col("v") - F.col("cv")) * F.col("dv")).withColumn("t", (F.col("v") - F.col("cv")) * F.col("du") - (F.col("u") - F.col("cu")) * F.col("dv"))
+    place = lambda i: F.col("lo") + (F.lit(keep[0]) + i / F.lit(float(bins - 1)) * F.lit(keep[1] - keep[0])) * (F.col("hi") - F.col("lo"))
+    s = s.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("at", place(F.col("bin"))).where(F.abs(F.col("s") - F.col("at")) < tolerance)
+    w = s.groupBy(*by, "bin", "at", "cu", "cv", "du", "dv").agg((F.max("t") - F.min("t") + 1).alias("width"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    w = w.withColumn("u", F.col("cu") + F.col("at") * F.col("du")).withColumn("v", F.col("cv") + F.col("at") * F.col("dv"))
+    w = w.where((F.col("width") > 5) & (F.col("width") < 120) & G.inside_image(F.col("u"), F.col("v"), F.lit(width), F.lit(height)))
+    f = focal if isinstance(focal, Column) else F.lit(float(focal))
+    return w.select(*by, "bin", "u", "v", "width", (f * F.lit(float(diameter)) / F.col("width")).alias("z"))
+
+
+def width_ratio(samples: DataFrame, by: Names, least: int = 8) -> DataFrame:
+    """Median width of the first third of the samples over that of the last third: above 1 where a shaft comes towards the
+    viewer; 1 under ``least`` samples."""
     w = Window.partitionBy(*by).orderBy("bin")
     r = samples.withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     third = F.floor(F.col("m") / 3)
     a, b = F.when(F.col("i") < third, F.col("width")), F.when(F.col("i") >= F.col("m") - third, F.col("width"))
-    return r.groupBy(*by).agg((F.percentile(a, 0.5) / F.percentile(b, 0.5)).alias("ratio"))
+    return r.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= least, F.percentile(a, 0.5) / F.percentile(b, 0.5)).otherwise(F.lit(1.0)).alias("ratio"))
 
 
 def ring_median(depth: DataFrame, at: DataFrame, by: Names, near: float, far: float, least: int = 8, ahead: bool = False) -> DataFrame:
@@ -134,15 +176,14 @@ def label_share(px: DataFrame, by: Names, is_label: Column) -> DataFrame:
 
 
 def fill_nearest(cells: DataFrame, x: str) -> DataFrame:
-    """Unknown cells (x null) take the value of the nearest known cell, of equals the least (cu, cv). Grids of measurement
-    cells are small; known and unknown cells meet by rows of the grid, nearest rows first by distance."""
-    known = cells.where(F.col(x).isNotNull()).select(F.col("cu").alias("ku"), F.col("cv").alias("kv"), F.col(x).alias("kx"))
-    rows = known.groupBy("kv").agg(F.sort_array(F.collect_list(F.struct("ku", "kx"))).alias("row"))
-    all_rows = rows.agg(F.sort_array(F.collect_list(F.struct("kv", "row"))).alias("grid"))  # one grid, known cells only
-    un = cells.where(F.col(x).isNull()).crossJoin(F.broadcast(all_rows))
-    flat = F.flatten(F.transform("grid", lambda r: F.transform(r["row"], lambda c: F.struct(((F.col("cu") - c["ku"]) ** 2 + (F.col("cv") - r["kv"]) ** 2).alias("d"), c["ku"].alias("u"), r["kv"].alias("v"), c["kx"].alias("x")))))
-    filled = un.withColumn("__b", F.array_min(flat)).select(*[F.col("__b.x").alias(c) if c == x else F.col(c) for c in cells.columns])
-    return cells.where(F.col(x).isNotNull()).unionByName(filled)
+    """Unknown cells (x null) take the value of the nearest known cell, of equals the least (cu, cv); all stay null where none
+    is known. Nearest cells come by ``joins.neighbours``, which splits a grid of any size. (cu, cv) are unique."""
+    number = cells.select("*", (F.shiftleft(F.col("cu").cast("long") + F.lit(1 << 30), 32) + F.col("cv").cast("long") + F.lit(1 << 30)).alias("__id"), F.array(F.col("cu").cast("double"), F.col("cv").cast("double")).alias("__at"))
+    known = number.where(F.col(x).isNotNull())
+    near = neighbours(number.where(F.col(x).isNull()), known, "__id", "__id", "__at", 1, skip_same=False).select("__id", F.col("near___id").alias("__near"))
+    values = known.select(F.col("__id").alias("__near"), F.col(x).alias("__x"))
+    filled = number.join(near.join(values, "__near"), "__id", "left")
+    return filled.select(*[F.coalesce(x, "__x").alias(x) if c == x else F.col(c) for c in cells.columns])
 
 
 def uncovered_by(px: DataFrame, cover: DataFrame, by: Names, tol: int) -> DataFrame:
@@ -261,9 +302,24 @@ def joint_targets(df: DataFrame, port: Column, tip: Column, heading: Column, bou
 # ---- surfaces and depth
 
 
-def background_depth(rows: DataFrame, canvas: DataFrame, behind: float) -> DataFrame:
-    """Depth of the canvas seen along each row's ray, a little behind it: rows (u, v), canvas (u, v, zb)."""
-    return rows.join(canvas.select("u", "v", "zb"), ["u", "v"], "left").withColumn("z", F.col("zb") + F.lit(behind))
+def background_depth(rows: DataFrame, canvas: DataFrame, pose: DataFrame, cx: float, cy: float, margin: int, width: int, height: int, behind: float = 0.004) -> DataFrame:
+    """Depth, in frame k, of a background stored as depths of a canvas around frame 0: adds z to rows (k, u, v).
+
+    A pixel's ray is seen in frame 0's canvas (which reaches ``margin`` pixels beyond the width x height image), read at
+    the pixel it falls on (kept inside), put ``behind`` further back along frame 0's ray, and measured from frame k.
+    pose: (k, rot nine numbers, f, pos), one row a frame, frame 0 among them. canvas: (u, v, zb) from -margin on.
+    """
+    zero = pose.where("k = 0").select(*[F.col(c).alias(f"__0{c}") for c in ("rot", "f", "pos")])
+    r = rows.join(pose.select("k", *[F.col(c).alias(f"__{c}") for c in ("rot", "f", "pos")]), "k").crossJoin(F.broadcast(zero))
+    at = lambda u, v, z: G.unproject(u, v, z, F.col("__0rot"), F.col("__0f"), F.col("__0pos"), F.lit(cx), F.lit(cy))
+    r = r.withColumn("__w", G.unproject(F.col("u"), F.col("v"), F.lit(1.0), F.col("__rot"), F.col("__f"), F.col("__pos"), F.lit(cx), F.lit(cy)))
+    r = r.withColumn("__q", G.project(F.col("__w"), F.col("__0rot"), F.col("__0f"), F.col("__0pos"), F.lit(cx), F.lit(cy)))
+    cell = lambda c, n: F.least(F.greatest(F.when(F.col(f"__q.{c}") < 0, F.ceil(f"__q.{c}")).otherwise(F.floor(f"__q.{c}")).cast("int"), F.lit(-margin)), F.lit(n + margin - 1))
+    r = r.withColumn("__u", cell("u", width)).withColumn("__v", cell("v", height))
+    r = r.join(canvas.select(F.col("u").cast("int").alias("__u"), F.col("v").cast("int").alias("__v"), "zb"), ["__u", "__v"], "left")
+    x = G.sub(at(F.col("__q.u"), F.col("__q.v"), F.col("zb") + F.lit(behind)), F.col("__pos"))
+    axis = G.vec(F.col("__rot")[6], F.col("__rot")[7], F.col("__rot")[8])
+    return r.select(*rows.columns, G.dot(x, axis).alias("z"))
 
 
 def nearer_surface(a: Column, b: Column, where: Column) -> Column:
@@ -279,7 +335,7 @@ def key_views(curve: DataFrame, k: str, iou: str, share: float = 0.75, enough: f
 
 def anchored(vertices: DataFrame, frac: float, axis: str = "z") -> DataFrame:
     """Vertices above the (1 - frac) quantile of an axis."""
-    cut = vertices.agg(F.percentile(axis, 1 - frac).alias("__q"))
+    cut = quantiles(vertices, [], F.col(axis), {"__q": 1 - frac})
     return vertices.crossJoin(F.broadcast(cut)).where(F.col(axis) > F.col("__q")).drop("__q")
 
 

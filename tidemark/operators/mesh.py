@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
-from tidemark.operators.sets import edge_use, face_edges, face_pairs
+from tidemark.operators.aggregates import quantiles, with_quantiles
+from tidemark.operators.sets import edge_use, face_edges, face_pairs, min_label_components
 
 Names = Sequence[str]
 
@@ -45,7 +46,7 @@ def stretch(rest: DataFrame, frames: DataFrame, edges: DataFrame, k: str = "k")
     """Largest and 95th percentile of edge length over rest length, by frame."""
     r = edge_lengths(rest, edges).select("a", "b", F.col("length").alias("rest"))
     n = edge_lengths(frames, edges, (k,)).join(r, ["a", "b"]).withColumn("s", F.col("length") / F.greatest("rest", F.lit(1e-12)))
-    return n.groupBy(k).agg(F.max("s").alias("max"), F.percentile("s", 0.95).alias("p95"))
+    return with_quantiles(n, [k], F.col("s"), {"p95": 0.95}, F.max("s").alias("max")).select(k, "max", "p95")
 
 
 def face_normals(vertices: DataFrame, faces: DataFrame, by: Names = ()) -> DataFrame:
@@ -59,8 +60,8 @@ def fold(frames: DataFrame, faces: DataFrame, k: str = "k") -> DataFrame:
     n = face_normals(frames, faces, (k,)).select(k, "f", G.unit(F.col("n")).alias("n"))
     both = pairs.join(n.select(k, F.col("f").alias("f1"), F.col("n").alias("n1")), "f1").join(n.select(k, F.col("f").alias("f2"), F.col("n").alias("n2")), [k, "f2"])
     angle = F.degrees(F.acos(F.least(F.greatest(G.dot(F.col("n1"), F.col("n2")), F.lit(-1.0)), F.lit(1.0))))
-    per = both.groupBy(k).agg(F.percentile(angle, 0.9).alias("p90"))
-    return per.agg(F.percentile("p90", 0.5).alias("fold_p90"))
+    per = quantiles(both, [k], angle, {"p90": 0.9})
+    return quantiles(per, [], F.col("p90"), {"fold_p90": 0.5})
 
 
 def vertex_normals(vertices: DataFrame, faces: DataFrame, by: Names = ()) -> DataFrame:
@@ -81,23 +82,49 @@ def inverted_tets(rest: DataFrame, frames: DataFrame, tets: DataFrame, k: str =
     return n.groupBy(k).agg(F.sum((F.col("s") != F.col("s0")).cast("long")).alias("n")).agg(F.max("n").alias("inverted_max"))
 
 
+def tet_measures(vertices: DataFrame, tets: DataFrame) -> DataFrame:
+    """Per tetrahedron: mean ratio (12 (3 V)^(2/3) over the sum of squared edges, negative when turned over), volume over the
+    median volume, least dihedral angle in degrees, volume over the cube of the longest edge: t, mean_ratio, rel_volume,
+    min_dihedral, quality."""
+    t = with_corners(tets, vertices, ("a", "b", "c", "d"))
+    p = {c: F.col(f"p{c}") for c in "abcd"}
+    v = G.tet_volume(*p.values())
+    pairs = [(x, y) for i, x in enumerate("abcd") for y in "abcd"[i + 1 :]]
+    edge = lambda x, y: G.sub(p[y], p[x])
+    squares = sum((G.dot(edge(x, y), edge(x, y)) for x, y in pairs[1:]), G.dot(edge(*pairs[0]), edge(*pairs[0])))
+
+    def dihedral(x: str, y: str) -> Column:
+        """Angle at the edge between the two faces that meet there."""
+        z, w = (c for c in "abcd" if c not in (x, y))
+        e = edge(x, y)
+        n1, n2 = G.cross(e, edge(x, z)), G.cross(e, edge(x, w))
+        c = G.dot(n1, n2) / F.greatest(G.norm(n1) * G.norm(n2), F.lit(1e-30))
+        return F.degrees(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))))
+
+    q = t.select("t", v.alias("v"), (F.signum(v) * 12.0 * F.pow(3.0 * F.abs(v), F.lit(2.0 / 3.0)) / F.greatest(squares, F.lit(1e-30))).alias("mean_ratio"), F.least(*[dihedral(x, y) for x, y in pairs]).alias("min_dihedral"), G.tet_quality(*p.values()).alias("quality"))
+    med = quantiles(q, [], F.abs(F.col("v")), {"m": 0.5})
+    return q.crossJoin(F.broadcast(med)).select("t", "mean_ratio", (F.abs("v") / F.greatest("m", F.lit(1e-30))).alias("rel_volume"), "min_dihedral", "quality")
+
+
 def tet_report(vertices: DataFrame, tets: DataFrame) -> DataFrame:
     """Quality percentiles, volume over the median volume, smallest: one row."""
     t = with_corners(tets, vertices, ("a", "b", "c", "d"))
     p = [F.col(f"p{c}") for c in "abcd"]
     q = t.select(G.tet_quality(*p).alias("q"), F.abs(G.tet_volume(*p)).alias("v"))
-    return q.agg(F.min("q").alias("min"), F.percentile("q", 0.01).alias("p1"), F.percentile("q", 0.05).alias("p5"), F.percentile("q", 0.5).alias("median"), F.percentile("v", 0.5).alias("median_volume"), F.min("v").alias("min_volume"))
+    of_q = with_quantiles(q, [], F.col("q"), {"p1": 0.01, "p5": 0.05, "median": 0.5}, F.min("q").alias("min"), F.min("v").alias("min_volume"))
+    return of_q.crossJoin(F.broadcast(quantiles(q, [], F.col("v"), {"median_volume": 0.5}))).select("min", "p1", "p5", "median", "median_volume", "min_volume")
 
 
 def degenerate_tets(vertices: DataFrame, tets: DataFrame, rel: float = 1e-6) -> DataFrame:
     """Tetrahedra whose volume is under ``rel`` of the median volume."""
     t = with_corners(tets, vertices, ("a", "b", "c", "d")).select("t", F.abs(G.tet_volume(*[F.col(f"p{c}") for c in "abcd"])).alias("v"))
-    med = t.agg(F.percentile("v", 0.5).alias("m"))
+    med = quantiles(t, [], F.col("v"), {"m": 0.5})
     return t.crossJoin(F.broadcast(med)).where(F.col("v") < rel * F.col("m")).select("t", "v")
 
 
 def mesh_health(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """One row: vertices, faces, edges not used twice, watertight, shortest edge, degenerate faces, area, volume."""
+    """One row: vertices, faces, components (of faces joined by edges), edges not used twice, watertight, shortest edge,
+    degenerate faces, area, volume."""
     use = edge_use(faces)
     lengths = edge_lengths(vertices, use.select("a", "b"))
     t = with_corners(faces, vertices)
@@ -106,7 +133,9 @@ def mesh_health(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     b = t.agg(F.count(F.lit(1)).alias("n_faces"), F.sum((area < 1e-12).cast("long")).alias("n_degenerate"), F.sum(area).alias("area"), (F.sum(G.dot(F.col("pa"), G.cross(F.col("pb"), F.col("pc")))) / 6.0).alias("volume"))
     c = use.agg(F.sum((F.col("n") != 2).cast("long")).alias("n_open_edges"))
     d = lengths.agg(F.min("length").alias("min_edge"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d).withColumn("watertight", F.col("n_open_edges") == 0)
+    joined = min_label_components(face_pairs(faces).select(F.col("f1").alias("a"), F.col("f2").alias("b")), faces.select(F.col("f").alias("node")))
+    e = joined.agg(F.count_distinct("root").alias("n_components"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e).withColumn("watertight", F.col("n_open_edges") == 0)
 
 
 def neighbour_mean(values: DataFrame, edges: DataFrame, x: str) -> DataFrame:
@@ -137,4 +166,4 @@ def interpolate_on_faces(hits: DataFrame, faces: DataFrame, attr: DataFrame, x:
     return out.select(*hits.columns, (F.col("w0") * F.col("__a") + F.col("w1") * F.col("__b") + F.col("w2") * F.col("__c")).alias(x))
 
 
-__all__ = ["degenerate_tets", "edge_lengths", "enclosed_volume", "face_edges", "face_normals", "fold", "interpolate_on_faces", "inverted_tets", "mesh_health", "neighbour_mean", "stretch", "surface_area", "tet_report", "tube", "vertex_normals", "with_corners"]
+__all__ = ["degenerate_tets", "edge_lengths", "enclosed_volume", "face_edges", "face_normals", "fold", "interpolate_on_faces", "inverted_tets", "mesh_health", "neighbour_mean", "stretch", "surface_area", "tet_measures", "tet_report", "tube", "vertex_normals", "with_corners"]

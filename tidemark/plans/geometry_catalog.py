@@ -297,7 +297,7 @@ def segment_distance(spark, sf):
 
 @query(f"""
     WITH p AS ({_P}), m AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM p)
-    SELECT vec_id, round(atan2(y, x) - 0.3::DOUBLE, 9) AS yaw, round(acos(least(greatest(-z / greatest(n, 1e-12), -1), 1)), 9) AS pitch, n AS insertion, round(degrees(2 * atan(n / 2)), 9) AS fov FROM m
+    SELECT vec_id, round(atan2(-(x * cos(0.3::DOUBLE) + y * sin(0.3::DOUBLE)), y * cos(0.3::DOUBLE) - x * sin(0.3::DOUBLE)), 9) AS yaw, round(asin(least(greatest(-z / greatest(n, 1e-12), -1), 1)), 9) AS pitch, n AS insertion, round(degrees(2 * atan(n / 2)), 9) AS fov FROM m
 """)
 def inverse_kinematics(spark, sf):
     p = points(spark, sf).select("vec_id", G.vec(F.col("x"), F.col("y"), F.col("z")).alias("p"))

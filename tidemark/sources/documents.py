@@ -88,4 +88,4 @@ def frames_between(frames: DataFrame, first: int, last: int, rows: tuple[int, in
 
 def metric_depth(px: DataFrame, calib: DataFrame, offsets: DataFrame) -> DataFrame:
     """1 / max(a * disp + b_k, 1): frames without an offset are left out. Calibration tables have a row a clip and frame."""
-    return px.join(F.broadcast(calib), "clip").join(offsets, ["clip", "k"]).withColumn("z", 1.0 / F.greatest(F.col("a") * F.col("disp") + F.col("b"), F.lit(1.0)))
+    return px.join(calib, "clip").join(offsets, ["clip", "k"]).withColumn("z", 1.0 / F.greatest(F.col("a") * F.col("disp") + F.col("b"), F.lit(1.0)))

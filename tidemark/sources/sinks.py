@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite, quantize16
 from tidemark.operators.experiments import upsert
-from tidemark.session import materialize
 
 Names = Sequence[str]
 
@@ -20,23 +20,66 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").json(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrites a table that ``df`` may have been read from: the new rows are complete before the old ones go."""
-    materialize(df, "replace").write.mode("overwrite").parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    fs, where = _file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return fs.exists(where)
+
+
+#: File beside a published table's versions that names the current one.
+CURRENT = "CURRENT"
+
+
+def replace_table(df: DataFrame, path: str) -> str:
+    """Publishes a table under ``path``: rows are written to a version folder of their own, then the pointer file that names it is
+    put in place by one rename. A crash leaves the old version current; readers of the old one keep their files. Returns
+    the version's folder. ``df`` may have been read from the same table."""
+    spark = df.sparkSession
+    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    fs, pointer = _file_system(spark, f"{path.rstrip('/')}/{CURRENT}")
+    _, fresh = _file_system(spark, f"{path.rstrip('/')}/{CURRENT}-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.rsplit("/", 1)[1].encode()))
+    out.close()
+    # FileContext renames over what is there in one step
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    rename = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = next(o for o in rename if str(o) == "OVERWRITE")
+    context.rename(fresh, pointer, options)
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that a published table's pointer names; None where nothing is published."""
+    fs, pointer = _file_system(spark, f"{path.rstrip('/')}/{CURRENT}")
+    if not fs.exists(pointer):
+        return None
+    name = spark.read.text(str(pointer.toString())).first().value  # one line
+    return f"{path.rstrip('/')}/{name}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no table is published under {path}")
+    return spark.read.parquet(version)
 
 
 def upsert_table(new: DataFrame, path: str, keys: Names, version: str) -> None:
-    """Rows by key, the newest version of each; creates the table where there is none."""
-    spark = new.sparkSession
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-        old.take(0)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """Rows by key, the newest version of each; creates the table where there is none. Published in one step."""
+    now = current_version(new.sparkSession, path)
+    if now is None:
         replace_table(new, path)
-        return
-    replace_table(upsert(old, new, keys, version), path)
+    else:
+        replace_table(upsert(new.sparkSession.read.schema(new.schema).parquet(now), new, keys, version), path)
 
 
 def index_first(index: DataFrame, entry: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -33,23 +34,92 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str, late: str = "1 hour
     return g.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def slew_follow(stream: DataFrame, key: str, ts: str, x: str, limit: float, late: str = "1 hour") -> DataFrame:
-    """A follower limited to ``limit`` a row, its last value kept as state by key: (key, ts, x, y). Rows of one trigger
-    are taken in time order."""
+def _stateful(stream: DataFrame, key: str, ts: str, x: str, columns: str, state: str, step, end, late: str, expire_ms: int) -> DataFrame:
+    """Rows of each key in time order through ``step(state, [(ts, x)]) -> (state, rows)``; a key that the watermark leaves behind
+    by ``expire_ms`` gets ``end(state) -> rows`` and its state goes."""
     ship_package(stream.sparkSession)
-    kinds = dict(stream.dtypes)
-
-    def step(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(ts)
-        y, out = (state.get[0] if state.exists else None), []
-        for v in rows[x]:
-            y = v if y is None else y + min(max(v - y, -limit), limit)
-            out.append(y)
-        state.update((y,))
-        yield pd.DataFrame({key: who[0], ts: rows[ts].to_numpy(), x: rows[x].to_numpy(), "y": out})
+    names = [f.split()[0] for f in columns.split(", ")]
+
+    def run(who: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            rows = end(held.get)
+            held.remove()
+        else:
+            got = pd.concat(list(batches)).sort_values(ts)
+            new, rows = step(held.get if held.exists else None, list(zip(got[ts], got[x])))
+            held.update(new)
+            held.setTimeoutTimestamp(max(int(got[ts].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + expire_ms)
+        if rows:
+            yield pd.DataFrame([(who[0], *r) for r in rows], columns=[key, *names])
 
+    kinds = dict(stream.dtypes)
     s = stream.withWatermark(ts, late).select(key, ts, x)
-    return s.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, {x} double, y double", "y double", "append", GroupStateTimeout.NoTimeout)
+    return s.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {columns}", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _recurrence(stream: DataFrame, key: str, ts: str, x: str, follow, late: str, expire_ms: int) -> DataFrame:
+    def step(state, rows):
+        y, out = (state[0] if state else None), []
+        for t, v in rows:
+            y = v if y is None else follow(y, v)
+            out.append((t, v, y))
+        return (y,), out
+
+    return _stateful(stream, key, ts, x, f"{ts} timestamp, {x} double, y double", "y double", step, lambda _: [], late, expire_ms)
+
+
+def slew_follow(stream: DataFrame, key: str, ts: str, x: str, limit: float, late: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
+    """A follower limited to ``limit`` a row, its last value kept as state by key: (key, ts, x, y). Rows of one trigger are
+    taken in time order. A key that is silent for ``expire_ms`` of event time starts anew."""
+    return _recurrence(stream, key, ts, x, lambda y, v: y + min(max(v - y, -limit), limit), late, expire_ms)
+
+
+def monotonic_clock(stream: DataFrame, key: str, ts: str, x: str, slack: float = 0.5, late: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
+    """Whole seconds are added to a reading until it is not below the last one less ``slack``: (key, ts, x, y)."""
+    return _recurrence(stream, key, ts, x, lambda y, v: v + max(math.ceil(y - slack - v), 0), late, expire_ms)
+
+
+def clean_runs(stream: DataFrame, key: str, ts: str, flag: str, min_on: int, min_off: int, late: str = "1 hour", expire_ms: int = 86_400_000) -> DataFrame:
+    """The batch operator's rule row by row: gaps shorter than ``min_off`` inside close, then runs shorter than ``min_on`` go;
+    runs at the ends stay: (key, ts, clean). ``flag`` is 0 or 1.
+
+    A row is given as soon as nothing that may follow can change it, so at most min_on + min_off rows a key are held; what
+    is held at the end comes out when the key expires.
+    """
+
+    def step(state, rows):
+        mode, times, flags = (state[0], list(state[1]), list(state[2])) if state else ("new", [], [])
+        out = []
+        for t, v in rows:
+            v = int(bool(v))
+            if mode == "new":
+                mode = "on" if v else "off"
+            times.append(t)
+            flags.append(v)
+            last = max((i for i, f in enumerate(flags) if f), default=-1)
+            gap = len(flags) - 1 - last
+            if mode == "on" and v:
+                out += [(x, True) for x in times]
+                times, flags = [], []
+            elif mode == "on" and gap >= min_off:
+                out += [(x, False) for x in times]
+                mode, times, flags = "off", [], []
+            elif mode == "off" and last < 0:
+                out += [(x, False) for x in times]
+                times, flags = [], []
+            elif mode == "off" and last + 1 >= min_on:
+                out += [(x, True) for x in times[: last + 1]]
+                mode, times, flags = "on", times[last + 1 :], flags[last + 1 :]
+            elif mode == "off" and gap >= min_off:
+                out += [(x, False) for x in times]
+                times, flags = [], []
+        return (mode, times, flags), out
+
+    def end(state):
+        """A held run that touches the end stays; one with a gap after it is inside and too short; gaps stay gaps."""
+        return [(t, bool(state[2][-1])) for t in state[1]]
+
+    return _stateful(stream.withColumn(flag, F.col(flag).cast("int")), key, ts, flag, f"{ts} timestamp, clean boolean", "mode string, times array<timestamp>, flags array<int>", step, end, late, expire_ms)
 
 
 def first_seen(stream: DataFrame, keys: Names, ts: str, late: str = "1 hour") -> DataFrame:
