@@ -276,7 +276,6 @@ def pushed_forward(need: DataFrame, edges: DataFrame, frozen: DataFrame, sigma:
     A round takes the mean of a vertex's push and that of its neighbours; after ``rounds`` of them, a Gaussian of ``sigma``
     frames and the same again, ``again`` times. Frozen vertices (v) stay at 0. One mesh; the numbers of a clip are one group.
     """
-    spark = need.sparkSession
     e = np.array([(r.a, r.b) for r in edges.select("a", "b").collect()], np.int64).reshape(-1, 2)  # one mesh
     held = {r.v for r in frozen.select("v").collect()}
 
@@ -306,7 +305,6 @@ def pushed_forward(need: DataFrame, edges: DataFrame, frozen: DataFrame, sigma:
             push = mesh(np.maximum(n, sum(x * padded[i : i + len(push)] for i, x in enumerate(g / g.sum()))))
         return [(int(k), int(v), float(push[i, j])) for i, k in enumerate(table.index) for j, v in enumerate(names)]
 
-    del spark
     return _grouped(need.withColumn("clip", F.lit(0)), ["clip"], "k long, v long, push double", spread).drop("clip")
 
 
