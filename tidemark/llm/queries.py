@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_digest
+from tidemark.llm.embedding_dedup import LEAST_COSINE, embedding_links
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.filter_audit import ORDERS, filter_audit
 from tidemark.llm.jaccard_join import jaccard_links
 from tidemark.llm.line_dedup import line_digest
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ppm import lm_scores
 from tidemark.llm.quality import RULES, STOP_WORDS, Rule, quality_rules
 from tidemark.llm.secret_scan import ACCESS, ALLOW, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW, c_log_c, entropy_limit, find_secrets, secret_digest
+from tidemark.llm.source_divergence import LEAST_DOCS, TOP_TERMS, source_divergence
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.warc import warc_round_trip
 
@@ -81,6 +84,18 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_warc": op3_warc,
@@ -92,6 +107,9 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mix": op6_source_mix,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Fixed by the contracts, as DuckDB spells them.
@@ -210,4 +228,40 @@ ORACLES = {
         SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, coalesce(any_value(k.links), 0) AS n_links
         FROM c LEFT JOIN n ON n.doc_id = node LEFT JOIN k ON k.a = node GROUP BY 1
     """,
+    "op11_embedding_dedup": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        ok AS (SELECT * FROM d WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.i AS a, b.i AS b FROM ok a JOIN ok b ON a.label = b.label AND a.i <> b.i AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {LEAST_COSINE}::DOUBLE),
+        c(node, root) AS (SELECT i, vec_id FROM d UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.node),
+        m AS (SELECT node, min(root) AS component_id FROM c GROUP BY 1),
+        n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m ON m.node = i LEFT JOIN n ON n.a = i
+    """,
+    "op12_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= {LEAST_DOCS}),
+        size AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        total AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+        p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (total.n + v) AS p FROM g JOIN kept USING (lang) JOIN size USING (lang) JOIN total USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        q AS (SELECT kept.lang, kept.term, 1 + (1000000000::HUGEINT * (sum(c.n) + 1)) // (any_value(z.n) + any_value(v)) AS q FROM kept JOIN c USING (lang, term) JOIN size USING (lang) JOIN (SELECT lang, sum(n) AS n FROM total GROUP BY 1) z USING (lang) GROUP BY 1, 2),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+        every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}
+    """,
+    "op13_filter_audit": rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+        k AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+                     + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+        h AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM k LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+        o AS (SELECT o, s, (1 << (ascii(o[s]) - 65)) AS own, coalesce(list_sum(list_transform(range(1, s), lambda x: 1 << (ascii(o[x]) - 65))), 0)::BIGINT AS before FROM unnest([{', '.join(f"'{x}'" for x in ORDERS)}]) AS u(o), unnest(range(1, 6)) AS v(s)),
+        r AS (SELECT part, o, s, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM h, o GROUP BY 1, 2, 3, 4)
+        SELECT part, o AS filter_order, s::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+    """,
 }
