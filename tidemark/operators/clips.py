@@ -259,7 +259,7 @@ def view_frame(nodes: DataFrame, by: Names, view: tuple[float, float, float], le
     n = nodes.withColumn("__t", G.unit(G.sub(at(F.lead), at(F.lag)))).withColumn("__c", G.cross(F.col("__t"), G.vec(*view)))
     n = n.withColumn("__i", F.row_number().over(w)).withColumn("__ok", F.when(G.norm(F.col("__c")) >= least, F.struct(F.col("__i").alias("i"), G.unit(F.col("__c")).alias("c"))))
     a = F.last("__ok", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first("__ok", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    b = F.last("__ok", True).over(Window.partitionBy(*by).orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, 0))
     n = n.withColumn("__a", a).withColumn("__b", b)
     pick = F.when(F.col("__b").isNull() | (F.col("__i") - F.col("__a.i") <= F.col("__b.i") - F.col("__i")), F.col("__a")).otherwise(F.col("__b"))
     n = n.withColumn("__s", pick["c"])

@@ -1,7 +1,7 @@
 """Joins that Spark has no word for: nearest and interpolating time joins, neighbours, ranges, lookups.
 
-Time joins merge both clocks into one ordered series, so they cost one shuffle by the series' key and no pair of rows
-is made that is not in the result. Point joins meet in grid cells.
+Time joins merge both clocks into one ordered series, so they cost one shuffle by the series' key, time linear in the rows,
+and no pair of rows is made that is not in the result; series of more than ``long`` rows go in segments. Point joins meet in grid cells.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
+from tidemark.operators.series import LONG, in_segments, known_around
 from tidemark.session import materialize, ship_package
 
 Names = Sequence[str]
@@ -43,17 +44,15 @@ def _struct(cols: Names) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, by: Names, left_t: str, right_t: str, take: Names, max_gap: float | None = None) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, by: Names, left_t: str, right_t: str, take: Names, max_gap: float | None = None, long: int = LONG) -> DataFrame:
     """Each left row with the right row of the same key nearest in time; of two as near, the earlier; at one time, the
     least by ``take`` in order. Left rows without one keep nulls. Times are numbers. Adds ``near_t`` and ``near_<c>``."""
     lt, rt = F.col(left_t).cast("double"), F.col(right_t).cast("double")
     a = left.select(*by, lt.alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast("struct<" + ",".join(f"`{c}`:{right.schema[c].dataType.simpleString()}" for c in take) + ">").alias("__r"))
     one = right.groupBy(*by, rt.alias("__t")).agg(F.min(_struct(take)).alias("__r"))
     b = one.select(*by, "__t", F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__r")
-    both = a.unionByName(b)
-    w = Window.partitionBy(*by).orderBy("__t", "__side")
     known = F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("t"), F.col("__r").alias("r")))
-    both = both.withColumn("__p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = known_around(in_segments(a.unionByName(b), by, ["__t", "__side"], long), known).done()
     before, after = F.col("__t") - F.col("__p.t"), F.col("__n.t") - F.col("__t")
     pick = F.when(F.col("__n").isNull() | (before <= after), F.col("__p")).otherwise(F.col("__n"))
     if max_gap is not None:
@@ -74,17 +73,15 @@ def step_of_frame_first(k: Column, fps: float, dt: float, n: int | Column) -> Co
     return F.least(F.greatest(F.ceil(k / F.lit(fps) / F.lit(dt) - 0.5).cast("long"), F.lit(0)), n - 1)
 
 
-def interpolate_at(left: DataFrame, right: DataFrame, by: Names, left_t: str, right_t: str, value: str, out: str) -> DataFrame:
+def interpolate_at(left: DataFrame, right: DataFrame, by: Names, left_t: str, right_t: str, value: str, out: str, long: int = LONG) -> DataFrame:
     """``value`` of the right series at the left times: straight between samples, flat beyond the ends; samples at one
     time are averaged. Null where a key has no samples."""
     lt, rt = F.col(left_t).cast("double"), F.col(right_t).cast("double")
     a = left.select(*by, lt.alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast("double").alias("__v"))
     b = right.where(F.col(value).isNotNull()).groupBy(*by, rt.alias("__t")).agg(F.avg(value).alias("__v"))
     b = b.select(*by, "__t", F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__v")
-    w = Window.partitionBy(*by).orderBy("__t", "__side")
     known = F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
-    both = a.unionByName(b)
-    both = both.withColumn("__p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = known_around(in_segments(a.unionByName(b), by, ["__t", "__side"], long), known).done()
     p, n, t = F.col("__p"), F.col("__n"), F.col("__t")
     line = p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / (n["t"] - p["t"])
     y = F.when(p.isNull(), n["v"]).when(n.isNull() | (p["t"] == n["t"]) | (t == p["t"]), p["v"]).otherwise(line)

@@ -7,15 +7,16 @@ and adds columns. Series are window partitions: one shuffle by the series' key,
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.scalars import clip, finite
-from tidemark.session import ship_package
+from tidemark.operators.joins import join_hot
+from tidemark.operators.series import LONG, Clock, Segments, Slew, framed, in_segments, known_around, positions, previous, running, scan
+from tidemark.session import materialize
 
 Names = Sequence[str]
 
@@ -24,36 +25,35 @@ def _w(by: Names, order: Names) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def fill_gaps(df: DataFrame, by: Names, order: Names, x: str, out: str, at: str | None = None) -> DataFrame:
+def fill_gaps(df: DataFrame, by: Names, order: Names, x: str, out: str, at: str | None = None, long: int = LONG) -> DataFrame:
     """Missing values by straight lines between the neighbours that are known, flat at the ends, 0 where none is known.
 
-    ``at`` is the numeric place of a row; its row number by default.
+    ``at`` is the numeric place of a row; its row number by default. Series of more than ``long`` rows go in segments.
     """
-    w = _w(by, order)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("__v", finite(F.col(x))).withColumn("__p", F.col(at).cast("double") if at else F.row_number().over(w).cast("double"))
-    known = F.when(F.col("__v").isNotNull(), F.struct(F.col("__p").alias("p"), F.col("__v").alias("v")))
-    df = df.withColumn("__a", F.last(known, True).over(back)).withColumn("__b", F.first(known, True).over(on))
+    s = in_segments(df.withColumn("__v", finite(F.col(x))), by, order, long)
+    s = replace(s, df=s.df.withColumn("__p", F.col(at).cast("double"))) if at else positions(s, "__p")
+    s = known_around(s, F.when(F.col("__v").isNotNull(), F.struct(F.col("__p").cast("double").alias("p"), F.col("__v").alias("v"))), "__a", "__b")
     a, b, p = F.col("__a"), F.col("__b"), F.col("__p")
     line = a["v"] + (b["v"] - a["v"]) * (p - a["p"]) / (b["p"] - a["p"])
     filled = F.when(F.col("__v").isNotNull(), F.col("__v")).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(line)
-    return df.withColumn(out, F.coalesce(filled, F.lit(0.0))).drop("__v", "__p", "__a", "__b")
+    return s.done().withColumn(out, F.coalesce(filled, F.lit(0.0))).drop("__v", "__p", "__a", "__b")
 
 
-def moving_mean(df: DataFrame, by: Names, order: Names, x: str, width: int, out: str) -> DataFrame:
+def moving_mean(df: DataFrame, by: Names, order: Names, x: str, width: int, out: str, long: int = LONG) -> DataFrame:
     """Centred mean of odd ``width``; beyond the ends the end value counts again."""
     h = width // 2
-    w, whole = _w(by, order), Window.partitionBy(*by)
-    n, i = F.count(F.lit(1)).over(whole), F.row_number().over(w)
-    first = F.first(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    before, after = F.greatest(F.lit(h + 1) - i, F.lit(0)), F.greatest(i + h - n, F.lit(0))
-    return df.withColumn(out, (F.sum(x).over(w.rowsBetween(-h, h)) + before * first + after * last) / F.lit(float(width)))
+    s = positions(in_segments(df, by, order, long), "__at")
+    parts = framed(s, h, lambda w: {"__sum": F.sum(x).over(w), "__n": F.count(F.lit(1)).over(w), "__first": F.first(x).over(w), "__last": F.last(x).over(w)}, long)
+    # a frame that is short begins or ends with the series
+    before = F.greatest(F.lit(h + 1) - F.col("__at"), F.lit(0))
+    after = F.lit(width) - F.col("__n") - before
+    total = F.col("__sum") + F.when(before > 0, before * F.col("__first")).otherwise(0.0) + F.when(after > 0, after * F.col("__last")).otherwise(0.0)
+    return parts.withColumn(out, total / F.lit(float(width))).drop("__at", "__sum", "__n", "__first", "__last")
 
 
-def fill_smooth(df: DataFrame, by: Names, order: Names, x: str, width: int, out: str) -> DataFrame:
+def fill_smooth(df: DataFrame, by: Names, order: Names, x: str, width: int, out: str, long: int = LONG) -> DataFrame:
     """:func:`fill_gaps`, then :func:`moving_mean`."""
-    return moving_mean(fill_gaps(df, by, order, x, "__f"), by, order, "__f", width, out).drop("__f")
+    return moving_mean(fill_gaps(df, by, order, x, "__f", long=long), by, order, "__f", width, out, long).drop("__f")
 
 
 def same_convolution(df: DataFrame, by: Names, order: Names, x: str, width: int, out: str) -> DataFrame:
@@ -95,11 +95,42 @@ def _flip_short(df: DataFrame, by: Names, order: Names, value: int, least: int)
     return df.withColumn("__clean", F.when(flip, 1 - F.col("__f")).otherwise(F.col("__f"))).drop("__f", "__run")
 
 
-def clean_runs(df: DataFrame, by: Names, order: Names, flag: Column, min_on: int, min_off: int, out: str) -> DataFrame:
-    """Inner gaps shorter than ``min_off`` close, then inner runs shorter than ``min_on`` go; runs at the ends stay."""
+def clean_runs(df: DataFrame, by: Names, order: Names, flag: Column, min_on: int, min_off: int, out: str, long: int = LONG) -> DataFrame:
+    """Inner gaps shorter than ``min_off`` close, then inner runs shorter than ``min_on`` go; runs at the ends stay.
+
+    Where a series is long, runs are counted across its segments and flipped in a table of one row a run.
+    """
     df = df.withColumn("__clean", F.coalesce(flag.cast("int"), F.lit(0)))
-    df = _flip_short(_flip_short(df, by, order, 0, min_off), by, order, 1, min_on)
-    return df.withColumn(out, F.col("__clean") == 1).drop("__clean")
+    s = in_segments(df, by, order, long)
+    if s.cuts is None:
+        df = _flip_short(_flip_short(s.done(), by, order, 0, min_off), by, order, 1, min_on)
+        return df.withColumn(out, F.col("__clean") == 1).drop("__clean")
+    numbered = _numbered(s, "__clean", "__run")
+    rows = materialize(numbered.df.drop("__seg"), "runs")
+    runs = rows.groupBy("__key", "__run").agg(F.max("__clean").alias("__clean"), F.count(F.lit(1)).alias("n"))
+    closed = _flip_runs(runs, "__run", 0, min_off).withColumnsRenamed({"__run": "__first", "__key": "__series"})
+    merged = _numbered(in_segments(closed, ["__series"], ["__first"], long), "__clean", "__run").done()
+    merged = materialize(merged.withColumnRenamed("__series", "__key"), "merged")
+    whole = merged.groupBy("__key", "__run").agg(F.max("__clean").alias("__clean"), F.sum("n").alias("n"))
+    final = _flip_runs(whole, "__run", 1, min_on).select("__key", "__run", F.col("__clean").alias("__final"), F.col("n").alias("__size"))
+    by_run = join_hot(merged.select("__key", "__run", F.col("__first"), "n"), final, ["__key", "__run"], "__size")
+    flags = by_run.select("__key", F.col("__first").alias("__run"), "n", "__final")
+    return join_hot(rows, flags, ["__key", "__run"], "n").withColumn(out, F.col("__final") == 1).select(*[c for c in df.columns if c != "__clean"], out)
+
+
+def _numbered(s: Segments, flag: str, out: str) -> Segments:
+    """Adds the number, from 1, of the run of equal flags that a row is in."""
+    s = previous(s, flag, "__last")
+    s = running(s, F.when(F.col(flag).eqNullSafe(F.col("__last")), 0).otherwise(1), out)
+    return replace(s, df=s.df.drop("__last"))
+
+
+def _flip_runs(runs: DataFrame, number: str, value: int, least: int) -> DataFrame:
+    """Runs of ``value`` of fewer than ``least`` rows that are neither a series' first nor its last take the other value."""
+    last = runs.groupBy("__key").agg(F.max(number).alias("__end"), F.count(F.lit(1)).alias("__runs"))
+    runs = join_hot(runs, last, ["__key"], "__runs")
+    flip = (F.col(number) > 1) & (F.col(number) < F.col("__end")) & (F.col("__clean") == value) & (F.col("n") < least)
+    return runs.select("__key", number, F.when(flip, 1 - F.col("__clean")).otherwise(F.col("__clean")).alias("__clean"), "n")
 
 
 def withdrawn(df: DataFrame, by: Names, order: Names, seen: Column, out: str, longest: int = 5, width: int = 12, gain: float = 1.6) -> DataFrame:
@@ -119,39 +150,14 @@ def _series(df: DataFrame, by: Names, order: Names, x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("__s"))
 
 
-def scan(df: DataFrame, by: Names, order: Names, x: str, out: str, step: Callable[[float, float], float]) -> DataFrame:
-    """by, order, x and ``out``: y = x in a series' first row, then y = step(last y, x). Rows whose x is null keep the last y.
-
-    A recurrence that no window function expresses: series are sorted within partitions and streamed, one number of state,
-    so time is linear in the rows and memory does not grow with a series.
-    """
-    ship_package(df.sparkSession)
-    rows = df.select(*by, *order, F.col(x).cast("double").alias(x)).repartition(*by).sortWithinPartitions(*by, *order)
-    n = len(by)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, y = None, None
-        for batch in batches:
-            keys, values, ys = list(zip(*[batch.column(i).to_pylist() for i in range(n)])), batch.column(batch.num_columns - 1).to_pylist(), []
-            for k, v in zip(keys, values):
-                if k != key:
-                    key, y = k, v
-                elif v is not None:
-                    y = v if y is None else step(y, v)
-                ys.append(y)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ys, pa.float64())], [*batch.schema.names, out])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
-
-
-def slew_follow(df: DataFrame, by: Names, order: Names, x: str, limit: float, out: str) -> DataFrame:
-    """y follows x by at most ``limit`` a row, starting at x. Gives by, order, x and ``out``."""
-    return scan(df, by, order, x, out, lambda y, v: y + min(max(v - y, -limit), limit))
+def slew_follow(df: DataFrame, by: Names, order: Names, x: str, limit: float, out: str, long: int = LONG) -> DataFrame:
+    """y follows x by at most ``limit`` a row, starting at x. Gives by, order, x and ``out``; rows without x keep the last y."""
+    return scan(df, by, order, x, out, Slew(limit), long)
 
 
-def monotonic_clock(df: DataFrame, by: Names, order: Names, x: str, out: str, slack: float = 0.5) -> DataFrame:
+def monotonic_clock(df: DataFrame, by: Names, order: Names, x: str, out: str, slack: float = 0.5, long: int = LONG) -> DataFrame:
     """Whole seconds are added to a reading until it is not below the last one less ``slack``."""
-    return scan(df, by, order, x, out, lambda y, v: v + max(math.ceil(y - slack - v), 0))
+    return scan(df, by, order, x, out, Clock(slack), long)
 
 
 def resample_path(df: DataFrame, by: Names, order: Names, coords: Names, n: int) -> DataFrame:
