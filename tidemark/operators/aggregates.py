@@ -9,66 +9,105 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite
-from tidemark.session import materialize
+from tidemark.operators.joins import HOT, join_hot
+from tidemark.session import materialize, stored_bytes
 
 Names = Sequence[str]
 
 
-#: Accuracy of the sketch that brackets a quantile: a bracket holds about 8 / ACCURACY of a group's rows.
-ACCURACY = 10_000
+#: Accuracy of a round's sketch and the ranks it is asked for: a round leaves about 4 in GRID of a bracket's rows.
+ACCURACY, GRID = 10_000, 1_000
+#: Values that are ordered in one place; a bracket of more goes through another round.
+FEW = 10_000
+#: Tables with fewer stored bytes have no group that is too large for Spark's ``percentile``.
+SMALL_BYTES = 64 << 20
 
 
-def quantiles(df: DataFrame, by: Names, x: Column, wanted: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: Names, x: Column, wanted: dict[str, float], few: int = FEW, small: int = SMALL_BYTES) -> DataFrame:
     """by and one column for each wanted quantile of x, exact, by straight lines between ranks; null for groups without x.
+    With no ``by`` there is one row.
 
-    One pass sketches every group (``percentile_approx``: a few thousand numbers, combined before the shuffle) and gives a
-    bracket for each quantile. A second pass counts what lies below the brackets and the distinct values inside; only
-    these few are ordered. With no ``by`` there is one row.
+    Groups of ``few`` values, and small tables by the planner's statistics, take Spark's ``percentile``. Larger groups are
+    narrowed down (``_narrowed``): rounds of sketches and counts, so no sort, window or array ever holds more than ``few``
+    values of a group. The rounds run while the query is built.
     """
     by, names = list(by), list(wanted)
-    rows = df.select(*by, finite(x).alias("__x"))
-    share = 4.0 / ACCURACY
-    ends = [min(max(q + d, 0.0), 1.0) for q in wanted.values() for d in (-share, share)]
-    sketch = rows.groupBy(*by).agg(F.count("__x").alias("__n"), F.min("__x").alias("__min"), F.max("__x").alias("__max"), F.percentile_approx("__x", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("__e"))
-    few = F.col("__n") < ACCURACY  # brackets of a few ranks need no sketch: all of a small group
-    asked = [
-        F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("__n") - 1)).alias("pos"), F.when(few, F.col("__min")).otherwise(F.get("__e", F.lit(2 * i))).alias("lo"), F.when(few, F.col("__max")).otherwise(F.get("__e", F.lit(2 * i + 1))).alias("hi"))
-        for i, q in enumerate(wanted.values())
-    ]
-    sketch = sketch.select(*by, "__n", F.array(*asked).alias("__q"))
-    keys = F.lit(True)
-    for c in by:
-        keys = keys & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    brackets = sketch.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__q")
-    met = rows.where("__x is not null").join(brackets, keys) if by else rows.where("__x is not null").crossJoin(F.broadcast(brackets))
-    # what lies under a bracket is one number for each; what lies inside keeps its values
-    place = F.explode(F.filter("__q", lambda e: F.col("__x") <= e["hi"])).alias("__b")
-    inside = met.select(*by, "__x", place).select(*by, F.col("__b.i").alias("__i"), F.when(F.col("__x") >= F.col("__b.lo"), F.col("__x")).alias("__v"))
-    counts = inside.groupBy(*by, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*by, "__i").orderBy(F.col("__v").asc_nulls_first())
-    counts = counts.withColumn("__upto", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__v is not null")
-    asked_for = sketch.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.explode("__q").alias("__b")).select(*[f"__k_{c}" for c in by], F.col("__b.i").alias("__k"), F.col("__b.pos").alias("__pos"))
-    ranked = counts.join(asked_for, keys & (F.col("__i") == F.col("__k")))
-    first, last = F.col("__upto") - F.col("__c"), F.col("__upto") - 1  # ranks that a value takes, from 0
-    at = lambda rank: F.max(F.when((first <= rank) & (rank <= last), F.col("__v")))
-    low, high = at(F.floor("__pos")), at(F.ceil("__pos"))
-    value = ranked.groupBy(*by, "__i").agg(low.alias("__a"), high.alias("__z"), F.max("__pos").alias("__pos"))
-    checked = F.when(F.col("__a").isNull() | F.col("__z").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
-    value = value.withColumn("__value", checked.otherwise(F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__pos") - F.floor("__pos"))))
-    wide = value.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__value"))).alias(n) for i, n in enumerate(names)])
-    every = sketch.select(*[F.col(c).alias(f"__k_{c}") for c in by])
+    rows = df.select(F.struct(*by).alias("__key") if by else F.lit(0).alias("__key"), finite(x).alias("__x"))
+    whole = rows.groupBy("__key") if by else rows.groupBy()
+    direct = [F.percentile("__x", q).alias(n) for n, q in wanted.items()]
+    give = lambda g: g.select(*[F.col(f"__key.{c}").alias(c) for c in by], *names)
+    size = stored_bytes(df)
+    if size and size < small:
+        return give(whole.agg(*direct))
+    rows = materialize(rows, "values")
+    facts = rows.groupBy("__key").agg(F.count("__x").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.percentile_approx("__x", F.array(*[F.lit(k / GRID) for k in range(GRID + 1)]), F.lit(ACCURACY)).alias("grid"))
+    large = materialize(facts.where(F.col("n") > few), "large")
     if not by:
-        return wide
-    return every.join(wide, keys, "left").select(*[F.col(f"__k_{c}").alias(c) for c in by], *names)
+        return give(whole.agg(*direct) if large.isEmpty() else _narrowed(rows, large, wanted, few))
+    keys = large.select("__key")
+    rest = rows.join(F.broadcast(keys) if keys.count() <= HOT else keys, "__key", "left_anti")
+    return give(rest.groupBy("__key").agg(*direct).unionByName(_narrowed(rows, large, wanted, few)))
+
+
+def _bracket(grid: Column, n: Column, first: Column, last: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+    """Values between which the ranks ``first`` and ``last`` of n lie, from a grid of quantiles that are off by n / ACCURACY."""
+    step = F.lit(float(GRID)) / n
+    j, k = F.floor(first * step - 1).cast("int"), F.ceil((last + 1) * step + 1).cast("int")
+    return F.when(j <= 0, lo).otherwise(F.get(grid, j)), F.when(k >= GRID, hi).otherwise(F.get(grid, k))
+
+
+def _narrowed(rows: DataFrame, large: DataFrame, wanted: dict[str, float], few: int) -> DataFrame:
+    """(__key, wanted quantiles) of the groups in ``large``.
+
+    Each quantile needs two ranks. A round reads the rows once: it counts what lies below and inside each bracket and
+    sketches the inside, which gives a bracket of about 4 in ``GRID`` of its rows; counts prove that the ranks are in it. A
+    bracket of one value is that value. When none holds more than ``few`` rows, the insides are ordered.
+    """
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("n") - 1)).alias("pos")) for i, q in enumerate(wanted.values())]))
+    state = large.select("*", asked.alias("a")).select("__key", "n", "a.i", "a.pos", F.floor("a.pos").alias("first"), F.ceil("a.pos").alias("last"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "lo", "hi", "grid")
+    solved = None
+    while True:
+        within = (F.col("first") - F.col("below"), F.col("last") - F.col("below"))
+        lo, hi = _bracket(F.col("grid"), F.col("inside"), *within, F.col("lo"), F.col("hi"))
+        state = materialize(state.select("__key", "n", "i", "pos", "first", "last", lo.alias("lo"), hi.alias("hi")), "brackets")
+        met = _meeting(rows.where("__x is not null"), state)
+        inside = F.when(F.col("__x") >= F.col("lo"), F.col("__x"))
+        facts = met.groupBy("__key", "i").agg(F.sum((F.col("__x") < F.col("lo")).cast("long")).alias("below"), F.count(inside).alias("inside"), F.min(inside).alias("lo"), F.max(inside).alias("hi"), F.percentile_approx(inside, F.array(*[F.lit(k / GRID) for k in range(GRID + 1)]), F.lit(ACCURACY)).alias("grid"))
+        good = (F.col("below") <= F.col("first")) & (F.col("last") < F.col("below") + F.col("inside"))
+        checked = F.when(good, F.col("below")).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("long"))
+        state = materialize(state.drop("lo", "hi").join(facts, ["__key", "i"]).withColumn("below", checked), "counts")
+        one = state.where("lo = hi").select("__key", "i", "pos", F.col("lo").alias("a"), F.col("lo").alias("z"))
+        solved = one if solved is None else solved.unionByName(one)
+        state = state.where("lo < hi")
+        most = state.agg(F.max("inside").alias("n")).first().n
+        if most is None or most <= few:
+            break
+    listed = _meeting(rows.where("__x is not null"), state.drop("grid", "below", "inside")).where("__x >= lo").groupBy("__key", "i").agg(F.sort_array(F.collect_list("__x")).alias("vs"))
+    at = lambda rank: F.get("vs", (F.col(rank) - F.col("below")).cast("int"))
+    rest = state.join(listed, ["__key", "i"]).select("__key", "i", "pos", at("first").alias("a"), at("last").alias("z"))
+    value = F.col("a") + (F.col("z") - F.col("a")) * (F.col("pos") - F.floor("pos"))
+    every = solved.unionByName(rest).select("__key", "i", value.alias("v"))
+    return every.groupBy("__key").agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(name) for i, name in enumerate(wanted)])
+
+
+def _meeting(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows beside each of their group's brackets that they do not exceed. Up to ``HOT`` groups' brackets are broadcast."""
+    packed = state.groupBy("__key").agg(F.max("n").alias("__n"), F.collect_list(F.struct("i", "lo", "hi")).alias("__b"))
+    packed = materialize(packed, "packed")
+    met = rows.join(F.broadcast(packed), "__key") if packed.count() <= HOT else join_hot(rows, packed, ["__key"], "__n")
+    return met.select("__key", "__x", F.explode(F.filter("__b", lambda b: F.col("__x") <= b["hi"])).alias("b")).select("__key", "__x", "b.i", "b.lo", "b.hi")
 
 
 def with_quantiles(df: DataFrame, by: Names, x: Column, wanted: dict[str, float], *others: Column) -> DataFrame:
-    """by, ``others`` aggregated, and ``quantiles``."""
-    by = list(by)
+    """by, ``others`` aggregated, and ``quantiles``; one pass where the table is small."""
+    by, v = list(by), finite(x)
+    size = stored_bytes(df)
+    if size and size < SMALL_BYTES:
+        return df.groupBy(*by).agg(*others, *[F.percentile(v, q).alias(n) for n, q in wanted.items()])
     rest = df.groupBy(*by).agg(*others)
     q = quantiles(df, by, x, wanted)
     if not by:
@@ -127,21 +166,21 @@ def set_overlap(a: DataFrame, b: DataFrame, by: Names, item: Names) -> DataFrame
 
 def guarded_median(df: DataFrame, by: Names, x: Column, more_than: int, out: str) -> DataFrame:
     """Median, null unless more than so many rows support it."""
-    v = finite(x)
-    return df.groupBy(*by).agg(F.when(F.count(v) > more_than, F.percentile(v, 0.5)).alias(out))
+    m = with_quantiles(df, by, x, {"__m": 0.5}, F.count(finite(x)).alias("__n"))
+    return m.select(*by, F.when(F.col("__n") > more_than, F.col("__m")).alias(out))
 
 
 def pooled_and_grouped(df: DataFrame, group: str, x: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(one pooled median over all rows, medians of groups with at least ``least`` rows). Pooled is not a median of medians."""
     v = finite(F.col(x))
     pooled = with_quantiles(df, [], F.col(x), {"median": 0.5}, F.count(v).alias("n")).select("median", "n")
-    by = df.groupBy(group).agg(F.percentile(v, 0.5).alias("median"), F.count(v).alias("n")).where(F.col("n") >= least)
+    by = with_quantiles(df, [group], F.col(x), {"median": 0.5}, F.count(v).alias("n")).where(F.col("n") >= least).select(group, "median", "n")
     return pooled, by
 
 
 def moving_groups(df: DataFrame, group: str, baseline: str, far: float) -> DataFrame:
     """Groups whose baseline median is at least ``far``."""
-    return df.groupBy(group).agg(F.percentile(F.col(baseline), 0.5).alias("m")).where(F.col("m") >= far).select(group)
+    return quantiles(df, [group], F.col(baseline), {"m": 0.5}).where(F.col("m") >= far).select(group)
 
 
 def change_percent(by_group: DataFrame, groups: DataFrame, group: str, value: str, baseline: str) -> DataFrame:
@@ -162,27 +201,48 @@ def correlation(df: DataFrame, by: Names, a: str, b: str, soft: float = 1e-9) ->
     return df.groupBy(*by).agg((cov / (F.stddev_pop(x) * F.stddev_pop(y) + F.lit(soft))).alias("ncc"), F.count(F.lit(1)).alias("n"))
 
 
-def robust_fuse(df: DataFrame, by: Names, x: str, k: float, least: float, rounds: int = 2) -> DataFrame:
+def robust_fuse(df: DataFrame, by: Names, x: str, k: float, least: float, rounds: int = 2, few: int = FEW) -> DataFrame:
     """Median by cell after rejecting, ``rounds`` times, values further from it than max(k * 1.4826 * MAD, least).
 
-    Gives by, value, n (values left) and n_all.
+    Gives by, value, n (values left) and n_all; cells without a value are left out. One shuffle brings a cell's values into
+    one array; cells of more than ``few`` values are narrowed down by ``quantiles`` instead.
     """
-    v = df.select(*by, finite(F.col(x)).alias("__v")).where("__v is not null")
-    n_all = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"))
-    live = v
+    by = list(by)
+    v = df.select(F.struct(*by).alias("__key"), finite(F.col(x)).alias("__v")).where("__v is not null")
+    sizes = v.groupBy("__key").agg(F.count(F.lit(1)).alias("n_all"))
+    size = stored_bytes(df)
+    heavy = None
+    if not size or size >= SMALL_BYTES:
+        heavy = materialize(sizes.where(F.col("n_all") > few), "cells")
+        heavy = None if heavy.isEmpty() else heavy
+    light = v if heavy is None else v.join(heavy.select("__key"), "__key", "left_anti")
+    cells = light.groupBy("__key").agg(F.sort_array(F.collect_list("__v")).alias("__s")).withColumn("n_all", F.size("__s").cast("long"))
     for _ in range(rounds):
-        med = live.groupBy(*by).agg(F.percentile("__v", 0.5).alias("__m"))
-        off = live.join(med, list(by)).withColumn("__d", F.abs(F.col("__v") - F.col("__m")))
-        mad = off.groupBy(*by).agg(F.percentile("__d", 0.5).alias("__mad"))
-        live = off.join(mad, list(by)).where(F.col("__d") <= F.greatest(F.lit(k * 1.4826) * F.col("__mad"), F.lit(least))).select(*by, "__v")
-    out = live.groupBy(*by).agg(F.percentile("__v", 0.5).alias("value"), F.count(F.lit(1)).alias("n"))
-    return n_all.join(out, list(by), "left").select(*by, "value", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "n_all")
+        off = F.array_sort(F.transform("__s", lambda y: F.abs(y - F.col("__m"))))
+        cells = cells.withColumn("__m", _middle(F.col("__s"))).withColumn("__far", F.greatest(F.lit(k * 1.4826) * _middle(off), F.lit(least)))
+        cells = cells.withColumn("__s", F.filter("__s", lambda y: F.abs(y - F.col("__m")) <= F.col("__far")))
+    out = cells.select("__key", _middle(F.col("__s")).alias("value"), F.size("__s").cast("long").alias("n"), "n_all")
+    if heavy is not None:
+        live = v.join(heavy.select("__key"), "__key", "left_semi")
+        for _ in range(rounds):
+            off = join_hot(live, quantiles(live, ["__key"], F.col("__v"), {"__m": 0.5}, few).join(heavy, "__key"), ["__key"], "n_all").withColumn("__d", F.abs(F.col("__v") - F.col("__m"))).drop("n_all")
+            mad = quantiles(off, ["__key"], F.col("__d"), {"__mad": 0.5}, few).join(heavy, "__key")
+            live = materialize(join_hot(off, mad, ["__key"], "n_all").where(F.col("__d") <= F.greatest(F.lit(k * 1.4826) * F.col("__mad"), F.lit(least))).select("__key", "__v"), "live")
+        large = with_quantiles(live, ["__key"], F.col("__v"), {"value": 0.5}, F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(large.join(heavy, "__key").select(*out.columns))
+    return out.select(*[F.col(f"__key.{c}").alias(c) for c in by], "value", "n", "n_all")
+
+
+def _middle(s: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(s)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
 def two_level(df: DataFrame, inner: Names, outer: Names, x: str) -> DataFrame:
     """Mean by inner cell, then median of the means by outer cell."""
     means = df.groupBy(*inner).agg(F.avg(x).alias("__m"))
-    return means.groupBy(*outer).agg(F.percentile("__m", 0.5).alias("median_of_means"), F.count(F.lit(1)).alias("cells"))
+    return with_quantiles(means, outer, F.col("__m"), {"median_of_means": 0.5}, F.count(F.lit(1)).alias("cells")).select(*outer, "median_of_means", "cells")
 
 
 def first_n_percentile(df: DataFrame, by: Names, order: Names, n: int, x: str, pct: float) -> DataFrame:
@@ -191,9 +251,12 @@ def first_n_percentile(df: DataFrame, by: Names, order: Names, n: int, x: str, p
     return first_n(df, by, order, n).groupBy(*by).agg(F.percentile(F.col(x), pct).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-def weighted_line(df: DataFrame, by: Names, x: Column, y: Column, w: Column) -> DataFrame:
-    """Weighted least squares y = a x + b: by, a, b, from five sums that combine before the shuffle. x is taken from its
-    weighted mean first, so large offsets cost no digits."""
+def weighted_line(df: DataFrame, by: Names, x: Column, y: Column, w: Column | None = None) -> DataFrame:
+    """Weighted least squares y = a x + b: by, a, b, from sums that combine before the shuffle. Values are taken from their
+    means, so large offsets cost no digits: without weights as the sums grow, in one pass, else by a pass for the means."""
+    if w is None:
+        u, v = x.cast("double"), y.cast("double")
+        return df.groupBy(*by).agg(F.regr_slope(v, u).alias("a"), F.regr_intercept(v, u).alias("b"))
     rows = df.select(*by, x.cast("double").alias("__x"), y.cast("double").alias("__y"), w.cast("double").alias("__w")).where("__x is not null and __y is not null and __w > 0")
     mean = rows.groupBy(*by).agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__mx"), (F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")).alias("__my"))
     off = rows.join(mean, list(by)) if by else rows.crossJoin(F.broadcast(mean))
@@ -206,7 +269,7 @@ def weighted_line(df: DataFrame, by: Names, x: Column, y: Column, w: Column) ->
 def trimmed_line(df: DataFrame, by: Names, x: str, y: str, keep: float = 3.0, weight: str | None = None) -> DataFrame:
     """Weighted least squares y = a x + b, once more without rows whose residual is not under ``keep`` times the median
     residual: by, slope, intercept, n (rows of the second fit). Weights are 1 by default; the median does not weigh."""
-    w = F.col(weight) if weight else F.lit(1.0)
+    w = F.col(weight) if weight else None
     one = weighted_line(df, by, F.col(x), F.col(y), w)
     e = F.abs(F.col("a") * F.col(x).cast("double") + F.col("b") - F.col(y).cast("double"))
     off = (df.join(one, list(by)) if by else df.crossJoin(F.broadcast(one))).withColumn("__e", e)
@@ -221,7 +284,7 @@ def ratio_scale(df: DataFrame, by: Names, num: str, den: str) -> DataFrame:
     """Median ratio and spread of its logarithm, over positive ratios."""
     r = F.col(num) / F.col(den)
     ok = df.where((F.col(den) > 0) & (F.col(num) > 0))
-    return ok.groupBy(*by).agg(F.percentile(r, 0.5).alias("scale"), F.stddev_pop(F.log(r)).alias("log_spread"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(ok, by, r, {"scale": 0.5}, F.stddev_pop(F.log(r)).alias("log_spread"), F.count(F.lit(1)).alias("n")).select(*by, "scale", "log_spread", "n")
 
 
 def class_medians(df: DataFrame, x: str, classes: dict[str, Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import quantiles
+from tidemark.operators.aggregates import quantiles, with_quantiles
 from tidemark.session import materialize
 
 Names = Sequence[str]
@@ -112,7 +112,7 @@ def package_score(df: DataFrame, errors: Names, weights: Sequence[float], scale:
 def matched_gap(a: DataFrame, b: DataFrame, keys: Names, x: str, by: Names = ()) -> DataFrame:
     """Median absolute difference over rows with the same keys."""
     j = a.select(*keys, *[c for c in by if c not in keys], F.col(x).alias("__a")).join(b.select(*keys, F.col(x).alias("__b")), list(keys))
-    return j.groupBy(*by).agg(F.percentile(F.abs(F.col("__a") - F.col("__b")), 0.5).alias("gap"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(j, by, F.abs(F.col("__a") - F.col("__b")), {"gap": 0.5}, F.count(F.lit(1)).alias("n")).select(*by, "gap", "n")
 
 
 def best_frame(df: DataFrame, k: str, distance: str) -> DataFrame:
