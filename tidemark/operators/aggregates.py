@@ -7,7 +7,7 @@ group's values into one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,9 +218,9 @@ def robust_fuse(df: DataFrame, by: Names, x: str, k: float, least: float, rounds
     light = v if heavy is None else v.join(heavy.select("__key"), "__key", "left_anti")
     cells = light.groupBy("__key").agg(F.sort_array(F.collect_list("__v")).alias("__s")).withColumn("n_all", F.size("__s").cast("long"))
     for _ in range(rounds):
-        off = F.array_sort(F.transform("__s", lambda y: F.abs(y - F.col("__m"))))
-        cells = cells.withColumn("__m", _middle(F.col("__s"))).withColumn("__far", F.greatest(F.lit(k * 1.4826) * _middle(off), F.lit(least)))
-        cells = cells.withColumn("__s", F.filter("__s", lambda y: F.abs(y - F.col("__m")) <= F.col("__far")))
+        far = lambda s, m: F.greatest(F.lit(k * 1.4826) * _middle(F.array_sort(F.transform(s, lambda y: F.abs(y - m)))), F.lit(least))
+        kept = lambda s, m: _with(far(s, m), lambda d: F.filter(s, lambda y: F.abs(y - m) <= d))
+        cells = cells.withColumn("__s", _with(F.col("__s"), lambda s: _with(_middle(s), lambda m: kept(s, m))))
     out = cells.select("__key", _middle(F.col("__s")).alias("value"), F.size("__s").cast("long").alias("n"), "n_all")
     if heavy is not None:
         live = v.join(heavy.select("__key"), "__key", "left_semi")
@@ -233,6 +233,11 @@ def robust_fuse(df: DataFrame, by: Names, x: str, k: float, least: float, rounds
     return out.select(*[F.col(f"__key.{c}").alias(c) for c in by], "value", "n", "n_all")
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, though used for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _middle(s: Column) -> Column:
     """Median of a sorted array."""
     n = F.size(s)
