@@ -102,6 +102,24 @@ def test_sizes_and_digests_are_counted(spark):
     assert row[7] == 5 and row[8] == hashlib.sha256(b"hello").hexdigest() != row[9]
 
 
+def test_cut_archives_are_errors(spark):
+    """An archive that ends early, anywhere, is never read as a shorter one."""
+    one, two = (gzip.compress(Q.record_header(k, "u", None, 5, "0" * 64) + b"hello\r\n\r\n") for k in (7, 8))
+    assert len(list(Q.read_archive(io.BytesIO(one + two)))) == 2
+    for cut in (1, 5, 20, 60, len(two) - 1):
+        with pytest.raises(ValueError):
+            list(Q.read_archive(io.BytesIO(one + two[:cut])))
+    plain = Q.record_header(7, "u", None, 5, "0" * 64) + b"hello\r\n\r\n"
+    for cut in (10, len(plain) - 6, len(plain) - 2):
+        with pytest.raises(ValueError):
+            list(Q.read_archive(io.BytesIO(one + gzip.compress(plain[:cut]))))
+    _, df = pages(spark)
+    manifest = Q.write_archives(Q.chunk_records(df, spark.createDataFrame([], "page_id long, refers_to long")), fresh_path(spark, "warc-cut")).collect()
+    short = spark.createDataFrame([(r.path, r.records + 1) for r in manifest], "path string, records long")
+    with pytest.raises(Exception, match="records of"):
+        Q.read_archives(spark, short).count()
+
+
 def brute_lines(docs, least):
     seen, removed = set(), {}
     for i, t in docs:

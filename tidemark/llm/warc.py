@@ -174,21 +174,25 @@ def write_records(df: DataFrame, revisits: DataFrame, folder: str, id_col: str =
 
 
 class _Stream:
-    """Bytes of a gzip file of many members, by piece; never more than a few chunks in memory."""
+    """Bytes of a gzip file of many members, by piece; never more than a few chunks in memory. A member without its end is
+    an error."""
 
     def __init__(self, raw):
         self.raw, self.buf, self.z, self.rest, self.done = raw, bytearray(), zlib.decompressobj(31), b"", False
+        self.open = False
 
     def fill(self, least: int) -> None:
         while len(self.buf) < least and not self.done:
             piece = self.rest or self.raw.read(CHUNK)
             if not piece:
-                self.buf += self.z.flush()
+                if self.open:
+                    raise ValueError("the archive ends within a record")
                 self.done = True
                 break
             if self.z.eof:
                 self.z = zlib.decompressobj(31)
             self.buf += self.z.decompress(piece, 4 * CHUNK)
+            self.open = not self.z.eof
             self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
 
     def take(self, n: int) -> bytes:
@@ -202,6 +206,8 @@ class _Stream:
             before = len(self.buf)
             self.fill(before + 1)
             if len(self.buf) == before:
+                if before:
+                    raise ValueError(f"{before} bytes after the last record")
                 return None
         return self.take(at + 4)[:-4].decode().split("\r\n")
 
@@ -235,7 +241,9 @@ def read_archive(raw, with_data: bool = True) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, with_data: bool = True) -> DataFrame:
-    """The archives of a manifest as a chunked record table (``CHUNK_SCHEMA``), one archive a task."""
+    """The archives of a manifest as a chunked record table (``CHUNK_SCHEMA``), one archive a task.
+
+    An archive that is cut, or holds another number of records than its line of the manifest says, is an error."""
     ship_package(spark)
     names = CHUNK_SCHEMA.replace(",", "").split()[::2]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -246,20 +254,24 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_data: bool = Tr
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = 0
                 store, where = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_stream(where, compression=None) as raw:
                     for row in read_archive(raw, with_data):
                         rows.append(row)
+                        found += row[-1]
                         held += len(row[5] or b"") + 300
                         if held > 4_000_000:
                             yield batch_of(rows)
                             rows, held = [], 0
+                if found != records:
+                    raise ValueError(f"{path} holds {found} records of {records}")
                 if rows:
                     yield batch_of(rows)
 
-    paths = manifest.select("path").repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
+    paths = manifest.select("path", "records").repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
     return paths.mapInArrow(read, CHUNK_SCHEMA)
 
 
