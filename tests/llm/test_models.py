@@ -142,6 +142,32 @@ def test_long_texts_and_the_bound_on_bytes(spark, toxic_docs):
     assert sorted(a) == sorted(b)
 
 
+def test_a_text_that_does_not_fit_is_passed_over(spark, toxic_docs):
+    """The first text in the order of learning is larger than the bound: all others are learnt from, as if it were not there."""
+    from tidemark.llm.toxicity import drop_toxic, train
+
+    docs, labels, _ = toxic_docs
+    some = docs.join(labels.where("toxic is not null"), "doc_id").select("doc_id", "text", "toxic")
+    first = some.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").first().doc_id
+    grown = some.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("vile w1 é "), 200_000)).otherwise(F.col("text")))
+    a = train(grown, "doc_id", "text", "toxic", bits=12, l1=1.0, max_bytes=1_500_000).collect()
+    b = train(some.where(F.col("doc_id") != first), "doc_id", "text", "toxic", bits=12, l1=1.0).collect()
+    assert sorted(a) == sorted(b) and len(a) > 5
+    rows = grown.select("doc_id", "text")
+    kept = drop_toxic(rows, labels).count()
+    assert 0.4 * rows.count() < kept < rows.count()
+
+
+def test_nothing_learnt_drops_nothing(spark, toxic_docs):
+    from tidemark.llm.toxicity import drop_toxic
+
+    docs, labels, _ = toxic_docs
+    every = labels.select("doc_id", F.lit(1).alias("toxic"))
+    same = docs.select("doc_id", F.lit("one text for all").alias("text"))
+    assert drop_toxic(same.limit(3), every).count() == 3
+    assert drop_toxic(same.limit(3), every.limit(0)).count() == 3
+
+
 def test_toxicity_without_labels(spark):
     got = toxicity_scores(frame(spark, ROWS), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(got) == len(ROWS) and {r.score for r in got} == {0.5}

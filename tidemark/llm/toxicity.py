@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text_hash import series_slices
@@ -119,19 +119,29 @@ class Ftrl:
 def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = EPOCHS, seed: int = SEED, l1: float = L1, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(slot, weight) rows, the bias under slot -1. At most 2**bits + 1 rows.
 
-    Rows whose label is null are left out; null text is empty. Only whether the label is 1 counts. Learning stops short of
-    the text that would exceed ``max_bytes``; one that does by itself is left out.
+    Rows whose label is null are left out; null text is empty. Only whether the label is 1 counts. Of the ``max_rows`` rows
+    with the smallest hashes of their ids, those are learnt from whose texts fit into ``max_bytes`` together with the ones
+    before them; a text that does not fit is passed over, and the next is tried. This is decided on sizes alone.
     """
-    ship_package(labelled.sparkSession)
+    spark = labelled.sparkSession
+    ship_package(spark)
     order = F.xxhash64(F.lit(seed), F.col(id_col))
     rows = labelled.where(F.col(label_col).isNotNull()).select(order.alias("o"), F.col(id_col).alias("i"), (F.col(label_col) == 1).alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.orderBy("o", "i").limit(max_rows)  # the documented bound; a top-k by hash, no full sort
+    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("n", F.octet_length("t"))
+    # the documented bound: at most max_rows rows of numbers come to the driver
+    first, used, fits = rows.select("o", "i", "h", "n").orderBy("o", "i", "h").limit(max_rows).collect(), 0, {}
+    for r in first:
+        if used + r.n <= max_bytes:
+            used += r.n
+            fits[r.o, r.h] = fits.get((r.o, r.h), 0) + 1
+    some = spark.createDataFrame([(*k, c) for k, c in fits.items()], "o long, h long, c int")
+    again = Window.partitionBy("o", "h").orderBy("i")
+    rows = rows.join(F.broadcast(some), ["o", "h"]).withColumn("k", F.row_number().over(again)).where("k <= c").select("o", "i", "h", "y", "t")
+    rows = rows.repartition(1).sortWithinPartitions("o", "i", "h", "y")  # at most max_bytes of text
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen, used = Ftrl(bits, l1=l1), [], 0
+        model, seen = Ftrl(bits, l1=l1), []
         for pdf in batches:
-            upto = used + pdf["t"].str.len().cumsum()
-            pdf, used = pdf[upto <= max_bytes], int(upto.iloc[-1]) if len(upto) else used
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
                 of, slots = feature_slots([t.encode() for t in part["t"]], bits)
@@ -145,7 +155,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_r
         live = np.flatnonzero(np.abs(model.z) > model.l1)
         yield pd.DataFrame({"slot": np.concatenate(([-1], live)), "weight": np.concatenate(([model.bias], model.weights(live)))})
 
-    return rows.coalesce(1).mapInPandas(learn, "slot long, weight double")
+    return rows.mapInPandas(learn, "slot long, weight double")
 
 
 def score(df: DataFrame, weights: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -242,9 +252,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, all columns as they were. Without labels nothing is known to be toxic and
-    all stay; other edge cases are those of ``toxicity_scores``."""
+    """The rows of ``docs`` that score under 0.5, all columns as they were. Where no weight but the bias was learnt (there are
+    no labels, or nothing tells the labelled texts apart) nothing is known to be toxic and all stay; other edge cases are those of ``toxicity_scores``."""
     weights = fit_toxicity(docs, labels, max_rows)
-    if weights.isEmpty():
+    if weights.where("slot >= 0").isEmpty():
         return docs
     return score(docs, weights).where("score < 0.5").select("row.*")
