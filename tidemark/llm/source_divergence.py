@@ -23,9 +23,9 @@ from tidemark.session import materialize, ship_package
 #: Fixed by the contract.
 SCALE_STEPS, LEAST_DOCS, TOP_TERMS = 3, 3, 200
 #: Numbers in a chunk's dense matrix (8 bytes each).
-CELLS = 1 << 19
+CELLS = 1 << 18
 #: Bytes of text that a task encodes at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 _COUNTS_SQL = "lang string, source string, term binary, n long, docs long"
 _FOUND_SQL = "lang string, source string, part string, item binary, value long"
