@@ -104,20 +104,33 @@ def test_series_are_followed_to_their_end(spark, sf, con):
 
 
 def test_neighbours_in_small_blocks(spark):
-    """Hot points (one third alike), several blocks and slots a pivot, fewer points than asked for, ties by id."""
+    """Hot points (one third alike), several levels, blocks and batches, a tree that is full, fewer points than asked for, ties by id."""
     r = np.random.default_rng(5)
     x = np.concatenate([np.repeat(r.normal(size=(1, 5)), 60, 0), r.normal(size=(120, 5)), r.integers(0, 2, (30, 5)).astype(float)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None)], "id long, vec array<double>")
     d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d2, np.inf)
-    for k, pivots, block in ((3, 8, 7), (70, 3, 50), (1, 64, 20_000)):
-        got = J.neighbours(df, df, "id", "id", "vec", k, pivots=pivots, block=block).collect()
+    for k, fan_out, block, nodes in ((3, 8, 7, 100), (70, 3, 50, 20), (1, 64, 20_000, 16_384)):
+        got = J.neighbours(df, df, "id", "id", "vec", k, fan_out=fan_out, block=block, nodes=nodes).collect()
         want = {(i, int(j), n + 1) for i in range(len(x)) for n, j in enumerate(np.lexsort((np.arange(len(x)), d2[i]))[:k])}
         assert {(r.id, r.near_id, r.rank) for r in got} == want and len(got) == len(want)
     few = J.neighbours(df.where("id < 3"), df.where("id < 4"), "id", "id", "vec", 10).collect()
     assert len(few) == 9 and J.neighbours(df.limit(0), df, "id", "id", "vec", 2).count() == 0 and J.neighbours(df, df.limit(0), "id", "id", "vec", 2).count() == 0
 
 
+def test_clustered_points_meet_few_leaves(spark):
+    """Work follows the clusters: a query of 40 clusters in 16 dimensions meets few of the leaves."""
+    r = np.random.default_rng(2)
+    x = np.repeat(r.normal(size=(40, 16)), 50, 0) + 0.02 * r.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    work = {}
+    got = J.neighbours(df, df, "id", "id", "vec", 2, fan_out=16, block=60, work=work).collect()
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    assert {(q.id, q.near_id) for q in got} == {(i, int(j)) for i in range(len(x)) for j in np.argsort(d2[i])[:2]}
+    assert work["blocks"] >= 30 and work["visits"] < 0.15 * work["queries"] * work["blocks"]
+
+
 def test_radius_join_splits_full_cells(spark):
     r = np.random.default_rng(6)
     p = np.concatenate([np.repeat(r.normal(size=(1, 2)), 50, 0), r.normal(size=(80, 2))])

@@ -8,23 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
+from tidemark.operators.nearest import neighbours
 from tidemark.operators.series import LONG, in_segments, known_around
-from tidemark.session import materialize, ship_package
+from tidemark.session import materialize
 
 Names = Sequence[str]
 
 #: Most rows that ``join_hot`` and ``radius_join`` broadcast.
 HOT = 1024
-#: Points that a block of the neighbour search or a grid cell of a radius join holds; larger ones are split.
+#: Points that a grid cell of a radius join holds; larger ones are split.
 BLOCK = 20_000
-#: Pivots of the neighbour search: so many rows come to the driver.
-PIVOTS = 64
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, keys: Names, weight: str) -> DataFrame:
@@ -98,118 +95,6 @@ def interpolate_frames(at: DataFrame, grid: DataFrame, t: str, fps: float, k: st
     return out.select(*at.columns, *[(F.col(f"__a_{v}") + (F.col(f"__b_{v}") - F.col(f"__a_{v}")) * F.col("__w")).alias(v) for v in values])
 
 
-def _distances2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of a from all rows of b by one matrix product; good to about 1e-13 of the lengths."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T), 0.0)
-
-
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1) if len(a) else np.zeros((0, 1))
-
-
-def _best_of_block(k: int, skip_same: bool):
-    """Queries and points of one block -> the k nearest points of every query, by exact distances, ties by id."""
-    out = pa.schema([("q", pa.int64()), ("qv", pa.list_(pa.float64())), ("p", pa.int64()), ("d2", pa.float64())])
-
-    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        q, p = left.column("q").to_numpy(), right.column("p").to_numpy()
-        if not len(q) or not len(p):
-            return out.empty_table()
-        by = np.argsort(p, kind="stable")
-        p, pv, qv = p[by], _vectors(right.column("pv"))[by], _vectors(left.column("qv"))
-        qs, ps, ds = [], [], []
-        for lo in range(0, len(q), 256):
-            part = qv[lo : lo + 256]
-            d = _distances2(part, pv)
-            if skip_same:
-                d[q[lo : lo + 256, None] == p[None]] = np.inf
-            n = min(k, len(p))
-            limit = np.partition(d, n - 1, axis=1)[:, n - 1]
-            slack = 1e-9 * (1.0 + (part * part).sum(1) + (pv * pv).sum(1).max())
-            i, j = np.nonzero((d <= (limit + slack)[:, None]) & np.isfinite(d))
-            exact = ((part[i] - pv[j]) ** 2).sum(1)
-            order = np.lexsort((j, exact, i))  # points are in order of id
-            i, j, exact = i[order], j[order], exact[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = rank < k
-            qs.append(lo + i[keep]), ps.append(p[j[keep]]), ds.append(exact[keep])
-        at = np.concatenate(qs)
-        return pa.table({"q": q[at], "qv": left.column("qv").combine_chunks().take(pa.array(at)), "p": np.concatenate(ps), "d2": np.concatenate(ds)}).cast(out)
-
-    return best
-
-
-def neighbours(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, k: int, skip_same: bool = True, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """The k nearest points of each query in any number of dimensions, exact: (q_id, near_<p_id>, d2, rank), ties by p_id.
-
-    Points are dealt to the nearest of at most ``pivots`` pivots (a sample by hash, the only vectors that come to the
-    driver), and a pivot's points to blocks of about ``block``. A query first meets the blocks of its own pivot, which
-    bounds its k-th distance; of the other pivots it meets only those whose ball may hold something nearer. A block
-    answers all its queries by matrix products and gives k rows a query. Ids are whole numbers; null vectors are left out.
-    """
-    spark = points.sparkSession
-    ship_package(spark)
-    as_double = lambda df, i, n: df.where(F.col(vec).isNotNull()).select(F.col(i).cast("long").alias(n), F.transform(vec, lambda x: x.cast("double")).alias(n + "v"))
-    q, p = as_double(queries, q_id, "q"), as_double(points, p_id, "p")
-    chosen = [r.pv for r in p.orderBy(F.xxhash64("p"), "p").limit(pivots).collect()]  # at most ``pivots`` vectors
-    if not chosen:
-        return spark.createDataFrame([], f"{q_id} long, near_{p_id} long, d2 double, rank int")
-    centres = spark.sparkContext.broadcast(np.array(chosen))
-
-    def dealt(batches):
-        for b in batches:
-            v = _vectors(b.column(1))
-            d = np.sqrt(_distances2(v, centres.value))
-            at = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at], pa.float64())], ["p", "pv", "c", "r"])
-
-    placed = materialize(p.mapInArrow(dealt, "p long, pv array<double>, c int, r double"), "placed")
-    balls = {r.c: (r.r, r.n) for r in placed.groupBy("c").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
-    parts = {c: -(-n // block) for c, (_, n) in balls.items()}
-    n_parts = F.element_at(F.create_map(*[x for c, n in parts.items() for x in (F.lit(c), F.lit(n))]), F.col("c"))
-    p_blocks = placed.select("p", "pv", "c", F.pmod(F.xxhash64("p"), n_parts).cast("int").alias("s"))
-    slots = max(1, -(-queries.count() // block))
-    radius, slack = {c: r for c, (r, _) in balls.items()}, 1e-6
-
-    def to_blocks(first: bool):
-        """Queries (with the k-th distance so far, where known) -> one row for every block they must meet."""
-        live = sorted(parts)
-
-        def send(batches):
-            for b in batches:
-                v = _vectors(b.column(1))
-                d = np.sqrt(_distances2(v, centres.value))
-                own = d[:, live].argmin(1)
-                if first:
-                    meet = np.zeros((len(v), len(live)), bool)
-                    meet[np.arange(len(v)), own] = True
-                else:
-                    reach = b.column(2).to_numpy(zero_copy_only=False)[:, None]
-                    meet = ~(d[:, live] - np.array([radius[c] for c in live]) > reach + slack)  # no bound yet (NaN): all
-                    meet[np.arange(len(v)), own] = False
-                i, c = np.nonzero(meet)
-                times = np.array([parts[x] for x in live])[c]
-                i, c = np.repeat(i, times), np.repeat(c, times)
-                s = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(np.array(live)[c], pa.int32()), pa.array(s, pa.int32())], ["q", "qv", "c", "s"])
-
-        return send
-
-    def ask(rows: DataFrame, first: bool) -> DataFrame:
-        sent = rows.mapInArrow(to_blocks(first), "q long, qv array<double>, c int, s int").withColumn("t", F.pmod(F.xxhash64("q"), F.lit(slots)).cast("int"))
-        spread = p_blocks.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))) if slots > 1 else p_blocks.withColumn("t", F.lit(0))
-        return sent.groupBy("c", "s", "t").cogroup(spread.groupBy("c", "s", "t")).applyInArrow(_best_of_block(k, skip_same), "q long, qv array<double>, p long, d2 double")
-
-    near = materialize(ask(q, True), "near")
-    order = Window.partitionBy("q").orderBy("d2", "p")
-    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q", F.sqrt("d2").alias("reach"))
-    more = ask(q.join(kth, "q", "left").select("q", "qv", F.coalesce("reach", F.lit(float("nan"))).alias("reach")), False)
-    every = near.select("q", "p", "d2").unionByName(more.select("q", "p", "d2")).distinct()
-    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("q").alias(q_id), F.col("p").alias(f"near_{p_id}"), "d2", "rank")
-
-
 def inverse_distance(neighbours: DataFrame, values: DataFrame, q_id: str, near_id: str, p_id: str, value: str, out: str, soft: float = 1e-4) -> DataFrame:
     """Mean of the neighbours' values weighted by 1 / (distance + soft)."""
     v = values.select(F.col(p_id).alias(near_id), F.col(value).cast("double").alias("__v"))
