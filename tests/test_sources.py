@@ -15,7 +15,7 @@ from tidemark.operators import experiments as X
 from tidemark.operators import joins as J
 from tidemark.sources import documents as D
 from tidemark.sources import sinks as K
-from tidemark.sources.arrays import NpzSource
+from tidemark.sources.arrays import use_npz
 from tidemark.streaming import extensions as T
 
 
@@ -53,7 +53,7 @@ def test_npz(spark, tmp_path):
     bits[1, 9] = True
     np.savez(tmp_path / "m.npz", a=np.array([[1.0, np.nan], [0.0, 4.0]]), names=np.array(["x"]))
     np.savez(tmp_path / "p.npz", masks=np.packbits(bits, axis=-1), shape=np.array(bits.shape))
-    spark.dataSource.register(NpzSource)
+    use_npz(spark)
     got = sorted((tuple(r["index"]), r.value) for r in spark.read.format("npz").option("array", "a").load(str(tmp_path / "m.npz")).collect())
     assert got == [((0, 0), 1.0), ((1, 0), 0.0), ((1, 1), 4.0)]
     p = spark.read.format("npz").option("packed", "true").option("array", "masks").load(str(tmp_path / "p.npz")).collect()

@@ -78,12 +78,24 @@ def reference_depth(px: DataFrame, scale: float) -> DataFrame:
     return px.withColumn("z", F.col("raw") * F.lit(scale)).withColumn("valid", F.col("z") > 0)
 
 
-def frames_between(frames: DataFrame, first: int, last: int, rows: tuple[int, int] | None = None) -> DataFrame:
-    """Frames of an inclusive range; pixels of a row range, numbered from its start."""
-    out = frames.where(F.col("k").between(first, last))
+def frames_between(frames: DataFrame, first: int, last: int, rows: tuple[int, int] | None = None, borders: tuple[int, int] | None = None) -> DataFrame:
+    """Frames of an inclusive range; pixels of a row range, numbered from its start. The range is a plain filter on ``k``, which
+    reaches a scan that knows frames. ``borders`` (width, height after the crop) repairs dark edges by ``repaired``."""
+    out = frames.where((F.col("k") >= first) & (F.col("k") <= last))
     if rows is not None:
         out = out.where((F.col("v") >= rows[0]) & (F.col("v") < rows[1])).withColumn("v", F.col("v") - rows[0])
-    return out
+    return out if borders is None else repaired(out, *borders)
+
+
+def repaired(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Row 0 takes row 1, the last two rows the one before them, then the last two columns the one before them: each pixel goes
+    to the places that show it, so nothing is joined."""
+    to_rows = F.when(F.col("v") == 1, F.array(F.lit(0), F.lit(1))).when(F.col("v") == height - 3, F.array(*[F.lit(height - d) for d in (3, 2, 1)])).otherwise(F.array(F.col("v").cast("int")))
+    to_columns = F.when(F.col("u") == width - 3, F.array(*[F.lit(width - d) for d in (3, 2, 1)])).otherwise(F.array(F.col("u").cast("int")))
+    kept = px.where((F.col("v") > 0) & (F.col("v") < height - 2) & (F.col("u") < width - 2))
+    kinds = dict(px.dtypes)
+    places = lambda c, n: F.explode(c.cast(f"array<{kinds[n]}>"))
+    return kept.withColumn("v", places(to_rows, "v")).withColumn("u", places(to_columns, "u")).select(*px.columns)
 
 
 def metric_depth(px: DataFrame, calib: DataFrame, offsets: DataFrame) -> DataFrame:

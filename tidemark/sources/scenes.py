@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry as G
 from tidemark.operators import windows as W
 from tidemark.operators.experiments import first_best
+from tidemark.operators.sets import dilate
+from tidemark.sources.arrays import npz
 from tidemark.sources.documents import json_values
 from tidemark.sources.sinks import is_complete, write_json
 
@@ -19,15 +21,81 @@ Names = Sequence[str]
 def scene_bundle(spark: SparkSession, arrays: str, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(arrays, groups, side document) of a scene: arrays (array, index, value) without a numbered prefix; arrays named
     ``<kind><n>_<field>`` as (kind, n, field, index, value); the JSON file beside them as (path, doc)."""
-    from tidemark.sources.arrays import NpzSource
-
-    spark.dataSource.register(NpzSource)
-    a = spark.read.format("npz").load(arrays).drop("path")
+    a = npz(spark, arrays).select("array", "index", "value")
     pattern = r"^([A-Za-z]+)(\d+)_(.+)$"
     g = a.where(F.col("array").rlike(pattern)).select(F.regexp_extract("array", pattern, 1).alias("kind"), F.regexp_extract("array", pattern, 2).cast("int").alias("n"), F.regexp_extract("array", pattern, 3).alias("field"), "index", "value")
     return a.where(~F.col("array").rlike(pattern)), g, json_values(spark, side)
 
 
+def organ_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(arrays (array, index, value), facts (kind, fit)) of an organ's archive; ``fit`` is the embedded document as a variant,
+    null where the text is no JSON."""
+    a = npz(spark, path)
+    text = lambda n: F.max(F.when(F.col("array") == n, F.col("text")))
+    facts = a.where(F.col("array").isin("kind", "fit")).agg(text("kind").alias("kind"), text("fit").alias("fit"))
+    return a.where(F.col("text").isNull()).select("array", "index", "value"), facts.select("kind", F.try_parse_json("fit").alias("fit"))
+
+
+def object_masks(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(k, obj, u, v) of the set pixels of a mask archive (packed ``masks`` with ``shape`` and ``names``), obj by name; with a
+    range of frames only their bytes are read."""
+    px = npz(spark, path, packed="true").where(F.col("array") == "masks")
+    if first is not None:
+        px = px.where(F.col("k") >= first)
+    if last is not None:
+        px = px.where(F.col("k") <= last)
+    names = npz(spark, path).where(F.col("array") == "names").select(F.col("k").alias("__obj"), F.col("text").alias("obj"))  # a row an object
+    px = px.select("k", F.col("index")[1].alias("__obj"), F.col("index")[3].alias("u"), F.col("index")[2].alias("v"))
+    return px.join(F.broadcast(names), "__obj").select("k", "obj", "u", "v")
+
+
+def without_instruments(px: DataFrame, roles: DataFrame, soft: Names = ("organ", "strand"), radius: int = 1) -> DataFrame:
+    """Masks (k, obj, u, v) whose soft objects lose the pixels within ``radius`` of any instrument's: instruments are always
+    in front. ``roles``: (obj, role), a row an object."""
+    tagged = px.join(F.broadcast(roles), "obj", "left")
+    cover = dilate(tagged.where(F.col("role") == "instrument"), ["k"], radius)
+    is_soft = F.coalesce(F.col("role").isin(*soft), F.lit(False))
+    rest = tagged.where(is_soft).join(cover, ["k", "u", "v"], "left_anti")
+    return rest.select("k", "obj", "u", "v").unionByName(tagged.where(~is_soft).select("k", "obj", "u", "v"))
+
+
+def model_versions(asked: DataFrame, pinned: dict[str, str], listing: DataFrame, pattern: str = r"/([^/]+)/([^/]+)/model\.npz$") -> DataFrame:
+    """(tissue, version): the version asked for, else the pinned one, else the newest folder with a model; ``latest`` names the
+    newest too, ``none`` switches a tissue off (null), a path stands for itself. ``asked``: (tissue, version) with nulls."""
+    newest = listing.select(F.regexp_extract("path", pattern, 1).alias("tissue"), F.regexp_extract("path", pattern, 2).alias("v")).where("tissue <> ''").groupBy("tissue").agg(F.max("v").alias("__newest"))
+    pin = asked.sparkSession.createDataFrame(list(pinned.items()), "tissue string, __pinned string")
+    rows = asked.join(F.broadcast(pin), "tissue", "left").join(newest, "tissue", "left")
+    chosen = F.coalesce(F.nullif(F.col("version"), F.lit("")), F.col("__pinned"), F.lit("latest"))
+    return rows.select("tissue", F.when(chosen == "none", None).when(chosen == "latest", F.col("__newest")).otherwise(chosen).alias("version"))
+
+
+def first_key_masks(arrays: DataFrame, key_sets: Sequence[Names], fallback: DataFrame | None = None) -> DataFrame:
+    """(k, u, v) of a tissue's masks: the arrays of the first key set that is wholly there, or-ed; else ``masks``; else the array
+    that is first by name; where there is none, the clip's own mask ``fallback`` (k, u, v).
+
+    ``arrays``: (array, k, u, v), set pixels, with the names of empty arrays as rows without pixels."""
+    names = {r.array for r in arrays.select("array").distinct().collect()}  # arrays of one archive
+    if not names:
+        if fallback is None:
+            raise ValueError("there is no mask")
+        return fallback.select("k", "u", "v")
+    keys = next((list(s) for s in key_sets if set(s) <= names), ["masks"] if "masks" in names else [min(names)])
+    return arrays.where(F.col("array").isin(*keys) & F.col("u").isNotNull()).select("k", "u", "v").distinct()
+
+
+def tool_tracks(old: DataFrame, model: DataFrame | None) -> DataFrame:
+    """Tracks (tool, k, tcp, tip, rcm, jaw, heading, source): the interaction model's where it has the tool, else the old
+    fit's, whose tip is its tool-centre point. A tool that holds tissue is closed throughout under the model. ``old``: (tool, k,
+    tip, rcm, jaw, holds); ``model``: (tool, k, tcp, tip, rcm, heading)."""
+    fit = old.select("tool", "k", F.col("tip").alias("tcp"), "tip", "rcm", "jaw", F.lit(None).cast("double").alias("heading"), F.lit("old fit").alias("source"))
+    if model is None:
+        return fit
+    tools = model.select("tool").distinct()
+    own = model.join(old.select("tool", "k", F.col("jaw"), "holds"), ["tool", "k"])
+    own = own.select("tool", "k", "tcp", "tip", "rcm", F.when(F.col("holds").isNotNull(), 0.0).otherwise(F.col("jaw")).alias("jaw"), "heading", F.lit("model").alias("source"))
+    return own.unionByName(fit.join(tools, "tool", "left_anti"))
+
+
 class Views:
     """All tables of a clip under one name: each made when first asked for, then kept in Spark's cache and as a temporary view.
 
