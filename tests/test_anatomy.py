@@ -127,10 +127,6 @@ def test_tubes(spark):
 
 def test_tools(spark):
     r = np.random.default_rng(6)
-    m = [(u, v) for u in range(0, 80) for v in range(60) if abs(v - 15 - 0.3 * u) < 5]
-    got = N.tool_measurement(spark.createDataFrame([(0, *map(int, q)) for q in m], "k int, u int, v int"), ["k"], 120, 90).first()
-    assert got.du == pytest.approx(1 / math.hypot(1, 0.3), abs=0.01) and got.tu > 76 and not got.tip_cut and np.median([w.w for w in got.widths]) == pytest.approx(10 * math.cos(math.atan(0.3)), abs=1.2)
-    assert N.tool_measurement(spark.createDataFrame([(0, *map(int, q)) for q in m[:100]], "k int, u int, v int"), ["k"], 120, 90).count() == 0
     depth = [(0, u, v, 0.3 if u > 20 else 0.2) for u in range(45) for v in range(41)]
     deep = spark.createDataFrame(depth, "k int, u int, v int, z double")
     tip = spark.createDataFrame([(0, 20.0, 20.0, 1.0, 0.0)], "k int, pu double, pv double, pdu double, pdv double")

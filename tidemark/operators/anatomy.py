@@ -432,52 +432,6 @@ def depth_targets(tissue: DataFrame, tips: DataFrame, tools: Names, near: float
     return out.select("tool", "k", F.col("ring").alias("z"), F.when(F.col("ring").isNotNull(), 1.0).otherwise(0.0).alias("w"))
 
 
-def tool_measurement(df: DataFrame, by: Names, width: int, height: int, least: int = 150, rounds: int = 3, bin_px: float = 2.0) -> DataFrame:
-    """Axis, tip and widths of a tool's mask (u, v) by group: by, cu, cv, du, dv, tu, tv, n, tip_cut, widths (s, w, n).
-
-    The axis is the main axis turned away from the border that more of the mask touches, then a line through the centres of
-    two-pixel bins, fitted ``rounds`` times with weights that fall with the residual. ``tip_cut``: the tip lies at the border.
-    """
-
-    def measure(pdf: pd.DataFrame):
-        p = pdf[["u", "v"]].to_numpy(float)
-        if len(p) < least:
-            return []
-        c = p.mean(0)
-        d = np.linalg.eigh(np.cov((p - c).T))[1][:, 1]
-        edge = np.minimum.reduce([p[:, 0], width - 1 - p[:, 0], p[:, 1], height - 1 - p[:, 1]])
-        s = (p - c) @ d
-        at_edge = edge < 2
-        if at_edge.any() and s[at_edge].mean() > 0:
-            d = -d
-        for _ in range(rounds):
-            s, t = (p - c) @ d, (p - c) @ np.array([-d[1], d[0]])
-            b = np.floor((s - s.min()) / bin_px).astype(int)
-            n = np.bincount(b)
-            ok = n > 0
-            low, high = np.full(len(n), np.inf), np.full(len(n), -np.inf)
-            np.minimum.at(low, b, t)
-            np.maximum.at(high, b, t)
-            x, y = (np.arange(len(n)) + 0.5)[ok] * bin_px + s.min(), ((low + high) / 2)[ok]
-            if len(x) < 3:
-                break
-            w = np.ones(len(x))
-            for _ in range(2):
-                slope, shift = np.polyfit(x, y, 1, w=np.sqrt(w))
-                off = np.abs(y - slope * x - shift)
-                w = 1.0 / (1.0 + (off / max(1.4826 * float(np.median(off)), 0.5)) ** 2)
-            turn = np.array([-d[1], d[0]])
-            c, d = c + shift * turn, (d + slope * turn) / np.hypot(1.0, slope)
-        s, t = (p - c) @ d, (p - c) @ np.array([-d[1], d[0]])
-        tip = p[s >= np.percentile(s, 98.5)].mean(0)
-        b = np.floor((s - s.min()) / 3.0).astype(int)
-        widths = [(float(s.min() + 3.0 * (i + 0.5)), float(np.ptp(t[b == i]) + 1), int((b == i).sum())) for i in np.unique(b)]
-        cut = bool(min(tip[0], width - 1 - tip[0], tip[1], height - 1 - tip[1]) < 4)
-        return [(*map(float, (*c, *d, *tip)), len(p), cut, [{"s": x, "w": y, "n": n} for x, y, n in widths])]
-
-    return _grouped(df, by, "cu double, cv double, du double, dv double, tu double, tv double, n long, tip_cut boolean, widths array<struct<s:double,w:double,n:long>>", measure)
-
-
 # ---- images and height fields
 
 
