@@ -128,6 +128,11 @@ def test_outline_curve_and_condition(spark, clip):
     doc = E.condition_evaluation(E.outline_curve(clip["frames"], clip["rendered"], clip["mask"], clip["unknown"], clip["depth"], least_mask=200), errors).first()
     assert doc.outline_iou == pytest.approx(np.mean([w[0] for w in want.values()])) and doc.depth_err_monocular == pytest.approx(np.mean([w[1] for w in want.values()]))
     assert (doc.track_err, doc.n_samples, doc.n_seeds, doc.n_tracks, doc.seeds_better_than_static, doc.n_samples_first_seed) == (3.5, 24, 2, 8, 2, 12)
+    assert [(x.k, x.iou) for x in doc.iou_curve] == [(k, pytest.approx(want[k][0])) for k in sorted(want)] and [x.value for x in doc.depth_curve_monocular] == [pytest.approx(want[k][1]) for k in sorted(want)]
+    assert [(x.seed, x.sim, x.static, x.n) for x in doc.track_by_seed] == [(0, 3.5, 5.5, 12), (5, 3.5, 5.5, 12)]
+    starts = spark.createDataFrame([(t, s) for t in range(6) for s in (0, 5, 9)], "track int, seed int")
+    counted = E.condition_evaluation(E.outline_curve(clip["frames"], clip["rendered"], clip["mask"], clip["unknown"], clip["depth"].limit(0), least_mask=200), errors, starts.where("seed < 9"), starts).first()
+    assert (counted.n_tracks, counted.n_seeds, counted.outline_iou, counted.depth_err_monocular) == (12, 3, 0.0, None)  # no wall: nothing is seen
     tex = E.texture_tracking(errors, errors.select("seed", F.when(F.col("seed") == 5, F.col("e") + 50).otherwise(F.col("e")).alias("e")), 15.0).first()
     assert tex.n == 1 and tex.value == 3.5 and tex.baseline == 53.5 and tex.change == pytest.approx((3.5 / 53.5 - 1) * 100)
 
@@ -175,6 +180,56 @@ def turned(v, a, s=1.0, t=(0.0, 0.0, 0.0)):
     return s * v @ m.T + t
 
 
+def test_strain_by_singular_values(spark):
+    """Against the deformation of each cell worked out by NumPy: random bodies, one with slivers, some cells turned over."""
+    r = np.random.default_rng(8)
+    rest = r.normal(size=(12, 3))
+    rest[4:8, 2] *= 1e-4
+    tets = np.array([r.choice(12, 4, replace=False) for _ in range(15)] + [[4, 5, 6, 7]])
+    frames = np.array([rest + s * r.normal(size=rest.shape) for s in (0.0, 0.05, 0.6)])
+    table = lambda x, k=(): [(*k, i, *map(float, p)) for i, p in enumerate(x)]
+    a = spark.createDataFrame(table(rest), "v long, x double, y double, z double")
+    b = spark.createDataFrame([q for k, f in enumerate(frames) for q in table(f, (k,))], "k int, v long, x double, y double, z double")
+    t = spark.createDataFrame([(i, *map(int, q)) for i, q in enumerate(tets)], "t long, a long, b long, c long, d long")
+    box = lambda x: (x[tets[:, 1:]] - x[tets[:, :1]]).transpose(0, 2, 1)
+    far = np.array([max(np.linalg.norm(rest[i] - rest[j]) for i in q for j in q) for q in tets])
+    well = np.abs(np.linalg.det(box(rest))) / 6 / far**3 >= 0.01
+    got = {x.k: x for x in E.tet_strain(a, b, t).collect()}
+    for k, f in enumerate(frames):
+        g = box(f) @ np.linalg.inv(box(rest))
+        det, top = np.linalg.det(g), np.linalg.svd(g, compute_uv=False)[:, 0]
+        assert got[k].min_det == pytest.approx(det.min(), rel=1e-6) and (got[k].inverted, got[k].inverted_well) == ((det <= 0).sum(), ((det <= 0) & well).sum())
+        assert got[k].principal == pytest.approx(np.abs(top - 1).max(), rel=1e-5, abs=1e-6)
+    assert E.slivers(a, t).first().slivers == (~well).sum() > 0
+
+
+def test_gaps_between_parts(spark):
+    """A cube that a duct starts beside, runs into and leaves, a sheet on its side, held by a tool; one frame without the duct."""
+    v, rest, verts, faces, _ = cube(spark, lambda v: [v, v + [1.0, 0.0, 0.0]])
+    ducts = spark.createDataFrame([(0, "a", 0, 1.25, 0.5, 0.5), (0, "a", 1, 0.5, 0.5, 0.5), (0, "a", 2, 0.5, 0.5, 2.0), (0, "b", 0, 0.5, 0.5, -0.1), (0, "b", 1, 0.5, 0.5, 0.9995)], "k int, duct string, node int, x double, y double, z double")
+    flat = [(0, 0.5, 1.2, 0.5), (1, 0.4, 1.4, 0.5), (2, 0.5, 0.9, 0.5), (3, 0.5, 1.5, 0.5), (4, 3.0, 0.0, 0.0), (5, 5.0, 0.0, 0.0)]
+    sheet = spark.createDataFrame([(k, i, x + k, y, z) for k in range(2) for i, x, y, z in flat], "k int, v long, x double, y double, z double")
+    attached = spark.createDataFrame([(0, "body"), (1, "body"), (3, "backdrop"), (4, "left"), (5, "left")], "v long, target string")
+    tip = spark.createDataFrame([(0, 4.0, 3.0, 0.0), (1, 5.0, 0.0, 0.0)], "k int, x double, y double, z double")
+    got = {r.metric: (r.median, r["max"], r.n) for r in E.anatomy_gaps(verts, faces, ducts, sheet, attached, tip).collect()}
+    assert got == {
+        "duct_start_gap": (pytest.approx(0.25), pytest.approx(0.25), 1), "duct_nodes_inside": (pytest.approx(1 / 3), pytest.approx(1 / 3), 1),
+        "sheet_base_gap": (pytest.approx(0.3), pytest.approx(0.3), 2), "sheet_inside": (pytest.approx(0.5), pytest.approx(0.5), 2), "jaw_tip": (pytest.approx(1.5), pytest.approx(3.0), 2),
+    }
+    assert {r.metric for r in E.anatomy_gaps(verts, faces, ducts, None, None, None).collect()} == {"duct_start_gap", "duct_nodes_inside"}
+    assert E.anatomy_gaps(verts, faces, None, None, None, None).count() == 0
+
+
+def test_instruments(spark):
+    tips = spark.createDataFrame([("probe", k, float(k), 0.0, 0.0) for k in range(4)] + [("grasp", 0, 0.0, 3.0, 4.0)], "tool string, k int, x double, y double, z double")
+    planned = spark.createDataFrame([(t, k, 0.0, 0.0, 0.0) for t in ("probe", "grasp") for k in range(4)], tips.schema)
+    forces = spark.createDataFrame([("probe", k, 0.5 * k) for k in range(4)], "tool string, k int, force double")
+    bands = spark.createDataFrame([("a", 0, 2), ("b", 8, 9)], "band string, lo int, hi int")
+    got = {(r.metric, r.band): r for r in E.instrument_block(tips, planned, forces, bands).collect()}
+    assert got["probe_tip_lag", "all"].median == 1.5 and got["grasp_tip_lag", "all"].max == 5 and got["probe_force", "a"].n == 2 and got["probe_force", "b"].n == 0
+    assert ("probe_tip_lag", "a") not in got
+
+
 def test_bodies(spark, clip):
     frames = lambda v: [turned(v, 0.2 * k, t=(0.1 * k, 0.0, 0.0)) for k in range(3)] + [v * [1.0, 1.0, 2.0]]
     v, rest, verts, faces, tets = cube(spark, frames)
@@ -188,6 +243,7 @@ def test_bodies(spark, clip):
     assert rig[2].degrees == pytest.approx(math.degrees(0.4)) and rig[2].rms == pytest.approx(0, abs=1e-9) and rig[2].shift == pytest.approx(np.linalg.norm(cen[2] - cen[0])) and rig[3].max > 0.2
     strain = {r.k: r for r in E.tet_strain(rest, verts, tets).collect()}
     assert strain[1].min_det == pytest.approx(1) and strain[3].min_det == pytest.approx(2) and strain[3].inverted == 0
+    assert strain[1].principal == pytest.approx(0, abs=1e-7) and strain[3].principal == pytest.approx(1)
     rows = {(r.metric, r.band): r for r in E.body_evaluation({"own": E.frame_scores(clip["frames"], clip["rendered"], clip["mask"], clip["depth"], clip["unknown"])}, rest, verts, faces, tets).collect()}
     assert rows["own_iou", "all"].n == N and rows["volume_ratio", "all"].max == pytest.approx(2) and rows["stretch_max", "all"].max == pytest.approx(2) and rows["degrees", "all"].max >= 20
     err = E.recorded_errors(verts, verts, rest)

@@ -18,8 +18,9 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import mesh as M
 from tidemark.operators import windows as W
 from tidemark.operators.joins import step_of_frame
-from tidemark.operators.kernels import fit_rigid
+from tidemark.operators.kernels import fit_rigid, mesh_contains, mesh_distances
 from tidemark.operators.sets import dilate, erode, outline
+from tidemark.session import materialize
 
 Names = Sequence[str]
 
@@ -143,6 +144,35 @@ def metric_summary(scores: DataFrame, metrics: Names, bands: DataFrame | None =
     return every.select("metric", "band", "n", "mean", "median", "p10", "min", "max").unionByName(per.select("metric", "band", "n", "mean", "median", "p10", "min", "max"))
 
 
+def document(series: Sequence[tuple[DataFrame, Names]], bands: DataFrame | None = None, banded: Names = ()) -> DataFrame:
+    """Rows (metric, band, n, mean, median, p10, min, max) of many per-frame tables at once.
+
+    Each table (k, metrics) is stacked as it is made, so it is scanned once, and all are summarised together; the metrics in
+    ``banded`` also by the bands [lo, hi).
+    """
+    long = None
+    for df, metrics in series:
+        part = df.select(F.col("k").cast("long").alias("k"), *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(["k"], list(metrics), "metric", "value")
+        long = part if long is None else long.unionByName(part)
+    cols = ["metric", "band", "n", "mean", "median", "p10", "min", "max"]
+    every = F.array(F.lit("all"))
+    if bands is None or not banded:
+        return A.summarize(long.withColumn("band", F.lit("all")), ["metric", "band"], "value").select(*cols)
+    # a row counts for all frames and for each band that it is in: bands are a dimension of a few rows
+    listed = bands.agg(F.collect_list(F.struct("band", "lo", "hi")).alias("__bands"))
+    own = F.transform(F.filter("__bands", lambda b: (F.col("k") >= b["lo"]) & (F.col("k") < b["hi"])), lambda b: b["band"])
+    tagged = long.crossJoin(F.broadcast(listed)).withColumn("band", F.explode(F.when(F.col("metric").isin(*banded), F.concat(every, own)).otherwise(every)))
+    got = A.summarize(tagged, ["metric", "band"], "value")
+    none = bands.sparkSession.createDataFrame([(m,) for m in banded], "metric string").crossJoin(F.broadcast(bands.select("band")))
+    empty = none.join(got, ["metric", "band"], "left_anti").select("metric", "band", F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in cols[3:]])
+    return got.select(*cols).unionByName(empty)
+
+
+def prefixed(df: DataFrame, name: str, cols: Names) -> tuple[DataFrame, list[str]]:
+    """A table's columns as metrics ``<name>_<column>``."""
+    return df.select("k", *[F.col(c).alias(f"{name}_{c}") for c in cols]), [f"{name}_{c}" for c in cols]
+
+
 def silhouette_block(scores: DataFrame, bands: DataFrame, baseline: DataFrame | None = None, metrics: Names = ("iou", "iou_apart", "boundary_f", "depth_residual")) -> DataFrame:
     """Summaries of a body's scores by band, and of the iou of a ``baseline`` (the body held still) as static_iou."""
     out = metric_summary(scores, [m for m in metrics if m in scores.columns], bands)
@@ -160,11 +190,11 @@ def outline_curve(frames: DataFrame, rendered: DataFrame, mask: DataFrame, hidde
     null unless more than ``least_ref``): k, iou, depth_err_monocular, depth_err_<name>.
 
     What lies behind ``background`` (k, u, v, z) does not count as visible; without it, what lies ``behind`` or more
-    behind the measured depth.
+    behind the measured depth. A pixel of which neither is known shows nothing.
     """
     enough = mask.groupBy("k").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least_mask).join(frames, "k", "left_semi").select("k")
     wall = depth.select("k", "u", "v", (F.col("z") + behind).alias("__wall")) if background is None else background.select("k", "u", "v", F.col("z").alias("__wall"))
-    shown = rendered.join(wall, ["k", "u", "v"], "left").where(F.col("__wall").isNull() | (F.col("z") < F.col("__wall"))).select("k", "u", "v", "z")
+    shown = rendered.join(wall, ["k", "u", "v"]).where(F.col("z") < F.col("__wall")).select("k", "u", "v", "z")
     free = lambda df: df.join(hidden.select("k", "u", "v").distinct(), ["k", "u", "v"], "left_anti")
     px = pixel_table(enough, free(shown), free(mask), depth, cut=None)
     for name, ref in (refs or {}).items():
@@ -205,21 +235,36 @@ def track_errors(bound: DataFrame, tracks: DataFrame, corners: DataFrame, still:
     return t.select("track", "seed", "k", far("__m").alias("e"), far("__s").alias("e_static"))
 
 
-def track_summary(errors: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(one row: pooled medians, samples, seeds, seeds better than static, first-seed median; a row a seed of ``least`` samples)."""
+def track_summary(errors: DataFrame, least: int = 10, bound: DataFrame | None = None, starts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row: pooled medians, samples, seeds, tracks, seeds better than static, first-seed median; a row a seed of ``least`` samples).
+
+    Tracks are those that were ``bound``, with later samples or not, and seeds all seeds of ``starts``; without these tables
+    both are counted among the samples.
+    """
     pooled = A.with_quantiles(errors, [], F.col("e"), {"track_err": 0.5}, F.count(F.lit(1)).alias("n_samples"), F.count_distinct("seed").alias("n_seeds"), F.count_distinct("track", "seed").alias("n_tracks"))
+    if bound is not None:
+        pooled = pooled.drop("n_tracks").crossJoin(bound.select("track", "seed").distinct().agg(F.count(F.lit(1)).alias("n_tracks")))
+    if starts is not None:
+        pooled = pooled.drop("n_seeds").crossJoin(starts.agg(F.count_distinct("seed").alias("n_seeds")))
     static = A.quantiles(errors, [], F.col("e_static"), {"track_err_static": 0.5})
-    first = errors.where("seed = 0").agg(F.percentile("e", 0.5).alias("track_err_first_seed"), F.count(F.lit(1)).alias("n_samples_first_seed"))
-    by = errors.groupBy("seed").agg(F.percentile("e", 0.5).alias("sim"), F.percentile("e_static", 0.5).alias("static"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    first = A.with_quantiles(errors.where("seed = 0"), [], F.col("e"), {"track_err_first_seed": 0.5}, F.count(F.lit(1)).alias("n_samples_first_seed"))
+    both = errors.unpivot(["seed"], ["e", "e_static"], "which", "x")
+    med = A.with_quantiles(both, ["seed", "which"], F.col("x"), {"m": 0.5}, F.count(F.lit(1)).alias("n"))
+    pick = lambda w, c: F.max(F.when(F.col("which") == w, F.col(c)))
+    by = med.groupBy("seed").agg(pick("e", "m").alias("sim"), pick("e_static", "m").alias("static"), pick("e", "n").alias("n")).where(F.col("n") >= least)
     better = by.agg(F.coalesce(F.sum((F.col("sim") < F.col("static")).cast("long")), F.lit(0)).alias("seeds_better_than_static"))
     return pooled.crossJoin(static).crossJoin(first).crossJoin(better), by
 
 
-def condition_evaluation(curve: DataFrame, errors: DataFrame) -> DataFrame:
-    """One condition's document: mean outline iou, mean depth errors over frames that have one, and the track summary."""
+def condition_evaluation(curve: DataFrame, errors: DataFrame, bound: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """One condition's document, a row: mean outline iou and its curve (k, iou), for each depth its mean over the frames that
+    have one and its curve depth_curve_<name> (k, value, null where a frame has none), and the track summary with track_by_seed
+    (seed, sim, static, n). Curves have a point a frame."""
     depth = [c for c in curve.columns if c.startswith("depth_err_")]
-    a = curve.agg(F.avg("iou").alias("outline_iou"), F.count(F.lit(1)).alias("n_frames"), F.sort_array(F.collect_list(F.struct("k", "iou"))).alias("iou_curve"), *[F.avg(c).alias(c) for c in depth])
-    return a.crossJoin(track_summary(errors)[0])
+    curves = [F.sort_array(F.collect_list(F.struct("k", F.col(c).alias("value")))).alias(c.replace("depth_err_", "depth_curve_")) for c in depth]
+    a = curve.agg(F.avg("iou").alias("outline_iou"), F.count(F.lit(1)).alias("n_frames"), F.sort_array(F.collect_list(F.struct("k", "iou"))).alias("iou_curve"), *[F.avg(c).alias(c) for c in depth], *curves)
+    one, by = track_summary(errors, bound=bound, starts=starts)
+    return a.crossJoin(one).crossJoin(by.agg(F.sort_array(F.collect_list(F.struct("seed", "sim", "static", "n"))).alias("track_by_seed")))
 
 
 def texture_tracking(sim: DataFrame, static: DataFrame, far: float = 15.0) -> DataFrame:
@@ -281,24 +326,22 @@ def tissue_evaluation(frames: DataFrame, bands: DataFrame, scores: dict[str, Dat
     ``scores``: ``frame_scores`` by name (sim, recon, static, …); ``flow``: ``flow_errors`` by name. From the vertices: the
     errors against the record and how much of its motion is explained, area and volume, edge stretch over rest, fold.
     """
-    out = None
-    for name, s in scores.items():
-        cols = [c for c in ("iou", "boundary_f", "depth_residual") if c in s.columns]
-        part = metric_summary(s.select("k", *[F.col(c).alias(f"{name}_{c}") for c in cols]), [f"{name}_{c}" for c in cols], bands)
-        out = part if out is None else out.unionByName(part)
-    add = lambda df, metrics: metric_summary(df, metrics) if out is None else out.unionByName(metric_summary(df, metrics))
+    series, banded = [], []
+    for name, t in scores.items():
+        df, metrics = prefixed(t, name, [c for c in ("iou", "boundary_f", "depth_residual") if c in t.columns])
+        series.append((df, metrics))
+        banded += metrics
     for name, f in (flow or {}).items():
-        out = add(f.select("k", F.col("epe").alias(f"{name}_epe"), F.col("epe_static").alias(f"{name}_epe_static")), [f"{name}_epe", f"{name}_epe_static"])
+        series.append(prefixed(f, name, ["epe", "epe_static"]))
     sim = sim.join(frames.select("k").distinct(), "k", "left_semi")
-    edges = M.edge_use(faces).select("a", "b")
-    out = add(M.stretch(rest, sim, edges).select("k", F.col("max").alias("stretch_max"), F.col("p95").alias("stretch_p95")), ["stretch_max", "stretch_p95"])
-    out = add(M.surface_area(sim, faces, ["k"]).join(M.enclosed_volume(sim, faces, ["k"]), "k"), ["area", "volume"])
-    out = add(M.fold(sim, faces).select(F.lit(0).alias("k"), "fold_p90"), ["fold_p90"])
+    series.append((M.stretch(rest, sim, M.edge_use(faces).select("a", "b")).select("k", F.col("max").alias("stretch_max"), F.col("p95").alias("stretch_p95")), ["stretch_max", "stretch_p95"]))
+    series.append((M.area_and_volume(sim, faces, ["k"]), ["area", "volume"]))
+    series.append((M.fold(sim, faces).select(F.lit(0).alias("k"), "fold_p90"), ["fold_p90"]))
     if rec is not None:
         e = recorded_errors(sim, rec, rest)
-        out = add(e.select("k", F.col("e").alias("err_vs_record"), F.col("e_static").alias("err_static_vs_record")), ["err_vs_record", "err_static_vs_record"])
-        out = add(motion_explained(e).select(F.lit(0).alias("k"), F.col("explained").alias("motion_explained")), ["motion_explained"])
-    return out
+        series.append((e.select("k", F.col("e").alias("err_vs_record"), F.col("e_static").alias("err_static_vs_record")), ["err_vs_record", "err_static_vs_record"]))
+        series.append((motion_explained(e).select(F.lit(0).alias("k"), F.col("explained").alias("motion_explained")), ["motion_explained"]))
+    return document(series, bands, banded)
 
 
 def temporal_scores(verts: DataFrame) -> DataFrame:
@@ -313,15 +356,50 @@ def temporal_scores(verts: DataFrame) -> DataFrame:
     return a.crossJoin(c.agg(F.sum("d").alias("centroid_path"), *[(F.max(x) - F.min(x)).alias(f"range_{x}") for x in "xyz"]))
 
 
-def tet_strain(rest: DataFrame, verts: DataFrame, tets: DataFrame) -> DataFrame:
-    """Per frame of a tetrahedral body: least determinant of a cell's deformation, cells turned over: (k, min_det, inverted).
-    The determinant is the cell's volume over that at rest."""
+#: Least quality at rest of a cell that is no sliver.
+WELL_SHAPED = 0.01
+
+
+def largest_stretch(c: dict[str, Column]) -> Column:
+    """Largest singular value of a 3 x 3 matrix from the entries xx, yy, zz, xy, xz, yz of its product with its own transpose:
+    the root of the largest eigenvalue, in closed form."""
+    mean = (c["xx"] + c["yy"] + c["zz"]) / 3
+    spread = F.sqrt(((c["xx"] - mean) ** 2 + (c["yy"] - mean) ** 2 + (c["zz"] - mean) ** 2 + 2 * (c["xy"] ** 2 + c["xz"] ** 2 + c["yz"] ** 2)) / 6)
+    x, y, z = c["xx"] - mean, c["yy"] - mean, c["zz"] - mean
+    det = x * (y * z - c["yz"] ** 2) - c["xy"] * (c["xy"] * z - c["yz"] * c["xz"]) + c["xz"] * (c["xy"] * c["yz"] - y * c["xz"])
+    turn = F.acos(F.least(F.greatest(det / (2 * spread**3), F.lit(-1.0)), F.lit(1.0))) / 3
+    return F.sqrt(F.greatest(F.when(spread > 0, mean + 2 * spread * F.cos(turn)).otherwise(mean), F.lit(0.0)))
+
+
+def tet_strain(rest: DataFrame, verts: DataFrame, tets: DataFrame, well: float = WELL_SHAPED) -> DataFrame:
+    """Per frame of a tetrahedral body: least determinant of a cell's deformation, cells turned over, those of them that are
+    well shaped at rest (quality of ``well`` or more), and how far the largest principal stretch of a cell is from 1: (k,
+    min_det, inverted, inverted_well, principal). Cells without volume at rest are left out. Cells meet their corners once.
+
+    A cell's deformation takes its edges at rest to its edges now; in barycentric terms it is sum of p_i grad_i^T over the
+    corners, grad_i the rest cell's shape gradients, which come with the rest table.
+    """
     corners = ("a", "b", "c", "d")
-    vol = G.tet_volume(F.col("pa"), F.col("pb"), F.col("pc"), F.col("pd"))
-    r = M.with_corners(tets, rest, corners).select("t", vol.alias("v0"))
-    n = M.with_corners(tets, verts, corners, ("k",)).select("k", "t", vol.alias("v")).join(r, "t")
-    det = F.col("v") / F.col("v0")
-    return n.where("v0 <> 0").groupBy("k").agg(F.min(det).alias("min_det"), F.sum((det <= 0).cast("long")).alias("inverted"))
+    p = {n: F.col(f"p{n}") for n in corners}
+    vol = G.tet_volume(*p.values())
+    e1, e2, e3 = (G.sub(p[n], p["a"]) for n in "bcd")
+    r = M.with_corners(tets, rest, corners).withColumn("v0", vol).where("v0 <> 0")
+    grads = [G.scale(G.cross(x, y), 1.0 / (6.0 * F.col("v0"))) for x, y in ((e2, e3), (e3, e1), (e1, e2))]
+    r = r.select("t", "v0", (G.tet_quality(*p.values()) >= well).alias("well"), *[g.alias(f"g{n}") for g, n in zip(grads, "bcd")])
+    n = M.with_corners(tets, verts, corners, ("k",)).select("k", "t", vol.alias("v"), e1.alias("eb"), e2.alias("ec"), e3.alias("ed")).join(r, "t")
+    row = lambda i: [sum((F.col(f"e{m}")[i] * F.col(f"g{m}")[j] for m in "cd"), F.col("eb")[i] * F.col("gb")[j]) for j in "xyz"]
+    f = [row(i) for i in "xyz"]
+    dot = lambda i, j: sum((f[i][q] * f[j][q] for q in (1, 2)), f[i][0] * f[j][0])
+    n = n.select("k", "well", (F.col("v") / F.col("v0")).alias("det"), *[dot(i, j).alias("xyz"[i] + "xyz"[j]) for i in range(3) for j in range(i, 3)])
+    off = F.abs(largest_stretch({c: F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")}) - 1)
+    turned = F.col("det") <= 0
+    return n.groupBy("k").agg(F.min("det").alias("min_det"), F.sum(turned.cast("long")).alias("inverted"), F.sum((turned & F.col("well")).cast("long")).alias("inverted_well"), F.max(off).alias("principal"))
+
+
+def slivers(rest: DataFrame, tets: DataFrame, well: float = WELL_SHAPED) -> DataFrame:
+    """One row: cells whose quality at rest is under ``well``."""
+    t = M.with_corners(tets, rest, ("a", "b", "c", "d"))
+    return t.agg(F.coalesce(F.sum((G.tet_quality(*[F.col(f"p{n}") for n in "abcd"]) < well).cast("long")), F.lit(0)).alias("slivers"))
 
 
 def rigid_remainder(rest: DataFrame, verts: DataFrame) -> DataFrame:
@@ -337,22 +415,72 @@ def rigid_remainder(rest: DataFrame, verts: DataFrame) -> DataFrame:
 def body_evaluation(scores: dict[str, DataFrame], rest: DataFrame, verts: DataFrame, faces: DataFrame, tets: DataFrame) -> DataFrame:
     """A tetrahedral body's document as rows (metric, band, n, mean, median, p10, min, max): scores against each mask, speed
     and acceleration, volume over rest, strain, edge stretch, rigid motion and remainder."""
-    out = None
-    for name, s in scores.items():
-        cols = ("iou", "boundary_f", "depth_residual")
-        part = metric_summary(s.select("k", *[F.col(c).alias(f"{name}_{c}") for c in cols]), [f"{name}_{c}" for c in cols])
-        out = part if out is None else out.unionByName(part)
+    series = [prefixed(t, name, ("iou", "boundary_f", "depth_residual")) for name, t in scores.items()]
     one = temporal_scores(verts)
-    out = out.unionByName(metric_summary(one.select(F.lit(0).alias("k"), *one.columns), one.columns))
+    series.append((one.select(F.lit(0).alias("k"), *one.columns), one.columns))
     v0 = M.enclosed_volume(rest, faces).select(F.col("volume").alias("__v0"))
-    ratio = M.enclosed_volume(verts, faces, ["k"]).crossJoin(F.broadcast(v0)).select("k", (F.col("volume") / F.col("__v0")).alias("volume_ratio"))
-    out = out.unionByName(metric_summary(ratio, ["volume_ratio"]))
-    out = out.unionByName(metric_summary(tet_strain(rest, verts, tets), ["min_det", "inverted"]))
+    series.append((M.enclosed_volume(verts, faces, ["k"]).crossJoin(F.broadcast(v0)).select("k", (F.col("volume") / F.col("__v0")).alias("volume_ratio")), ["volume_ratio"]))
+    series.append((tet_strain(rest, verts, tets), ["min_det", "inverted", "inverted_well", "principal"]))
+    series.append((slivers(rest, tets).select(F.lit(0).alias("k"), "slivers"), ["slivers"]))
     pairs = F.explode(F.array(*[F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for a, b in ("ab", "ac", "ad", "bc", "bd", "cd")]))
     edges = tets.select(pairs.alias("e")).select("e.*").distinct()
-    out = out.unionByName(metric_summary(M.stretch(rest, verts, edges).select("k", F.col("max").alias("stretch_max"), F.col("p95").alias("stretch_p95")), ["stretch_max", "stretch_p95"]))
-    r = rigid_remainder(rest, verts).select("k", "degrees", "shift", F.col("rms").alias("nonrigid_rms"), F.col("max").alias("nonrigid_max"))
-    return out.unionByName(metric_summary(r, ["degrees", "shift", "nonrigid_rms", "nonrigid_max"]))
+    series.append((M.stretch(rest, verts, edges).select("k", F.col("max").alias("stretch_max"), F.col("p95").alias("stretch_p95")), ["stretch_max", "stretch_p95"]))
+    series.append((rigid_remainder(rest, verts).select("k", "degrees", "shift", F.col("rms").alias("nonrigid_rms"), F.col("max").alias("nonrigid_max")), ["degrees", "shift", "nonrigid_rms", "nonrigid_max"]))
+    return document(series)
+
+
+def anatomy_gaps(surface: DataFrame, faces: DataFrame, ducts: DataFrame | None, sheet: DataFrame | None, attached: DataFrame | None, tip: DataFrame | None, inside: float = 0.001) -> DataFrame:
+    """Five gaps between parts that are attached: (metric, median, max, n) over the frames that have data; metrics without any
+    are left out.
+
+    duct_start_gap: farthest first node of a duct from the body's surface; duct_nodes_inside: share of the other nodes more
+    than ``inside`` within it; sheet_base_gap: median distance of the sheet's vertices attached to the body; sheet_inside:
+    share of its free vertices inside; jaw_tip: distance of the middle of the vertices held by a tool from its tip.
+    surface: (k, v, x, y, z) of a closed body with ``faces``; ducts: (k, duct, node, x, y, z); sheet: (k, v, x, y, z); attached:
+    (v, target) with target body, backdrop or a tool; tip: (k, x, y, z). All points are measured against the surface at once.
+    """
+    held = None if sheet is None else sheet.join(attached.select("v", "target"), "v", "left")
+    parts = []
+    if ducts is not None:
+        first = F.min("node").over(Window.partitionBy("k", "duct"))
+        parts.append(ducts.withColumn("__f", first).select("k", F.when(F.col("node") == F.col("__f"), "start").otherwise("node").alias("role"), "x", "y", "z"))
+    if held is not None:
+        role = F.when(F.col("target") == "body", "base").when(F.col("target").isNull() | (F.col("target") == "backdrop"), "free").otherwise("jaw")
+        parts.append(held.select("k", role.alias("role"), "x", "y", "z"))
+    if not parts:
+        return surface.sparkSession.createDataFrame([], "metric string, median double, max double, n long")
+    points = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "anatomy")
+    asked = points.where("role <> 'jaw'")
+    tri = M.with_corners(faces, surface, ("a", "b", "c"), ("k",))
+    tri = tri.select("k", F.col("f").alias("face"), *[F.col(f"p{p}.{x}").alias(f"{p}{x}") for p in "abc" for x in "xyz"])
+    near = mesh_distances(asked.select("k", "id", "x", "y", "z"), tri, ["k"])
+    sign = mesh_contains(asked.select("k", "id", "x", "y", "z"), tri, ["k"])
+    sd = asked.select("k", "id", "role").join(near.select("k", "id", "d"), ["k", "id"]).join(sign, ["k", "id"]).withColumn("in", F.when(F.col("inside"), F.col("d")).otherwise(-F.col("d")))
+    at = lambda role, c: F.when(F.col("role") == role, c)
+    deep = (F.col("in") > inside).cast("double")
+    per = sd.groupBy("k").agg(F.max(at("start", F.col("d"))).alias("duct_start_gap"), F.avg(at("node", deep)).alias("duct_nodes_inside"), F.percentile(at("base", F.col("d")), 0.5).alias("sheet_base_gap"), F.avg(at("free", deep)).alias("sheet_inside"))
+    series = [(per, ["duct_start_gap", "duct_nodes_inside", "sheet_base_gap", "sheet_inside"])]
+    if held is not None and tip is not None:
+        jaw = points.where("role = 'jaw'").groupBy("k").agg(*[F.avg(x).alias(f"j{x}") for x in "xyz"]).join(tip.select("k", *[F.col(x).alias(f"t{x}") for x in "xyz"]), "k")
+        series.append((jaw.select("k", F.sqrt(sum(((F.col(f"j{x}") - F.col(f"t{x}")) ** 2 for x in "yz"), (F.col("jx") - F.col("tx")) ** 2)).alias("jaw_tip")), ["jaw_tip"]))
+    return document(series).where("n > 0").select("metric", "median", "max", "n")
+
+
+def instrument_block(tips: DataFrame, planned: DataFrame, forces: DataFrame | None = None, bands: DataFrame | None = None) -> DataFrame:
+    """Instruments of a run as document rows: <tool>_tip_lag, the distance of the simulated tip from the planned point, and
+    <tool>_force by band. tips, planned: (tool, k, x, y, z); forces: (tool, k, force)."""
+    j = tips.join(planned.select("tool", "k", *[F.col(c).alias(f"p{c}") for c in "xyz"]), ["tool", "k"])
+    lag = F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("px")) ** 2))
+    long = j.select("k", F.concat("tool", F.lit("_tip_lag")).alias("metric"), lag.alias("value"))
+    cols = ["metric", "band", "n", "mean", "median", "p10", "min", "max"]
+    if forces is not None:
+        long = long.unionByName(forces.select("k", F.concat("tool", F.lit("_force")).alias("metric"), F.col("force").cast("double").alias("value")))
+    every = A.summarize(long.withColumn("band", F.lit("all")), ["metric", "band"], "value").select(*cols)
+    if bands is None or forces is None:
+        return every
+    pushed = long.where(F.endswith("metric", F.lit("_force")))
+    return every.unionByName(A.band_summary(pushed, bands, pushed.select("metric").distinct(), ["metric"], "k", "value").select(*cols))
 
 
 def split_depth(px: DataFrame, side: DataFrame, least: int = 30) -> DataFrame:

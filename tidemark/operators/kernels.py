@@ -415,6 +415,32 @@ def mesh_distances(points: DataFrame, faces: DataFrame, by: Names) -> DataFrame:
     return points.groupBy(*by).cogroup(faces.groupBy(*by)).applyInPandas(near, ", ".join(f"{b} {kinds[b]}" for b in by) + ", id long, d double, face long")
 
 
+def solid_angles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Sum over triangles (t, 3, 3) of the signed solid angle that each is seen under from each point, in full turns."""
+    a, b, c = (tri[None, :, i] - p[:, None] for i in range(3))
+    la, lb, lc = (np.linalg.norm(x, axis=2) for x in (a, b, c))
+    top = (a * np.cross(b, c)).sum(2)
+    low = la * lb * lc + (a * b).sum(2) * lc + (b * c).sum(2) * la + (c * a).sum(2) * lb
+    return np.arctan2(top, low).sum(1) / (2 * np.pi)
+
+
+def mesh_contains(points: DataFrame, faces: DataFrame, by: Names) -> DataFrame:
+    """Whether points (by, id, x, y, z) lie inside the closed mesh (by, face, ax, … cz) of their group: by, id, inside. A bounded
+    number of point-triangle pairs is in memory at a time."""
+    ship_package(points.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+
+    def turns(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        p, tri = left[["x", "y", "z"]].to_numpy(float), right[_CORNERS].to_numpy(float).reshape(-1, 3, 3)
+        inside = np.zeros(len(p), bool)
+        step = max(1, STEP // (12 * max(len(tri), 1)))
+        for lo in range(0, len(p), step):
+            inside[lo : lo + step] = np.abs(solid_angles(p[lo : lo + step], tri)) > 0.5
+        return pd.DataFrame({**{b: left[b].to_numpy() for b in by}, "id": left["id"].to_numpy(np.int64), "inside": inside})
+
+    return points.groupBy(*by).cogroup(faces.groupBy(*by)).applyInPandas(turns, ", ".join(f"{b} {kinds[b]}" for b in by) + ", id long, inside boolean")
+
+
 def mesh_hits(rays: DataFrame, faces: DataFrame, by: Names) -> DataFrame:
     """First triangle of the group's mesh (by, face, ax, … cz) that each ray (by, ray, ox, oy, oz, dx, dy, dz) meets: by, ray,
     t, face; no row where none is met. Triangles' bounding spheres rule most pairs out; a bounded number is tested at a

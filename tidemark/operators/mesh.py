@@ -37,6 +37,13 @@ def enclosed_volume(vertices: DataFrame, faces: DataFrame, by: Names = ()) -> Da
     return t.groupBy(*by).agg((F.sum(G.dot(F.col("pa"), G.cross(F.col("pb"), F.col("pc")))) / 6.0).alias("volume"))
 
 
+def area_and_volume(vertices: DataFrame, faces: DataFrame, by: Names = ()) -> DataFrame:
+    """``surface_area`` and ``enclosed_volume`` by one pass over the faces: by, area, volume."""
+    t = with_corners(faces, vertices, by=by)
+    a, b, c = (F.col(f"p{n}") for n in "abc")
+    return t.groupBy(*by).agg(F.sum(G.triangle_area(a, b, c)).alias("area"), (F.sum(G.dot(a, G.cross(b, c))) / 6.0).alias("volume"))
+
+
 def edge_lengths(vertices: DataFrame, edges: DataFrame, by: Names = ()) -> DataFrame:
     e = with_corners(edges, vertices, ("a", "b"), by)
     return e.select(*by, "a", "b", G.norm(G.sub(F.col("pa"), F.col("pb"))).alias("length"))
