@@ -19,7 +19,7 @@ from tidemark.functions.scalars import clip
 from tidemark.operators import windows as W
 from tidemark.operators.aggregates import quantiles
 from tidemark.operators.joins import neighbours, optional_join
-from tidemark.operators.kernels import _grouped, mesh_hits
+from tidemark.operators.kernels import _grouped, _on_mesh, mesh_hits
 from tidemark.operators.measures import fill_nearest, indentation, ring_median
 from tidemark.operators.mesh import vertex_normals
 from tidemark.operators.sets import face_edges, min_label_components
@@ -274,38 +274,27 @@ def pushed_forward(need: DataFrame, edges: DataFrame, frozen: DataFrame, sigma:
     """Pushes of mesh vertices (k, v, need) spread over the mesh and over time, never below what each needs: (k, v, push).
 
     A round takes the mean of a vertex's push and that of its neighbours; after ``rounds`` of them, a Gaussian of ``sigma``
-    frames and the same again, ``again`` times. Frozen vertices (v) stay at 0. One mesh; the numbers of a clip are one group.
+    frames and the same again, ``again`` times. Frozen vertices (v) stay at 0. Frames are spread by themselves, each beside
+    the mesh's edges; over time a vertex is a series.
     """
-    e = np.array([(r.a, r.b) for r in edges.select("a", "b").collect()], np.int64).reshape(-1, 2)  # one mesh
-    held = {r.v for r in frozen.select("v").collect()}
-
-    def spread(pdf: pd.DataFrame):
-        table = pdf.pivot(index="k", columns="v", values="need").sort_index()
-        names, n = np.array(table.columns, np.int64), np.nan_to_num(table.to_numpy(float))
-        still = np.isin(names, list(held))
-        n = np.maximum(n, 0)
-        n[:, still] = 0
-        a, b = np.searchsorted(names, e[:, 0]), np.searchsorted(names, e[:, 1])
-        degree = np.maximum(np.bincount(np.concatenate((a, b)), minlength=len(names)), 1)
-
-        def mesh(push):
-            for _ in range(rounds):
-                total = np.zeros_like(push)
-                np.add.at(total.T, a, push.T[b])
-                np.add.at(total.T, b, push.T[a])
-                push = np.maximum(n, 0.5 * push + 0.5 * total / degree)
-                push[:, still] = 0
-            return push
-
-        push = mesh(n.copy())
-        r = int(4 * sigma + 0.5)
-        g = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2) if sigma else None
-        for _ in range(again if sigma else 0):
-            padded = np.pad(push, ((r, r), (0, 0)), mode="edge")
-            push = mesh(np.maximum(n, sum(x * padded[i : i + len(push)] for i, x in enumerate(g / g.sum()))))
-        return [(int(k), int(v), float(push[i, j])) for i, k in enumerate(table.index) for j, v in enumerate(names)]
-
-    return _grouped(need.withColumn("clip", F.lit(0)), ["clip"], "k long, v long, push double", spread).drop("clip")
+    held = frozen.select(F.col("v").cast("long").alias("v")).distinct().withColumn("still", F.lit(True))
+    least = need.select(F.col("k").cast("long").alias("k"), F.col("v").cast("long").alias("v"), F.greatest(F.coalesce(F.col("need").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("need"))
+    least = least.join(held, "v", "left").withColumn("still", F.coalesce("still", F.lit(False))).withColumn("need", F.when(F.col("still"), 0.0).otherwise(F.col("need")))
+
+    def spread(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray):
+        n, push, still = (pdf[c].to_numpy() for c in ("need", "push", "still"))
+        degree = np.maximum(np.bincount(np.concatenate((a, b)), minlength=len(n)), 1)
+        for _ in range(rounds):
+            total = np.bincount(a, weights=push[b], minlength=len(n)) + np.bincount(b, weights=push[a], minlength=len(n))
+            push = np.where(still, 0.0, np.maximum(n, 0.5 * push + 0.5 * total / degree))
+        return list(zip(pdf["v"].tolist(), n.tolist(), still.tolist(), push.tolist()))
+
+    over_mesh = lambda df: _on_mesh(df, edges, ["k"], "v long, need double, still boolean, push double", spread)
+    out = over_mesh(least.withColumn("push", F.col("need")))
+    for _ in range(again if sigma else 0):
+        smooth = W.gaussian_smooth(materialize(out, "pushes"), ["v"], ["k"], "push", sigma, "__s", edge="nearest")
+        out = over_mesh(smooth.select("k", "v", "need", "still", F.greatest("need", "__s").alias("push")))
+    return out.select("k", "v", "push")
 
 
 # ---- tubes and tools

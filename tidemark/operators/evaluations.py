@@ -562,9 +562,7 @@ def backdrop_scores(frames: DataFrame, rendered: DataFrame, static: DataFrame, d
     in front of it, eroded by three pixels here; occluders are dilated by two. One row of ``images`` a pixel of the frame.
     """
     keep = frames.select("k").distinct()
-    inner = organ.select("k", "u", "v")
-    for _ in range(3):
-        inner = erode(inner, ["k"])
+    inner = erode(organ, ["k"], 3)  # a square of three each way is three erosions by one
     flag = lambda df, n: df.select("k", "u", "v").distinct().withColumn(n, F.lit(True))
     px = images.join(keep, "k", "left_semi").select("k", "u", "v", F.col("g").alias("gi"), "specular")
     px = px.join(rendered.select("k", "u", "v", F.col("z").alias("zr"), F.col("g").alias("gr")), ["k", "u", "v"], "left")
@@ -720,11 +718,13 @@ def hold_out_scores(runs: DataFrame, states: DataFrame, frames: DataFrame, fps:
 def shape_study(shapes: DataFrame, mask: DataFrame, depth: DataFrame, reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Shapes drawn into one frame (shape, u, v, z) against its mask and depths: (shape, outline_iou, depth_err, and with a
     reference depth (u, v, z) depth_err_reference, n_px); and the depth itself against the reference: error and scale."""
-    u = shapes.select("shape", "u", "v", F.col("z").cast("double").alias("zm"), F.lit(False).alias("real"))
-    u = u.unionByName(shapes.select("shape").distinct().crossJoin(mask.select("u", "v")).select("shape", "u", "v", F.lit(None).cast("double").alias("zm"), F.lit(True).alias("real")))
-    px = u.groupBy("shape", "u", "v").agg(F.min("zm").alias("zm"), F.max("real").alias("real")).join(depth.select("u", "v", F.col("z").alias("zd")), ["u", "v"], "left")
-    both = F.col("zm").isNotNull() & F.col("real")
-    cols = [(F.sum(both.cast("long")) / F.count(F.lit(1))).alias("outline_iou"), F.percentile(F.when(both, F.abs(F.col("zm") - F.col("zd"))), 0.5).alias("depth_err")]
+    # a pixel of a shape meets the mask; what only the mask has is a number, the same for all shapes
+    size = mask.select("u", "v").distinct().agg(F.count(F.lit(1)).alias("__mask"))
+    px = shapes.groupBy("shape", "u", "v").agg(F.min(F.col("z").cast("double")).alias("zm"))
+    px = px.join(mask.select("u", "v").distinct().withColumn("real", F.lit(True)), ["u", "v"], "left").join(depth.select("u", "v", F.col("z").alias("zd")), ["u", "v"], "left").crossJoin(F.broadcast(size))
+    both = F.coalesce("real", F.lit(False))
+    common = F.sum(both.cast("long"))
+    cols = [(common / (F.count(F.lit(1)) + F.max("__mask") - common)).alias("outline_iou"), F.percentile(F.when(both, F.abs(F.col("zm") - F.col("zd"))), 0.5).alias("depth_err")]
     if reference is None:
         return px.groupBy("shape").agg(*cols), None
     px = px.join(reference.select("u", "v", F.col("z").alias("zr")), ["u", "v"], "left")

@@ -623,18 +623,31 @@ def smooth_surface(df: DataFrame, by: Names, grad: float, bend: float, lower: bo
     return _grouped(df, by, "x int, y int, z double", fit)
 
 
+def _on_mesh(vertices: DataFrame, edges: DataFrame, by: Names, extra: str, f) -> DataFrame:
+    """``_grouped`` with the edges (a, b) of one mesh beside every group: ``f`` gets the group's rows in order of v, and the
+    places of the edges' ends in them. Edges travel to the groups as rows; none comes to the driver."""
+    ship_package(vertices.sparkSession)
+    schema = _schema(vertices, by, extra)
+    names = [x.name for x in schema.fields]
+    everywhere = vertices.select(*by).distinct().crossJoin(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("v")
+        v = left["v"].to_numpy(np.int64)
+        right = right[right["a"].isin(v) & right["b"].isin(v)]
+        ends = (np.searchsorted(v, right[c].to_numpy(np.int64)) for c in "ab")
+        return pd.DataFrame([(*key, *row) for row in (f(left, *ends) if len(left) else [])], columns=names)
+
+    return vertices.groupBy(*by).cogroup(everywhere.groupBy(*by)).applyInPandas(run, schema)
+
+
 def laplacian_offsets(vertices: DataFrame, edges: DataFrame, by: Names, smooth: float = 2.0) -> DataFrame:
     """Offsets of mesh vertices (by, v, w, target, fixed) along their rays: least sum w (o - target)^2 + smooth * o L o with
     fixed vertices at 0: by, v, offset. edges: (a, b), the same mesh in every group."""
-    ship_package(vertices.sparkSession)
-    pairs = vertices.sparkSession.sparkContext.broadcast(np.array([(r.a, r.b) for r in edges.select("a", "b").collect()], np.int64).reshape(-1, 2))  # one mesh
-
-    def solve(pdf: pd.DataFrame):
-        v = pdf["v"].to_numpy(np.int64)
-        order = np.argsort(v)
-        v, w, t = v[order], pdf["w"].to_numpy(float)[order], np.nan_to_num(pdf["target"].to_numpy(float)[order])
-        free = ~pdf["fixed"].to_numpy(bool)[order]
-        a, b = np.searchsorted(v, pairs.value[:, 0]), np.searchsorted(v, pairs.value[:, 1])
+
+    def solve(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray):
+        v, w, t = pdf["v"].to_numpy(np.int64), pdf["w"].to_numpy(float), np.nan_to_num(pdf["target"].to_numpy(float))
+        free = ~pdf["fixed"].to_numpy(bool)
         degree = np.bincount(np.concatenate((a, b)), minlength=len(v))
 
         def apply(o):
@@ -648,7 +661,7 @@ def laplacian_offsets(vertices: DataFrame, edges: DataFrame, by: Names, smooth:
             out[free] = _conjugate(apply, (w * t)[free], np.zeros(int(free.sum())), 1e-12)
         return [(int(i), float(o)) for i, o in zip(v, out)]
 
-    return _grouped(vertices, by, "v long, offset double", solve)
+    return _on_mesh(vertices, edges, by, "v long, offset double", solve)
 
 
 def parallel_frames(df: DataFrame, by: Names) -> DataFrame:
