@@ -629,7 +629,7 @@ def _on_mesh(vertices: DataFrame, edges: DataFrame, by: Names, extra: str, f) ->
     ship_package(vertices.sparkSession)
     schema = _schema(vertices, by, extra)
     names = [x.name for x in schema.fields]
-    everywhere = vertices.select(*by).distinct().crossJoin(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    everywhere = vertices.select(*[F.col(c).alias(c) for c in by]).distinct().crossJoin(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("v")
