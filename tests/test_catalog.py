@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import connect, difference
-from tidemark.plans import clip_catalog as catalog
+from tidemark.plans import shape_catalog as catalog
 
 
 @pytest.fixture(scope="module")
