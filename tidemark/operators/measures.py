@@ -219,6 +219,113 @@ def polyline_stats(nodes: DataFrame, rest_length: float, by: Names = ("k",)) ->
     return nodes.withColumn("s", seg).groupBy(*by).agg(F.sum("s").alias("length"), (F.sum("s") / rest_length - 1).alias("strain"), F.min("s").alias("shortest"), F.max("s").alias("longest"))
 
 
+def tube_statistics(nodes: DataFrame, rest: DataFrame, radius: DataFrame) -> DataFrame:
+    """Statistics of a moving tube, one row: length (rest, min, max, std, largest strain), segments' stretch (largest, mean over
+    frames of the 95th percentile), radius (min, median, max), and by frame the largest speed and acceleration of a node: the
+    largest and 95th percentile speed, the largest acceleration. nodes: (k, node, x, y, z); rest: (node, x, y, z); radius: (node, r).
+
+    Every node is met once: its segment and its differences in time are windows over it.
+    """
+    along, over = Window.partitionBy("k").orderBy("node"), Window.partitionBy("node").orderBy("k")
+    size = lambda f: F.sqrt(sum((f(c) ** 2 for c in "yz"), f("x") ** 2))
+    seg = lambda w: size(lambda c: F.col(c) - F.lag(c).over(w))
+    still = rest.withColumn("__all", F.lit(0)).withColumn("r0", seg(Window.partitionBy("__all").orderBy("node"))).select("node", "r0")
+    moving = nodes.withColumn("seg", seg(along)).withColumn("speed", size(lambda c: F.col(c) - F.lag(c).over(over))).withColumn("accel", size(lambda c: F.lead(c).over(over) - 2 * F.col(c) + F.lag(c).over(over)))
+    per = moving.join(still, "node").groupBy("k").agg(F.sum("seg").alias("length"), F.max(F.col("seg") / F.col("r0")).alias("smax"), F.percentile(F.col("seg") / F.col("r0"), 0.95).alias("s95"), F.max("speed").alias("speed"), F.max("accel").alias("accel"))
+    whole = still.agg(F.sum("r0").alias("length_rest"))
+    stats = per.crossJoin(F.broadcast(whole)).agg(
+        F.first("length_rest").alias("length_rest"), F.min("length").alias("length_min"), F.max("length").alias("length_max"), F.stddev_pop("length").alias("length_std"), F.max(F.abs(F.col("length") / F.col("length_rest") - 1)).alias("max_strain"),
+        F.max("smax").alias("stretch_max"), F.avg("s95").alias("stretch_p95_mean"), F.max("speed").alias("max_speed"), F.percentile("speed", 0.95).alias("p95_speed"), F.max("accel").alias("max_accel"),
+    )
+    return stats.crossJoin(radius.agg(F.min("r").alias("radius_min"), F.percentile("r", 0.5).alias("radius_median"), F.max("r").alias("radius_max")))
+
+
+def footprints(corners: DataFrame, width: int, height: int) -> DataFrame:
+    """Cells (u, v) of a canvas that some frame looked at: those whose middle lies in a frame's convex footprint.
+
+    corners: (k, i, u, v), the footprint's corners in order. A frame's rows of cells are made from where its edges cross the
+    middle of a row, so work follows the cells that are seen."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("k"))
+    w = Window.partitionBy("k").orderBy("i")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = corners.select("k", "u", "v", F.coalesce(F.lead("u").over(w), F.first("u").over(whole)).alias("u2"), F.coalesce(F.lead("v").over(w), F.first("v").over(whole)).alias("v2"), n.alias("n")).where("n >= 3 and v <> v2")
+    low, high = F.least("v", "v2"), F.greatest("v", "v2")
+    rows = F.sequence(F.greatest(F.ceil(low), F.lit(0)).cast("int"), F.least(F.ceil(high) - 1, F.lit(height - 1)).cast("int"))
+    crossed = e.where((F.ceil(low) <= F.ceil(high) - 1) & (F.ceil(high) > 0) & (F.ceil(low) < height)).withColumn("row", F.explode(rows))
+    at = crossed.select("k", "row", (F.col("u") + (F.col("row") - F.col("v")) / (F.col("v2") - F.col("v")) * (F.col("u2") - F.col("u"))).alias("x"))
+    spans = at.groupBy("k", "row").agg(F.greatest(F.ceil(F.min("x")), F.lit(0)).cast("int").alias("a"), F.least(F.floor(F.max("x")), F.lit(width - 1)).cast("int").alias("b")).where("a <= b")
+    return spans.select(F.explode(F.sequence("a", "b")).alias("u"), F.col("row").alias("v")).distinct()
+
+
+def object_points(mask: DataFrame, depth: DataFrame, pose: DataFrame, cx: float, cy: float, width: int, height: int, every: int = 3, worn: int = 2) -> DataFrame:
+    """World points (k, u, v, x, y, z) of an object's pixels, worn down by ``worn`` and thinned to every third row and column.
+
+    Beyond the image nothing wears the object down. mask: (k, u, v); depth: (k, u, v, z); pose: (k, rot, f, pos)."""
+    inner = mask.select("k", "u", "v").distinct()
+    if worn:
+        reach = lambda c, n: F.sequence(F.greatest(F.col(c) - worn, F.lit(0)), F.least(F.col(c) + worn, F.lit(n - 1)))
+        heard = inner.select("k", F.explode(reach("u", width)).alias("u"), "v").select("k", "u", F.explode(reach("v", height)).alias("v"))
+        side = lambda c, n: F.least(F.col(c) + worn, F.lit(n - 1)) - F.greatest(F.col(c) - worn, F.lit(0)) + 1
+        inner = heard.groupBy("k", "u", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side("u", width) * side("v", height)).select("k", "u", "v")
+    some = inner.where((F.col("u") % every == 0) & (F.col("v") % every == 0)).join(depth, ["k", "u", "v"]).join(pose, "k")
+    p = G.unproject(F.col("u").cast("double"), F.col("v").cast("double"), F.col("z"), F.col("rot"), F.col("f"), F.col("pos"), F.lit(cx), F.lit(cy))
+    return some.select("k", "u", "v", p.alias("p")).select("k", "u", "v", "p.x", "p.y", "p.z")
+
+
+def static_anatomy(frames: DataFrame, moving: DataFrame, radii: DataFrame, width: int, height: int, border: int = 3) -> DataFrame:
+    """Pixels (k, u, v) of an image that are neither at its border nor within an object's own radius of what moves.
+
+    moving: (k, obj, u, v); radii: (obj, radius), a row an object; objects without a radius do not count."""
+    near = moving.join(F.broadcast(radii), "obj")
+    span = lambda c: F.sequence(F.col(c) - F.col("radius"), F.col(c) + F.col("radius"))
+    gone = near.select("k", F.explode(span("u")).alias("u"), "v", "radius").distinct().select("k", "u", F.explode(span("v")).alias("v")).distinct()
+    side = lambda n: F.explode(F.sequence(F.lit(border), F.lit(n - border - 1)))
+    free = frames.select("k", side(width).alias("u")).select("k", "u", side(height).alias("v"))
+    return free.join(gone, ["k", "u", "v"], "left_anti")
+
+
+def control_targets(tips: DataFrame, by: Names, fps: float, dt: float) -> DataFrame:
+    """Tips (by, k, x, y, z) on the control clock: by, step, x, y, z at step * dt, straight between the frames at k / fps."""
+    ends = tips.groupBy(*by).agg(F.max("k").alias("__last"))
+    steps = ends.select(*by, F.explode(F.sequence(F.lit(0), F.floor(F.col("__last") / fps / dt + 1e-9).cast("int"))).alias("step"))
+    at = steps.withColumn("__t", F.col("step") * F.lit(dt) * F.lit(fps))
+    w = Window.partitionBy(*by).orderBy("k")
+    legs = tips.select(*by, "k", "x", "y", "z", *[F.lead(c).over(w).alias(f"n{c}") for c in ("k", "x", "y", "z")])
+    # frames are numbered without gaps, so a time's leg is that of its whole part; the last time may be the last frame
+    at = at.withColumn("k", F.floor(F.col("__t") + 1e-9).cast(tips.schema["k"].dataType))
+    f = F.greatest(F.col("__t") - F.col("k"), F.lit(0.0))
+    return at.join(legs, [*by, "k"]).select(*by, "step", *[(F.col(c) + f * F.coalesce(F.col(f"n{c}") - F.col(c), F.lit(0.0))).alias(c) for c in "xyz"])
+
+
+def tool_scores(track: DataFrame, measured: DataFrame, drawn: DataFrame, masks: DataFrame, least: int = 50) -> DataFrame:
+    """Scores of tools by frame: (tool, k, tip_px, ang_deg, offset_px, iou, speed, acceleration).
+
+    tip_px: distance of the projected tip from the mask's, null where the border cuts that; ang_deg: angle of the projected
+    shaft to the mask's axis; offset_px: median distance of the mask's middle line (slices neither cut nor occluded) from the
+    projected axis; iou: the drawn shaft where it is the nearest of all tools, against the mask, null where both have
+    ``least`` pixels or fewer; speed and acceleration of the tip in space. track: (tool, k, x, y, z, au, av, bu, bv), the tip, its
+    place in the image and that of a point behind it on the shaft; measured: ``tool_measurement``; drawn: (tool, k, u, v, z);
+    masks: (tool, k, u, v).
+    """
+    w = Window.partitionBy("tool").orderBy("k")
+    size = lambda f: F.sqrt(sum((f(c) ** 2 for c in "yz"), f("x") ** 2))
+    t = track.withColumn("speed", size(lambda c: F.lead(c).over(w) - F.col(c))).withColumn("acceleration", size(lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)))
+    long = F.greatest(F.hypot(F.col("au") - F.col("bu"), F.col("av") - F.col("bv")), F.lit(1e-12))
+    t = t.withColumn("du2", (F.col("au") - F.col("bu")) / long).withColumn("dv2", (F.col("av") - F.col("bv")) / long)
+    j = t.join(measured.select("tool", "k", "tu", "tv", "du", "dv", "tip_cut", "widths"), ["tool", "k"], "left")
+    turn = F.col("du2") * F.col("du") + F.col("dv2") * F.col("dv")
+    off = F.transform(F.filter("widths", lambda s: ~s["cut"] & ~s["occluded"]), lambda s: F.abs((s["v"] - F.col("av")) * F.col("du2") - (s["u"] - F.col("au")) * F.col("dv2")))
+    middle = F.array_sort(off)
+    n = F.size(middle)
+    median = F.when(n > 0, (F.get(middle, F.floor((n - 1) / 2).cast("int")) + F.get(middle, F.floor(n / 2).cast("int"))) / 2)
+    first = Window.partitionBy("k", "u", "v")
+    near = drawn.withColumn("__z", F.min("z").over(first)).where(F.col("z") <= F.col("__z") + 1e-9).select("tool", "k", "u", "v", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    both = near.unionByName(masks.select("tool", "k", "u", "v", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("tool", "k", "u", "v").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    iou = both.groupBy("tool", "k").agg(F.when((F.sum("a") > least) | (F.sum("b") > least), F.sum(F.col("a") * F.col("b")) / F.count(F.lit(1))).alias("iou"))
+    scored = j.select("tool", "k", F.when(~F.col("tip_cut"), F.hypot(F.col("au") - F.col("tu"), F.col("av") - F.col("tv"))).alias("tip_px"), F.when(turn.isNotNull(), F.degrees(F.acos(F.least(F.greatest(turn, F.lit(-1.0)), F.lit(1.0))))).alias("ang_deg"), median.alias("offset_px"), "speed", "acceleration")
+    return scored.join(iou, ["tool", "k"], "left").select("tool", "k", "tip_px", "ang_deg", "offset_px", "iou", "speed", "acceleration")
+
+
 def least_stretched(nodes: DataFrame, k: str = "k") -> DataFrame:
     """First frame of least polyline length."""
     return polyline_stats(nodes, 1.0, (k,)).agg(F.min(F.struct("length", k)).alias("b")).select("b.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite, quantize16
@@ -100,11 +100,34 @@ def base64_series(df: DataFrame, by: Names, order: Names, q: str) -> DataFrame:
     return s.select(*by, F.base64(F.unhex(F.array_join(F.transform("__s", lambda e: two(e[q])), ""))).alias("data"))
 
 
+def _cell(df: DataFrame, c: str, digits: int) -> Column:
+    """A value as text, numbers with fixed digits, missing as a dash."""
+    text = F.format_string(f"%.{digits}f", F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c).cast("string")
+    return F.when(F.col(c).isNull(), "-").otherwise(text)
+
+
 def text_table(df: DataFrame, columns: Names, digits: int = 3) -> DataFrame:
     """Rows as lines of text, numbers with fixed digits, missing as a dash."""
-    kinds = dict(df.dtypes)
-    cell = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit("-"))
-    return df.select(F.concat_ws(" | ", *[cell(c) for c in columns]).alias("line"))
+    return df.select(F.concat_ws(" | ", *[_cell(df, c, digits) for c in columns]).alias("line"))
+
+
+def markdown_table(df: DataFrame, columns: Names, order: Names, digits: int = 3) -> DataFrame:
+    """(ord, line): a table as Markdown lines, its head, the rule under it and its rows in order; numbers with fixed digits.
+
+    Rows are numbered by a range sort, so a table of any length has its lines in order."""
+    from tidemark.operators.sets import renumber
+
+    text = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(df, c, digits) for c in columns]), F.lit(" |"))
+    lines = df.select(F.struct(*order).alias("__o"), text.alias("line"))
+    _, places = renumber(lines, [], lines.select(F.col("__o").alias("old")).distinct())
+    rows = lines.join(places, lines["__o"] == places["old"]).select((F.col("new") + 2).alias("ord"), "line")
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "ord long, line string")
+    return head.unionByName(rows)
+
+
+def rounded_flat(values: Column, digits: int = 5) -> Column:
+    """An array of arrays of numbers as one array, rounded half to even; what is not finite is null."""
+    return F.transform(F.flatten(values), lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.bround(x, digits)))
 
 
 def append_points(df: DataFrame, path: str, part: str) -> None:
