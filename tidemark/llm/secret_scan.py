@@ -12,6 +12,7 @@ touch make one span, and cold text between two hot stretches is in none.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,31 +50,55 @@ def entropy_limit(bits: float) -> int:
     return math.floor(SCALE * WINDOW * (math.log2(WINDOW) - bits))
 
 
+#: Lengths that are added up in one array of running sums.
+BLOCK = 256
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _offsets(lengths: Column) -> Column:
+    """What the lengths before each one add up to: sums of blocks, then sums inside each, so cost is linear in their number."""
+    none = F.array().cast("array<int>")
+
+    def sums(xs: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(xs, first, step, lambda acc: acc["out"])
+
+    def over(all_: Column) -> Column:
+        block = lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda t, x: t + x))
+        return _with(sums(totals, F.lit(0)), lambda starts: F.flatten(F.transform(starts, lambda s, b: sums(block(b), s))))
+
+    return F.when(F.size(lengths) > 0, _with(lengths, over)).otherwise(none)
+
+
 def _placed(text: Column, pattern: str, found: Column) -> Column:
     """(start, end, value) of each match in code points: lengths of the pieces between matches and of the matches add up."""
-    # the pieces are part of the state, so that they are made once and not at every step
-    first = F.struct(F.lit(0).alias("at"), F.split(text, pattern, -1).alias("gaps"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
-    def step(acc: Column, k: Column) -> Column:
-        s = acc["at"] + F.length(F.element_at(acc["gaps"], k))
-        v = F.element_at(found, k)
-        e = s + F.length(v)
-        return F.struct(e.alias("at"), acc["gaps"].alias("gaps"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), v.alias("v"))).alias("out"))
+    def place(b: Column) -> Column:
+        lengths = F.transform(b["found"], lambda v, i: F.length(F.get(b["gaps"], i)) + F.length(v))
+        return _with(_offsets(lengths), lambda at: F.transform(b["found"], lambda v, i: _spot(F.get(at, i) + F.length(F.get(b["gaps"], i)), v)))
+
+    return _with(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found")), place)
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(found)), first, step, lambda a: a["out"])
+def _spot(s: Column, v: Column) -> Column:
+    return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"))
 
 
 def _pieces(value: Column) -> Column:
     """(start, text) of what is left between allow-listed stretches, pieces shorter than a window left out."""
-    found = F.regexp_extract_all(value, F.lit(ALLOW), F.lit(0))
-    first = F.struct(F.lit(0).alias("at"), F.split(value, ALLOW, -1).alias("gaps"), F.array().cast("array<struct<s:int,v:string>>").alias("out"))
 
-    def step(acc: Column, k: Column) -> Column:
-        v = F.element_at(acc["gaps"], k)
-        n = F.length(v) + F.when(k <= F.size(found), F.length(F.element_at(found, F.least(k, F.greatest(F.size(found), F.lit(1)))))).otherwise(F.lit(0))
-        return F.struct((acc["at"] + n).alias("at"), acc["gaps"].alias("gaps"), F.array_append(acc["out"], F.struct(acc["at"].alias("s"), v.alias("v"))).alias("out"))
+    def place(b: Column) -> Column:
+        lengths = F.transform(b["gaps"], lambda v, i: F.length(v) + F.coalesce(F.length(F.get(b["found"], i)), F.lit(0)))
+        return _with(_offsets(lengths), lambda at: F.transform(b["gaps"], lambda v, i: F.struct(F.get(at, i).alias("s"), v.alias("v"))))
 
-    cut = F.aggregate(F.sequence(F.lit(1), F.size(found) + 1), first, step, lambda a: a["out"])
+    cut = _with(F.struct(F.split(value, ALLOW, -1).alias("gaps"), F.regexp_extract_all(value, F.lit(ALLOW), F.lit(0)).alias("found")), place)
     whole = F.array(F.struct(F.lit(0).alias("s"), value.alias("v")))
     return F.filter(F.when(value.rlike(ALLOW), cut).otherwise(whole), lambda x: F.length(x["v"]) >= WINDOW)
 
