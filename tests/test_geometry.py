@@ -78,18 +78,21 @@ def test_stretch_and_fold(spark):
     assert M.fold(frames, f).first()[0] == pytest.approx(angle / 2)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.tuples(*[st.floats(-1.5, 1.5)] * 3), st.floats(50, 900), st.tuples(*[st.floats(-1, 1)] * 3))
-def test_projection_is_undone(spark, r, focal, pos):
-    p = np.array([0.3, -0.2, 5.0])
-    d = spark.range(1).select(G.vec(*r).alias("r"), G.vec(*pos).alias("pos"), G.vec(*p).alias("p"), F.lit(float(focal)).alias("f"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"))
-    d = d.withColumn("m", G.rotation_vector(F.col("r")))
-    d = d.withColumn("q", G.project(F.col("p"), F.col("m"), F.col("f"), F.col("pos"), F.col("cx"), F.col("cy")))
-    d = d.withColumn("w", G.unproject(F.col("q.u"), F.col("q.v"), F.col("q.depth"), F.col("m"), F.col("f"), F.col("pos"), F.col("cx"), F.col("cy")))
-    got = d.select("w.x", "w.y", "w.z", "q.depth", G.rotation_degrees(F.col("m")).alias("deg")).first()
-    if abs(got.depth) > 1e-3:
-        assert [got.x, got.y, got.z] == pytest.approx(list(p), abs=1e-6)
-    assert got.deg == pytest.approx(math.degrees(np.linalg.norm(r)), abs=1e-4)
+def test_projection_is_undone(spark):
+    """Sixty cameras, some not turned at all, as rows of one table."""
+    g = np.random.default_rng(7)
+    p = (0.3, -0.2, 5.0)
+    turns = [np.zeros(3), np.array([1.5, 0.0, 0.0])] + [g.uniform(-1.5, 1.5, 3) for _ in range(58)]
+    rows = [(i, tuple(map(float, r)), tuple(map(float, g.uniform(-1, 1, 3))), p, float(g.uniform(50, 900))) for i, r in enumerate(turns)]
+    v = "struct<x:double,y:double,z:double>"
+    d = spark.createDataFrame(rows, f"i int, r {v}, pos {v}, p {v}, f double").withColumn("m", G.rotation_vector(F.col("r"))).cache()
+    centre = F.col("f"), F.col("pos"), F.lit(320.0), F.lit(240.0)
+    q = d.withColumn("q", G.project(F.col("p"), F.col("m"), *centre)).cache()
+    w = q.withColumn("w", G.unproject(F.col("q.u"), F.col("q.v"), F.col("q.depth"), F.col("m"), *centre))
+    for got in w.select("i", "w.x", "w.y", "w.z", "q.depth", G.rotation_degrees(F.col("m")).alias("deg")).collect():
+        if abs(got.depth) > 1e-3:
+            assert [got.x, got.y, got.z] == pytest.approx(list(p), abs=1e-6)
+        assert got.deg == pytest.approx(math.degrees(np.linalg.norm(turns[got.i])), abs=1e-4)
 
 
 def test_shaft_and_scalars(spark):
