@@ -38,19 +38,21 @@ def quantiles(df: DataFrame, by: Names, x: Column, wanted: dict[str, float], few
     by, names = list(by), list(wanted)
     rows = df.select(F.struct(*by).alias("__key") if by else F.lit(0).alias("__key"), finite(x).alias("__x"))
     whole = rows.groupBy("__key") if by else rows.groupBy()
-    direct = [F.percentile("__x", q).alias(n) for n, q in wanted.items()]
+    direct = [F.percentile("__x", F.array(*[F.lit(float(q)) for q in wanted.values()])).alias("__qs")]  # one buffer for all
+    apart = lambda g: g.select("*", *[F.get("__qs", F.lit(i)).alias(n) for i, n in enumerate(names)])
     give = lambda g: g.select(*[F.col(f"__key.{c}").alias(c) for c in by], *names)
     size = stored_bytes(df)
     if size and size < small:
-        return give(whole.agg(*direct))
+        return give(apart(whole.agg(*direct)))
     rows = materialize(rows, "values")
     facts = rows.groupBy("__key").agg(F.count("__x").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.percentile_approx("__x", F.array(*[F.lit(k / GRID) for k in range(GRID + 1)]), F.lit(ACCURACY)).alias("grid"))
     large = materialize(facts.where(F.col("n") > few), "large")
     if not by:
-        return give(whole.agg(*direct) if large.isEmpty() else _narrowed(rows, large, wanted, few))
+        return give(apart(whole.agg(*direct)) if large.isEmpty() else _narrowed(rows, large, wanted, few))
     keys = large.select("__key")
     rest = rows.join(F.broadcast(keys) if keys.count() <= HOT else keys, "__key", "left_anti")
-    return give(rest.groupBy("__key").agg(*direct).unionByName(_narrowed(rows, large, wanted, few)))
+    small_ones = apart(rest.groupBy("__key").agg(*direct)).drop("__qs")
+    return give(small_ones.unionByName(_narrowed(rows, large, wanted, few)))
 
 
 def _bracket(grid: Column, n: Column, first: Column, last: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
@@ -107,7 +109,8 @@ def with_quantiles(df: DataFrame, by: Names, x: Column, wanted: dict[str, float]
     by, v = list(by), finite(x)
     size = stored_bytes(df)
     if size and size < SMALL_BYTES:
-        return df.groupBy(*by).agg(*others, *[F.percentile(v, q).alias(n) for n, q in wanted.items()])
+        g = df.groupBy(*by).agg(*others, F.percentile(v, F.array(*[F.lit(float(q)) for q in wanted.values()])).alias("__qs"))
+        return g.select("*", *[F.get("__qs", F.lit(i)).alias(n) for i, n in enumerate(wanted)]).drop("__qs")
     rest = df.groupBy(*by).agg(*others)
     q = quantiles(df, by, x, wanted)
     if not by:
