@@ -184,10 +184,11 @@ def silhouette_block(scores: DataFrame, bands: DataFrame, baseline: DataFrame |
 # ---- one condition: outline, depth, tracks
 
 
-def outline_curve(frames: DataFrame, rendered: DataFrame, mask: DataFrame, hidden: DataFrame, depth: DataFrame, refs: dict[str, DataFrame] | None = None, background: DataFrame | None = None, behind: float = 0.004, least_mask: int = 300, least_ref: int = 50) -> DataFrame:
+def outline_curve(frames: DataFrame, rendered: DataFrame, mask: DataFrame, hidden: DataFrame, depth: DataFrame, refs: dict[str, DataFrame] | None = None, background: DataFrame | None = None, behind: float = 0.004, least_mask: int = 300, least_ref: int = 50, empty: float = 0.0) -> DataFrame:
     """Per frame whose mask has ``least_mask`` pixels: iou of the surface and the mask where neither is hidden, and median
     depth error on common pixels, against the measured depth and each further reference (k, u, v, z valid pixels only;
-    null unless more than ``least_ref``): k, iou, depth_err_monocular, depth_err_<name>.
+    null unless more than ``least_ref``): k, iou, depth_err_monocular, depth_err_<name>. ``empty`` is the iou of frames where
+    everything is hidden.
 
     What lies behind ``background`` (k, u, v, z) does not count as visible; without it, what lies ``behind`` or more
     behind the measured depth. A pixel of which neither is known shows nothing.
@@ -200,11 +201,11 @@ def outline_curve(frames: DataFrame, rendered: DataFrame, mask: DataFrame, hidde
     for name, ref in (refs or {}).items():
         px = px.join(ref.select("k", "u", "v", F.col("z").alias(f"__{name}")), ["k", "u", "v"], "left")
     both = F.col("drawn") & F.col("real")
-    cols = [_ratio(both, F.col("drawn") | F.col("real"), F.lit(0.0)).alias("iou"), F.percentile(F.when(both, F.abs(F.col("zm") - F.col("zd"))), 0.5).alias("depth_err_monocular")]
+    cols = [_ratio(both, F.col("drawn") | F.col("real"), F.lit(empty)).alias("iou"), F.percentile(F.when(both, F.abs(F.col("zm") - F.col("zd"))), 0.5).alias("depth_err_monocular")]
     for name in refs or {}:
         e = F.when(both, F.abs(F.col("zm") - F.col(f"__{name}")))
         cols.append(F.when(F.count(e) > least_ref, F.percentile(e, 0.5)).alias(f"depth_err_{name}"))
-    return enough.join(px.groupBy("k").agg(*cols), "k", "left").fillna(0.0, ["iou"])
+    return enough.join(px.groupBy("k").agg(*cols), "k", "left").withColumn("iou", F.coalesce("iou", F.lit(empty)))
 
 
 def bound_tracks(starts: DataFrame, rendered: DataFrame, corners: DataFrame) -> DataFrame:
