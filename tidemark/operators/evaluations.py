@@ -184,18 +184,19 @@ def silhouette_block(scores: DataFrame, bands: DataFrame, baseline: DataFrame |
 # ---- one condition: outline, depth, tracks
 
 
-def outline_curve(frames: DataFrame, rendered: DataFrame, mask: DataFrame, hidden: DataFrame, depth: DataFrame, refs: dict[str, DataFrame] | None = None, background: DataFrame | None = None, behind: float = 0.004, least_mask: int = 300, least_ref: int = 50, empty: float = 0.0) -> DataFrame:
+def outline_curve(frames: DataFrame, rendered: DataFrame, mask: DataFrame, hidden: DataFrame, depth: DataFrame, refs: dict[str, DataFrame] | None = None, background: DataFrame | None = None, behind: float = 0.004, least_mask: int = 300, least_ref: int = 50, empty: float = 0.0, unwalled: bool = False) -> DataFrame:
     """Per frame whose mask has ``least_mask`` pixels: iou of the surface and the mask where neither is hidden, and median
     depth error on common pixels, against the measured depth and each further reference (k, u, v, z valid pixels only;
     null unless more than ``least_ref``): k, iou, depth_err_monocular, depth_err_<name>. ``empty`` is the iou of frames where
     everything is hidden.
 
     What lies behind ``background`` (k, u, v, z) does not count as visible; without it, what lies ``behind`` or more
-    behind the measured depth. A pixel of which neither is known shows nothing.
+    behind the measured depth. A pixel of which neither is known shows nothing, or with ``unwalled`` all that is drawn there.
     """
     enough = mask.groupBy("k").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least_mask).join(frames, "k", "left_semi").select("k")
     wall = depth.select("k", "u", "v", (F.col("z") + behind).alias("__wall")) if background is None else background.select("k", "u", "v", F.col("z").alias("__wall"))
-    shown = rendered.join(wall, ["k", "u", "v"]).where(F.col("z") < F.col("__wall")).select("k", "u", "v", "z")
+    seen = F.col("z") < F.col("__wall")
+    shown = rendered.join(wall, ["k", "u", "v"], "left").where(F.col("__wall").isNull() | seen if unwalled else seen).select("k", "u", "v", "z")
     free = lambda df: df.join(hidden.select("k", "u", "v").distinct(), ["k", "u", "v"], "left_anti")
     px = pixel_table(enough, free(shown), free(mask), depth, cut=None)
     for name, ref in (refs or {}).items():
