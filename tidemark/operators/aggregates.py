@@ -317,10 +317,27 @@ def median_by(df: DataFrame, group: str, x: str) -> DataFrame:
 
 
 def mean_or_median(long: DataFrame, by: Names, metric: str, value: str, median_if: str = "depth|max") -> DataFrame:
-    """Per metric the median where its name matches, else the mean."""
-    v = finite(F.col(value))
-    g = with_quantiles(long, [*by, metric], F.col(value), {"__m": 0.5}, F.avg(v).alias("__a"), F.count(v).alias("n"))
-    return g.select(*by, metric, F.when(F.col(metric).rlike(median_if), F.col("__m")).otherwise(F.col("__a")).alias("value"), "n")
+    """Per metric the median where its name matches, else the mean. Only values of metrics whose name matches are ordered.
+
+    Of larger tables, metrics of at most about ``FEW`` numbers are counted by number, in sums that combine before the shuffle;
+    the others are for ``quantiles``.
+    """
+    v, asked = finite(F.col(value)), F.col(metric).rlike(median_if)
+    keys = [*by, metric]
+    of = F.when(asked, F.col("__m")).otherwise(F.col("__a")).alias("value")
+    size = stored_bytes(long)
+    if size and size < SMALL_BYTES:
+        g = with_quantiles(long, keys, F.when(asked, F.col(value)), {"__m": 0.5}, F.avg(v).alias("__a"), F.count(v).alias("n"))
+        return g.select(*keys, of, "n")
+    rows = long.select(F.struct(*keys).alias("__key"), metric, v.alias("__x"))
+    facts = materialize(rows.groupBy("__key").agg(F.avg("__x").alias("__a"), F.count("__x").alias("n"), F.approx_count_distinct(F.when(asked, F.col("__x"))).alias("__d")), "facts")
+    many = facts.where(F.col("__d") > FEW).select("__key")
+    wanted = rows.where(asked & F.col("__x").isNotNull()).select("__key", "__x")
+    counted = wanted.join(many, "__key", "left_anti").groupBy("__key", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    medians = counted.groupBy("__key").agg(F.percentile("__x", 0.5, F.col("__c")).alias("__m"))
+    if not many.isEmpty():
+        medians = medians.unionByName(quantiles(wanted.join(many, "__key", "left_semi"), ["__key"], F.col("__x"), {"__m": 0.5}))
+    return facts.join(medians, "__key", "left").select(*[F.col(f"__key.{c}").alias(c) for c in keys], F.when(F.col(f"__key.{metric}").rlike(median_if), F.col("__m")).otherwise(F.col("__a")).alias("value"), "n")
 
 
 def band_extremes(df: DataFrame, band: str, x: str) -> DataFrame:
